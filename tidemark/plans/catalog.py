@@ -324,7 +324,7 @@ def q_problem_count(spark, sf):
 
 def q_run_tail(spark, sf):
     ensure_utc(spark)
-    return runlog.run_tail(_runs(spark, sf), width=256)
+    return runlog.run_tail(_runs(spark, sf), width=256).withColumn("from_end", F.col("from_end").cast("long"))
 
 
 def q_failure_streaks(spark, sf):

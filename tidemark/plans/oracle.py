@@ -105,7 +105,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
             OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_no
         FROM log_lines""", ("log_lines",)),
     "problems": ("""SELECT file, run_no, count(*) AS n_lines,
-            count_if(regexp_matches(line, '^(ABORT|WARN:|[a-z]+: FAILED|gitlink: !!)')) AS n_problems,
+            cast(count_if(regexp_matches(line, '^(ABORT|WARN:|[a-z]+: FAILED|gitlink: !!)')) AS BIGINT) AS n_problems,
             count_if(regexp_matches(line, '^(ABORT|WARN:|[a-z]+: FAILED|gitlink: !!)')) > 0 AS failed
         FROM runs WHERE run_no > 0 GROUP BY file, run_no""", ("runs",)),
     "c1m": ("""SELECT instrument, time_bucket(INTERVAL 1 MINUTE, bus_time) AS open_at,
@@ -223,7 +223,7 @@ ORACLE: dict[str, str] = {
                                 max(TRY_CAST(rows AS BIGINT)) AS ledger_rows
                          FROM ledger WHERE TRY_CAST(day AS DATE) IS NOT NULL GROUP BY 1, 2) led
           ON tc.table_name = led.table_name AND tc.day = led.day""", "ticks", "ledger"),
-    "ledger_health": sql("""SELECT table_name, day, count(*) AS n_lines, count_if(nf <> 8) AS n_malformed,
+    "ledger_health": sql("""SELECT table_name, day, count(*) AS n_lines, cast(count_if(nf <> 8) AS BIGINT) AS n_malformed,
             CASE WHEN count_if(nf <> 8) > 0 THEN 'malformed' WHEN count(*) > 1 THEN 'duplicate' ELSE 'single' END
             AS status FROM all_ledgers GROUP BY table_name, day""", "all_ledgers"),
     "manifest_valid": sql(f"""SELECT table_name, line_no, day, file, fields_ok,
@@ -363,9 +363,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT file, run_no, failed, sum(CASE WHEN failed THEN 0 ELSE 1 END)
                 OVER (PARTITION BY file ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g
               FROM problems) x) y""", "problems"),
-    "backfill_summary": sql(f"""SELECT 'ticks' AS table_name, count_if(outcome = 'ok') AS ok,
-            count_if(outcome = 'skip') AS skip, count_if(outcome = 'fail') AS fail,
-            count_if(outcome = 'not_attempted') AS not_attempted,
+    "backfill_summary": sql(f"""SELECT 'ticks' AS table_name, cast(count_if(outcome = 'ok') AS BIGINT) AS ok,
+            cast(count_if(outcome = 'skip') AS BIGINT) AS skip, cast(count_if(outcome = 'fail') AS BIGINT) AS fail,
+            cast(count_if(outcome = 'not_attempted') AS BIGINT) AS not_attempted,
             cast(coalesce(sum(CASE WHEN outcome = 'ok' THEN floor((bytes + 1048575) / 1048576) END), 0) AS BIGINT) AS mb
         FROM (SELECT day, bytes, CASE WHEN first_fail IS NOT NULL AND day > first_fail THEN 'not_attempted'
                                      WHEN done THEN 'skip' WHEN NOT has_leaf THEN 'fail' ELSE 'ok' END AS outcome
