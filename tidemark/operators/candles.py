@@ -24,6 +24,18 @@ def _bucket_start(time_col: str, tf: str) -> Column:
     return F.window(F.col(time_col), _interval(tf)).start
 
 
+def time_id_key(time_col: str, id_col: str) -> Column:
+    """Exact (time, id) order as one decimal(38,0): micros * 10**20 + (id + 2**63).
+
+    A struct ordering key forces a sort-based aggregate; a decimal key keeps
+    ``min_by``/``max_by`` in the hash aggregate with a map-side combine.
+    Fits 38 digits for any timestamp before year 5000 and any signed long id.
+    """
+    micros = F.unix_micros(F.col(time_col).cast("timestamp")).cast("decimal(38,0)")
+    ident = F.col(id_col).cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")
+    return (micros * F.lit("1" + "0" * 20).cast("decimal(38,0)") + ident).cast("decimal(38,0)")
+
+
 def ticks_to_candles(ticks: DataFrame, tf: str, keys: Sequence[str], time_col: str, price_col: str,
                      id_col: str | None = None, size_col: str | None = None) -> DataFrame:
     """OHLCV bars from ticks (A10).
@@ -33,7 +45,7 @@ def ticks_to_candles(ticks: DataFrame, tf: str, keys: Sequence[str], time_col: s
     ``min_by``/``max_by`` aggregate partially on the map side, so a hot
     instrument is reduced before the shuffle.
     """
-    order = F.struct(F.col(time_col), F.col(id_col)) if id_col else F.col(time_col)
+    order = time_id_key(time_col, id_col) if id_col else F.col(time_col)
     vol = F.sum(size_col).cast("double") if size_col else F.count(F.lit(1)).cast("double")
     return (
         ticks.groupBy(*keys, _bucket_start(time_col, tf).alias("open_at"))
@@ -45,14 +57,10 @@ def ticks_to_candles(ticks: DataFrame, tf: str, keys: Sequence[str], time_col: s
     )
 
 
-def _roll_up(bars: DataFrame, keys: Sequence[str], tf: str) -> DataFrame:
-    return (
-        bars.groupBy(*keys, "_day", _bucket_start("open_at", tf).alias("open_at"))
-        .agg(F.min_by("open", "open_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-             F.max_by("close", "open_at").alias("close"), F.sum("volume").alias("volume"),
-             F.sum("trades").alias("trades"))
-        .withColumn("timeframe", F.lit(tf))
-    )
+def _bucket_of(col: Column, seconds: Column, like) -> Column:
+    """Start of the ``seconds``-wide bucket holding ``col``, aligned to the epoch (UTC midnight for <= 1d)."""
+    secs = F.unix_seconds(col.cast("timestamp"))
+    return F.timestamp_seconds(F.floor(secs / seconds) * seconds).cast(like)
 
 
 def synthesize_candles(c1m: DataFrame, keys: Sequence[str], timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES,
@@ -60,41 +68,44 @@ def synthesize_candles(c1m: DataFrame, keys: Sequence[str], timeframes: Sequence
     """Derive higher timeframes from 1m bars only.
 
     * 1m rows are read inside [start, end] (whole UTC days, end inclusive).
-    * Cascade: 5m from 1m, 15m/30m/1h from 5m, 4h/1d from 1h.  OHLCV is
-      associative when open/close carry their times, so the result equals
-      direct aggregation (checked in tests).
-    * Every timeframe here nests inside one UTC day, so all levels group by
-      (keys, day, bucket).  One hash repartition on (keys, day) satisfies all
-      of them: the whole cascade costs a single shuffle, and a (key, day)
-      holds at most 1440 one-minute bars however hot the instrument is.
+    * Every timeframe here nests inside one UTC day, so the 1m bars are hash
+      partitioned once on (keys, day) -- a (key, day) holds at most 1440
+      bars however hot the instrument -- and each bar is exploded into the
+      timeframes it feeds.  Grouping by (keys, day, timeframe, bucket) is
+      satisfied by that partitioning: all timeframes come out of ONE
+      exchange and one aggregation stage.
+    * open/close are taken by bar time (min_by/max_by), so the result equals
+      aggregating the ticks directly at each timeframe (checked in tests).
     * 1d bars opening before ``cut_date`` are not emitted, so a synthesized
       bar never overwrites a native one; asking for 1d without it is an error.
     """
     if "1d" in timeframes and cut_date is None:
         raise ValueError("cut_date is required when 1d is requested")
+    for tf in timeframes:
+        if S.TIMEFRAME_SECONDS[tf] > 86400 or 86400 % S.TIMEFRAME_SECONDS[tf]:
+            raise ValueError(f"timeframe {tf} does not nest inside a UTC day")
+    like = c1m.schema["open_at"].dataType
     src = c1m.where(F.col("timeframe") == "1m") if "timeframe" in c1m.columns else c1m
     if start is not None:
-        src = src.where(F.col("open_at") >= _date(start).cast(c1m.schema["open_at"].dataType))
+        src = src.where(F.col("open_at") >= _date(start).cast(like))
     if end is not None:
-        src = src.where(F.col("open_at") < F.date_add(_date(end), 1).cast(c1m.schema["open_at"].dataType))
-    base = src.withColumn("_day", F.to_date("open_at")).repartition(*keys, "_day")
-    built = {"1m": base}
-    need = set()
-    for tf in timeframes:
-        p = tf
-        while p != "1m":
-            need.add(p)
-            p = S.TIMEFRAME_PARENT[p]
-    for tf in [t for t in S.TIMEFRAMES if t in need]:
-        built[tf] = _roll_up(built[S.TIMEFRAME_PARENT[tf]], keys, tf)
-    out = None
-    for tf in timeframes:
-        part = built[tf]
-        if tf == "1d":
-            part = part.where(F.col("open_at") >= _date(cut_date).cast(c1m.schema["open_at"].dataType))
-        part = part.select(*keys, "timeframe", "open_at", *CANDLE_VALUE_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+        src = src.where(F.col("open_at") < F.date_add(_date(end), 1).cast(like))
+    base = src.select(*keys, "open_at", *CANDLE_VALUE_COLUMNS, F.to_date("open_at").alias("_day")) \
+        .repartition(*keys, "_day")
+    tfs = F.array(*[F.struct(F.lit(tf).alias("tf"), F.lit(S.TIMEFRAME_SECONDS[tf]).alias("secs"))
+                    for tf in timeframes])
+    x = base.select("*", F.explode(tfs).alias("_t"))
+    out = (
+        x.groupBy(*keys, "_day", F.col("_t.tf").alias("timeframe"),
+                  _bucket_of(F.col("open_at"), F.col("_t.secs"), like).alias("_bucket"))
+        .agg(F.min_by("open", "open_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+             F.max_by("close", "open_at").alias("close"), F.sum("volume").alias("volume"),
+             F.sum("trades").alias("trades"))
+        .withColumnRenamed("_bucket", "open_at")
+    )
+    if "1d" in timeframes:
+        out = owned_from(out, cut_date)
+    return out.select(*keys, "timeframe", "open_at", *CANDLE_VALUE_COLUMNS)
 
 
 def close_versions(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], from_col: str = "known_from",
