@@ -56,7 +56,7 @@ def _hash_paths(batches):
         for p in paths:
             fs, inner = pafs.FileSystem.from_uri(p)
             h = hashlib.sha256()
-            with fs.open_input_stream(inner) as f:
+            with fs.open_input_stream(inner, compression=None) as f:  # the bytes on disk, never decoded
                 while True:
                     chunk = f.read(CHUNK)
                     if not chunk:
