@@ -126,3 +126,21 @@ def test_lookback_since(spark):
     got = {r.source: (r.gap_days, r.lookback_days, str(r.since))
            for r in cdl.lookback_since(src, "2024-02-10 12:00:00").collect()}
     assert got == {"a": (10, 10, "2024-01-31"), "b": (0, 4, "2024-02-06")}
+
+
+def test_read_run_logs_numbers_lines_across_splits(spark, scratch):
+    from tidemark.sources.runlog import read_run_logs
+
+    lines = [f"line {i}" for i in range(1, 20001)]
+    lines[0] = "=== job 2024-01-01 ==="
+    for name in ("a.log", "b.log"):
+        with open(f"{scratch}/{name}", "w") as f:
+            f.write("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")  # many splits per file
+    try:
+        got = read_run_logs(spark, scratch)
+        rows = got.where(F.col("file") == "b.log").orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20000
+    assert all(r.line == lines[r.line_no - 1] for r in rows)

@@ -38,16 +38,20 @@ def prefix_max_before(df: DataFrame, part: Sequence[str], order_col: str, value_
 
 
 def prefix_sum(df: DataFrame, part: Sequence[str], order_col: str, value_col: str, out: str,
-               width: int = DEFAULT_WIDTH, inclusive: bool = True) -> DataFrame:
-    """``out`` = running sum of ``value_col`` in ``order_col`` order within ``part``."""
+               width: int = DEFAULT_WIDTH, inclusive: bool = True, major: Sequence[str] = ()) -> DataFrame:
+    """``out`` = running sum of ``value_col`` in (``major``..., ``order_col``) order within ``part``.
+
+    ``major`` columns order coarse blocks (e.g. a file split's start offset)
+    and must be constant within a bucket of ``order_col``.
+    """
     b = df.withColumn("_bk", _bucket(order_col, width))
-    per = b.groupBy(*part, "_bk").agg(F.sum(value_col).alias("_bsum"))
-    wc = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*part, "_bk", F.coalesce(F.sum("_bsum").over(wc), F.lit(0)).alias("_carry"))
+    per = b.groupBy(*part, *major, "_bk").agg(F.sum(value_col).alias("_bsum"))
+    wc = Window.partitionBy(*part).orderBy(*major, "_bk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*part, *major, "_bk", F.coalesce(F.sum("_bsum").over(wc), F.lit(0)).alias("_carry"))
     end = 0 if inclusive else -1
-    wi = Window.partitionBy(*part, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    wi = Window.partitionBy(*part, *major, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
     return (
-        b.join(carry, [*part, "_bk"], "left")
+        b.join(carry, [*part, *major, "_bk"], "left")
         .withColumn(out, F.col("_carry") + F.coalesce(F.sum(value_col).over(wi), F.lit(0)))
         .drop("_bk", "_carry")
     )

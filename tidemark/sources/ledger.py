@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.verify import parse_ledger_lines
+from tidemark.sources.runlog import read_run_logs
 
 
 def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """(table_name, line_no, line) from a TSV ledger.
-
-    Text files have no row index, so each file is read whole and split; a
-    ledger holds one line per exported day, i.e. it is calendar sized.
-    """
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line"))
-    return lines.where(F.col("line") != "").select(
-        F.lit(table).alias("table_name"), (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    """(table_name, line_no, line) from a TSV ledger (S5): text rows, numbered per file in order."""
+    lines = read_run_logs(spark, path)
+    return lines.where(F.col("line") != "").select(F.lit(table).alias("table_name"), "line_no", "line")
 
 
 def read_manifest(spark: SparkSession, path: str, table: str, kind: str | None = None) -> DataFrame:
