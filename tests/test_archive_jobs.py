@@ -115,3 +115,27 @@ def test_day_slice_prunes_partitions(spark, scratch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-03" in plan
     assert df.count() == t.where(day_of("bus_time") == dt.date(2024, 1, 3)).count()
+
+
+def test_restore_job_with_supplements(spark, scratch):
+    """Archive without the recovered rows + a supplement ledger file -> whole days, routed to leaves."""
+    from tidemark.sources.ledger import read_supplements
+
+    t = fx.ticks(spark, SF001)
+    recovered = fx.supplement_rows(spark, SF001)
+    base = t.join(recovered.select("id"), "id", "left_anti")
+    days = sorted(r.day for r in t.select(day_of("bus_time").alias("day")).distinct().collect())
+    leaf_all = t.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct()
+    jobs.export_days(spark, base, "ticks", "bus_time", ["id"], days, leaf_all, None, scratch, TICKS_ARCHIVE_SCHEMA)
+    sup_ledger = recovered.select(F.lit("ticks-supplement.csv").alias("file"), day_of("bus_time").cast("string").alias("day"),
+                                  F.lit("1").alias("rows"), F.lit("1").alias("bytes"), F.repeat(F.lit("e"), 64).alias("sha256"),
+                                  F.lit("recovered, absent from the daily file").alias("note"))
+    sup_ledger.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{scratch}/SUPPLEMENTS")
+    assert read_supplements(spark, f"{scratch}/SUPPLEMENTS").count() == recovered.count()
+    restored = jobs.restore(spark, f"{scratch}/ticks", TICKS_ARCHIVE_SCHEMA, recovered, fx.leaf(spark, SF001),
+                            "ticks", "bus_time")
+    got = arc.day_content_digest(restored, "bus_time", _ticks_parts(restored))
+    want = arc.day_content_digest(t, "bus_time", _ticks_parts(t))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert restored.where(F.col("target") == "ticks_default").count() == \
+        t.where(F.dayofmonth("bus_time").isin(11, 22)).count()

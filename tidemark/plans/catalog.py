@@ -114,6 +114,23 @@ def q_leaf_catalog(spark, sf):
     return cal.leaf_catalog(names)
 
 
+def q_read_days(spark, sf):
+    """Whole UTC days of ticks that have their own leaf (the 11th and 22nd do not)."""
+    ensure_utc(spark)
+    from tidemark.sources.tables import read_days
+
+    return read_days(fx.ticks(spark, sf), "bus_time", P.BACKFILL_FROM, "2024-01-31", fx.leaf(spark, sf), "ticks")
+
+
+def q_read_trades(spark, sf):
+    """Pinned 12 archive columns of trades executed in [SLICE_FROM, SLICE_TO)."""
+    ensure_utc(spark)
+    from tidemark.sources.tables import read_trades
+
+    t = fx.trades(spark, sf).withColumnRenamed("bus_time", "timestamp")
+    return read_trades(t, P.SLICE_FROM, P.SLICE_TO)
+
+
 # ---------------------------------------------------------------- step 2
 def q_reconcile_counts(spark, sf):
     ensure_utc(spark)
@@ -384,6 +401,8 @@ QUERIES = {
     "contiguous_runs": q_contiguous_runs,
     "cover_anchors": q_cover_anchors,
     "leaf_catalog": q_leaf_catalog,
+    "read_days": q_read_days,
+    "read_trades": q_read_trades,
     "reconcile_counts": q_reconcile_counts,
     "ledger_health": q_ledger_health,
     "manifest_valid": q_manifest_valid,

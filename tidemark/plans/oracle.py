@@ -212,6 +212,12 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT DISTINCT table_name, table_name || '_default' FROM all_leaves
         UNION ALL SELECT DISTINCT table_name, table_name || '_d' || strftime(day, '%Y%m') || '32' FROM all_leaves
         UNION ALL SELECT table_name, table_name || '_d' || strftime(day, '%Y%m%d') || '_old' FROM all_leaves"""}),
+    "read_days": sql("""SELECT t.* FROM ticks t WHERE t.bus_time >= TIMESTAMP '2024-01-01'
+        AND t.bus_time < TIMESTAMP '2024-01-31' AND EXISTS (SELECT 1 FROM leaf l WHERE l.day = cast(t.bus_time AS DATE))""",
+                     "ticks", "leaf"),
+    "read_trades": sql(f"""SELECT public_id, bus_time AS "timestamp", known_to, session_id, sequence_id,
+            instrument_public_id, trade_id, executed_at, price, size, side, id FROM trades
+        WHERE executed_at >= TIMESTAMP '{P.SLICE_FROM}' AND executed_at < TIMESTAMP '{P.SLICE_TO}'""", "trades"),
     "reconcile_counts": sql("""SELECT coalesce(tc.table_name, led.table_name) AS table_name,
             coalesce(tc.day, led.day) AS day, tc.table_rows, led.ledger_rows, NULL::BIGINT AS archive_rows,
             coalesce(led.ledger_lines, 0) AS ledger_lines,
