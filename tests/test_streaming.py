@@ -10,9 +10,16 @@ from tests.conftest import SF01
 
 
 def _spool(spark, scratch, parts=3):
-    """Write the ticks as a few files so a file stream sees several micro-batches."""
+    """Write the ticks as files appended one after another, so the stream sees them in arrival order."""
+    import time
+
     src = f"{scratch}/in"
-    fx.ticks(spark, SF01).repartitionByRange(parts, "id").write.parquet(src)
+    t = fx.ticks(spark, SF01)
+    n = t.count()
+    for k in range(parts):
+        t.where((F.col("id") >= k * n // parts) & (F.col("id") < (k + 1) * n // parts)).coalesce(1) \
+            .write.mode("append").parquet(src)
+        time.sleep(1.1)  # file source orders by modification time
     return src, spark.read.parquet(src).schema
 
 
