@@ -144,3 +144,18 @@ def test_read_run_logs_numbers_lines_across_splits(spark, scratch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 20000
     assert all(r.line == lines[r.line_no - 1] for r in rows)
+
+
+def test_close_versions_hot_keys_match_plain_window(spark):
+    from tidemark.sources import fixtures as fx2
+
+    li = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    # a hot key: every version of one l_linenumber across all orders, plus ordinary keys
+    v = li.select(F.when(F.col("l_linenumber") == 1, F.lit(0)).otherwise(F.col("l_orderkey")).alias("k"),
+                  "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("known_from"))
+    keys, order = ["k", "l_linenumber"], ["known_from", "l_partkey", "l_suppkey"]
+    plain = cdl.close_versions(v, keys, order, hot_rows=None)
+    split = cdl.close_versions(v, keys, order, hot_rows=100, hot_parts=5)
+    assert v.where("k = 0").count() > 100
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+    del fx2

@@ -108,16 +108,52 @@ def synthesize_candles(c1m: DataFrame, keys: Sequence[str], timeframes: Sequence
     return out.select(*keys, "timeframe", "open_at", *CANDLE_VALUE_COLUMNS)
 
 
+HOT_KEY_ROWS = 5_000_000
+
+
 def close_versions(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], from_col: str = "known_from",
-                   to_col: str = "known_to") -> DataFrame:
+                   to_col: str = "known_to", hot_rows: int | None = HOT_KEY_ROWS, hot_parts: int | None = None
+                   ) -> DataFrame:
     """SCD2: each version is known until the next version of its key starts.
 
     ``order_cols`` must be a total order within a key (ties in ``from_col``
     are broken by the remaining columns), so exactly one version per key
     stays active with the sentinel.  A zero-length version is still closed.
+
+    Keys with at most ``hot_rows`` versions use one window per key, which is
+    then bounded.  Hotter keys (found by one count aggregate; there are at
+    most rows/hot_rows of them) are range partitioned on (keys, order) over
+    ``hot_parts`` tasks and cut with a reliable checkpoint so partition ids
+    are stable; ``lead`` runs inside each partition, and a partition's last
+    version takes the first version of the key's next partition from a
+    small per-partition table.  ``hot_rows=None`` skips the detection pass.
     """
+    sentinel = sentinel_for(df, from_col)
     w = Window.partitionBy(*keys).orderBy(*order_cols)
-    return df.withColumn(to_col, F.coalesce(F.lead(from_col).over(w), sentinel_for(df, from_col)))
+    if hot_rows is None:
+        return df.withColumn(to_col, F.coalesce(F.lead(from_col).over(w), sentinel))
+    spark = df.sparkSession
+    hot = [tuple(r) for r in df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys).collect()]
+    if not hot:
+        return df.withColumn(to_col, F.coalesce(F.lead(from_col).over(w), sentinel))
+    from tidemark.session import shared_dir
+
+    shared_dir(spark)
+    hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))
+    cold = df.join(hot_df, list(keys), "left_anti").withColumn(
+        to_col, F.coalesce(F.lead(from_col).over(w), sentinel))
+    n = hot_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.join(hot_df, list(keys), "left_semi").repartitionByRange(n, *keys, *order_cols)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    wp = Window.partitionBy(*keys, "_pid").orderBy(*order_cols)
+    firsts = ranged.groupBy(*keys, "_pid").agg(
+        F.min_by(F.col(from_col), F.struct(*order_cols)).alias("_first"))
+    carry = firsts.select(*keys, "_pid", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_pid"))
+                          .alias("_next"))
+    hot_out = (ranged.withColumn("_lead", F.lead(from_col).over(wp)).join(carry, [*keys, "_pid"], "left")
+               .withColumn(to_col, F.coalesce(F.col("_lead"), F.col("_next"), sentinel))
+               .drop("_pid", "_lead", "_next"))
+    return cold.unionByName(hot_out.select(*cold.columns))
 
 
 def closed_versions(df: DataFrame, time_col: str, lo_day, hi_day, timeframe: str | None = None,

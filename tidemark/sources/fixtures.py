@@ -192,11 +192,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live-published 1h bars: each tick republishes its bar, closing the previous version."""
-    t = ticks(spark, sf_dir)
-    from pyspark.sql import Window
+    from tidemark.operators.candles import close_versions
 
+    t = ticks(spark, sf_dir)
     bar = F.window("bus_time", "3600 seconds").start
     v = t.select("instrument", F.lit("1h").alias("timeframe"), bar.alias("open_at"),
                  F.col("bus_time").alias("known_from"), "id", F.col("price").alias("close"))
-    w = Window.partitionBy("instrument", "timeframe", "open_at").orderBy("known_from", "id")
-    return v.withColumn("known_to", F.coalesce(F.lead("known_from").over(w), _sentinel()))
+    return close_versions(v, ["instrument", "timeframe", "open_at"], ["known_from", "id"])
