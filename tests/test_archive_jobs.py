@@ -139,3 +139,23 @@ def test_restore_job_with_supplements(spark, scratch):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert restored.where(F.col("target") == "ticks_default").count() == \
         t.where(F.dayofmonth("bus_time").isin(11, 22)).count()
+
+
+def test_ledger_line_numbers_run_across_appends(spark, scratch):
+    import time
+
+    from tidemark.operators.verify import last_line_per_day
+    from tidemark.sources.ledger import append_manifest
+
+    path = f"{scratch}/LEDGER"
+    for k in range(3):
+        lines = spark.range(1).select(
+            F.lit("ticks").alias("table_name"), F.lit("ticks-2024-01-03.csv.zst").alias("file"),
+            F.lit("2024-01-03").alias("day"), F.lit("703").alias("bound_lower"), F.lit("1036").alias("bound_upper"),
+            F.lit(str(333 + k)).alias("rows"), F.lit("6660").alias("bytes"), F.repeat(F.lit("a"), 64).alias("sha256"),
+            F.lit("2024-02-01T00:00:00Z").alias("exported_at"))
+        append_manifest(lines, path)
+        time.sleep(1.1)
+    led = read_manifest(spark, path, "ticks")
+    assert sorted(r.line_no for r in led.collect()) == [1, 2, 3]
+    assert last_line_per_day(led).first().rows == "335"

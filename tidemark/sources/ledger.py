@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.verify import parse_ledger_lines
-from tidemark.sources.runlog import read_run_logs
+from tidemark.sources.runlog import read_appended_lines
 
 
 def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """(table_name, line_no, line) from a TSV ledger (S5): text rows, numbered per file in order."""
-    lines = read_run_logs(spark, path)
+    """(table_name, line_no, line) from a TSV ledger (S5): text rows numbered in append order.
+
+    A ledger is one file or a folder of appended parts; either way the line
+    number runs across the whole ledger.
+    """
+    lines = read_appended_lines(spark, path)
     return lines.where(F.col("line") != "").select(F.lit(table).alias("table_name"), "line_no", "line")
 
 

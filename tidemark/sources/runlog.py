@@ -12,6 +12,25 @@ from tidemark.operators.prefix import prefix_sum
 _ID_BUCKET = 1 << 20
 
 
+def _text_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("_mtime"),
+        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_rid"),
+        F.col("value").alias("line"), F.lit(1).cast("long").alias("_one"))
+
+
+def read_appended_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a folder written by repeated appends, numbered across all its parts.
+
+    Parts are taken in (modification time, name) order, i.e. append order,
+    so "the last line written for a day" is well defined across appends.
+    """
+    raw = _text_rows(spark, path).withColumn("_all", F.lit(0))
+    numbered = prefix_sum(raw, ["_all"], "_rid", "_one", "line_no", width=_ID_BUCKET,
+                          major=["_mtime", "file", "_blk"])
+    return numbered.select("file", "line_no", "line")
+
+
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Every log line with its 1-based line number within its file.
 
@@ -20,8 +39,6 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     running count in that order, computed with the bucketed prefix scan
     (no whole-file window, no whole-file row).
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_rid"), F.col("value").alias("line"), F.lit(1).cast("long").alias("_one"))
+    raw = _text_rows(spark, path)
     numbered = prefix_sum(raw, ["file"], "_rid", "_one", "line_no", width=_ID_BUCKET, major=["_blk"])
     return numbered.select("file", "line_no", "line")
