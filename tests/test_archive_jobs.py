@@ -159,3 +159,13 @@ def test_ledger_line_numbers_run_across_appends(spark, scratch):
     led = read_manifest(spark, path, "ticks")
     assert sorted(r.line_no for r in led.collect()) == [1, 2, 3]
     assert last_line_per_day(led).first().rows == "335"
+
+
+def test_parquet_zstd_archive_roundtrip(spark, scratch):
+    t = fx.ticks(spark, SF001)
+    arc.write_day_archive(t, f"{scratch}/pq", "bus_time", ["id"], n_parts=4, fmt="parquet")
+    assert glob.glob(f"{scratch}/pq/day=2024-01-03/*.zstd.parquet")
+    back = arc.read_archive(spark, f"{scratch}/pq", TICKS_ARCHIVE_SCHEMA, fmt="parquet").drop("day")
+    got = arc.day_content_digest(back, "bus_time", _ticks_parts(back))
+    want = arc.day_content_digest(t, "bus_time", _ticks_parts(t))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -23,7 +23,7 @@ def _csv_options(writer_or_reader):
 
 
 def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Sequence[str],
-                      n_parts: int | None = None, compression: str = "gzip") -> None:
+                      n_parts: int | None = None, compression: str = "gzip", fmt: str = "csv") -> None:
     """Sorted header CSV, one folder per UTC day (S3, O1, O2).
 
     Range partitioning on (day, order...) cuts even one huge day into many
@@ -33,15 +33,25 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
     with_day = df.withColumn("day", day_of(time_col))
     n = n_parts or with_day.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = with_day.repartitionByRange(int(n), "day", *order_cols).sortWithinPartitions("day", *order_cols)
-    _csv_options(ordered.write.mode("error").partitionBy("day").option("compression", compression)).csv(path)
+    writer = ordered.write.mode("error").partitionBy("day")
+    if fmt == "parquet":  # zstd is native for Parquet (Spark's CSV writer has no zstd codec)
+        writer.option("compression", "zstd").parquet(path)
+    else:
+        _csv_options(writer.option("compression", compression)).csv(path)
 
 
-def read_archive(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     """Strict re-read (S4): declared schema, header must equal it exactly, fail on any bad record.
 
     ``multiLine`` keeps quoted newlines inside one record, so the count is a
     CSV row count, not a line count.
     """
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
+        got = [(f.name, f.dataType) for f in df.schema.fields if f.name != "day"]
+        if got != [(f.name, f.dataType) for f in schema.fields]:
+            raise ValueError(f"archive schema {got} differs from the pinned one")
+        return df
     r = _csv_options(spark.read.schema(schema)).option("enforceSchema", False).option("mode", "FAILFAST") \
         .option("multiLine", True)
     return r.csv(path)
