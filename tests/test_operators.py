@@ -64,8 +64,8 @@ def test_prefix_scans_match_one_window(spark):
                      F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"),
                      F.sum(F.round("value").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     e2 = e.withColumn("v", F.round("value").cast("long"))
-    fast = prefix_sum(prefix_max_before(e2, ["k"], "event_id", "ts", "m", width=7), ["k"], "event_id", "v", "s",
-                      width=13).select("event_id", "m", "s")
+    fast = prefix_sum(prefix_max_before(e2, ["k"], "event_id", "ts", "m", width=7, fanout=5), ["k"], "event_id",
+                      "v", "s", width=13, fanout=3).select("event_id", "m", "s")
     assert brute.exceptAll(fast).count() == 0 and fast.exceptAll(brute).count() == 0
 
 
@@ -73,7 +73,8 @@ def test_top_n_two_stage(spark):
     e = spark.read.parquet(f"{SF01}/events.parquet").select("event_type", "event_id")
     w = Window.partitionBy("event_type").orderBy(F.col("event_id").desc())
     brute = e.withColumn("r", F.row_number().over(w)).where("r <= 5").select("event_type", "event_id", "r")
-    fast = top_n_per_group(e, ["event_type"], "event_id", 5, "r", width=11).select("event_type", "event_id", "r")
+    fast = top_n_per_group(e, ["event_type"], "event_id", 5, "r", width=11, fanout=4).select(
+        "event_type", "event_id", "r")
     assert sorted(brute.collect()) == sorted(fast.collect())
 
 

@@ -227,7 +227,7 @@ def q_sealed_day_late_rows(spark, sf):
 def q_monotonicity_violations(spark, sf):
     ensure_utc(spark)
     t = fx.trades(spark, sf).select("id", "executed_at")
-    return late.monotonicity_violations(t, "id", "executed_at", width=1024)
+    return late.monotonicity_violations(t, "id", "executed_at")
 
 
 # ---------------------------------------------------------------- step 4
@@ -326,7 +326,7 @@ def q_restore_days(spark, sf):
 
 # ---------------------------------------------------------------- step 6
 def _runs(spark, sf):
-    return runlog.segment_runs(fx.log_lines(spark, sf).drop("ts"), runlog.banner_pattern("job"), width=256)
+    return runlog.segment_runs(fx.log_lines(spark, sf).drop("ts"), runlog.banner_pattern("job"))
 
 
 def q_segment_runs(spark, sf):
@@ -341,7 +341,7 @@ def q_problem_count(spark, sf):
 
 def q_run_tail(spark, sf):
     ensure_utc(spark)
-    return runlog.run_tail(_runs(spark, sf), width=256).withColumn("from_end", F.col("from_end").cast("long"))
+    return runlog.run_tail(_runs(spark, sf)).withColumn("from_end", F.col("from_end").cast("long"))
 
 
 def q_failure_streaks(spark, sf):
