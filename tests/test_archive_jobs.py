@@ -169,3 +169,29 @@ def test_parquet_zstd_archive_roundtrip(spark, scratch):
     got = arc.day_content_digest(back, "bus_time", _ticks_parts(back))
     want = arc.day_content_digest(t, "bus_time", _ticks_parts(t))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_backfill_job(spark, scratch):
+    """Ledger days skip, days before the first leafless day export in one job, later days wait."""
+    t = fx.ticks(spark, SF001)
+    led = fx.ledger(spark, SF001)
+    outcomes, summary = jobs.backfill(spark, t, "ticks", "bus_time", ["id"], dt.date(2024, 1, 1),
+                                      dt.date(2024, 1, 30), fx.leaf(spark, SF001), led, scratch, TICKS_ARCHIVE_SCHEMA,
+                                      ledger_path=f"{scratch}/MANIFEST", exported_at="2024-02-01T00:00:00Z")
+    got = {r.day.day: r.outcome for r in outcomes.collect()}
+    assert got[5] == "ok" and got[21] == "ok" and got[22] == "fail" and got[23] == "not_attempted"
+    assert got[1] == "skip" and got[11] == "skip"
+    s = summary.first()
+    assert (s.ok, s.skip, s.fail, s.not_attempted) == (2, 19, 1, 8)
+    assert read_manifest(spark, f"{scratch}/MANIFEST", "ticks").count() == 2
+
+
+def test_candle_sweep_job(spark, scratch):
+    """Swept versions are archived, the rest stays; together they are the input."""
+    cv = fx.candle_versions(spark, SF001)
+    rest = jobs.candle_sweep_job(cv, "2024-01-05", "2024-01-20", f"{scratch}/sweep", ["instrument"])
+    back = spark.read.parquet(f"{scratch}/sweep").drop("day")
+    assert back.count() > 0
+    assert back.where(F.col("known_to") >= F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")).count() == 0
+    both = rest.unionByName(back.select(*rest.columns))
+    assert both.exceptAll(cv).count() == 0 and cv.exceptAll(both).count() == 0

@@ -92,7 +92,12 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col:
     Returns the dropped days.  Only metadata (the day list) reaches the driver.
     """
     purge = plan.where(F.col("decision") == "PURGE").select("day", "ledger_rows")
-    live = spark.read.parquet(table_path).groupBy("day").agg(F.count(F.lit(1)).alias("live_rows"))
+    days = [r["day"] for r in purge.select("day").distinct().collect()]  # calendar sized
+    if not days:
+        return []
+    # only the purge days' partitions are listed and counted (partition pruning)
+    live = (spark.read.parquet(table_path).where(F.col("day").isin(days))
+            .groupBy("day").agg(F.count(F.lit(1)).alias("live_rows")))
     ok = purge.join(live, "day", "inner").where(F.col("live_rows") == F.col("ledger_rows")).select("day")
     dropped = []
     for r in ok.orderBy("day").collect():  # one row per day: calendar sized
@@ -155,7 +160,8 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
                 raise RuntimeError(f"publish failed for {d}")
         else:
             fs.mkdirs(dst)  # an empty day with a leaf is archived as an empty folder
-    inv = arc.day_inventory(arc.archive_inventory(spark, f"{root}/{table}")).join(fresh_df, "day", "inner")
+    # hash only the folders just published, never the whole archive
+    inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", fresh)))
     stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     if id_col:
         b = slices.id_bounds(rows, fresh_df, time_col, id_col).select(
@@ -209,6 +215,33 @@ def backfill_outcomes(days: DataFrame, ledger: DataFrame, leaf: DataFrame, table
     return out
 
 
+def backfill(spark: SparkSession, df: DataFrame, table: str, time_col: str, order_cols: Sequence[str],
+             lo: dt.date, hi: dt.date, leaf: DataFrame, ledger: DataFrame, root: str, schema: T.StructType,
+             ledger_path: str | None = None, id_col: str | None = "id",
+             exported_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Export every day of [lo, hi] not yet in the ledger, in ONE export job.
+
+    Outcomes follow the day-by-day driver: ledger days are ``skip``, the
+    first day without a leaf ``fail``s and later days are
+    ``not_attempted``; the days before it are exported together.  A planned
+    day that the export refused (already published) also reports ``fail``.
+    Returns (outcomes with bytes, summary).
+    """
+    days = spark.range(1).select(cal.day_sequence(lo, hi).alias("day"))
+    planned = backfill_outcomes(days, ledger, leaf, table).drop("bytes")
+    todo = sorted(r["day"] for r in planned.where(F.col("outcome") == "ok").collect())  # calendar sized
+    lines = export_days(spark, df, table, time_col, order_cols, todo, leaf, ledger, root, schema,
+                        ledger_path=ledger_path, exported_at=exported_at, id_col=id_col)
+    written = lines.select(F.to_date("day").alias("day"), F.col("bytes").cast("long").alias("bytes"),
+                           F.lit(True).alias("_written"))
+    outcomes = planned.join(written, "day", "left").select(
+        "table_name", "day",
+        F.when((F.col("outcome") == "ok") & F.col("_written").isNull(), F.lit("fail"))
+        .otherwise(F.col("outcome")).alias("outcome"),
+        "bytes")
+    return outcomes, runlog.backfill_summary(outcomes)
+
+
 # ---------------------------------------------------------------- P4 retention
 def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame, table: str, today,
                    horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN) -> DataFrame:
@@ -278,6 +311,20 @@ def apply_candle_sweep(candles: DataFrame, swept: DataFrame, keys: Sequence[str]
                         [*keys, "timeframe", "open_at", "known_from"], "left_anti")
 
 
+def candle_sweep_job(candles: DataFrame, lo_day, hi_day, archive_path: str, keys: Sequence[str],
+                     timeframes: Sequence[str] = S.TIMEFRAMES) -> DataFrame:
+    """Sweep closed versions: archive them by their bar's day, then return the table without them.
+
+    The archive is written (zstd Parquet, sorted by key and version) before
+    the remaining table is returned, so a crash never loses a version; the
+    caller writes the returned frame as the new table snapshot.
+    """
+    swept = candle_sweep(candles, lo_day, hi_day, timeframes)
+    arc.write_day_archive(swept, archive_path, "open_at", [*keys, "timeframe", "open_at", "known_from"],
+                          fmt="parquet")
+    return apply_candle_sweep(candles, swept, keys)
+
+
 # ---------------------------------------------------------------- P7 ingest
 def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now, keys: Sequence[str],
                   timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES, floor: int = S.MIN_LOOKBACK_DAYS) -> DataFrame:

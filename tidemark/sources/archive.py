@@ -77,16 +77,24 @@ def _hash_paths(batches):
                                          names=["path", "length", "sha256"])
 
 
-def archive_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def day_folders(root: str, days) -> list[str]:
+    """The ``day=`` folders of the given days under an archive root."""
+    return [f"{root.rstrip('/')}/day={d.isoformat() if hasattr(d, 'isoformat') else d}" for d in days]
+
+
+def archive_inventory(spark: SparkSession, path, glob: str = "*") -> DataFrame:
     """Per archive file: path, byte size and sha256.
 
-    The listing selects only (path, length), so no file content enters a row;
-    hashing streams each file in chunks inside ``mapInArrow`` tasks, spread
-    over the cluster by repartitioning the path list.
+    ``path`` is an archive root or a list of folders (e.g. ``day_folders``),
+    so a job hashes only the days it needs.  The listing selects only (path,
+    length), so no file content enters a row; hashing streams each file in
+    chunks inside ``mapInArrow`` tasks, spread over the cluster by
+    repartitioning the path list.
     """
+    paths = [path] if isinstance(path, str) else list(path)
     listing = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-        .load(path).select("path", "length")
+        .load(paths).select("path", "length")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashed = listing.repartition(n, "path").mapInArrow(_hash_paths, "path string, length long, sha256 string")
