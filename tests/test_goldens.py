@@ -105,3 +105,17 @@ def test_roundtrips_keep_content(spark, name):
         got = q(spark, name)
     want = q(spark, "day_content_digest")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_trades_purge_plan_and_arming(spark):
+    from tidemark.plans.catalog import q_purge_plan_trades
+
+    armed = {r["day"]: r["reason"] for r in q_purge_plan_trades(spark, SF01).collect()}
+    reasons = set(armed.values())
+    assert reasons <= {"verified", "no exact partition", "no manifest line"}
+    assert all(v == "verified" for d, v in armed.items() if d.year == 2024 and d.day <= 9)
+    assert all(v == "no manifest line" for d, v in armed.items() if d.year == 2024 and d.day >= 10)
+    assert armed[min(armed)] == "no exact partition"  # an old execution day: its rows sit in DEFAULT
+    unarmed = {r["day"]: r["reason"] for r in q_purge_plan_trades(spark, SF01, armed=False).collect()}
+    # arming is checked after the archive and before the partition decision
+    assert all(unarmed[d] == "purge not armed" for d, v in armed.items() if v in ("verified", "no exact partition"))

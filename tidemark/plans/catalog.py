@@ -184,6 +184,18 @@ def q_purge_plan(spark, sf):
     return jobs.purge_plan(days, fx.ledger(spark, sf), fx.inventory(spark, sf), fx.children(spark, sf), counts)
 
 
+def q_purge_plan_trades(spark, sf, armed: bool = True):
+    """Trades purge plan: event-time days, timestamp bounds in the ledger, the arming rule."""
+    ensure_utc(spark)
+    days = _days(spark, P.TRADES_PURGE_FROM, P.TRADES_PURGE_TO, "trades")
+    t = fx.trades(spark, sf)
+    hi = (dt.date.fromisoformat(P.TRADES_PURGE_TO) + dt.timedelta(days=1)).isoformat()
+    counts = slices.day_counts(slices.day_slice(t, "executed_at", P.TRADES_PURGE_FROM, hi), "executed_at") \
+        .withColumn("table_name", F.lit("trades"))
+    return jobs.purge_plan(days, fx.trades_ledger(spark, sf), fx.trades_inventory(spark, sf),
+                           fx.children(spark, sf), counts, armed=armed)
+
+
 def q_staleness(spark, sf):
     ensure_utc(spark)
     led = _ledgers(spark, sf)
@@ -411,6 +423,7 @@ QUERIES = {
     "resolve_purge_target": q_resolve_purge_target,
     "verify_archive": q_verify_archive,
     "purge_plan": q_purge_plan,
+    "purge_plan_trades": q_purge_plan_trades,
     "staleness": q_staleness,
     "ledger_totals": q_ledger_totals,
     "route_rows": q_route_rows,

@@ -64,6 +64,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
             cast(CASE WHEN extract(day FROM day) = 12 THEN n * 20 - 1 ELSE n * 20 END AS BIGINT) AS bytes,
             CASE WHEN extract(day FROM day) = 16 THEN repeat('b', 64) ELSE repeat('a', 64) END AS sha256
         FROM counts WHERE extract(day FROM day) <> 15""", ("counts",)),
+    "trades_inventory": ("SELECT file, cast(bytes AS BIGINT) AS bytes, sha256 FROM trades_ledger", ("trades_ledger",)),
     "cfg": ("""SELECT * FROM (VALUES ('ticks', 6, true), ('trades', 30, false)) v(table_name, back_days, purged)""",
             ()),
     "scope": (f"""SELECT table_name, DATE '{P.TODAY}' - back AS lo, DATE '{P.TODAY}' + {P.FORWARD} AS hi
@@ -187,6 +188,52 @@ def _hi(day: str) -> str:
     return (dt.date.fromisoformat(day) + dt.timedelta(days=1)).isoformat()
 
 
+def _purge_sql(table: str, ledger: str, inventory: str, time_col: str, fact: str, lo: str, hi: str,
+               armed: bool = True) -> str:
+    """Purge plan rule in SQL: first failing check wins, per requested day of one table."""
+    not_armed = "true" if (table == "trades" and not armed) else "false"
+    return sql(f"""SELECT table_name, day, CASE WHEN reason = 'verified' THEN 'PURGE' ELSE 'REFUSE' END AS decision,
+            reason, target, leaf_name, ledger_rows, table_rows FROM (
+        SELECT r.table_name, r.day, t.target, t.leaf_name, TRY_CAST(p.rows AS BIGINT) AS ledger_rows,
+            coalesce(c.table_rows, 0) AS table_rows,
+            CASE WHEN coalesce(p.n_lines, 0) = 0 THEN 'no manifest line'
+                 WHEN p.n_malformed > 0 THEN 'malformed manifest line'
+                 WHEN p.n_lines > 1 THEN 'duplicate manifest lines'
+                 WHEN NOT p.fields_ok THEN 'invalid manifest line'
+                 WHEN i.file IS NULL THEN 'archive file missing'
+                 WHEN i.sha256 <> p.sha256 THEN 'sha mismatch'
+                 WHEN cast(i.bytes AS VARCHAR) <> p.bytes THEN 'size mismatch'
+                 WHEN {not_armed} THEN 'purge not armed'
+                 WHEN t.target = 'REFUSE' THEN 'no safe purge mapping'
+                 WHEN t.target <> 'PARTITION' THEN 'no exact partition'
+                 WHEN TRY_CAST(p.rows AS BIGINT) IS DISTINCT FROM coalesce(c.table_rows, 0) THEN 'row mismatch'
+                 ELSE 'verified' END AS reason
+        FROM (SELECT '{table}' AS table_name, day, strftime(day, '%Y-%m-%d') AS day_text
+              FROM {_series(lo, hi)} g) r
+        LEFT JOIN (SELECT table_name, day AS day_text, count(*) AS n_lines, count_if(nf <> 8) AS n_malformed,
+                          arg_max(file, line_no) AS file, arg_max(rows, line_no) AS rows,
+                          arg_max(bytes, line_no) AS bytes, arg_max(sha256, line_no) AS sha256,
+                          arg_max(fields_ok, line_no) AS fields_ok
+                   FROM (SELECT *, {_line_ok()} AS fields_ok FROM {ledger}) x GROUP BY 1, 2) p
+          ON p.table_name = r.table_name AND p.day_text = r.day_text
+        LEFT JOIN {inventory} i ON i.file = p.file
+        LEFT JOIN tgt t ON t.table_name = r.table_name AND t.day = r.day
+        LEFT JOIN (SELECT cast({time_col} AS DATE) AS day, count(*) AS table_rows FROM {fact}
+                   WHERE {time_col} >= TIMESTAMP '{lo}' AND {time_col} < TIMESTAMP '{_hi(hi)}'
+                   GROUP BY 1) c ON c.day = r.day) z""", ledger, inventory, "children", fact, extra={
+        "tgt": f"""SELECT l.table_name, cast(l.bound_lower AS DATE) AS day, 'PARTITION' AS target, l.leaf_name
+            FROM children l
+            WHERE NOT l.is_default AND l.table_name = '{table}' AND (SELECT count(*) FROM children m
+              WHERE NOT m.is_default AND m.table_name = l.table_name AND m.bound_lower = l.bound_lower) = 1
+              AND l.bound_upper = l.bound_lower + INTERVAL 1 DAY
+              AND l.bound_lower = cast(cast(l.bound_lower AS DATE) AS TIMESTAMP)
+            UNION ALL
+            SELECT '{table}', g.day, 'DEFAULT', '{table}_default' FROM {_series(lo, hi)} g
+            WHERE NOT EXISTS (SELECT 1 FROM children c WHERE NOT c.is_default AND c.table_name = '{table}'
+                              AND cast(c.bound_lower AS DATE) = g.day)
+              AND EXISTS (SELECT 1 FROM children c WHERE c.is_default AND c.table_name = '{table}')"""})
+
+
 ORACLE: dict[str, str] = {
     "day_counts": sql("SELECT cast(bus_time AS DATE) AS day, count(*) AS n_rows FROM ticks GROUP BY 1", "ticks"),
     "day_slice": sql(f"SELECT * FROM ticks WHERE bus_time >= TIMESTAMP '{P.SLICE_FROM}' "
@@ -262,44 +309,9 @@ ORACLE: dict[str, str] = {
             CASE WHEN i.file IS NULL THEN 'archive file missing' WHEN i.sha256 <> l.sha256 THEN 'sha mismatch'
                  WHEN cast(i.bytes AS VARCHAR) <> l.bytes THEN 'size mismatch' ELSE 'ok' END AS archive_verdict
         FROM ledger l LEFT JOIN inventory i ON i.file = l.file""", "ledger", "inventory"),
-    "purge_plan": sql(f"""SELECT table_name, day, CASE WHEN reason = 'verified' THEN 'PURGE' ELSE 'REFUSE' END AS decision,
-            reason, target, leaf_name, ledger_rows, table_rows FROM (
-        SELECT r.table_name, r.day, t.target, t.leaf_name, TRY_CAST(p.rows AS BIGINT) AS ledger_rows,
-            coalesce(c.table_rows, 0) AS table_rows,
-            CASE WHEN coalesce(p.n_lines, 0) = 0 THEN 'no manifest line'
-                 WHEN p.n_malformed > 0 THEN 'malformed manifest line'
-                 WHEN p.n_lines > 1 THEN 'duplicate manifest lines'
-                 WHEN NOT p.fields_ok THEN 'invalid manifest line'
-                 WHEN i.file IS NULL THEN 'archive file missing'
-                 WHEN i.sha256 <> p.sha256 THEN 'sha mismatch'
-                 WHEN cast(i.bytes AS VARCHAR) <> p.bytes THEN 'size mismatch'
-                 WHEN t.target = 'REFUSE' THEN 'no safe purge mapping'
-                 WHEN t.target <> 'PARTITION' THEN 'no exact partition'
-                 WHEN TRY_CAST(p.rows AS BIGINT) IS DISTINCT FROM coalesce(c.table_rows, 0) THEN 'row mismatch'
-                 ELSE 'verified' END AS reason
-        FROM (SELECT 'ticks' AS table_name, day, strftime(day, '%Y-%m-%d') AS day_text
-              FROM {_series(P.PURGE_FROM, P.PURGE_TO)} g) r
-        LEFT JOIN (SELECT table_name, day AS day_text, count(*) AS n_lines, count_if(nf <> 8) AS n_malformed,
-                          arg_max(file, line_no) AS file, arg_max(rows, line_no) AS rows,
-                          arg_max(bytes, line_no) AS bytes, arg_max(sha256, line_no) AS sha256,
-                          arg_max(fields_ok, line_no) AS fields_ok
-                   FROM (SELECT *, {_line_ok()} AS fields_ok FROM ledger) x GROUP BY 1, 2) p
-          ON p.table_name = r.table_name AND p.day_text = r.day_text
-        LEFT JOIN inventory i ON i.file = p.file
-        LEFT JOIN tgt t ON t.table_name = r.table_name AND t.day = r.day
-        LEFT JOIN (SELECT cast(bus_time AS DATE) AS day, count(*) AS table_rows FROM ticks
-                   WHERE bus_time >= TIMESTAMP '{P.PURGE_FROM}' AND bus_time < TIMESTAMP '{_hi(P.PURGE_TO)}'
-                   GROUP BY 1) c ON c.day = r.day) z""", "ledger", "inventory", "children", "ticks", extra={
-        "tgt": """SELECT l.table_name, cast(l.bound_lower AS DATE) AS day, 'PARTITION' AS target, l.leaf_name
-            FROM children l
-            WHERE NOT l.is_default AND l.table_name = 'ticks' AND (SELECT count(*) FROM children m
-              WHERE NOT m.is_default AND m.table_name = l.table_name AND m.bound_lower = l.bound_lower) = 1
-              AND l.bound_upper = l.bound_lower + INTERVAL 1 DAY AND l.bound_lower = cast(cast(l.bound_lower AS DATE) AS TIMESTAMP)
-            UNION ALL
-            SELECT 'ticks', g.day, 'DEFAULT', 'ticks_default' FROM """ + _series(P.PURGE_FROM, P.PURGE_TO) + """ g
-            WHERE NOT EXISTS (SELECT 1 FROM children c WHERE NOT c.is_default AND c.table_name = 'ticks'
-                              AND cast(c.bound_lower AS DATE) = g.day)
-              AND EXISTS (SELECT 1 FROM children c WHERE c.is_default AND c.table_name = 'ticks')"""}),
+    "purge_plan": _purge_sql("ticks", "ledger", "inventory", "bus_time", "ticks", P.PURGE_FROM, P.PURGE_TO),
+    "purge_plan_trades": _purge_sql("trades", "trades_ledger", "trades_inventory", "executed_at", "trades",
+                                    P.TRADES_PURGE_FROM, P.TRADES_PURGE_TO),
     "staleness": sql(f"""SELECT j.job, max(s.success_at) AS last_success,
             coalesce(cast(floor((epoch(TIMESTAMP '{P.STALE_NOW}') - epoch(max(s.success_at))) / 86400) AS BIGINT), 9999)
               AS days_since,

@@ -5,6 +5,7 @@ TODAY = "2024-01-15"
 FORWARD = 30
 CONFIG = [("ticks", 6, True), ("trades", 30, False)]  # table, backward days, purged by retention
 PURGE_FROM, PURGE_TO = "2024-01-01", "2024-01-21"
+TRADES_PURGE_FROM, TRADES_PURGE_TO = "2023-12-10", "2024-01-12"
 BOUNDS_FROM, BOUNDS_TO = "2023-12-30", "2024-02-02"
 SLICE_FROM, SLICE_TO = "2024-01-03", "2024-01-06"     # half open
 TARGET_FROM, TARGET_TO = "2023-12-30", "2024-02-02"

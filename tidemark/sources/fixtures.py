@@ -164,6 +164,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trades_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades archive files exactly as their ledger lines describe them."""
+    return trades_ledger(spark, sf_dir).select("file", F.col("bytes").cast("long").alias("bytes"), "sha256")
+
+
 def supplement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows recovered after the fact: absent from the daily archive, kept in supplement files."""
     t = ticks(spark, sf_dir)
