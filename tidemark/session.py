@@ -50,3 +50,34 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+TARGET_PART_BYTES = 256 << 20
+
+
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of a DataFrame's plan (file sizes scaled by projection): metadata only."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimates are advisory
+        return 0
+
+
+def partitions_for(df, target_bytes: int = TARGET_PART_BYTES, cap: int = 200_000) -> int:
+    """Enough partitions for ``target_bytes`` each, and at least one per core."""
+    spark = df.sparkSession
+    est = estimated_bytes(df)
+    n = -(-est // target_bytes) if est > 0 else 0
+    return int(min(cap, max(n, spark.sparkContext.defaultParallelism, 1)))
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20) -> int:
+    """Set ``spark.sql.shuffle.partitions`` for an input of ``input_bytes`` (AQE coalesces small ones).
+
+    Starting high and letting AQE coalesce keeps every reducer partition
+    inside executor memory without spilling on the large stages.
+    """
+    n = int(min(200_000, max(spark.sparkContext.defaultParallelism, -(-input_bytes // target_bytes))))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import content_digest_agg, day_of, row_digest_value
+from tidemark.session import partitions_for
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 CHUNK = 8 << 20
@@ -31,7 +32,7 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
     so a day's parts concatenated in name order are globally sorted.
     """
     with_day = df.withColumn("day", day_of(time_col))
-    n = n_parts or with_day.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    n = n_parts or partitions_for(with_day)  # ~256 MB parts, sized from the plan's own estimate
     ordered = with_day.repartitionByRange(int(n), "day", *order_cols).sortWithinPartitions("day", *order_cols)
     writer = ordered.write.mode("error").partitionBy("day")
     if fmt == "parquet":  # zstd is native for Parquet (Spark's CSV writer has no zstd codec)
