@@ -195,3 +195,23 @@ def test_candle_sweep_job(spark, scratch):
     assert back.where(F.col("known_to") >= F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")).count() == 0
     both = rest.unionByName(back.select(*rest.columns))
     assert both.exceptAll(cv).count() == 0 and cv.exceptAll(both).count() == 0
+
+
+def test_run_retention_end_to_end(spark, scratch):
+    """Oldest leaves first, export, verify, drop; the next run continues where this one stopped."""
+    t = fx.ticks(spark, SF001)
+    table = f"{scratch}/ticks_table"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    kw = dict(table_path=table, table="ticks", time_col="bus_time", order_cols=["id"], schema=TICKS_ARCHIVE_SCHEMA,
+              archive_root=f"{scratch}/archive", ledger_path=f"{scratch}/MANIFEST", today="2024-01-15",
+              exported_at="2024-02-01T00:00:00Z")
+    first = jobs.run_retention(spark, **kw).orderBy("day").collect()
+    assert [(r.day.day, r.decision, r.dropped) for r in first] == [(1, "PURGE", True), (2, "PURGE", True),
+                                                                      (3, "PURGE", True)]
+    second = jobs.run_retention(spark, **kw).orderBy("day").collect()
+    assert [r.day.day for r in second] == [4, 5, 6] and all(r.dropped for r in second)
+    left = spark.read.parquet(table)
+    assert left.agg(F.min("day")).first()[0] == dt.date(2024, 1, 7)
+    archived = arc.read_archive(spark, f"{scratch}/archive/ticks", TICKS_ARCHIVE_SCHEMA).drop("day")
+    assert archived.count() + left.count() == t.count()
+    assert read_manifest(spark, f"{scratch}/MANIFEST", "ticks").count() == 6

@@ -244,14 +244,16 @@ def backfill(spark: SparkSession, df: DataFrame, table: str, time_col: str, orde
 
 # ---------------------------------------------------------------- P4 retention
 def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame, table: str, today,
-                   horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN) -> DataFrame:
+                   horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN,
+                   oldest: DataFrame | None = None) -> DataFrame:
     """Days to process this run, oldest first, with their action.
 
     From the day of the lowest-id row up to ``today - horizon`` (inclusive),
     at most ``max_days`` days; a day already in the ledger is purge-only,
     any other day is exported first.  Purge-only days count toward the cap.
     """
-    oldest = slices.oldest_day(df, time_col, id_col).select(F.lit(table).alias("table_name"), "oldest_day")
+    if oldest is None:
+        oldest = slices.oldest_day(df, time_col, id_col).select(F.lit(table).alias("table_name"), "oldest_day")
     cutoff = F.date_sub(cal._date(today), horizon)
     days = oldest.select("table_name", F.explode(F.sequence("oldest_day", F.greatest("oldest_day", cutoff),
                                                             F.expr("interval 1 day"))).alias("day"))
@@ -263,6 +265,52 @@ def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame,
         F.when(F.col("_done"), F.lit("purge")).otherwise(F.lit("export+purge")).alias("action"))
 
 
+def run_retention(spark: SparkSession, table_path: str, table: str, time_col: str, order_cols: Sequence[str],
+                  schema: T.StructType, archive_root: str, ledger_path: str, today,
+                  horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN,
+                  id_col: str | None = "id", exported_at: str | None = None) -> DataFrame:
+    """One retention run over a ``day=``-partitioned Parquet table (P4 end to end).
+
+    Oldest leaf first, up to ``today - horizon`` and ``max_days`` days: days
+    not in the ledger are exported in one job, then every planned day gets a
+    purge plan against the ledger, the archive and the table's own leaves,
+    and only verified days are dropped.  Returns the purge plan rows
+    (calendar sized) with a ``dropped`` flag.
+    """
+    from tidemark.sources.ledger import read_manifest
+    from tidemark.sources.tables import children_of, table_leaves
+
+    root = archive_root.rstrip("/")
+    leaves = table_leaves(spark, table_path, table)
+    data = spark.read.parquet(table_path)
+    ledger = read_manifest(spark, ledger_path, table)
+    oldest = leaves.groupBy("table_name").agg(F.min("day").alias("oldest_day"))
+    plan = retention_plan(data, time_col, id_col or time_col, ledger, table, today, horizon, max_days, oldest)
+    planned = plan.collect()  # at most max_days rows
+    if not planned:
+        return spark.createDataFrame([], "table_name string, day date, decision string, reason string, "
+                                         "dropped boolean")
+    days = [r["day"] for r in planned]
+    to_export = [r["day"] for r in planned if r["action"] == "export+purge"]
+    if to_export:
+        export_days(spark, data.drop("day"), table, time_col, order_cols, to_export, leaves, ledger, root,
+                    schema, ledger_path=ledger_path, exported_at=exported_at, id_col=id_col)
+    ledger = read_manifest(spark, ledger_path, table)
+    inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", days))).select(
+        F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"), "bytes", "sha256")
+    days_df = spark.createDataFrame([(table, d) for d in days], "table_name string, day date")
+    counts = data.where(F.col("day").isin(days)).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
+        .withColumn("table_name", F.lit(table))
+    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix=".csv.gz").cache()
+    try:
+        dropped = set(apply_purge(spark, pp, table_path, time_col))
+        rows = [(r["table_name"], r["day"], r["decision"], r["reason"], r["day"].isoformat() in dropped)
+                for r in pp.collect()]
+    finally:
+        pp.unpersist()
+    return spark.createDataFrame(rows, "table_name string, day date, decision string, reason string, dropped boolean")
+
+
 # ---------------------------------------------------------------- P5 / A15
 def partition_coverage(leaf: DataFrame, config: DataFrame, today, archived: DataFrame,
                        default_rows: DataFrame, fwd: int = S.FORWARD_DAYS,

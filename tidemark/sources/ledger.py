@@ -21,8 +21,14 @@ def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, table: str, kind: str | None = None) -> DataFrame:
-    """Parsed ledger with the real field count ``nf`` per line."""
-    return parse_ledger_lines(read_ledger_lines(spark, path, table)).withColumn("kind", F.lit(kind or table))
+    """Parsed ledger with the real field count ``nf`` per line (S5); a ledger not written yet is empty."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        lines = spark.createDataFrame([], "table_name string, line_no long, line string")
+    else:
+        lines = read_ledger_lines(spark, path, table)
+    return parse_ledger_lines(lines).withColumn("kind", F.lit(kind or table))
 
 
 def ledger_text(lines: DataFrame) -> DataFrame:
