@@ -160,3 +160,17 @@ def test_close_versions_hot_keys_match_plain_window(spark):
     assert v.where("k = 0").count() > 100
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
     del fx2
+
+
+def test_scd2_upsert_invariants(spark):
+    from tidemark.plans import catalog
+
+    merged = catalog.q_candle_upsert(spark, SF01)
+    keys = ["instrument", "timeframe", "open_at"]
+    sentinel = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+    active = merged.where(F.col("known_to") == sentinel)
+    assert active.groupBy(*keys).count().where("count <> 1").count() == 0      # one active version per bar
+    assert active.count() == merged.select(*keys).distinct().count()
+    again = cdl.ticks_to_candles(fx.ticks(spark, SF01), "1h", ["instrument"], "bus_time", "price", "id")
+    twice = cdl.scd2_upsert(merged, again, keys, cdl.CANDLE_VALUE_COLUMNS, "2024-02-03 00:00:00")
+    assert twice.exceptAll(merged).count() == 0 and merged.exceptAll(twice).count() == 0  # idempotent

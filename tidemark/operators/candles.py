@@ -156,6 +156,43 @@ def close_versions(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     return cold.unionByName(hot_out.select(*cold.columns))
 
 
+def scd2_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], value_cols: Sequence[str], at,
+                from_col: str = "known_from", to_col: str = "known_to") -> DataFrame:
+    """Merge a batch of current values into an SCD2 table (the upsert that closes versions).
+
+    For each key of ``incoming``: no active version -> insert it from ``at``;
+    an active version with different values (null-safe) -> close it at
+    ``at`` and insert the new one; same values -> keep the active version.
+    Closed versions and keys absent from ``incoming`` are kept as they are
+    (a batch is partial; it never deletes).  One full outer join of the
+    active rows with the batch on the keys; callers that write day
+    partitions restrict ``current`` to the batch's days first, so untouched
+    days are neither read nor rewritten.
+    """
+    sentinel = sentinel_for(current, to_col)
+    at_c = (F.lit(at) if isinstance(at, str) else at).cast(current.schema[from_col].dataType)
+    active = current.where(F.col(to_col) == sentinel)
+    closed = current.where(F.col(to_col) != sentinel)
+    a = active.select(*keys, *[F.col(c).alias("_a_" + c) for c in value_cols], F.col(from_col).alias("_a_from"),
+                      F.lit(True).alias("_a"))
+    n = incoming.select(*keys, *[F.col(c).alias("_n_" + c) for c in value_cols], F.lit(True).alias("_n"))
+    j = a.join(n, list(keys), "full_outer")
+    same = F.lit(True)
+    for c in value_cols:
+        same = same & F.col("_a_" + c).eqNullSafe(F.col("_n_" + c))
+    has_a, has_n = F.col("_a").isNotNull(), F.col("_n").isNotNull()
+    keep = j.where(has_a & (~has_n | same)).select(
+        *keys, *[F.col("_a_" + c).alias(c) for c in value_cols], F.col("_a_from").alias(from_col),
+        sentinel.alias(to_col))
+    close = j.where(has_a & has_n & ~same).select(
+        *keys, *[F.col("_a_" + c).alias(c) for c in value_cols], F.col("_a_from").alias(from_col),
+        at_c.alias(to_col))
+    insert = j.where(has_n & (~has_a | ~same)).select(
+        *keys, *[F.col("_n_" + c).alias(c) for c in value_cols], at_c.alias(from_col), sentinel.alias(to_col))
+    cols = [*keys, *value_cols, from_col, to_col]
+    return closed.select(*cols).unionByName(keep).unionByName(close).unionByName(insert)
+
+
 def closed_versions(df: DataFrame, time_col: str, lo_day, hi_day, timeframe: str | None = None,
                     to_col: str = "known_to") -> DataFrame:
     """Versions already moved off the sentinel, ranged on the bar's own time.

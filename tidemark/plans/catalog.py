@@ -270,6 +270,18 @@ def q_closed_versions(spark, sf):
     return cdl.closed_versions(v, "known_from", P.VERSIONS_FROM, P.VERSIONS_TO)
 
 
+def q_candle_upsert(spark, sf):
+    """A first publish of the 1h bars missed every 7th tick; the full republish closes the bars that changed."""
+    ensure_utc(spark)
+    t = fx.ticks(spark, sf)
+    keys = ["instrument", "timeframe", "open_at"]
+    first = cdl.ticks_to_candles(t.where(F.col("id") % 7 != 0), "1h", ["instrument"], "bus_time", "price", "id") \
+        .withColumn("known_from", F.lit(P.UPSERT_FIRST).cast("timestamp_ntz")) \
+        .withColumn("known_to", F.lit(S.SENTINEL).cast("timestamp_ntz"))
+    again = cdl.ticks_to_candles(t, "1h", ["instrument"], "bus_time", "price", "id")
+    return cdl.scd2_upsert(first, again, keys, cdl.CANDLE_VALUE_COLUMNS, P.UPSERT_AT)
+
+
 def q_lookback_since(spark, sf):
     ensure_utc(spark)
     src = fx.ticks(spark, sf).groupBy(F.col("instrument").alias("source")).agg(
@@ -435,6 +447,7 @@ QUERIES = {
     "synthesize_candles": q_synthesize_candles,
     "close_versions": q_close_versions,
     "closed_versions": q_closed_versions,
+    "candle_upsert": q_candle_upsert,
     "lookback_since": q_lookback_since,
     "day_content_digest": q_day_content_digest,
     "export_restore_roundtrip": q_export_restore_roundtrip,

@@ -356,6 +356,33 @@ ORACLE: dict[str, str] = {
                                             ORDER BY l_shipdate, l_partkey, l_suppkey), {SENT}) AS known_to
         FROM lineitem) v WHERE known_to < {SENT} AND known_from >= TIMESTAMP '{P.VERSIONS_FROM}'
           AND known_from < TIMESTAMP '{_hi(P.VERSIONS_TO)}'"""),
+    "candle_upsert": sql(f"""
+        SELECT instrument, timeframe, open_at, a_open AS open, a_high AS high, a_low AS low, a_close AS close,
+               a_volume AS volume, a_trades AS trades, TIMESTAMP '{P.UPSERT_FIRST}' AS known_from,
+               CASE WHEN n_open IS NOT NULL AND NOT same THEN TIMESTAMP '{P.UPSERT_AT}' ELSE {SENT} END AS known_to
+        FROM j WHERE a_open IS NOT NULL
+        UNION ALL
+        SELECT instrument, timeframe, open_at, n_open, n_high, n_low, n_close, n_volume, n_trades,
+               TIMESTAMP '{P.UPSERT_AT}', {SENT}
+        FROM j WHERE n_open IS NOT NULL AND (a_open IS NULL OR NOT same)""", "ticks", extra={
+        "bars1": """SELECT instrument, '1h' AS timeframe, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at,
+            arg_min(price, (bus_time, id)) AS open, max(price) AS high, min(price) AS low,
+            arg_max(price, (bus_time, id)) AS close, cast(count(*) AS DOUBLE) AS volume, count(*) AS trades
+            FROM ticks WHERE id % 7 <> 0 GROUP BY 1, 3""",
+        "bars2": """SELECT instrument, '1h' AS timeframe, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at,
+            arg_min(price, (bus_time, id)) AS open, max(price) AS high, min(price) AS low,
+            arg_max(price, (bus_time, id)) AS close, cast(count(*) AS DOUBLE) AS volume, count(*) AS trades
+            FROM ticks GROUP BY 1, 3""",
+        "j": """SELECT coalesce(a.instrument, n.instrument) AS instrument, coalesce(a.timeframe, n.timeframe) AS timeframe,
+            coalesce(a.open_at, n.open_at) AS open_at,
+            a.open AS a_open, a.high AS a_high, a.low AS a_low, a.close AS a_close, a.volume AS a_volume,
+            a.trades AS a_trades, n.open AS n_open, n.high AS n_high, n.low AS n_low, n.close AS n_close,
+            n.volume AS n_volume, n.trades AS n_trades,
+            (a.open IS NOT DISTINCT FROM n.open AND a.high IS NOT DISTINCT FROM n.high
+             AND a.low IS NOT DISTINCT FROM n.low AND a.close IS NOT DISTINCT FROM n.close
+             AND a.volume IS NOT DISTINCT FROM n.volume AND a.trades IS NOT DISTINCT FROM n.trades) AS same
+            FROM bars1 a FULL OUTER JOIN bars2 n
+              ON a.instrument = n.instrument AND a.timeframe = n.timeframe AND a.open_at = n.open_at"""}),
     "lookback_since": sql(f"""SELECT source, last_epoch, gap_days, greatest(gap_days, 4) AS lookback_days,
             cast(TIMESTAMP '{P.LOOKBACK_NOW}' AS DATE) - cast(greatest(gap_days, 4) AS INTEGER) AS since
         FROM (SELECT source, last_epoch,

@@ -16,4 +16,5 @@ SYNTH_START, SYNTH_END, SYNTH_CUT = "2024-01-03", "2024-01-27", "2024-01-05"
 VERSIONS_FROM, VERSIONS_TO = "1996-01-01", "1996-12-31"
 SWEEP_FROM, SWEEP_TO = "2024-01-05", "2024-01-20"
 RETENTION_MAX_DAYS = 3
+UPSERT_FIRST, UPSERT_AT = "2024-02-01 00:00:00", "2024-02-02 00:00:00"
 # ---------------------------------------------------------------------------
