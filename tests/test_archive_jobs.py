@@ -215,3 +215,39 @@ def test_run_retention_end_to_end(spark, scratch):
     archived = arc.read_archive(spark, f"{scratch}/archive/ticks", TICKS_ARCHIVE_SCHEMA).drop("day")
     assert archived.count() + left.count() == t.count()
     assert read_manifest(spark, f"{scratch}/MANIFEST", "ticks").count() == 6
+
+
+def test_empty_day_with_leaf_exports_and_verifies(spark, scratch):
+    """An empty day that has its leaf exports (bounds 0, 1; zero rows) and its purge plan verifies."""
+    t = fx.ticks(spark, SF001)
+    empty = dt.date(2024, 1, 31)
+    leaf = spark.createDataFrame([("ticks", empty)], "table_name string, day date")
+    lines = jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [empty], leaf, None, scratch,
+                             TICKS_ARCHIVE_SCHEMA, ledger_path=f"{scratch}/MANIFEST",
+                             exported_at="2024-02-01T00:00:00Z").collect()
+    assert [(r.bound_lower, r.bound_upper, r.rows) for r in lines] == [("0", "1", "0")]
+    assert arc.read_archive(spark, f"{scratch}/ticks", TICKS_ARCHIVE_SCHEMA).count() == 0
+    led = read_manifest(spark, f"{scratch}/MANIFEST", "ticks")
+    inv = arc.day_inventory(arc.archive_inventory(spark, f"{scratch}/ticks")).select(
+        F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"), "bytes", "sha256")
+    from tidemark.sources.tables import children_of
+    days = spark.createDataFrame([("ticks", empty)], "table_name string, day date")
+    counts = spark.createDataFrame([], "table_name string, day date, n_rows long")
+    plan = jobs.purge_plan(days, led, inv, children_of(leaf.withColumn("leaf_name", F.lit("ticks_d20240131"))),
+                           counts, suffix=".csv.gz").first()
+    assert (plan.decision, plan.reason) == ("PURGE", "verified")
+
+
+def test_apply_purge_refuses_changed_listing(spark, scratch):
+    t = fx.ticks(spark, SF001)
+    table = f"{scratch}/table"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    d = dt.date(2024, 1, 2)
+    n = t.where(day_of("bus_time") == d).count()
+    listing = jobs.table_day_listing(spark, table, [d])
+    plan = spark.createDataFrame([(d, "PURGE", n)], "day date, decision string, ledger_rows long") \
+        .join(listing.select("day", "listing"), "day")
+    # a compaction rewrote the day's files (same rows, new files) after the plan was made
+    spark.read.parquet(f"{table}/day={d}").coalesce(1).write.mode("overwrite").parquet(f"{scratch}/tmp")
+    spark.read.parquet(f"{scratch}/tmp").write.mode("append").parquet(f"{table}/day={d}")
+    assert jobs.apply_purge(spark, plan, table, "bus_time") == []

@@ -29,14 +29,16 @@ from tidemark.sources.ledger import append_manifest
 # ---------------------------------------------------------------- P3 purge
 def purge_plan(days: DataFrame, ledger: DataFrame, inventory: DataFrame, children: DataFrame,
                table_counts: DataFrame, armed: bool = True, armed_required: Sequence[str] = ("trades",),
-               suffix: str = ".csv.zst") -> DataFrame:
+               suffix: str = ".csv.zst", listing: DataFrame | None = None) -> DataFrame:
     """One decision and reason per requested (table, day).
 
     Order of checks, first hit wins: no ledger line, malformed line (any
     line of the day with a field count other than eight), duplicate lines,
     invalid field, archive file missing, sha mismatch, size mismatch, purge
     not armed (tables in ``armed_required``), no single exact partition,
-    partition rows differ from the ledger.  Otherwise PURGE.
+    partition rows differ from the ledger.  Otherwise PURGE.  ``listing``
+    (day, listing) records the table files each day was verified against;
+    ``apply_purge`` drops a day only if that listing is unchanged.
     """
     req = days.select("table_name", "day", F.date_format("day", "yyyy-MM-dd").alias("day_text"))
     if suffix != ".csv.zst":  # archives written here are gzip folders; the name rule is the same
@@ -71,11 +73,39 @@ def purge_plan(days: DataFrame, ledger: DataFrame, inventory: DataFrame, childre
         .when(~ledger_rows.eqNullSafe(table_rows), F.lit(S.REASON_ROWS))
         .otherwise(F.lit(S.REASON_OK))
     )
-    return j.select(
+    out = j.select(
         "table_name", "day",
         F.when(reason == S.REASON_OK, F.lit("PURGE")).otherwise(F.lit("REFUSE")).alias("decision"),
         reason.alias("reason"), "target", "leaf_name", ledger_rows.alias("ledger_rows"),
         table_rows.alias("table_rows"))
+    if listing is not None:
+        out = out.join(listing.select("day", "listing"), "day", "left")
+    return out
+
+
+def _write_header_only(fs, folder, schema: T.StructType) -> None:
+    """A gzip CSV holding just the header: an empty day's archive (bounds (0, 1), zero rows)."""
+    import gzip
+
+    fs.mkdirs(folder)
+    data = gzip.compress((",".join(f.name for f in schema.fields) + "\n").encode(), mtime=0)
+    out = fs.create(folder.suffix("/part-00000-empty.csv.gz"), False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def table_day_listing(spark: SparkSession, table_path: str, days: Sequence) -> DataFrame:
+    """Per day folder of a table: file count and a digest of (name, size) of its files -- listing only."""
+    folders = arc.day_folders(table_path, days)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+             .select("path", "length"))
+    return files.select(
+        F.try_to_date(F.regexp_extract("path", r"day=([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd").alias("day"),
+        F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), F.col("length").cast("string")).alias("_e"),
+    ).groupBy("day").agg(F.count(F.lit(1)).alias("n_files"),
+                         F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("_e"))), 256).alias("listing"))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -92,6 +122,7 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col:
     Returns the dropped days.  Only metadata (the day list) reaches the driver.
     """
     purge = plan.where(F.col("decision") == "PURGE").select("day", "ledger_rows")
+    # Re-checked right before the drop: live row count (and, when the plan has it, the file listing).
     days = [r["day"] for r in purge.select("day").distinct().collect()]  # calendar sized
     if not days:
         return []
@@ -99,6 +130,10 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col:
     live = (spark.read.parquet(table_path).where(F.col("day").isin(days))
             .groupBy("day").agg(F.count(F.lit(1)).alias("live_rows")))
     ok = purge.join(live, "day", "inner").where(F.col("live_rows") == F.col("ledger_rows")).select("day")
+    if "listing" in plan.columns:  # the files verified at plan time must still be exactly the files there
+        now = table_day_listing(spark, table_path, days).select("day", F.col("listing").alias("_now"))
+        ok = ok.join(plan.select("day", "listing"), "day").join(now, "day", "left") \
+            .where(F.col("listing") == F.col("_now")).select("day")
     dropped = []
     for r in ok.orderBy("day").collect():  # one row per day: calendar sized
         d = r["day"].isoformat()
@@ -144,8 +179,11 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     rows = rows.select(*[f.name for f in schema.fields])
     staging = f"{root}/_staging/{uuid.uuid4().hex}/{table}"
     arc.write_day_archive(rows, staging, time_col, order_cols, n_parts)
-    reread = arc.read_archive(spark, staging, schema).withColumn("day", F.col("day"))
-    re_counts = reread.groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
+    fs_st, st_path = _fs(spark, staging)
+    if any(st.getPath().getName().startswith("day=") for st in fs_st.listStatus(st_path)):
+        re_counts = arc.read_archive(spark, staging, schema).groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
+    else:  # every requested day was empty: nothing was written
+        re_counts = spark.createDataFrame([], "day date, file_rows long")
     tab_counts = slices.day_counts(rows, time_col)
     bad = tab_counts.join(re_counts, "day", "full_outer").where(
         ~F.col("n_rows").eqNullSafe(F.col("file_rows"))).count()
@@ -159,7 +197,7 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
             if not fs.rename(src, dst):
                 raise RuntimeError(f"publish failed for {d}")
         else:
-            fs.mkdirs(dst)  # an empty day with a leaf is archived as an empty folder
+            _write_header_only(fs, dst, schema)  # an empty day with a leaf exports as a header-only file
     # hash only the folders just published, never the whole archive
     inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", fresh)))
     stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -301,7 +339,8 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     days_df = spark.createDataFrame([(table, d) for d in days], "table_name string, day date")
     counts = data.where(F.col("day").isin(days)).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumn("table_name", F.lit(table))
-    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix=".csv.gz").cache()
+    listing = table_day_listing(spark, table_path, days)
+    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix=".csv.gz", listing=listing).cache()
     try:
         dropped = set(apply_purge(spark, pp, table_path, time_col))
         rows = [(r["table_name"], r["day"], r["decision"], r["reason"], r["day"].isoformat() in dropped)
