@@ -28,9 +28,15 @@ from tidemark.sources.candle_csv import write_candle_csv
 
 
 def _days(spark: SparkSession, lo: str, hi: str, table: str | None = None) -> DataFrame:
-    """A calendar of days [lo, hi]: generated, calendar sized."""
-    d = spark.range(1).select(cal.day_sequence(lo, hi).alias("day"))
-    return d.select(F.lit(table).alias("table_name"), "day") if table else d
+    """A calendar of days [lo, hi]: generated, calendar sized.
+
+    The table name is carried as data, not as a literal, so joins on
+    ``table_name`` stay equi-joins instead of being folded into filters.
+    """
+    if not table:
+        return spark.range(1).select(cal.day_sequence(lo, hi).alias("day"))
+    return spark.createDataFrame([(table,)], "table_name string").select(
+        "table_name", cal.day_sequence(lo, hi).alias("day"))
 
 
 def _config(spark: SparkSession) -> DataFrame:
