@@ -251,3 +251,26 @@ def test_apply_purge_refuses_changed_listing(spark, scratch):
     spark.read.parquet(f"{table}/day={d}").coalesce(1).write.mode("overwrite").parquet(f"{scratch}/tmp")
     spark.read.parquet(f"{scratch}/tmp").write.mode("append").parquet(f"{table}/day={d}")
     assert jobs.apply_purge(spark, plan, table, "bus_time") == []
+
+
+def test_export_adopts_published_day_without_ledger_line(spark, scratch):
+    """A crash between publish and ledger append: the re-run refuses, or adopts after a strict re-read."""
+    t = fx.ticks(spark, SF001)
+    leaf = t.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct()
+    d = dt.date(2024, 1, 3)
+    jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [d], leaf, None, scratch, TICKS_ARCHIVE_SCHEMA)
+    # no ledger was written: the day is published but unrecorded
+    refused = jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [d], leaf, None, scratch, TICKS_ARCHIVE_SCHEMA)
+    assert refused.count() == 0
+    adopted = jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [d], leaf, None, scratch, TICKS_ARCHIVE_SCHEMA,
+                               ledger_path=f"{scratch}/MANIFEST", adopt=True).collect()
+    day_rows = t.where(day_of("bus_time") == d)
+    lo, hi, n = day_rows.agg(F.min("id"), F.max("id") + 1, F.count(F.lit(1))).first()
+    assert [(r.day, r.bound_lower, r.bound_upper, r.rows) for r in adopted] == [("2024-01-03", str(lo), str(hi), str(n))]
+    # a published day whose content no longer matches the table is not adopted
+    d2 = dt.date(2024, 1, 4)
+    jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [d2], leaf, None, scratch, TICKS_ARCHIVE_SCHEMA)
+    fewer = t.where(~((day_of("bus_time") == d2) & (F.col("id") % 2 == 0)))
+    again = jobs.export_days(spark, fewer, "ticks", "bus_time", ["id"], [d2], leaf, None, scratch,
+                             TICKS_ARCHIVE_SCHEMA, adopt=True)
+    assert again.count() == 0

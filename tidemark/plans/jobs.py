@@ -144,18 +144,32 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col:
 
 
 # ---------------------------------------------------------------- P1 export
+LEDGER_LINE_DDL = ("table_name string, file string, day string, bound_lower string, bound_upper string, rows string, "
+                   "bytes string, sha256 string, exported_at string, nf int, line_no long, kind string")
+
+
+def _rows_of_days(df: DataFrame, time_col: str, days: Sequence[dt.date]) -> DataFrame:
+    """Rows of exactly these UTC days: the covering range reaches the scan, the semi join trims it."""
+    spark = df.sparkSession
+    day_df = spark.createDataFrame([(d,) for d in days], "day date")
+    lo, hi = min(days), max(days) + dt.timedelta(days=1)
+    return slices.day_slice(df, time_col, lo, hi).join(day_df, day_of(time_col) == day_df["day"], "left_semi")
+
+
 def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, order_cols: Sequence[str],
                 days: Sequence[dt.date], leaf: DataFrame, ledger: DataFrame | None, root: str,
                 schema: T.StructType, ledger_path: str | None = None, n_parts: int | None = None,
-                exported_at: str | None = None, id_col: str | None = "id") -> DataFrame:
+                exported_at: str | None = None, id_col: str | None = "id", adopt: bool = False) -> DataFrame:
     """Export whole UTC days to sorted CSV folders and return their ledger lines.
 
-    Refuses days without a leaf, days already in the ledger and days already
-    published.  All accepted days are written by ONE range-partitioned job
-    into a staging folder, re-read strictly and counted, reconciled against
-    the table counts, then published by rename and appended to the ledger.
-    A crash before publish leaves only staging; a crash after publish but
-    before the ledger append is caught on re-run as "already published".
+    Refuses days without a leaf and days already in the ledger.  All other
+    days are written by ONE range-partitioned job into a staging folder,
+    re-read strictly and counted, reconciled against the table counts, then
+    published by rename and appended to the ledger.  A crash before publish
+    leaves only staging.  A crash after publish but before the ledger append
+    leaves a published day without a line: it is refused on re-run, or with
+    ``adopt=True`` re-read strictly and adopted (its line written) when its
+    row count equals the table's.
     """
     root = root.rstrip("/")
     req = spark.createDataFrame([(d,) for d in days], "day date")
@@ -164,18 +178,48 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     if ledger is not None:
         todo = todo.join(cal.ledger_days(ledger.where(F.col("table_name") == table)), "day", "left_anti")
     todo_days = sorted(r["day"] for r in todo.collect())  # calendar sized
-    fresh = []
+    fresh, published = [], []
     for d in todo_days:
         fs, p = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
-        if not fs.exists(p):
-            fresh.append(d)
-    if not fresh:
-        return spark.createDataFrame([], "table_name string, file string, day string, bound_lower string, "
-                                         "bound_upper string, rows string, bytes string, sha256 string, "
-                                         "exported_at string, nf int, line_no long, kind string")
-    lo, hi = fresh[0], fresh[-1] + dt.timedelta(days=1)
-    fresh_df = spark.createDataFrame([(d,) for d in fresh], "day date")
-    rows = slices.day_slice(df, time_col, lo, hi).join(fresh_df, day_of(time_col) == fresh_df["day"], "left_semi")
+        (published if fs.exists(p) else fresh).append(d)
+    adopted = _adoptable(spark, df, table, time_col, schema, root, published) if adopt and published else []
+    if not fresh and not adopted:
+        return spark.createDataFrame([], LEDGER_LINE_DDL)
+    if fresh:
+        _write_and_publish(spark, _rows_of_days(df, time_col, fresh), table, time_col, order_cols, fresh, root,
+                           schema, n_parts)
+    done = sorted(fresh + adopted)
+    done_df = spark.createDataFrame([(d,) for d in done], "day date")
+    rows = _rows_of_days(df, time_col, done)
+    # hash only the folders written (or adopted) now, never the whole archive
+    inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", done)))
+    stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    if id_col:
+        b = slices.id_bounds(rows, done_df, time_col, id_col).select(
+            "day", F.col("id_lower").cast("string").alias("bound_lower"),
+            F.col("id_upper").cast("string").alias("bound_upper"), F.col("n_rows"))
+    else:
+        b = done_df.join(slices.day_counts(rows, time_col), "day", "left").select(
+            "day", F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z")).alias("bound_lower"),
+            F.concat(F.date_add("day", 1).cast("string"), F.lit("T00:00:00Z")).alias("bound_upper"), "n_rows")
+    lines = (
+        done_df.join(b, "day", "left").join(inv, "day", "left")
+        .select(F.lit(table).alias("table_name"),
+                F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"),
+                F.col("day").cast("string").alias("day"), "bound_lower", "bound_upper",
+                F.coalesce(F.col("n_rows"), F.lit(0)).cast("string").alias("rows"),
+                F.coalesce(F.col("bytes"), F.lit(0)).cast("string").alias("bytes"),
+                F.coalesce(F.col("sha256"), F.sha2(F.lit(""), 256)).alias("sha256"),
+                F.lit(stamp).alias("exported_at"), F.lit(8).alias("nf"),
+                F.lit(None).cast("long").alias("line_no"), F.lit(table).alias("kind"))
+    )
+    if ledger_path:
+        append_manifest(lines, ledger_path)
+    return lines
+
+
+def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts) -> None:
+    """Write the days to a fresh staging folder, prove the counts, then publish each day by rename."""
     rows = rows.select(*[f.name for f in schema.fields])
     staging = f"{root}/_staging/{uuid.uuid4().hex}/{table}"
     arc.write_day_archive(rows, staging, time_col, order_cols, n_parts)
@@ -184,12 +228,11 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
         re_counts = arc.read_archive(spark, staging, schema).groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
     else:  # every requested day was empty: nothing was written
         re_counts = spark.createDataFrame([], "day date, file_rows long")
-    tab_counts = slices.day_counts(rows, time_col)
-    bad = tab_counts.join(re_counts, "day", "full_outer").where(
+    bad = slices.day_counts(rows, time_col).join(re_counts, "day", "full_outer").where(
         ~F.col("n_rows").eqNullSafe(F.col("file_rows"))).count()
     if bad:
         raise RuntimeError(f"FILE ROWCOUNT MISMATCH on {bad} day(s); nothing published")
-    for d in fresh:
+    for d in days:
         fs, src = _fs(spark, f"{staging}/day={d.isoformat()}")
         _, dst = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
         fs.mkdirs(dst.getParent())
@@ -198,31 +241,18 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
                 raise RuntimeError(f"publish failed for {d}")
         else:
             _write_header_only(fs, dst, schema)  # an empty day with a leaf exports as a header-only file
-    # hash only the folders just published, never the whole archive
-    inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", fresh)))
-    stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    if id_col:
-        b = slices.id_bounds(rows, fresh_df, time_col, id_col).select(
-            "day", F.col("id_lower").cast("string").alias("bound_lower"),
-            F.col("id_upper").cast("string").alias("bound_upper"), F.col("n_rows"))
-    else:
-        b = tab_counts.select("day", F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z")).alias("bound_lower"),
-                              F.concat(F.date_add("day", 1).cast("string"), F.lit("T00:00:00Z")).alias("bound_upper"),
-                              "n_rows")
-    lines = (
-        fresh_df.join(b, "day", "left").join(inv, "day", "left")
-        .select(F.lit(table).alias("table_name"),
-                F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"),
-                F.col("day").cast("string").alias("day"), "bound_lower", "bound_upper",
-                F.coalesce(F.col("n_rows"), F.lit(0)).cast("string").alias("rows"),
-                F.coalesce(F.col("bytes"), F.lit(0)).cast("string").alias("bytes"),
-                F.coalesce(F.col("sha256"), F.sha2(F.lit(""), 256)).alias("sha256"),
-                F.lit(stamp).alias("exported_at"), F.lit(8).alias("nf"),
-                F.lit(None).cast("long").alias("line_no"), F.lit(table).alias("kind"))
-    )
-    if ledger_path:
-        append_manifest(lines, ledger_path)
-    return lines
+
+
+def _adoptable(spark, df, table, time_col, schema, root, days) -> list[dt.date]:
+    """Published days without a ledger line whose strict re-read count equals the table's count."""
+    folders = arc.day_folders(f"{root}/{table}", days)
+    back = arc.read_archive(spark, folders, schema, base=f"{root}/{table}") \
+        .groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
+    want = spark.createDataFrame([(d,) for d in days], "day date") \
+        .join(slices.day_counts(_rows_of_days(df, time_col, days), time_col), "day", "left") \
+        .join(back, "day", "left")
+    ok = want.where(F.coalesce("n_rows", F.lit(0)) == F.coalesce("file_rows", F.lit(0)))
+    return sorted(r["day"] for r in ok.select("day").collect())
 
 
 # ---------------------------------------------------------------- P2 backfill

@@ -41,21 +41,26 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
         _csv_options(writer.option("compression", compression)).csv(path)
 
 
-def read_archive(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+def read_archive(spark: SparkSession, path, schema: T.StructType, fmt: str = "csv",
+                 base: str | None = None) -> DataFrame:
     """Strict re-read (S4): declared schema, header must equal it exactly, fail on any bad record.
 
+    ``path`` is an archive root or a list of ``day=`` folders (then pass the
+    root as ``base`` so the ``day`` column is still discovered).
     ``multiLine`` keeps quoted newlines inside one record, so the count is a
     CSV row count, not a line count.
     """
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.option("basePath", base) if base else spark.read
     if fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = reader.parquet(*paths)
         got = [(f.name, f.dataType) for f in df.schema.fields if f.name != "day"]
         if got != [(f.name, f.dataType) for f in schema.fields]:
             raise ValueError(f"archive schema {got} differs from the pinned one")
         return df
-    r = _csv_options(spark.read.schema(schema)).option("enforceSchema", False).option("mode", "FAILFAST") \
+    r = _csv_options(reader.schema(schema)).option("enforceSchema", False).option("mode", "FAILFAST") \
         .option("multiLine", True)
-    return r.csv(path)
+    return r.csv(paths)
 
 
 def _hash_paths(batches):
