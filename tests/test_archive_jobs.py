@@ -4,6 +4,8 @@ import datetime as dt
 import glob
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import day_of
@@ -197,14 +199,15 @@ def test_candle_sweep_job(spark, scratch):
     assert both.exceptAll(cv).count() == 0 and cv.exceptAll(both).count() == 0
 
 
-def test_run_retention_end_to_end(spark, scratch):
+@pytest.mark.parametrize("fmt", ["csv.gz", "csv.zst"])
+def test_run_retention_end_to_end(spark, scratch, fmt):
     """Oldest leaves first, export, verify, drop; the next run continues where this one stopped."""
     t = fx.ticks(spark, SF001)
     table = f"{scratch}/ticks_table"
     t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
     kw = dict(table_path=table, table="ticks", time_col="bus_time", order_cols=["id"], schema=TICKS_ARCHIVE_SCHEMA,
               archive_root=f"{scratch}/archive", ledger_path=f"{scratch}/MANIFEST", today="2024-01-15",
-              exported_at="2024-02-01T00:00:00Z")
+              exported_at="2024-02-01T00:00:00Z", fmt=fmt)
     first = jobs.run_retention(spark, **kw).orderBy("day").collect()
     assert [(r.day.day, r.decision, r.dropped) for r in first] == [(1, "PURGE", True), (2, "PURGE", True),
                                                                       (3, "PURGE", True)]
@@ -217,24 +220,25 @@ def test_run_retention_end_to_end(spark, scratch):
     assert read_manifest(spark, f"{scratch}/MANIFEST", "ticks").count() == 6
 
 
-def test_empty_day_with_leaf_exports_and_verifies(spark, scratch):
+@pytest.mark.parametrize("fmt", ["csv.gz", "csv.zst"])
+def test_empty_day_with_leaf_exports_and_verifies(spark, scratch, fmt):
     """An empty day that has its leaf exports (bounds 0, 1; zero rows) and its purge plan verifies."""
     t = fx.ticks(spark, SF001)
     empty = dt.date(2024, 1, 31)
     leaf = spark.createDataFrame([("ticks", empty)], "table_name string, day date")
     lines = jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [empty], leaf, None, scratch,
                              TICKS_ARCHIVE_SCHEMA, ledger_path=f"{scratch}/MANIFEST",
-                             exported_at="2024-02-01T00:00:00Z").collect()
+                             exported_at="2024-02-01T00:00:00Z", fmt=fmt).collect()
     assert [(r.bound_lower, r.bound_upper, r.rows) for r in lines] == [("0", "1", "0")]
     assert arc.read_archive(spark, f"{scratch}/ticks", TICKS_ARCHIVE_SCHEMA).count() == 0
     led = read_manifest(spark, f"{scratch}/MANIFEST", "ticks")
     inv = arc.day_inventory(arc.archive_inventory(spark, f"{scratch}/ticks")).select(
-        F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"), "bytes", "sha256")
+        F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit("." + fmt)).alias("file"), "bytes", "sha256")
     from tidemark.sources.tables import children_of
     days = spark.createDataFrame([("ticks", empty)], "table_name string, day date")
     counts = spark.createDataFrame([], "table_name string, day date, n_rows long")
     plan = jobs.purge_plan(days, led, inv, children_of(leaf.withColumn("leaf_name", F.lit("ticks_d20240131"))),
-                           counts, suffix=".csv.gz").first()
+                           counts, suffix="." + fmt).first()
     assert (plan.decision, plan.reason) == ("PURGE", "verified")
 
 
@@ -274,3 +278,18 @@ def test_export_adopts_published_day_without_ledger_line(spark, scratch):
     again = jobs.export_days(spark, fewer, "ticks", "bus_time", ["id"], [d2], leaf, None, scratch,
                              TICKS_ARCHIVE_SCHEMA, adopt=True)
     assert again.count() == 0
+
+
+def test_csv_zst_archive_roundtrip(spark, scratch):
+    """The reference's own archive format: sorted header CSV in zstd, written by the tasks, read back strictly."""
+    t = fx.ticks(spark, SF001)
+    arc.write_day_archive(t, f"{scratch}/zst", "bus_time", ["id"], n_parts=4, fmt="csv.zst")
+    files = glob.glob(f"{scratch}/zst/day=2024-01-03/*.csv.zst")
+    assert files and not glob.glob(f"{scratch}/zst/day=*/_tmp-*")
+    import pyarrow as pa
+    with pa.CompressedInputStream(pa.OSFile(files[0]), "zstd") as f:
+        assert f.read(40).decode().startswith('"id","bus_time","instrument","price"')
+    back = arc.read_archive(spark, f"{scratch}/zst", TICKS_ARCHIVE_SCHEMA).drop("day")
+    got = arc.day_content_digest(back, "bus_time", _ticks_parts(back))
+    want = arc.day_content_digest(t, "bus_time", _ticks_parts(t))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

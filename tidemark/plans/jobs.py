@@ -83,13 +83,16 @@ def purge_plan(days: DataFrame, ledger: DataFrame, inventory: DataFrame, childre
     return out
 
 
-def _write_header_only(fs, folder, schema: T.StructType) -> None:
-    """A gzip CSV holding just the header: an empty day's archive (bounds (0, 1), zero rows)."""
+def _write_header_only(fs, folder, schema: T.StructType, fmt: str = "csv.gz") -> None:
+    """A compressed CSV holding just the header: an empty day's archive (bounds (0, 1), zero rows)."""
     import gzip
 
+    import zstandard
+
     fs.mkdirs(folder)
-    data = gzip.compress((",".join(f.name for f in schema.fields) + "\n").encode(), mtime=0)
-    out = fs.create(folder.suffix("/part-00000-empty.csv.gz"), False)
+    header = (",".join(f.name for f in schema.fields) + "\n").encode()
+    data = zstandard.ZstdCompressor().compress(header) if fmt == "csv.zst" else gzip.compress(header, mtime=0)
+    out = fs.create(folder.suffix(f"/part-00000-empty.{fmt}"), False)
     try:
         out.write(bytearray(data))
     finally:
@@ -159,9 +162,14 @@ def _rows_of_days(df: DataFrame, time_col: str, days: Sequence[dt.date]) -> Data
 def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, order_cols: Sequence[str],
                 days: Sequence[dt.date], leaf: DataFrame, ledger: DataFrame | None, root: str,
                 schema: T.StructType, ledger_path: str | None = None, n_parts: int | None = None,
-                exported_at: str | None = None, id_col: str | None = "id", adopt: bool = False) -> DataFrame:
+                exported_at: str | None = None, id_col: str | None = "id", adopt: bool = False,
+                fmt: str = "csv.gz") -> DataFrame:
     """Export whole UTC days to sorted CSV folders and return their ledger lines.
 
+    ``fmt`` is ``csv.gz`` (Spark's writer) or ``csv.zst`` (the reference's
+    archive format, streamed by pyarrow inside the tasks); ledger file names
+    are ``<table>-<day>.<fmt>``.
+
     Refuses days without a leaf and days already in the ledger.  All other
     days are written by ONE range-partitioned job into a staging folder,
     re-read strictly and counted, reconciled against the table counts, then
@@ -187,7 +195,7 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
         return spark.createDataFrame([], LEDGER_LINE_DDL)
     if fresh:
         _write_and_publish(spark, _rows_of_days(df, time_col, fresh), table, time_col, order_cols, fresh, root,
-                           schema, n_parts)
+                           schema, n_parts, fmt)
     done = sorted(fresh + adopted)
     done_df = spark.createDataFrame([(d,) for d in done], "day date")
     rows = _rows_of_days(df, time_col, done)
@@ -205,7 +213,7 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     lines = (
         done_df.join(b, "day", "left").join(inv, "day", "left")
         .select(F.lit(table).alias("table_name"),
-                F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"),
+                F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit("." + fmt)).alias("file"),
                 F.col("day").cast("string").alias("day"), "bound_lower", "bound_upper",
                 F.coalesce(F.col("n_rows"), F.lit(0)).cast("string").alias("rows"),
                 F.coalesce(F.col("bytes"), F.lit(0)).cast("string").alias("bytes"),
@@ -218,13 +226,16 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     return lines
 
 
-def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts) -> None:
+def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts, fmt="csv.gz") -> None:
     """Write the days to a fresh staging folder, prove the counts, then publish each day by rename."""
     rows = rows.select(*[f.name for f in schema.fields])
     staging = f"{root}/_staging/{uuid.uuid4().hex}/{table}"
-    arc.write_day_archive(rows, staging, time_col, order_cols, n_parts)
+    if fmt == "csv.zst":
+        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, fmt="csv.zst")
+    else:
+        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts)
     fs_st, st_path = _fs(spark, staging)
-    if any(st.getPath().getName().startswith("day=") for st in fs_st.listStatus(st_path)):
+    if fs_st.exists(st_path) and any(st.getPath().getName().startswith("day=") for st in fs_st.listStatus(st_path)):
         re_counts = arc.read_archive(spark, staging, schema).groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
     else:  # every requested day was empty: nothing was written
         re_counts = spark.createDataFrame([], "day date, file_rows long")
@@ -240,7 +251,7 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
             if not fs.rename(src, dst):
                 raise RuntimeError(f"publish failed for {d}")
         else:
-            _write_header_only(fs, dst, schema)  # an empty day with a leaf exports as a header-only file
+            _write_header_only(fs, dst, schema, fmt)  # an empty day with a leaf exports as a header-only file
 
 
 def _adoptable(spark, df, table, time_col, schema, root, days) -> list[dt.date]:
@@ -336,7 +347,7 @@ def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame,
 def run_retention(spark: SparkSession, table_path: str, table: str, time_col: str, order_cols: Sequence[str],
                   schema: T.StructType, archive_root: str, ledger_path: str, today,
                   horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN,
-                  id_col: str | None = "id", exported_at: str | None = None) -> DataFrame:
+                  id_col: str | None = "id", exported_at: str | None = None, fmt: str = "csv.gz") -> DataFrame:
     """One retention run over a ``day=``-partitioned Parquet table (P4 end to end).
 
     Oldest leaf first, up to ``today - horizon`` and ``max_days`` days: days
@@ -362,15 +373,15 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     to_export = [r["day"] for r in planned if r["action"] == "export+purge"]
     if to_export:
         export_days(spark, data.drop("day"), table, time_col, order_cols, to_export, leaves, ledger, root,
-                    schema, ledger_path=ledger_path, exported_at=exported_at, id_col=id_col)
+                    schema, ledger_path=ledger_path, exported_at=exported_at, id_col=id_col, fmt=fmt)
     ledger = read_manifest(spark, ledger_path, table)
     inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", days))).select(
-        F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"), "bytes", "sha256")
+        F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit("." + fmt)).alias("file"), "bytes", "sha256")
     days_df = spark.createDataFrame([(table, d) for d in days], "table_name string, day date")
     counts = data.where(F.col("day").isin(days)).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumn("table_name", F.lit(table))
     listing = table_day_listing(spark, table_path, days)
-    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix=".csv.gz", listing=listing).cache()
+    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix="." + fmt, listing=listing).cache()
     try:
         dropped = set(apply_purge(spark, pp, table_path, time_col))
         rows = [(r["table_name"], r["day"], r["decision"], r["reason"], r["day"].isoformat() in dropped)

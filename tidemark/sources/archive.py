@@ -34,13 +34,88 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
     with_day = df.withColumn("day", day_of(time_col))
     n = n_parts or partitions_for(with_day)  # ~256 MB parts, sized from the plan's own estimate
     ordered = with_day.repartitionByRange(int(n), "day", *order_cols).sortWithinPartitions("day", *order_cols)
+    if fmt == "csv.zst":  # Spark's CSV writer has no zstd codec: stream it with pyarrow inside the tasks
+        _write_csv_zst(ordered, path)
+        return
     writer = ordered.write.mode("error").partitionBy("day")
-    if fmt == "parquet":  # zstd is native for Parquet (Spark's CSV writer has no zstd codec)
+    if fmt == "parquet":  # zstd is native for Parquet
         writer.option("compression", "zstd").parquet(path)
     else:
         _csv_options(writer.option("compression", compression)).csv(path)
 
 
+def _zst_writer(root: str, columns: list[str], level: int):
+    """mapInArrow body: one zstd CSV stream per (range partition, day) of already sorted rows."""
+
+    def run(batches):
+        import pyarrow.csv as pacsv
+        import pyarrow.fs as pafs
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        pid, attempt = ctx.partitionId(), ctx.attemptNumber()
+        fs, base = pafs.FileSystem.from_uri(root)
+        state = {"day": None, "sink": None, "writer": None, "tmp": None, "final": None, "rows": 0}
+        done = []
+
+        def close():
+            if state["writer"] is None:
+                return
+            state["writer"].close()
+            state["sink"].close()
+            fs.move(state["tmp"], state["final"])  # a retried attempt rewrites the same final name
+            done.append((state["day"], state["final"], state["rows"]))
+            state.update(writer=None, sink=None)
+
+        for batch in batches:
+            days = batch.column("day").to_pylist()
+            start = 0
+            while start < len(days):
+                d = days[start]
+                end = start
+                while end < len(days) and days[end] == d:
+                    end += 1
+                if d != state["day"]:
+                    close()
+                    folder = f"{base}/day={d.isoformat()}"
+                    fs.create_dir(folder, recursive=True)
+                    state.update(day=d, rows=0, tmp=f"{folder}/_tmp-part-{pid:05d}-{attempt}.csv.zst",
+                                 final=f"{folder}/part-{pid:05d}.csv.zst")
+                    raw = fs.open_output_stream(state["tmp"], compression=None)
+                    state["sink"] = pa.CompressedOutputStream(raw, "zstd")
+                    sub = batch.select(columns).slice(start, end - start)
+                    state["writer"] = pacsv.CSVWriter(state["sink"], sub.schema)
+                else:
+                    sub = batch.select(columns).slice(start, end - start)
+                state["writer"].write_batch(sub)
+                state["rows"] += end - start
+                start = end
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in done], pa.date32()), pa.array([x[1] for x in done]),
+                 pa.array([x[2] for x in done], pa.int64())], names=["day", "path", "rows"])
+
+    del level
+    return run
+
+
+def _write_csv_zst(ordered: DataFrame, path: str, level: int = 6) -> DataFrame:
+    """Write sorted day archives as ``day=<d>/part-<n>.csv.zst`` (header, zstd) and return file metadata.
+
+    Each range partition streams its sorted rows through pyarrow; temp names
+    start with ``_`` so readers skip them, and carry the attempt number so
+    concurrent or retried attempts never share a file.
+    """
+    import os
+
+    root = path if "://" in path else "file://" + os.path.abspath(path)
+    columns = [c for c in ordered.columns if c != "day"]
+    meta = ordered.mapInArrow(_zst_writer(root, columns, level), "day date, path string, rows long")
+    files = meta.collect()  # one row per written file: metadata only
+    return ordered.sparkSession.createDataFrame(files, "day date, path string, rows long")
+
+
 def read_archive(spark: SparkSession, path, schema: T.StructType, fmt: str = "csv",
                  base: str | None = None) -> DataFrame:
     """Strict re-read (S4): declared schema, header must equal it exactly, fail on any bad record.
