@@ -308,13 +308,13 @@ TICKS_ARCHIVE_SCHEMA = T.StructType([
 
 
 def _export_all_days(spark, sf) -> str:
-    """Export every ticks day with rows to a fresh folder under the shared directory."""
+    """Export every ticks day with rows, as .csv.zst, to a fresh folder under the shared directory."""
     root = f"{shared_dir(spark)}/tidemark-archive-{uuid.uuid4().hex}"
     t = fx.ticks(spark, sf)
     days = sorted(r["day"] for r in t.select(day_of("bus_time").alias("day")).distinct().collect())
     leaf_all = t.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct()
     jobs.export_days(spark, t, "ticks", "bus_time", ["id"], days, leaf_all, None, root, TICKS_ARCHIVE_SCHEMA,
-                     ledger_path=f"{root}/MANIFEST")
+                     ledger_path=f"{root}/MANIFEST", fmt="csv.zst")
     return root
 
 
