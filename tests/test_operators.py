@@ -174,3 +174,15 @@ def test_scd2_upsert_invariants(spark):
     again = cdl.ticks_to_candles(fx.ticks(spark, SF01), "1h", ["instrument"], "bus_time", "price", "id")
     twice = cdl.scd2_upsert(merged, again, keys, cdl.CANDLE_VALUE_COLUMNS, "2024-02-03 00:00:00")
     assert twice.exceptAll(merged).count() == 0 and merged.exceptAll(twice).count() == 0  # idempotent
+
+
+def test_partition_coverage_without_gaps_or_default(spark):
+    from tidemark.plans import jobs
+
+    leaves = spark.range(1).select(F.lit("t").alias("table_name"), cal.day_sequence("2023-12-01", "2024-03-01").alias("day"))
+    config = spark.createDataFrame([("t", 6, True)], "table_name string, back_days int, purged_by_retention boolean")
+    empty = spark.createDataFrame([], "table_name string, day date")
+    dr = spark.createDataFrame([("t", 0)], "table_name string, default_rows long")
+    r = jobs.partition_coverage(leaves, config, "2024-01-15", empty, dr).first()
+    assert (r.missing, r.dropped, r.anchors, r.first_anchor, r.blocked, r.failed) == (0, 0, 0, None, False, False)
+    assert r.headroom == 47 and r.capped is False

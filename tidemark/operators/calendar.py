@@ -41,6 +41,8 @@ def scope(keys_df: DataFrame, today, back, fwd, keys: Sequence[str] = ("table_na
     ``back``/``fwd`` are ints or column names present in ``keys_df`` (per-key
     buffers, e.g. from a table config).  Both ends are inclusive.
     """
+    if isinstance(back, int) and isinstance(fwd, int) and back + fwd + 1 > MAX_WINDOW_DAYS:
+        raise ValueError(f"calendar window of {back + fwd + 1} days exceeds {MAX_WINDOW_DAYS}")
     t = _date(today)
     back_c = F.col(back) if isinstance(back, str) else F.lit(int(back))
     fwd_c = F.col(fwd) if isinstance(fwd, str) else F.lit(int(fwd))
@@ -101,14 +103,8 @@ def dropped_counts(missing: DataFrame, archived: DataFrame, keys: Sequence[str]
     )
 
 
-def cover_anchors(missing: DataFrame, keys: Sequence[str] = ("table_name",), step: int = S.ANCHOR_STEP_DAYS) -> DataFrame:
-    """Greedy minimal interval cover of the missing days.
-
-    Walking days in order, the first uncovered day opens an anchor covering
-    ``day .. day+step-1``.  The fold runs per key over that key's missing days,
-    which lie inside the key's calendar window (at most MAX_WINDOW_DAYS), so
-    the per-key list is bounded no matter how large the tables are.
-    """
+def anchor_fold(sorted_days: Column, step: int = S.ANCHOR_STEP_DAYS) -> Column:
+    """Greedy cover of a sorted day array: the first uncovered day opens an anchor for ``day..day+step-1``."""
     acc0 = F.struct(
         F.array().cast("array<date>").alias("anchors"),
         F.lit(None).cast("date").alias("until"),
@@ -121,10 +117,21 @@ def cover_anchors(missing: DataFrame, keys: Sequence[str] = ("table_name",), ste
             F.struct(F.concat(acc["anchors"], F.array(d)).alias("anchors"), F.date_add(d, step - 1).alias("until")),
         ).otherwise(acc)
 
+    return F.aggregate(sorted_days, acc0, step_fn, lambda a: a["anchors"])
+
+
+def cover_anchors(missing: DataFrame, keys: Sequence[str] = ("table_name",), step: int = S.ANCHOR_STEP_DAYS) -> DataFrame:
+    """Greedy minimal interval cover of the missing days.
+
+    Walking days in order, the first uncovered day opens an anchor covering
+    ``day .. day+step-1``.  The fold runs per key over that key's missing days,
+    which lie inside the key's calendar window (at most MAX_WINDOW_DAYS), so
+    the per-key list is bounded no matter how large the tables are.
+    """
     return (
         missing.groupBy(*keys)
         .agg(F.sort_array(F.collect_set("day")).alias("_days"))
-        .select(*keys, F.explode(F.aggregate("_days", acc0, step_fn, lambda a: a["anchors"])).alias("anchor"))
+        .select(*keys, F.explode(anchor_fold(F.col("_days"), step)).alias("anchor"))
         .select(*keys, "anchor", F.date_add("anchor", step - 1).alias("covers_until"))
     )
 

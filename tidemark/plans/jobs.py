@@ -404,24 +404,27 @@ def partition_coverage(leaf: DataFrame, config: DataFrame, today, archived: Data
     """
     cfg = cal.backward_window(config)
     sc = cal.scope(cfg, today, "back", fwd)
-    missing = cal.missing_days(leaf, sc)
-    kept = cal.drop_archived_days(missing, archived)
-    dropped = cal.dropped_counts(missing, archived)
-    anchors = cal.cover_anchors(kept)
+    # one pass over each table's calendar: leaf? archived? -> counts and the kept-day list for the anchors
+    have = leaf.select("table_name", "day").distinct().withColumn("_leaf", F.lit(True))
+    arch = archived.select("table_name", "day").distinct().withColumn("_arch", F.lit(True))
+    gaps = cal.calendar(sc).join(have, ["table_name", "day"], "left").where(F.col("_leaf").isNull()) \
+        .join(arch, ["table_name", "day"], "left")
+    per = gaps.groupBy("table_name").agg(
+        F.count_if(F.col("_arch").isNull()).alias("missing"),
+        F.count_if(F.col("_arch").isNotNull()).alias("dropped"),
+        F.sort_array(F.collect_list(F.when(F.col("_arch").isNull(), F.col("day")))).alias("_kept"),
+    ).withColumn("_anchors", cal.anchor_fold(F.col("_kept")))
     head = cal.forward_headroom(leaf, cfg, today)
-    n_missing = kept.groupBy("table_name").agg(F.count(F.lit(1)).alias("missing"))
-    n_anchor = anchors.groupBy("table_name").agg(F.count(F.lit(1)).alias("anchors"),
-                                                 F.min("anchor").alias("first_anchor"))
     out = (
-        cfg.select("table_name", "back").join(n_missing, "table_name", "left").join(dropped, "table_name", "left")
-        .join(n_anchor, "table_name", "left").join(head, "table_name", "left")
+        cfg.select("table_name", "back").join(per, "table_name", "left").join(head, "table_name", "left")
         .join(default_rows, "table_name", "left")
     )
     return out.select(
         "table_name", F.col("back").cast("int").alias("back_days"),
         F.coalesce("missing", F.lit(0)).cast("long").alias("missing"),
         F.coalesce("dropped", F.lit(0)).cast("long").alias("dropped"),
-        F.coalesce("anchors", F.lit(0)).cast("long").alias("anchors"), "first_anchor", "headroom", "capped",
+        F.when(F.col("_anchors").isNull(), F.lit(0)).otherwise(F.size("_anchors")).cast("long").alias("anchors"),
+        F.element_at("_anchors", 1).alias("first_anchor"), "headroom", "capped",
         F.coalesce("default_rows", F.lit(0)).cast("long").alias("default_rows"),
         (F.coalesce("default_rows", F.lit(0)) > 0).alias("blocked"),
         (F.col("headroom") < forward_min).alias("failed"))
