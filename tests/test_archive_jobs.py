@@ -293,3 +293,22 @@ def test_csv_zst_archive_roundtrip(spark, scratch):
     got = arc.day_content_digest(back, "bus_time", _ticks_parts(back))
     want = arc.day_content_digest(t, "bus_time", _ticks_parts(t))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_run_retention_stops_at_first_refusal(spark, scratch):
+    from tidemark.sources.ledger import append_manifest
+
+    t = fx.ticks(spark, SF001)
+    table = f"{scratch}/ticks_table"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    line = spark.range(2).select(
+        F.lit("ticks-2024-01-02.csv.gz").alias("file"), F.lit("2024-01-02").alias("day"), F.lit("1").alias("bound_lower"),
+        F.lit("2").alias("bound_upper"), F.lit("1").alias("rows"), F.lit("1").alias("bytes"),
+        F.repeat(F.lit("a"), 64).alias("sha256"), F.lit("2024-02-01T00:00:00Z").alias("exported_at"))
+    append_manifest(line, f"{scratch}/MANIFEST")  # two lines for one day: a duplicate
+    out = jobs.run_retention(spark, table, "ticks", "bus_time", ["id"], TICKS_ARCHIVE_SCHEMA, f"{scratch}/archive",
+                             f"{scratch}/MANIFEST", "2024-01-15", exported_at="2024-02-01T00:00:00Z")
+    got = [(r.day.day, r.decision, r.reason, r.dropped) for r in out.orderBy("day").collect()]
+    assert got[0] == (1, "PURGE", "verified", True)
+    assert got[1][:3] == (2, "REFUSE", "duplicate manifest lines") and not got[1][3]
+    assert got[2][1] == "HOLD" and not got[2][3]

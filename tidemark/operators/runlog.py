@@ -56,6 +56,19 @@ def run_tail(runs: DataFrame, n: int = S.RUN_TAIL_LINES, width: int = DEFAULT_WI
         "file", "run_no", "line_no", "line", "from_end")
 
 
+def current_run_tail(runs: DataFrame, n: int = S.RUN_TAIL_LINES, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """The alert body: last ``n`` operational lines of each file's current run (O4 for the mail).
+
+    The current run is everything from the last banner to the end of the file
+    (the whole file when it has no banner), i.e. the lines with the file's
+    highest run number.
+    """
+    last = runs.groupBy("file").agg(F.max("run_no").alias("_last"))
+    cur = runs.join(last, "file").where((F.col("run_no") == F.col("_last")) & operational_lines()).drop("_last")
+    return top_n_per_group(cur, ["file"], "line_no", n, "from_end", width).select(
+        "file", "run_no", "line_no", "line", F.col("from_end").cast("long").alias("from_end"))
+
+
 def failure_streaks(run_status: DataFrame, alarm_at: int = S.FAILURE_STREAK_ALARM) -> DataFrame:
     """Consecutive failed runs per job, reset by a success; alarm at ``alarm_at``.
 

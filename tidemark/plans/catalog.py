@@ -374,6 +374,11 @@ def q_run_tail(spark, sf):
     return runlog.run_tail(_runs(spark, sf)).withColumn("from_end", F.col("from_end").cast("long"))
 
 
+def q_alert_body(spark, sf):
+    ensure_utc(spark)
+    return runlog.current_run_tail(_runs(spark, sf))
+
+
 def q_failure_streaks(spark, sf):
     ensure_utc(spark)
     p = runlog.problem_count(_runs(spark, sf))
@@ -463,6 +468,7 @@ QUERIES = {
     "segment_runs": q_segment_runs,
     "problem_count": q_problem_count,
     "run_tail": q_run_tail,
+    "alert_body": q_alert_body,
     "failure_streaks": q_failure_streaks,
     "backfill_summary": q_backfill_summary,
     "partition_coverage": q_partition_coverage,

@@ -101,7 +101,9 @@ def _write_header_only(fs, folder, schema: T.StructType, fmt: str = "csv.gz") ->
 
 def table_day_listing(spark: SparkSession, table_path: str, days: Sequence) -> DataFrame:
     """Per day folder of a table: file count and a digest of (name, size) of its files -- listing only."""
-    folders = arc.day_folders(table_path, days)
+    folders = [f for f in arc.day_folders(table_path, days) if arc._exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], "day date, n_files long, listing string")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
              .select("path", "length"))
     return files.select(
@@ -353,8 +355,9 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     Oldest leaf first, up to ``today - horizon`` and ``max_days`` days: days
     not in the ledger are exported in one job, then every planned day gets a
     purge plan against the ledger, the archive and the table's own leaves,
-    and only verified days are dropped.  Returns the purge plan rows
-    (calendar sized) with a ``dropped`` flag.
+    and only verified days are dropped -- and, as in the day-by-day job,
+    none after the first refused day (those report ``HOLD``).  Returns the
+    purge plan rows (calendar sized) with a ``dropped`` flag.
     """
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import children_of, table_leaves
@@ -381,7 +384,13 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     counts = data.where(F.col("day").isin(days)).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumn("table_name", F.lit(table))
     listing = table_day_listing(spark, table_path, days)
-    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix="." + fmt, listing=listing).cache()
+    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix="." + fmt, listing=listing)
+    # like the day-by-day job, stop at the first refused day: only verified days before it are dropped
+    first_refusal = pp.where(F.col("decision") != "PURGE").agg(F.min("day")).first()[0]
+    if first_refusal is not None:
+        pp = pp.withColumn("decision", F.when(F.col("day") > F.lit(first_refusal), F.lit("HOLD"))
+                           .otherwise(F.col("decision")))
+    pp = pp.cache()
     try:
         dropped = set(apply_purge(spark, pp, table_path, time_col))
         rows = [(r["table_name"], r["day"], r["decision"], r["reason"], r["day"].isoformat() in dropped)

@@ -158,6 +158,11 @@ def _hash_paths(batches):
                                          names=["path", "length", "sha256"])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def day_folders(root: str, days) -> list[str]:
     """The ``day=`` folders of the given days under an archive root."""
     return [f"{root.rstrip('/')}/day={d.isoformat() if hasattr(d, 'isoformat') else d}" for d in days]
@@ -173,6 +178,9 @@ def archive_inventory(spark: SparkSession, path, glob: str = "*") -> DataFrame:
     repartitioning the path list.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    paths = [p for p in paths if _exists(spark, p)]  # a missing day folder is a missing archive, not an error
+    if not paths:
+        return spark.createDataFrame([], "path string, part string, day date, bytes long, sha256 string")
     listing = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .load(paths).select("path", "length")
