@@ -52,6 +52,7 @@ def test_archive_is_sorted_within_day(spark, scratch):
 def test_export_refuses_second_run_and_ledger_is_valid(spark, scratch):
     t, lines = _export(spark, scratch, 3)
     assert lines.count() == 30
+    assert not glob.glob(f"{scratch}/_staging/*/*")  # the run's staging folder is gone after publish
     led = read_manifest(spark, f"{scratch}/MANIFEST", "ticks")
     assert led.where(F.col("nf") != 8).count() == 0
     again = jobs.export_days(spark, t, "ticks", "bus_time", ["id"], [dt.date(2024, 1, 3)],

@@ -254,6 +254,9 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
                 raise RuntimeError(f"publish failed for {d}")
         else:
             _write_header_only(fs, dst, schema, fmt)  # an empty day with a leaf exports as a header-only file
+    fs_run, run_dir = _fs(spark, staging.rsplit("/", 1)[0])
+    if fs_run.exists(run_dir):
+        fs_run.delete(run_dir, True)  # everything was published; only this run's leftovers remain
 
 
 def _adoptable(spark, df, table, time_col, schema, root, days) -> list[dt.date]:
