@@ -1,4 +1,7 @@
-"""Driver program for the nightly jobs: ``spark-submit -m tidemark.cli <command> ...``.
+"""Driver program for the nightly jobs.
+
+``spark-submit --py-files tidemark.zip tidemark/cli.py <command> ...`` on a
+cluster, ``python -m tidemark.cli <command> ...`` locally.
 
 One command per job of the reference's scripts (export a day, purge a day,
 retention, partition coverage, candle sweep, backfill, log report).  Every
