@@ -133,8 +133,8 @@ def test_restore_job_with_supplements(spark, scratch):
     sup_ledger = recovered.select(F.lit("ticks-supplement.csv").alias("file"), day_of("bus_time").cast("string").alias("day"),
                                   F.lit("1").alias("rows"), F.lit("1").alias("bytes"), F.repeat(F.lit("e"), 64).alias("sha256"),
                                   F.lit("recovered, absent from the daily file").alias("note"))
-    sup_ledger.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{scratch}/SUPPLEMENTS")
-    assert read_supplements(spark, f"{scratch}/SUPPLEMENTS").count() == recovered.count()
+    sup_ledger.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{scratch}/supplements")
+    assert read_supplements(spark, f"{scratch}/supplements").count() == recovered.count()
     restored = jobs.restore(spark, f"{scratch}/ticks", TICKS_ARCHIVE_SCHEMA, recovered, fx.leaf(spark, SF001),
                             "ticks", "bus_time")
     got = arc.day_content_digest(restored, "bus_time", _ticks_parts(restored))

@@ -49,12 +49,12 @@ def test_cli_retention_partitions_logs(spark, scratch, capsys):
     import os
     os.makedirs(logs)
     with open(f"{logs}/partitions-2024-01.log", "w") as f:
-        f.write("=== partitions-daily 2024-01-01T12:17:00Z ===\nOK all tables\n"
-                "=== partitions-daily 2024-01-02T12:17:00Z ===\n-- ticks headroom 3d is below the 7d floor\n"
-                "WARN: no successful run recorded for 3 day(s)\n=== partitions-daily done 2024-01-02T12:18:00Z ===\n")
-    cli.main(["logs", "--logs", logs, "--job", "partitions-daily"], spark)
+        f.write("=== coverage 2024-01-01T12:17:00Z ===\nOK all tables\n"
+                "=== coverage 2024-01-02T12:17:00Z ===\n-- ticks headroom 3d is below the 7d floor\n"
+                "WARN: no successful run recorded for 3 day(s)\n=== coverage done 2024-01-02T12:18:00Z ===\n")
+    cli.main(["logs", "--logs", logs, "--job", "coverage"], spark)
     out = _rows(capsys.readouterr().out)
     problems = [r for r in out if "n_problems" in r]
     assert [(r["run_no"], r["n_problems"], r["failed"]) for r in problems] == [(1, 0, False), (2, 1, True)]
     body = [r["line"] for r in out if "from_end" in r]
-    assert body[0].startswith("=== partitions-daily 2024-01-02") and body[-1].startswith("=== partitions-daily done")
+    assert body[0].startswith("=== coverage 2024-01-02") and body[-1].startswith("=== coverage done")

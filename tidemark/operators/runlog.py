@@ -34,9 +34,9 @@ def problem_lines(col="line"):
     return F.coalesce(F.col(col).rlike(S.PROBLEM_LINE_PATTERN), F.lit(False))
 
 
-def operational_lines(col="line"):
-    """the lines worth mailing."""
-    return F.coalesce(F.col(col).rlike(S.OPERATIONAL_LINE_PATTERN), F.lit(False))
+def operational_lines(col="line", subject_prefix: str | None = None):
+    """the lines worth mailing (plus alert subjects starting with ``subject_prefix``)."""
+    return F.coalesce(F.col(col).rlike(S.operational_pattern(subject_prefix)), F.lit(False))
 
 
 def problem_count(runs: DataFrame) -> DataFrame:

@@ -399,13 +399,13 @@ ORACLE: dict[str, str] = {
     "run_tail": sql("""SELECT file, run_no, line_no, line, from_end FROM (SELECT file, run_no, line_no, line,
             row_number() OVER (PARTITION BY file, run_no ORDER BY line_no DESC) AS from_end FROM runs
             WHERE run_no > 0 AND regexp_matches(line,
-              '^(===|==|--|OK|WARN|ABORT|REFUSE|SKIP|Snapper|refused:|FILE ROWCOUNT|purge mismatch)')) x
+              '^(===|==|--|OK|WARN|ABORT|REFUSE|SKIP|refused:|FILE ROWCOUNT|purge mismatch)')) x
         WHERE from_end <= 40""", "runs"),
     "alert_body": sql("""SELECT file, run_no, line_no, line, from_end FROM (SELECT r.file, r.run_no, r.line_no, r.line,
             row_number() OVER (PARTITION BY r.file ORDER BY r.line_no DESC) AS from_end
         FROM runs r WHERE r.run_no = (SELECT max(m.run_no) FROM runs m WHERE m.file = r.file)
           AND regexp_matches(r.line,
-              '^(===|==|--|OK|WARN|ABORT|REFUSE|SKIP|Snapper|refused:|FILE ROWCOUNT|purge mismatch)')) x
+              '^(===|==|--|OK|WARN|ABORT|REFUSE|SKIP|refused:|FILE ROWCOUNT|purge mismatch)')) x
         WHERE from_end <= 40""", "runs"),
     "failure_streaks": sql("""SELECT file, run_no, failed, streak, streak >= 2 AS alarm FROM (
         SELECT file, run_no, failed,

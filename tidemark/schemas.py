@@ -47,9 +47,9 @@ RUN_TAIL_LINES = 40
 FAILURE_STREAK_ALARM = 2
 # Log line patterns.
 PROBLEM_LINE_PATTERN = r"^(ABORT|WARN:|[a-z]+: FAILED|gitlink: !!)"
-OPERATIONAL_LINE_PATTERN = (
-    r"^(===|==|--|OK|WARN|ABORT|REFUSE|SKIP|Snapper|refused:|FILE ROWCOUNT|purge mismatch)"
-)
+OPERATIONAL_LINE_MARKERS = ["===", "==", "--", "OK", "WARN", "ABORT", "REFUSE", "SKIP", "refused:",
+                            "FILE ROWCOUNT", "purge mismatch"]
+OPERATIONAL_LINE_PATTERN = "^(" + "|".join(OPERATIONAL_LINE_MARKERS) + ")"
 DAY_TEXT_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 DIGITS_PATTERN = r"^[0-9]+$"
 SHA256_PATTERN = r"^[0-9a-f]{64}$"
@@ -77,6 +77,12 @@ TARGET_PRIORITY = {"REFUSE": 1, "PARTITION": 2, "DEFAULT": 3, "MISSING": 4}
 # ---- end of fixed values ----------------------------------------------------
 
 
+def operational_pattern(subject_prefix: str | None = None) -> str:
+    """Operational-line pattern; alert subject lines start with a deployment's own product name."""
+    markers = OPERATIONAL_LINE_MARKERS + ([subject_prefix] if subject_prefix else [])
+    return "^(" + "|".join(markers) + ")"
+
+
 @dataclass(frozen=True)
 class TableConfig:
     """How one day-partitioned table is sliced, ordered and kept."""

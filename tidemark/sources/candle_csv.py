@@ -9,7 +9,7 @@ from tidemark import schemas as S
 from tidemark.operators.calendar import _date
 
 
-def load_candle_csv(spark: SparkSession, path: str, since, venue: str = "polygon") -> DataFrame:
+def load_candle_csv(spark: SparkSession, path: str, since, venue: str = "vendor") -> DataFrame:
     """Base 1m rows of every cached day from ``since`` on.
 
     The day comes from the file name (``YYYY-MM-DD.csv``) or its ``day=``
