@@ -277,11 +277,12 @@ def q_closed_versions(spark, sf):
 
 
 def q_candle_upsert(spark, sf):
-    """A first publish of the 1h bars missed every 7th tick; the full republish closes the bars that changed."""
+    """The live publisher first wrote each 1h bar half-way through its hour; the end-of-day republish
+    over all ticks closes the versions that changed and adds the bars first seen after minute 30."""
     ensure_utc(spark)
     t = fx.ticks(spark, sf)
     keys = ["instrument", "timeframe", "open_at"]
-    first = cdl.ticks_to_candles(t.where(F.col("id") % 7 != 0), "1h", ["instrument"], "bus_time", "price", "id") \
+    first = cdl.ticks_to_candles(t.where(F.minute("bus_time") < 30), "1h", ["instrument"], "bus_time", "price", "id") \
         .withColumn("known_from", F.lit(P.UPSERT_FIRST).cast("timestamp_ntz")) \
         .withColumn("known_to", F.lit(S.SENTINEL).cast("timestamp_ntz"))
     again = cdl.ticks_to_candles(t, "1h", ["instrument"], "bus_time", "price", "id")
@@ -350,7 +351,7 @@ def q_restore_days(spark, sf):
     t = fx.ticks(spark, sf)
     recovered = fx.supplement_rows(spark, sf)
     base = t.join(recovered.select("id"), "id", "left_anti")
-    repeated = base.where((F.hour("bus_time") == 3) & (F.col("id") % 50 == 1))
+    repeated = base.where((F.hour("bus_time") == 3) & (F.minute("bus_time") < 5))  # already in the base
     return arc.restore_days(base, recovered.unionByName(repeated), "id")
 
 

@@ -368,7 +368,7 @@ ORACLE: dict[str, str] = {
         "bars1": """SELECT instrument, '1h' AS timeframe, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at,
             arg_min(price, (bus_time, id)) AS open, max(price) AS high, min(price) AS low,
             arg_max(price, (bus_time, id)) AS close, cast(count(*) AS DOUBLE) AS volume, count(*) AS trades
-            FROM ticks WHERE id % 7 <> 0 GROUP BY 1, 3""",
+            FROM ticks WHERE extract(minute FROM bus_time) < 30 GROUP BY 1, 3""",
         "bars2": """SELECT instrument, '1h' AS timeframe, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at,
             arg_min(price, (bus_time, id)) AS open, max(price) AS high, min(price) AS low,
             arg_max(price, (bus_time, id)) AS close, cast(count(*) AS DOUBLE) AS volume, count(*) AS trades
