@@ -248,6 +248,10 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
     for d in days:
         fs, src = _fs(spark, f"{staging}/day={d.isoformat()}")
         _, dst = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
+        if fs.exists(src):  # temp files of failed task attempts are never published
+            for st in fs.listStatus(src):
+                if st.getPath().getName().startswith("_tmp-"):
+                    fs.delete(st.getPath(), False)
         fs.mkdirs(dst.getParent())
         if fs.exists(src):
             if not fs.rename(src, dst):

@@ -63,7 +63,10 @@ def _zst_writer(root: str, columns: list[str], level: int):
                 return
             state["writer"].close()
             state["sink"].close()
-            fs.move(state["tmp"], state["final"])  # a retried attempt rewrites the same final name
+            # a retried attempt replaces the same final name (some stores refuse to rename onto a file)
+            if fs.get_file_info(state["final"]).type != pafs.FileType.NotFound:
+                fs.delete_file(state["final"])
+            fs.move(state["tmp"], state["final"])
             done.append((state["day"], state["final"], state["rows"]))
             state.update(writer=None, sink=None)
 
