@@ -313,3 +313,39 @@ def test_run_retention_stops_at_first_refusal(spark, scratch):
     assert got[0] == (1, "PURGE", "verified", True)
     assert got[1][:3] == (2, "REFUSE", "duplicate manifest lines") and not got[1][3]
     assert got[2][1] == "HOLD" and not got[2][3]
+
+
+def test_purge_plan_after_purge_never_purges_again(spark, scratch):
+    """Metamorphic: once a day is dropped, a new plan for it refuses (its leaf is gone)."""
+    from tidemark.sources.tables import children_of, table_leaves
+
+    t = fx.ticks(spark, SF001)
+    table = f"{scratch}/ticks_table"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    kw = dict(table_path=table, table="ticks", time_col="bus_time", order_cols=["id"], schema=TICKS_ARCHIVE_SCHEMA,
+              archive_root=f"{scratch}/archive", ledger_path=f"{scratch}/MANIFEST", today="2024-01-15",
+              exported_at="2024-02-01T00:00:00Z")
+    assert all(r.dropped for r in jobs.run_retention(spark, **kw).collect())
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    led = read_manifest(spark, f"{scratch}/MANIFEST", "ticks")
+    inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{scratch}/archive/ticks", days))).select(
+        F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.gz")).alias("file"), "bytes", "sha256")
+    counts = spark.read.parquet(table).where(F.col("day").isin(days)).groupBy("day").agg(
+        F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit("ticks"))
+    plan = jobs.purge_plan(spark.createDataFrame([("ticks", d) for d in days], "table_name string, day date"), led,
+                           inv, children_of(table_leaves(spark, table, "ticks")), counts, suffix=".csv.gz").collect()
+    assert {(r.decision, r.target, r.reason) for r in plan} == {("REFUSE", "DEFAULT", "no exact partition")}
+
+
+def test_coverage_with_empty_ledger_equals_missing_days(spark):
+    """Metamorphic: with nothing archived, coverage counts exactly the plain missing days."""
+    from tidemark.operators import calendar as cal
+    from tidemark.plans.catalog import _config, _scope
+
+    lv = fx.all_leaves(spark, SF001)
+    none = spark.createDataFrame([], "table_name string, day date")
+    dr = spark.createDataFrame([], "table_name string, default_rows long")
+    cov = {r.table_name: (r.missing, r.dropped) for r in
+           jobs.partition_coverage(lv, _config(spark), "2024-01-15", none, dr).collect()}
+    plain = {r.table_name: r["count"] for r in cal.missing_days(lv, _scope(spark)).groupBy("table_name").count().collect()}
+    assert {k: v[0] for k, v in cov.items()} == plain and all(v[1] == 0 for v in cov.values())
