@@ -349,3 +349,13 @@ def test_coverage_with_empty_ledger_equals_missing_days(spark):
            jobs.partition_coverage(lv, _config(spark), "2024-01-15", none, dr).collect()}
     plain = {r.table_name: r["count"] for r in cal.missing_days(lv, _scope(spark)).groupBy("table_name").count().collect()}
     assert {k: v[0] for k, v in cov.items()} == plain and all(v[1] == 0 for v in cov.values())
+
+
+def test_fast_digest_detects_a_changed_row(spark):
+    t = fx.ticks(spark, SF001)
+    changed = t.withColumn("price", F.when(F.col("id") == 17, F.col("price") + 0.01).otherwise(F.col("price")))
+    a = arc.day_content_digest(t, "bus_time", _ticks_parts(t), fast=True)
+    b = arc.day_content_digest(changed, "bus_time", _ticks_parts(changed), fast=True)
+    shuffled = arc.day_content_digest(t.repartition(7), "bus_time", _ticks_parts(t), fast=True)
+    assert a.exceptAll(shuffled).count() == 0
+    assert a.exceptAll(b).count() == 1
