@@ -359,3 +359,19 @@ def test_fast_digest_detects_a_changed_row(spark):
     shuffled = arc.day_content_digest(t.repartition(7), "bus_time", _ticks_parts(t), fast=True)
     assert a.exceptAll(shuffled).count() == 0
     assert a.exceptAll(b).count() == 1
+
+
+def test_export_prunes_partitioned_source_and_guards_the_plan(spark, scratch):
+    t = fx.ticks(spark, SF001)
+    table = f"{scratch}/table"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    data = spark.read.parquet(table)
+    rows = jobs._rows_of_days(data, "bus_time", [dt.date(2024, 1, 3), dt.date(2024, 1, 5)], "day")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    part_filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert ">= 2024-01-03" in part_filters and "< 2024-01-06" in part_filters
+    assert "Join" not in plan and "Exchange" not in plan  # the day list is a filter, not a join
+    jobs.plan_guard(rows)  # pruned: accepted
+    unpruned = jobs._rows_of_days(data.drop("day"), "bus_time", [dt.date(2024, 1, 3)])
+    with pytest.raises(RuntimeError, match="not pruned"):
+        jobs.plan_guard(unpruned)

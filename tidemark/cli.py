@@ -58,10 +58,10 @@ def cmd_export(spark: SparkSession, a) -> None:
 
     cfg = S.TABLES[a.table]
     data = spark.read.parquet(a.data)
-    lines = jobs.export_days(spark, data.drop("day"), a.table, cfg.time_col, list(cfg.order_cols), a.days,
+    lines = jobs.export_days(spark, data, a.table, cfg.time_col, list(cfg.order_cols), a.days,
                              table_leaves(spark, a.data, a.table), read_manifest(spark, a.ledger, a.table), a.archive,
                              _archive_schema(data, a.table), ledger_path=a.ledger, fmt=a.fmt, adopt=a.adopt,
-                             id_col="id" if cfg.ledger_kind == "ticks" else None)
+                             id_col="id" if cfg.ledger_kind == "ticks" else None, day_col="day")
     _emit(lines.collect())
 
 
@@ -71,11 +71,12 @@ def cmd_backfill(spark: SparkSession, a) -> None:
 
     cfg = S.TABLES[a.table]
     data = spark.read.parquet(a.data)
-    outcomes, summary = jobs.backfill(spark, data.drop("day"), a.table, cfg.time_col, list(cfg.order_cols),
+    outcomes, summary = jobs.backfill(spark, data, a.table, cfg.time_col, list(cfg.order_cols),
                                       a.start, a.end, table_leaves(spark, a.data, a.table),
                                       read_manifest(spark, a.ledger, a.table), a.archive,
                                       _archive_schema(data, a.table), ledger_path=a.ledger,
-                                      id_col="id" if cfg.ledger_kind == "ticks" else None)
+                                      id_col="id" if cfg.ledger_kind == "ticks" else None, day_col="day",
+                                      fmt=a.fmt)
     _emit(outcomes.orderBy("day").collect())
     _emit(summary.collect())
 

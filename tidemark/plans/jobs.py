@@ -153,24 +153,45 @@ LEDGER_LINE_DDL = ("table_name string, file string, day string, bound_lower stri
                    "bytes string, sha256 string, exported_at string, nf int, line_no long, kind string")
 
 
-def _rows_of_days(df: DataFrame, time_col: str, days: Sequence[dt.date]) -> DataFrame:
-    """Rows of exactly these UTC days: the covering range reaches the scan, the semi join trims it."""
-    spark = df.sparkSession
-    day_df = spark.createDataFrame([(d,) for d in days], "day date")
+def _rows_of_days(df: DataFrame, time_col: str, days: Sequence[dt.date], day_col: str | None = None) -> DataFrame:
+    """Rows of exactly these UTC days.
+
+    The covering time range reaches the scan; with a ``day`` partition
+    column the day list itself becomes a partition filter, so only those
+    days' files are listed and read.  The day list is calendar sized, so
+    gaps in the range are trimmed by an IN filter, not by a join.
+    """
     lo, hi = min(days), max(days) + dt.timedelta(days=1)
-    return slices.day_slice(df, time_col, lo, hi).join(day_df, day_of(time_col) == day_df["day"], "left_semi")
+    rows = slices.day_slice(df, time_col, lo, hi, day_col)
+    if day_col:
+        rows = rows.where(F.col(day_col).isin(list(days)))
+    return rows.where(day_of(time_col).isin(list(days)))
+
+
+def plan_guard(df: DataFrame) -> None:
+    """Refuse to run a day export whose scan is not pruned to the requested days.
+
+    The re-aimed form of refusing a bad plan: a full scan of a production
+    table to export one day is an outage, not a slow job.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln or "BatchScan" in ln]
+    if not scans or any("PartitionFilters: []" in ln for ln in scans):
+        raise RuntimeError("REFUSE: the export scan is not pruned by day (no PartitionFilters)")
 
 
 def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, order_cols: Sequence[str],
                 days: Sequence[dt.date], leaf: DataFrame, ledger: DataFrame | None, root: str,
                 schema: T.StructType, ledger_path: str | None = None, n_parts: int | None = None,
                 exported_at: str | None = None, id_col: str | None = "id", adopt: bool = False,
-                fmt: str = "csv.gz") -> DataFrame:
+                fmt: str = "csv.gz", day_col: str | None = None) -> DataFrame:
     """Export whole UTC days to sorted CSV folders and return their ledger lines.
 
     ``fmt`` is ``csv.gz`` (Spark's writer) or ``csv.zst`` (the reference's
     archive format, streamed by pyarrow inside the tasks); ledger file names
-    are ``<table>-<day>.<fmt>``.
+    are ``<table>-<day>.<fmt>``.  For a ``day``-partitioned source pass
+    ``day_col``: the scan is then pruned to the requested days, and the job
+    refuses to run if the physical plan shows it is not.
 
     Refuses days without a leaf and days already in the ledger.  All other
     days are written by ONE range-partitioned job into a staging folder,
@@ -192,15 +213,17 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     for d in todo_days:
         fs, p = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
         (published if fs.exists(p) else fresh).append(d)
-    adopted = _adoptable(spark, df, table, time_col, schema, root, published) if adopt and published else []
+    adopted = _adoptable(spark, df, table, time_col, schema, root, published, day_col) if adopt and published else []
     if not fresh and not adopted:
         return spark.createDataFrame([], LEDGER_LINE_DDL)
     if fresh:
-        _write_and_publish(spark, _rows_of_days(df, time_col, fresh), table, time_col, order_cols, fresh, root,
-                           schema, n_parts, fmt)
+        fresh_rows = _rows_of_days(df, time_col, fresh, day_col)
+        if day_col:
+            plan_guard(fresh_rows)
+        _write_and_publish(spark, fresh_rows, table, time_col, order_cols, fresh, root, schema, n_parts, fmt)
     done = sorted(fresh + adopted)
     done_df = spark.createDataFrame([(d,) for d in done], "day date")
-    rows = _rows_of_days(df, time_col, done)
+    rows = _rows_of_days(df, time_col, done, day_col)
     # hash only the folders written (or adopted) now, never the whole archive
     inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", done)))
     stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -263,13 +286,13 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
         fs_run.delete(run_dir, True)  # everything was published; only this run's leftovers remain
 
 
-def _adoptable(spark, df, table, time_col, schema, root, days) -> list[dt.date]:
+def _adoptable(spark, df, table, time_col, schema, root, days, day_col=None) -> list[dt.date]:
     """Published days without a ledger line whose strict re-read count equals the table's count."""
     folders = arc.day_folders(f"{root}/{table}", days)
     back = arc.read_archive(spark, folders, schema, base=f"{root}/{table}") \
         .groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
     want = spark.createDataFrame([(d,) for d in days], "day date") \
-        .join(slices.day_counts(_rows_of_days(df, time_col, days), time_col), "day", "left") \
+        .join(slices.day_counts(_rows_of_days(df, time_col, days, day_col), time_col), "day", "left") \
         .join(back, "day", "left")
     ok = want.where(F.coalesce("n_rows", F.lit(0)) == F.coalesce("file_rows", F.lit(0)))
     return sorted(r["day"] for r in ok.select("day").collect())
@@ -306,7 +329,8 @@ def backfill_outcomes(days: DataFrame, ledger: DataFrame, leaf: DataFrame, table
 def backfill(spark: SparkSession, df: DataFrame, table: str, time_col: str, order_cols: Sequence[str],
              lo: dt.date, hi: dt.date, leaf: DataFrame, ledger: DataFrame, root: str, schema: T.StructType,
              ledger_path: str | None = None, id_col: str | None = "id",
-             exported_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+             exported_at: str | None = None, day_col: str | None = None,
+             fmt: str = "csv.gz") -> tuple[DataFrame, DataFrame]:
     """Export every day of [lo, hi] not yet in the ledger, in ONE export job.
 
     Outcomes follow the day-by-day driver: ledger days are ``skip``, the
@@ -319,7 +343,7 @@ def backfill(spark: SparkSession, df: DataFrame, table: str, time_col: str, orde
     planned = backfill_outcomes(days, ledger, leaf, table).drop("bytes")
     todo = sorted(r["day"] for r in planned.where(F.col("outcome") == "ok").collect())  # calendar sized
     lines = export_days(spark, df, table, time_col, order_cols, todo, leaf, ledger, root, schema,
-                        ledger_path=ledger_path, exported_at=exported_at, id_col=id_col)
+                        ledger_path=ledger_path, exported_at=exported_at, id_col=id_col, day_col=day_col, fmt=fmt)
     written = lines.select(F.to_date("day").alias("day"), F.col("bytes").cast("long").alias("bytes"),
                            F.lit(True).alias("_written"))
     outcomes = planned.join(written, "day", "left").select(
@@ -382,8 +406,8 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     days = [r["day"] for r in planned]
     to_export = [r["day"] for r in planned if r["action"] == "export+purge"]
     if to_export:
-        export_days(spark, data.drop("day"), table, time_col, order_cols, to_export, leaves, ledger, root,
-                    schema, ledger_path=ledger_path, exported_at=exported_at, id_col=id_col, fmt=fmt)
+        export_days(spark, data, table, time_col, order_cols, to_export, leaves, ledger, root,
+                    schema, ledger_path=ledger_path, exported_at=exported_at, id_col=id_col, fmt=fmt, day_col="day")
     ledger = read_manifest(spark, ledger_path, table)
     inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", days))).select(
         F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit("." + fmt)).alias("file"), "bytes", "sha256")
