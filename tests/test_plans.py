@@ -39,3 +39,17 @@ def test_candle_synthesis_single_exchange_after_1m(spark):
 def test_day_counts_push_range_to_scan(spark):
     plan = _plan(E.queries()["purge_plan"](spark, SF001))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts,2024-01-01T00:00)" in plan
+
+
+def test_routing_broadcasts_the_leaf_days(spark):
+    plan = _plan(E.queries()["route_rows"](spark, SF001))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning" not in plan  # the rows are never shuffled
+
+
+def test_id_bounds_aggregates_before_joining(spark):
+    plan = _plan(E.queries()["id_bounds"](spark, SF001))
+    # the only join is the small day list against per-day aggregates; rows reach it already aggregated
+    join_at = plan.find("Join")
+    assert join_at >= 0 and plan.count("Join") == 1
+    assert "HashAggregate" in plan[join_at:]

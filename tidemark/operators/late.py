@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import day_of
+from tidemark.operators.joins import day_side
 from tidemark.operators.prefix import DEFAULT_WIDTH, prefix_max_before
 
 
 def route_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str) -> DataFrame:
     """Each row goes to its day's leaf, else to ``<table>_default`` (L1).
 
-    ``leaf`` is (table_name, day[, leaf_name]) -- one row per leaf day, so it is
-    small; the plan is a left join that AQE turns into a broadcast once the
-    leaf side is measured.  Also usable per micro-batch in ``foreachBatch``.
+    ``leaf`` is (table_name, day[, leaf_name]) -- one row per leaf day, a
+    calendar-bounded side that is broadcast, so the rows are never
+    shuffled.  Also usable per micro-batch in ``foreachBatch``.
     """
     lv = leaf.where(F.col("table_name") == table).select(
         "day", (F.col("leaf_name") if "leaf_name" in leaf.columns
                 else F.concat(F.lit(table + "_d"), F.date_format("day", "yyyyMMdd"))).alias("_leaf")).distinct()
     return (
         df.withColumn("day", day_of(time_col))
-        .join(lv, "day", "left")
+        .join(day_side(lv), "day", "left")
         .withColumn("target", F.coalesce(F.col("_leaf"), F.lit(table + "_default")))
         .drop("_leaf")
     )
@@ -35,7 +36,7 @@ def default_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str) -> D
     days = leaf.where(F.col("table_name") == table).select("day").distinct()
     return (
         df.select(day_of(time_col).alias("day"))
-        .join(days, "day", "left_anti")
+        .join(day_side(days), "day", "left_anti")
         .agg(F.count(F.lit(1)).alias("default_rows"))
         .select(F.lit(table).alias("table_name"), "default_rows")
     )
@@ -68,7 +69,7 @@ def sealed_day_late_rows(df: DataFrame, event_col: str, arrival_col: str, ledger
     at = df.schema[arrival_col].dataType
     return (
         df.withColumn("day", day_of(event_col))
-        .join(sealed, "day", "inner")
+        .join(day_side(sealed), "day", "inner")
         .where(F.col(arrival_col) > F.col("exported_at").cast(at))
     )
 

@@ -50,9 +50,9 @@ def id_bounds(df: DataFrame, days: DataFrame, time_col: str, id_col: str = "id",
     """
     if lo is not None and hi is not None:
         df = day_slice(df, time_col, lo, hi)
+    # aggregate first (map-side partial aggregates), then join the per-day result to the day list
     per_day = (
         df.select(day_of(time_col).alias("day"), F.col(id_col).alias("_id"))
-        .join(days.select("day"), "day", "left_semi")
         .groupBy("day")
         .agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count(F.lit(1)).alias("n_rows"))
     )

@@ -243,5 +243,13 @@ def restore_days(base: DataFrame, supplements: DataFrame, key: str = "id") -> Da
     The anti join on the key makes a restore re-runnable: a supplement row
     that a later export already contains is not restored twice.
     """
-    extra = supplements.select(*base.columns).join(base.select(key), key, "left_anti")
+    from tidemark.operators.joins import checked_side
+
+    supp = supplements.select(*base.columns)
+    ids, small = checked_side(supp.select(key).distinct())
+    if small:  # find the few supplement keys already in the base without shuffling the base
+        present = base.select(key).join(ids, key, "left_semi")
+        extra = supp.join(present, key, "left_anti")
+    else:
+        extra = supp.join(base.select(key), key, "left_anti")
     return base.unionByName(extra)

@@ -18,8 +18,10 @@ def read_days(df: DataFrame, time_col: str, lo_day, hi_day, leaf: DataFrame, tab
     pushed to the scan; the leaf semi join keeps days without their own leaf
     out, so a dropped day can never look like an empty one.
     """
+    from tidemark.operators.joins import day_side
+
     rows = day_slice(df, time_col, lo_day, hi_day, day_col)
-    days = leaf.where(F.col("table_name") == table).select("day")
+    days = day_side(leaf.where(F.col("table_name") == table).select("day"))
     return rows.join(days, day_of(time_col) == days["day"], "left_semi")
 
 
