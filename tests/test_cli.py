@@ -58,3 +58,29 @@ def test_cli_retention_partitions_logs(spark, scratch, capsys):
     assert [(r["run_no"], r["n_problems"], r["failed"]) for r in problems] == [(1, 0, False), (2, 1, True)]
     body = [r["line"] for r in out if "from_end" in r]
     assert body[0].startswith("=== coverage 2024-01-02") and body[-1].startswith("=== coverage done")
+
+
+def test_cli_trades_pinned_archive_and_arming(spark, scratch, capsys):
+    import glob
+
+    import pyarrow as pa
+
+    from tidemark import schemas as S
+
+    tr = fx.trades(spark, SF001).withColumnRenamed("bus_time", "timestamp")
+    data = f"{scratch}/trades"
+    tr.withColumn("day", day_of("executed_at")).write.partitionBy("day").parquet(data)
+    common = ["--table", "trades", "--data", data, "--archive", f"{scratch}/archive", "--ledger", f"{scratch}/LEDGER"]
+    cli.main(["export", *common, "2024-01-03"], spark)
+    line = _rows(capsys.readouterr().out)[0]
+    assert (line["bound_lower"], line["bound_upper"]) == ("2024-01-03T00:00:00Z", "2024-01-04T00:00:00Z")
+    part = sorted(glob.glob(f"{scratch}/archive/trades/day=2024-01-03/*.csv.zst"))[0]
+    with pa.CompressedInputStream(pa.OSFile(part), "zstd") as f:
+        header = f.read(400).decode().splitlines()[0]
+    assert header.replace('"', "").split(",") == S.TRADE_COLUMNS_V1
+    cli.main(["purge", *common, "--apply", "2024-01-03"], spark)
+    refused = _rows(capsys.readouterr().out)[0]
+    assert (refused["decision"], refused["reason"], refused["dropped"]) == ("REFUSE", "purge not armed", False)
+    cli.main(["purge", *common, "--armed", "--apply", "2024-01-03"], spark)
+    done = _rows(capsys.readouterr().out)[0]
+    assert (done["decision"], done["dropped"]) == ("PURGE", True)
