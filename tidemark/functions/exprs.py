@@ -23,13 +23,6 @@ def sentinel_for(df: DataFrame, col: str) -> Column:
     return F.lit(S.SENTINEL).cast(df.schema[col].dataType)
 
 
-def utc_day_bounds(day: Column, like: T.DataType = T.TimestampNTZType()) -> tuple[Column, Column]:
-    """Half-open [day 00:00, day+1 00:00) bounds typed like the time column."""
-    lower = day.cast(like)
-    upper = F.date_add(day, 1).cast(like)
-    return lower, upper
-
-
 def valid_day_text(c) -> Column:
     """``YYYY-MM-DD`` that also survives a calendar round trip (rejects 2024-02-30)."""
     c = as_col(c)

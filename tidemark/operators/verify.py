@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.functions.exprs import decimal_less_than, digits, is_iso_z, is_sha256, valid_day_text
+from tidemark.operators.calendar import exact_day_bound
 
 LEDGER_COLUMNS = ["table_name", "line_no", "nf", "file", "day", "bound_lower", "bound_upper",
                   "rows", "bytes", "sha256", "exported_at"]
@@ -37,12 +38,6 @@ def expected_file(table: Column, day_text: Column) -> Column:
     return F.concat(table, F.lit("-"), day_text, F.lit(".csv.zst"))
 
 
-def day_lines(ledger: DataFrame, days: DataFrame) -> DataFrame:
-    """Ledger lines whose day field equals a requested day (text equality, as the ledger is text)."""
-    req = days.select("table_name", F.date_format("day", "yyyy-MM-dd").alias("day_text"), "day")
-    return req.join(ledger.withColumnRenamed("day", "day_text"), ["table_name", "day_text"], "inner")
-
-
 def ledger_health(ledger: DataFrame) -> DataFrame:
     """Per (table, day text): lines, malformed lines, and status.
 
@@ -147,10 +142,8 @@ def resolve_purge_target(days: DataFrame, children: DataFrame) -> DataFrame:
     when no exact child exists but a default does; MISSING(4) otherwise.
     """
     exact = (
-        children.where(~F.col("is_default"))
+        children.where(~F.col("is_default") & exact_day_bound(children))
         .withColumn("day", F.to_date("bound_lower"))
-        .where((F.col("bound_lower") == F.col("day").cast(children.schema["bound_lower"].dataType))
-               & (F.col("bound_upper") == F.date_add("day", 1).cast(children.schema["bound_upper"].dataType)))
         .groupBy("table_name", "day")
         .agg(F.count(F.lit(1)).alias("n_exact"), F.count_if(F.col("kind") != "r").alias("n_other"),
              F.min("leaf_name").alias("exact_leaf"))

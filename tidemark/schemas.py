@@ -67,11 +67,6 @@ REASON_NO_LEAF = "no exact partition"
 REASON_AMBIGUOUS = "no safe purge mapping"
 REASON_ROWS = "row mismatch"
 REASON_OK = "verified"
-PURGE_REASON_ORDER = [
-    REASON_NO_LINE, REASON_MALFORMED, REASON_DUPLICATE, REASON_FIELD_INVALID,
-    REASON_ARCHIVE_MISSING, REASON_SHA, REASON_SIZE, REASON_NOT_ARMED,
-    REASON_AMBIGUOUS, REASON_NO_LEAF, REASON_ROWS,
-]
 # Purge target priorities.
 TARGET_PRIORITY = {"REFUSE": 1, "PARTITION": 2, "DEFAULT": 3, "MISSING": 4}
 # ---- end of fixed values ----------------------------------------------------
@@ -102,19 +97,6 @@ TABLES = {
 }
 
 
-def backward_days(cfg: TableConfig, horizon: int = RETENTION_HORIZON_DAYS) -> int:
-    """Backward buffer; tables whose leaves retention drops are clamped below the horizon."""
-    if cfg.purged_by_retention and cfg.back_days >= horizon:
-        return horizon - 1
-    return cfg.back_days
-
-
-LEDGER_LINE_SCHEMA = T.StructType([
-    T.StructField("ledger", T.StringType()),
-    T.StructField("line_no", T.LongType()),
-    T.StructField("line", T.StringType()),
-])
-
 SUPPLEMENT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in SUPPLEMENT_FIELDS])
 
 CANDLE_CSV_SCHEMA = T.StructType([
