@@ -213,34 +213,39 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     for d in todo_days:
         fs, p = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
         (published if fs.exists(p) else fresh).append(d)
-    adopted = _adoptable(spark, df, table, time_col, schema, root, published, day_col) if adopt and published else []
-    if not fresh and not adopted:
+    candidates = sorted(fresh + (published if adopt else []))
+    if not candidates:
         return spark.createDataFrame([], LEDGER_LINE_DDL)
+    # ONE pruned aggregate over the table serves the count check, adoption and the ledger bounds
+    stats = _day_stats(df, time_col, candidates, day_col, id_col)
+    adopted = _adoptable(spark, schema, root, table, published, stats) if adopt and published else []
     if fresh:
         fresh_rows = _rows_of_days(df, time_col, fresh, day_col)
         if day_col:
             plan_guard(fresh_rows)
-        _write_and_publish(spark, fresh_rows, table, time_col, order_cols, fresh, root, schema, n_parts, fmt)
+        _write_and_publish(spark, fresh_rows, table, time_col, order_cols, fresh, root, schema, n_parts, fmt,
+                           {d: stats.get(d, (0, None, None))[0] for d in fresh})
     done = sorted(fresh + adopted)
-    done_df = spark.createDataFrame([(d,) for d in done], "day date")
-    rows = _rows_of_days(df, time_col, done, day_col)
+    if not done:
+        return spark.createDataFrame([], LEDGER_LINE_DDL)
     # hash only the folders written (or adopted) now, never the whole archive
     inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{root}/{table}", done)))
     stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    if id_col:
-        b = slices.id_bounds(rows, done_df, time_col, id_col).select(
-            "day", F.col("id_lower").cast("string").alias("bound_lower"),
-            F.col("id_upper").cast("string").alias("bound_upper"), F.col("n_rows"))
-    else:
-        b = done_df.join(slices.day_counts(rows, time_col), "day", "left").select(
-            "day", F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z")).alias("bound_lower"),
-            F.concat(F.date_add("day", 1).cast("string"), F.lit("T00:00:00Z")).alias("bound_upper"), "n_rows")
+    per_day = []
+    for d in done:
+        n, lo, hi = stats.get(d, (0, None, None))
+        if id_col:  # empty day -> (0, 1)
+            bl, bu = str(lo if lo is not None else 0), str((hi if hi is not None else 0) + 1)
+        else:
+            bl, bu = f"{d.isoformat()}T00:00:00Z", f"{(d + dt.timedelta(days=1)).isoformat()}T00:00:00Z"
+        per_day.append((d, bl, bu, int(n)))
+    b = spark.createDataFrame(per_day, "day date, bound_lower string, bound_upper string, n_rows long")
     lines = (
-        done_df.join(b, "day", "left").join(inv, "day", "left")
+        b.join(inv, "day", "left")
         .select(F.lit(table).alias("table_name"),
                 F.concat(F.lit(table + "-"), F.col("day").cast("string"), F.lit("." + fmt)).alias("file"),
                 F.col("day").cast("string").alias("day"), "bound_lower", "bound_upper",
-                F.coalesce(F.col("n_rows"), F.lit(0)).cast("string").alias("rows"),
+                F.col("n_rows").cast("string").alias("rows"),
                 F.coalesce(F.col("bytes"), F.lit(0)).cast("string").alias("bytes"),
                 F.coalesce(F.col("sha256"), F.sha2(F.lit(""), 256)).alias("sha256"),
                 F.lit(stamp).alias("exported_at"), F.lit(8).alias("nf"),
@@ -251,7 +256,18 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     return lines
 
 
-def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts, fmt="csv.gz") -> None:
+def _day_stats(df: DataFrame, time_col: str, days: Sequence[dt.date], day_col: str | None,
+               id_col: str | None) -> dict:
+    """{day: (rows, min id, max id)} for the given days: one pruned, partially aggregated pass."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if id_col:
+        aggs += [F.min(id_col).alias("lo"), F.max(id_col).alias("hi")]
+    rows = _rows_of_days(df, time_col, days, day_col).groupBy(day_of(time_col).alias("day")).agg(*aggs).collect()
+    return {r["day"]: (r["n"], r["lo"] if id_col else None, r["hi"] if id_col else None) for r in rows}
+
+
+def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts, fmt="csv.gz",
+                       expected: dict | None = None) -> None:
     """Write the days to a fresh staging folder, prove the counts, then publish each day by rename."""
     rows = rows.select(*[f.name for f in schema.fields])
     staging = f"{root}/_staging/{uuid.uuid4().hex}/{table}"
@@ -264,10 +280,12 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
         re_counts = arc.read_archive(spark, staging, schema).groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
     else:  # every requested day was empty: nothing was written
         re_counts = spark.createDataFrame([], "day date, file_rows long")
-    bad = slices.day_counts(rows, time_col).join(re_counts, "day", "full_outer").where(
-        ~F.col("n_rows").eqNullSafe(F.col("file_rows"))).count()
+    got = {r["day"]: r["file_rows"] for r in re_counts.collect()}  # one row per day
+    want = expected if expected is not None else {
+        r["day"]: r["n_rows"] for r in slices.day_counts(rows, time_col).collect()}
+    bad = [d for d in set(got) | set(want) if got.get(d, 0) != want.get(d, 0)]
     if bad:
-        raise RuntimeError(f"FILE ROWCOUNT MISMATCH on {bad} day(s); nothing published")
+        raise RuntimeError(f"FILE ROWCOUNT MISMATCH on {len(bad)} day(s); nothing published")
     for d in days:
         fs, src = _fs(spark, f"{staging}/day={d.isoformat()}")
         _, dst = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
@@ -286,16 +304,12 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
         fs_run.delete(run_dir, True)  # everything was published; only this run's leftovers remain
 
 
-def _adoptable(spark, df, table, time_col, schema, root, days, day_col=None) -> list[dt.date]:
+def _adoptable(spark, schema, root, table, days, stats: dict) -> list[dt.date]:
     """Published days without a ledger line whose strict re-read count equals the table's count."""
     folders = arc.day_folders(f"{root}/{table}", days)
-    back = arc.read_archive(spark, folders, schema, base=f"{root}/{table}") \
-        .groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
-    want = spark.createDataFrame([(d,) for d in days], "day date") \
-        .join(slices.day_counts(_rows_of_days(df, time_col, days, day_col), time_col), "day", "left") \
-        .join(back, "day", "left")
-    ok = want.where(F.coalesce("n_rows", F.lit(0)) == F.coalesce("file_rows", F.lit(0)))
-    return sorted(r["day"] for r in ok.select("day").collect())
+    back = {r["day"]: r["file_rows"] for r in arc.read_archive(spark, folders, schema, base=f"{root}/{table}")
+            .groupBy("day").agg(F.count(F.lit(1)).alias("file_rows")).collect()}
+    return sorted(d for d in days if back.get(d, 0) == stats.get(d, (0, None, None))[0])
 
 
 # ---------------------------------------------------------------- P2 backfill
