@@ -45,3 +45,23 @@ def test_query_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(E.ROWS_ONLY))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF001).count() > 0
+
+
+def test_queries_run_from_another_working_directory(tmp_path):
+    """Task-side Python (file hashing, the zstd writer) must not need the package on the executors' path."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.queries()['archive_inventory'](s, %r).count())\n" % (repo, SF001)
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 30" in out.stdout, out.stderr[-2000:]

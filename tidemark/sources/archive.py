@@ -14,6 +14,17 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import content_digest_agg, day_of, row_digest_value
 from tidemark.session import partitions_for
 
+# The functions below that run inside tasks (file hashing, the zstd CSV writer) travel by value, so
+# executors need only pyarrow and the standard library, not this package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # older pickler: ship the package with --py-files instead
+    pass
+
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 CHUNK = 8 << 20
 
