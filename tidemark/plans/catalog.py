@@ -223,6 +223,26 @@ def q_route_rows(spark, sf):
     return late.route_rows(fx.ticks(spark, sf), "bus_time", fx.leaf(spark, sf), "ticks").select("id", "day", "target")
 
 
+def q_stream_route_default(spark, sf):
+    """L1 as a stream: ticks arrive as files, each micro-batch is routed by foreachBatch; returns the DEFAULT sink."""
+    ensure_utc(spark)
+    from tidemark.streaming.routing import start_routing
+
+    base = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    t = fx.ticks(spark, sf)
+    # the ticks arrive in three ten-day drops, so the stream sees several micro-batches
+    t.withColumn("_drop", F.floor((F.dayofmonth("bus_time") - 1) / 10)).write.partitionBy("_drop") \
+        .parquet(f"{base}/spool")
+    stream = (spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True)
+              .parquet(f"{base}/spool"))
+    q = start_routing(stream, "bus_time", fx.leaf(spark, sf), "ticks", f"{base}/table", f"{base}/default",
+                      f"{base}/checkpoint")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{base}/default").select("id", "day")
+
+
 def q_default_rows(spark, sf):
     ensure_utc(spark)
     lv = fx.all_leaves(spark, sf)
@@ -452,6 +472,7 @@ QUERIES = {
     "ledger_totals": q_ledger_totals,
     "route_rows": q_route_rows,
     "default_rows": q_default_rows,
+    "stream_route_default": q_stream_route_default,
     "late_arrivals": q_late_arrivals,
     "sealed_day_late_rows": q_sealed_day_late_rows,
     "monotonicity_violations": q_monotonicity_violations,

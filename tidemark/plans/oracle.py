@@ -326,6 +326,8 @@ ORACLE: dict[str, str] = {
     "route_rows": sql("""SELECT t.id, cast(t.bus_time AS DATE) AS day, coalesce(l.leaf_name, 'ticks_default') AS target
         FROM ticks t LEFT JOIN leaf l ON l.day = cast(t.bus_time AS DATE)""", "ticks", "leaf"),
     "default_rows": sql("SELECT * FROM default_rows", "default_rows"),
+    "stream_route_default": sql("""SELECT t.id, cast(t.bus_time AS DATE) AS day FROM ticks t
+        WHERE NOT EXISTS (SELECT 1 FROM leaf l WHERE l.day = cast(t.bus_time AS DATE))""", "ticks", "leaf"),
     "late_arrivals": sql("""SELECT cast(bus_time AS DATE) AS arrival_day,
             cast(date_diff('day', cast(executed_at AS DATE), cast(bus_time AS DATE)) AS BIGINT) AS lag_days,
             count(*) AS n_rows FROM trades WHERE cast(bus_time AS DATE) > cast(executed_at AS DATE) GROUP BY 1, 2""",
