@@ -375,3 +375,28 @@ def test_export_prunes_partitioned_source_and_guards_the_plan(spark, scratch):
     unpruned = jobs._rows_of_days(data.drop("day"), "bus_time", [dt.date(2024, 1, 3)])
     with pytest.raises(RuntimeError, match="not pruned"):
         jobs.plan_guard(unpruned)
+
+
+def test_apply_purge_on_a_catalog_table(spark, scratch):
+    """Catalog form: leaves from SHOW PARTITIONS, drop by ALTER TABLE ... DROP PARTITION (external table)."""
+    from tidemark.sources.tables import catalog_leaves
+
+    t = fx.ticks(spark, SF001)
+    path = f"{scratch}/ext"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(path)
+    name = "tm_ticks_" + os.path.basename(scratch).replace("-", "_")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    try:
+        leaves = catalog_leaves(spark, name, "ticks")
+        assert leaves.count() == t.select(day_of("bus_time")).distinct().count()
+        d = dt.date(2024, 1, 2)
+        n = t.where(day_of("bus_time") == d).count()
+        plan = spark.createDataFrame([(d, "PURGE", n), (dt.date(2024, 1, 3), "PURGE", 1)],
+                                     "day date, decision string, ledger_rows long")
+        assert jobs.apply_purge(spark, plan, path, "bus_time", catalog_table=name) == ["2024-01-02"]
+        assert catalog_leaves(spark, name, "ticks").where(F.col("day") == d).count() == 0
+        assert not os.path.exists(f"{path}/day=2024-01-02")
+        assert spark.table(name).count() == t.count() - n  # the 3rd had a wrong ledger count: kept
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -119,11 +119,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col: str) -> list[str]:
+def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str | None, time_col: str,
+                catalog_table: str | None = None) -> list[str]:
     """Drop the ``day=`` folder of every PURGE day whose live row count still equals the plan (P3 apply).
 
     Counts are re-taken right before the drop in one pruned aggregate; a day
     that changed since the plan is left alone (late rows are L4's business).
+    With ``catalog_table`` the partition is dropped by ``ALTER TABLE ... DROP
+    PARTITION`` (and, for an external table at ``table_path``, its folder).
     Returns the dropped days.  Only metadata (the day list) reaches the driver.
     """
     purge = plan.where(F.col("decision") == "PURGE").select("day", "ledger_rows")
@@ -132,7 +135,8 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col:
     if not days:
         return []
     # only the purge days' partitions are listed and counted (partition pruning)
-    live = (spark.read.parquet(table_path).where(F.col("day").isin(days))
+    source = spark.table(catalog_table) if catalog_table else spark.read.parquet(table_path)
+    live = (source.where(F.col("day").isin(days))
             .groupBy("day").agg(F.count(F.lit(1)).alias("live_rows")))
     ok = purge.join(live, "day", "inner").where(F.col("live_rows") == F.col("ledger_rows")).select("day")
     if "listing" in plan.columns:  # the files verified at plan time must still be exactly the files there
@@ -142,6 +146,14 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str, time_col:
     dropped = []
     for r in ok.orderBy("day").collect():  # one row per day: calendar sized
         d = r["day"].isoformat()
+        if catalog_table:
+            spark.sql(f"ALTER TABLE {catalog_table} DROP IF EXISTS PARTITION (day = DATE'{d}') PURGE")
+            dropped.append(d)
+            if table_path:  # an external table keeps its files after DROP PARTITION
+                fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d}")
+                if fs.exists(p):
+                    fs.delete(p, True)
+            continue
         fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d}")
         if fs.exists(p) and fs.delete(p, True):
             dropped.append(d)

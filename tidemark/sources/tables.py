@@ -52,6 +52,16 @@ def table_leaves(spark, table_path: str, table: str) -> DataFrame:
             "table_name", F.concat(F.lit(table + "_d"), F.date_format("day", "yyyyMMdd")).alias("leaf_name"), "day")
 
 
+def catalog_leaves(spark, table_name: str, table: str) -> DataFrame:
+    """Leaf catalog of a catalog table partitioned by ``day``: ``SHOW PARTITIONS`` parsed."""
+    parts = spark.sql(f"SHOW PARTITIONS {table_name}")
+    day = F.try_to_date(F.regexp_extract(F.col("partition"), r"(?:^|/)day=([0-9]{4}-[0-9]{2}-[0-9]{2})(?:/|$)", 1),
+                        "yyyy-MM-dd")
+    return parts.select(F.lit(table).alias("table_name"), day.alias("day")).where(F.col("day").isNotNull()) \
+        .select("table_name", F.concat(F.lit(table + "_d"), F.date_format("day", "yyyyMMdd")).alias("leaf_name"),
+                "day")
+
+
 def children_of(leaves: DataFrame, with_default: bool = True) -> DataFrame:
     """Partition-catalog rows (bounds per leaf, plus a DEFAULT) for ``resolve_purge_target``."""
     ordinary = leaves.select("table_name", "leaf_name", F.lit("r").alias("kind"), F.lit(False).alias("is_default"),
