@@ -193,3 +193,24 @@ def test_first_by_priority_takes_the_lowest(spark):
                                   "table_name string, day int, priority int, target string")
     got = {r.day: r.target for r in verify.first_by_priority(cands, ["table_name", "day"], "priority").collect()}
     assert got == {1: "PARTITION", 2: "MISSING"}
+
+
+def test_operators_accept_zoned_timestamps(spark):
+    """Production tables carry TIMESTAMP (UTC), the fixtures TIMESTAMP_NTZ: results must agree."""
+    from tidemark.operators import slices
+
+    ntz = fx.ticks(spark, SF001)
+    ltz = ntz.withColumn("bus_time", F.col("bus_time").cast("timestamp"))
+    a = slices.day_slice(ntz, "bus_time", "2024-01-03", "2024-01-05").count()
+    b = slices.day_slice(ltz, "bus_time", "2024-01-03", "2024-01-05").count()
+    assert a == b > 0
+    cn = cdl.ticks_to_candles(ntz, "1h", ["instrument"], "bus_time", "price", "id")
+    cl = cdl.ticks_to_candles(ltz, "1h", ["instrument"], "bus_time", "price", "id") \
+        .withColumn("open_at", F.col("open_at").cast("timestamp_ntz"))
+    assert cn.exceptAll(cl).count() == 0 and cl.exceptAll(cn).count() == 0
+    c1m = cdl.ticks_to_candles(ltz, "1m", ["instrument"], "bus_time", "price", "id")
+    syn = cdl.synthesize_candles(c1m, ["instrument"], ["1h", "1d"], cut_date="2024-01-02")
+    assert syn.where("timeframe = '1d'").agg(F.min("open_at")).first()[0].date().isoformat() == "2024-01-02"
+    v = ltz.select("instrument", F.col("bus_time").alias("known_from"), "id")
+    closed = cdl.close_versions(v, ["instrument"], ["known_from", "id"], hot_rows=None)
+    assert closed.where(F.year("known_to") == 9999).count() == ntz.select("instrument").distinct().count()
