@@ -400,3 +400,25 @@ def test_apply_purge_on_a_catalog_table(spark, scratch):
         assert spark.table(name).count() == t.count() - n  # the 3rd had a wrong ledger count: kept
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_candle_ingest_upsert_is_idempotent(spark, scratch):
+    """P7 into a candle table: a second run over the same cache changes nothing."""
+    from tidemark.operators import candles as cdl
+    from tidemark.sources.candle_csv import write_candle_csv
+
+    t = fx.ticks(spark, SF001)
+    c1m = cdl.ticks_to_candles(t, "1m", ["instrument"], "bus_time", "price", "id")
+    write_candle_csv(c1m, f"{scratch}/cache")
+    src = t.groupBy(F.col("instrument").alias("source")).agg(
+        F.unix_seconds(F.max("bus_time").cast("timestamp")).alias("last_epoch"))
+    empty = spark.createDataFrame([], "exchange string, instrument string, timeframe string, open_at timestamp_ntz, "
+                                      "open double, high double, low double, close double, volume double, "
+                                      "trades long, known_from timestamp_ntz, known_to timestamp_ntz")
+    keys = ["exchange", "instrument"]
+    first = jobs.candle_ingest(spark, f"{scratch}/cache", src, "2024-02-03 12:00:00", keys, current=empty)
+    assert first.count() > 0 and first.where(F.year("known_to") != 9999).count() == 0
+    first = first.cache()
+    again = jobs.candle_ingest(spark, f"{scratch}/cache", src, "2024-02-04 12:00:00", keys, current=first)
+    assert again.exceptAll(first).count() == 0 and first.exceptAll(again).count() == 0
+    first.unpersist()

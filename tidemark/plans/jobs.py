@@ -524,16 +524,26 @@ def candle_sweep_job(candles: DataFrame, lo_day, hi_day, archive_path: str, keys
 
 # ---------------------------------------------------------------- P7 ingest
 def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now, keys: Sequence[str],
-                  timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES, floor: int = S.MIN_LOOKBACK_DAYS) -> DataFrame:
+                  timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES, floor: int = S.MIN_LOOKBACK_DAYS,
+                  current: DataFrame | None = None) -> DataFrame:
     """Lookback -> load the cache from ``since`` -> synthesize with ``cut_date = since``.
 
     ``since`` is the earliest over sources (one small aggregate read by the
-    driver as a scalar, like the job's own date arithmetic).
+    driver as a scalar, like the job's own date arithmetic).  Without
+    ``current`` the synthesized bars are returned.  With the current SCD2
+    candle table, the loaded 1m rows and the synthesized bars are upserted
+    into it (a changed bar closes its old version, an unchanged one is kept),
+    so re-running over the same cache changes nothing.
     """
     since = cdl.lookback_since(sources, now, floor).agg(F.min("since")).first()[0]
     base = load_candle_csv(spark, cache_path, since)
     end = F.to_date(F.to_timestamp(F.lit(now)))
-    return cdl.synthesize_candles(base, keys, timeframes, start=since, end=end, cut_date=since)
+    synthesized = cdl.synthesize_candles(base, keys, timeframes, start=since, end=end, cut_date=since)
+    if current is None:
+        return synthesized
+    incoming = base.select(*keys, "timeframe", "open_at", *cdl.CANDLE_VALUE_COLUMNS).unionByName(synthesized)
+    at = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
+    return cdl.scd2_upsert(current, incoming, [*keys, "timeframe", "open_at"], cdl.CANDLE_VALUE_COLUMNS, at)
 
 
 # ---------------------------------------------------------------- P8 restore
