@@ -543,7 +543,12 @@ def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now,
         return synthesized
     incoming = base.select(*keys, "timeframe", "open_at", *cdl.CANDLE_VALUE_COLUMNS).unionByName(synthesized)
     at = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
-    return cdl.scd2_upsert(current, incoming, [*keys, "timeframe", "open_at"], cdl.CANDLE_VALUE_COLUMNS, at)
+    # only the batch's days take part in the merge join; older bars pass through untouched
+    t = current.schema["open_at"].dataType
+    touched = F.col("open_at") >= F.lit(since).cast("date").cast(t)
+    merged = cdl.scd2_upsert(current.where(touched), incoming, [*keys, "timeframe", "open_at"],
+                             cdl.CANDLE_VALUE_COLUMNS, at)
+    return current.where(~touched).unionByName(merged.select(*current.columns))
 
 
 # ---------------------------------------------------------------- P8 restore
