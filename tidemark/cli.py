@@ -107,7 +107,7 @@ def cmd_retention(spark: SparkSession, a) -> None:
     data = spark.read.parquet(a.data)
     out = jobs.run_retention(spark, a.data, a.table, cfg.time_col, list(cfg.order_cols),
                              _archive_schema(data, a.table), a.archive, a.ledger, a.today, a.horizon, a.max_days,
-                             fmt=a.fmt)
+                             fmt=a.fmt, armed=a.armed)
     _emit(out.orderBy("day").collect())
 
 
@@ -179,6 +179,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--today", type=_day, default=dt.datetime.now(dt.timezone.utc).date())
     r.add_argument("--horizon", type=int, default=S.RETENTION_HORIZON_DAYS)
     r.add_argument("--max-days", type=int, default=S.MAX_DAYS_PER_RUN)
+    r.add_argument("--armed", action="store_true", help="allow purging trades")
     pa_ = sub.add_parser("partitions", help="leaf coverage report: missing days, anchors, headroom, DEFAULT")
     pa_.add_argument("--data", action="append", required=True, help="TABLE=PATH (day-partitioned)")
     pa_.add_argument("--ledger", action="append", help="TABLE=PATH")

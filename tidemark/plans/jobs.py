@@ -406,7 +406,8 @@ def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame,
 def run_retention(spark: SparkSession, table_path: str, table: str, time_col: str, order_cols: Sequence[str],
                   schema: T.StructType, archive_root: str, ledger_path: str, today,
                   horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN,
-                  id_col: str | None = "id", exported_at: str | None = None, fmt: str = "csv.gz") -> DataFrame:
+                  id_col: str | None = "id", exported_at: str | None = None, fmt: str = "csv.gz",
+                  armed: bool = False) -> DataFrame:
     """One retention run over a ``day=``-partitioned Parquet table (P4 end to end).
 
     Oldest leaf first, up to ``today - horizon`` and ``max_days`` days: days
@@ -414,7 +415,8 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     purge plan against the ledger, the archive and the table's own leaves,
     and only verified days are dropped -- and, as in the day-by-day job,
     none after the first refused day (those report ``HOLD``).  Returns the
-    purge plan rows (calendar sized) with a ``dropped`` flag.
+    purge plan rows (calendar sized) with a ``dropped`` flag.  Tables that
+    need arming (trades) are only purged with ``armed=True``.
     """
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import children_of, table_leaves
@@ -441,7 +443,8 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     counts = data.where(F.col("day").isin(days)).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumn("table_name", F.lit(table))
     listing = table_day_listing(spark, table_path, days)
-    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, suffix="." + fmt, listing=listing)
+    pp = purge_plan(days_df, ledger, inv, children_of(leaves), counts, armed=armed, suffix="." + fmt,
+                    listing=listing)
     # like the day-by-day job, stop at the first refused day: only verified days before it are dropped
     first_refusal = pp.where(F.col("decision") != "PURGE").agg(F.min("day")).first()[0]
     if first_refusal is not None:
