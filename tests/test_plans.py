@@ -55,3 +55,23 @@ def test_id_bounds_aggregates_before_joining(spark):
     join_at = plan.find("Join")
     assert join_at >= 0 and plan.count("Join") == 1
     assert "HashAggregate" in plan[join_at:]
+
+
+def test_default_rows_prunes_leaf_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.exprs import day_of
+    from tidemark.operators.late import default_rows
+    from tidemark.sources import fixtures as fx
+
+    t = fx.ticks(spark, SF001)
+    path = str(tmp_path / "t")
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(path)
+    data = spark.read.parquet(path)
+    leaf = fx.leaf(spark, SF001)
+    pruned = default_rows(data, "bus_time", leaf, "ticks", day_col="day")
+    plan = _plan(pruned)
+    part_filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert part_filters.startswith("NOT day") and "INSET 2024-01-01" in part_filters  # leaf days pruned
+    want = default_rows(t, "bus_time", leaf, "ticks").first()[1]
+    assert pruned.first()[1] == want == t.where(F.dayofmonth("bus_time").isin(11, 22)).count()

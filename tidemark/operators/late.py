@@ -31,15 +31,23 @@ def route_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str) -> Dat
     )
 
 
-def default_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str) -> DataFrame:
-    """Rows whose day has no leaf, counted per table (A4)."""
+def default_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str, day_col: str | None = None) -> DataFrame:
+    """Rows whose day has no leaf, counted per table (A4).
+
+    With a ``day`` partition column the leaf days (a calendar-sized list)
+    become a ``NOT IN`` partition filter, so every leaf partition is pruned
+    and only the partitions without a leaf are read.
+    """
     days = leaf.where(F.col("table_name") == table).select("day").distinct()
-    return (
-        df.select(day_of(time_col).alias("day"))
-        .join(day_side(days), "day", "left_anti")
-        .agg(F.count(F.lit(1)).alias("default_rows"))
-        .select(F.lit(table).alias("table_name"), "default_rows")
-    )
+    if day_col is not None:
+        leaf_days = [r["day"] for r in days.collect()]  # calendar sized
+        rows = df.where(~F.col(day_col).isin(leaf_days)) if leaf_days else df
+        rows = rows.select(day_of(time_col).alias("day")).where(~F.col("day").isin(leaf_days) if leaf_days
+                                                                 else F.lit(True))
+    else:
+        rows = df.select(day_of(time_col).alias("day")).join(day_side(days), "day", "left_anti")
+    return rows.agg(F.count(F.lit(1)).alias("default_rows")).select(F.lit(table).alias("table_name"),
+                                                                     "default_rows")
 
 
 def late_arrivals(df: DataFrame, event_col: str, arrival_col: str, keys: Sequence[str] = ()) -> DataFrame:
