@@ -347,6 +347,20 @@ def q_export_restore_roundtrip(spark, sf):
     return arc.day_content_digest(back, "bus_time", _ticks_parts(back))
 
 
+def q_reconcile_export(spark, sf):
+    """J5 with all three legs: table rows = ledger rows = rows re-read from the exported archive."""
+    ensure_utc(spark)
+    from tidemark.sources.ledger import read_manifest
+
+    root = _export_all_days(spark, sf)
+    t = fx.ticks(spark, sf)
+    table_counts = slices.day_counts(t, "bus_time").withColumn("table_name", F.lit("ticks"))
+    archived = arc.read_archive(spark, f"{root}/ticks", TICKS_ARCHIVE_SCHEMA)
+    archive_counts = archived.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
+        .withColumn("table_name", F.lit("ticks"))
+    return verify.reconcile_counts(table_counts, read_manifest(spark, f"{root}/MANIFEST", "ticks"), archive_counts)
+
+
 def q_archive_inventory(spark, sf):
     ensure_utc(spark)
     root = _export_all_days(spark, sf)
@@ -485,6 +499,7 @@ QUERIES = {
     "day_content_digest": q_day_content_digest,
     "export_restore_roundtrip": q_export_restore_roundtrip,
     "export_ledger": q_export_ledger,
+    "reconcile_export": q_reconcile_export,
     "archive_inventory": q_archive_inventory,
     "restore_days": q_restore_days,
     "segment_runs": q_segment_runs,

@@ -396,6 +396,8 @@ ORACLE: dict[str, str] = {
     "export_restore_roundtrip": sql(DIGEST, "ticks"),
     "export_ledger": sql("SELECT day, lo AS id_lower, hi AS id_upper, n AS n_rows, 8 AS nf FROM counts", "counts"),
     "restore_days": sql("SELECT * FROM ticks", "ticks"),
+    "reconcile_export": sql("""SELECT 'ticks' AS table_name, day, n AS table_rows, n AS ledger_rows,
+            n AS archive_rows, cast(1 AS BIGINT) AS ledger_lines, 'ok' AS status FROM counts""", "counts"),
     "segment_runs": sql("SELECT file, line_no, run_no FROM runs", "runs"),
     "problem_count": sql("SELECT * FROM problems", "problems"),
     "run_tail": sql("""SELECT file, run_no, line_no, line, from_end FROM (SELECT file, run_no, line_no, line,
