@@ -361,6 +361,21 @@ def q_reconcile_export(spark, sf):
     return verify.reconcile_counts(table_counts, read_manifest(spark, f"{root}/MANIFEST", "ticks"), archive_counts)
 
 
+def q_purge_plan_export(spark, sf):
+    """P3 over a real export: the ledger it wrote, the sizes and sha256 of its files, the leaf catalog."""
+    ensure_utc(spark)
+    from tidemark.sources.ledger import read_manifest
+
+    root = _export_all_days(spark, sf)
+    t = fx.ticks(spark, sf)
+    inv = arc.day_inventory(arc.archive_inventory(spark, f"{root}/ticks")).select(
+        F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.zst")).alias("file"), "bytes", "sha256")
+    counts = slices.day_counts(t, "bus_time").withColumn("table_name", F.lit("ticks"))
+    days = counts.select("table_name", "day")
+    return jobs.purge_plan(days, read_manifest(spark, f"{root}/MANIFEST", "ticks"), inv, fx.children(spark, sf),
+                           counts)
+
+
 def q_archive_inventory(spark, sf):
     ensure_utc(spark)
     root = _export_all_days(spark, sf)
@@ -500,6 +515,7 @@ QUERIES = {
     "export_restore_roundtrip": q_export_restore_roundtrip,
     "export_ledger": q_export_ledger,
     "reconcile_export": q_reconcile_export,
+    "purge_plan_export": q_purge_plan_export,
     "archive_inventory": q_archive_inventory,
     "restore_days": q_restore_days,
     "segment_runs": q_segment_runs,

@@ -396,6 +396,12 @@ ORACLE: dict[str, str] = {
     "export_restore_roundtrip": sql(DIGEST, "ticks"),
     "export_ledger": sql("SELECT day, lo AS id_lower, hi AS id_upper, n AS n_rows, 8 AS nf FROM counts", "counts"),
     "restore_days": sql("SELECT * FROM ticks", "ticks"),
+    "purge_plan_export": sql("""SELECT 'ticks' AS table_name, c.day,
+            CASE WHEN l.day IS NULL THEN 'REFUSE' ELSE 'PURGE' END AS decision,
+            CASE WHEN l.day IS NULL THEN 'no exact partition' ELSE 'verified' END AS reason,
+            CASE WHEN l.day IS NULL THEN 'DEFAULT' ELSE 'PARTITION' END AS target,
+            coalesce(l.leaf_name, 'ticks_default') AS leaf_name, c.n AS ledger_rows, c.n AS table_rows
+        FROM counts c LEFT JOIN leaf l ON l.day = c.day""", "counts", "leaf"),
     "reconcile_export": sql("""SELECT 'ticks' AS table_name, day, n AS table_rows, n AS ledger_rows,
             n AS archive_rows, cast(1 AS BIGINT) AS ledger_lines, 'ok' AS status FROM counts""", "counts"),
     "segment_runs": sql("SELECT file, line_no, run_no FROM runs", "runs"),
