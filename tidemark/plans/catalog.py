@@ -237,7 +237,9 @@ def q_stream_route_default(spark, sf):
               .parquet(f"{base}/spool"))
     q = start_routing(stream, "bus_time", fx.leaf(spark, sf), "ticks", f"{base}/table", f"{base}/default",
                       f"{base}/checkpoint")
-    q.awaitTermination()
+    if not q.awaitTermination(900):  # availableNow ends by itself; never let a stuck stream hang the caller
+        q.stop()
+        raise RuntimeError("routing stream did not finish within 15 minutes")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/default").select("id", "day")
