@@ -55,6 +55,15 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
         _csv_options(writer.option("compression", compression)).csv(path)
 
 
+def _zstd_sink(raw, level: int):
+    """A zstd stream at ``level`` over ``raw``; pyarrow's own zstd stream (its default level) if zstandard is absent."""
+    try:
+        import zstandard
+    except ImportError:
+        return pa.CompressedOutputStream(raw, "zstd")
+    return zstandard.ZstdCompressor(level=level).stream_writer(raw)
+
+
 def _zst_writer(root: str, columns: list[str], level: int):
     """mapInArrow body: one zstd CSV stream per (range partition, day) of already sorted rows."""
 
@@ -96,7 +105,7 @@ def _zst_writer(root: str, columns: list[str], level: int):
                     state.update(day=d, rows=0, tmp=f"{folder}/_tmp-part-{pid:05d}-{attempt}.csv.zst",
                                  final=f"{folder}/part-{pid:05d}.csv.zst")
                     raw = fs.open_output_stream(state["tmp"], compression=None)
-                    state["sink"] = pa.CompressedOutputStream(raw, "zstd")
+                    state["sink"] = _zstd_sink(raw, level)
                     sub = batch.select(columns).slice(start, end - start)
                     state["writer"] = pacsv.CSVWriter(state["sink"], sub.schema)
                 else:
@@ -110,7 +119,6 @@ def _zst_writer(root: str, columns: list[str], level: int):
                 [pa.array([x[0] for x in done], pa.date32()), pa.array([x[1] for x in done]),
                  pa.array([x[2] for x in done], pa.int64())], names=["day", "path", "rows"])
 
-    del level
     return run
 
 
