@@ -27,6 +27,9 @@ def test_cli_export_then_purge(spark, scratch, capsys):
     cli.main(["export", *common, "2024-01-03", "2024-01-04"], spark)
     lines = _rows(capsys.readouterr().out)
     assert [r["day"] for r in lines] == ["2024-01-03", "2024-01-04"]
+    cli.main(["export", *common, "2024-01-03", "2024-02-10"], spark)
+    refused = {r["day"]: r["refused"] for r in _rows(capsys.readouterr().out)}
+    assert refused == {"2024-01-03": "already in the ledger", "2024-02-10": "no exact daily partition"}
     assert all(r["file"].endswith(".csv.zst") for r in lines)
     cli.main(["purge", *common, "--apply", "2024-01-03", "2024-01-05"], spark)
     plan = {r["day"]: r for r in _rows(capsys.readouterr().out)}

@@ -56,13 +56,27 @@ def cmd_export(spark: SparkSession, a) -> None:
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import table_leaves
 
+    from tidemark.operators import calendar as cal
+
     cfg = S.TABLES[a.table]
     data = spark.read.parquet(a.data)
-    lines = jobs.export_days(spark, data, a.table, cfg.time_col, list(cfg.order_cols), a.days,
-                             table_leaves(spark, a.data, a.table), read_manifest(spark, a.ledger, a.table), a.archive,
-                             _archive_schema(data, a.table), ledger_path=a.ledger, fmt=a.fmt, adopt=a.adopt,
-                             id_col="id" if cfg.ledger_kind == "ticks" else None, day_col="day")
-    _emit(lines.collect())
+    leaves = table_leaves(spark, a.data, a.table)
+    ledger = read_manifest(spark, a.ledger, a.table)
+    lines = jobs.export_days(spark, data, a.table, cfg.time_col, list(cfg.order_cols), a.days, leaves, ledger,
+                             a.archive, _archive_schema(data, a.table), ledger_path=a.ledger, fmt=a.fmt,
+                             adopt=a.adopt, id_col="id" if cfg.ledger_kind == "ticks" else None,
+                             day_col="day").collect()
+    _emit(lines)
+    # one line per refused day, with the reason (day lists are calendar sized)
+    done = {r["day"] for r in lines}
+    have_leaf = {r["day"] for r in leaves.select("day").collect()}
+    in_ledger = {r["day"] for r in cal.ledger_days(ledger).select("day").collect()}
+    for d in a.days:
+        if d.isoformat() in done:
+            continue
+        reason = ("no exact daily partition" if d not in have_leaf else
+                  "already in the ledger" if d in in_ledger else "archive already exists")
+        print(json.dumps({"day": d.isoformat(), "refused": reason}))
 
 
 def cmd_backfill(spark: SparkSession, a) -> None:
