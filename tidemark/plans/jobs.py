@@ -306,6 +306,8 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
                 if st.getPath().getName().startswith("_tmp-"):
                     fs.delete(st.getPath(), False)
         fs.mkdirs(dst.getParent())
+        if fs.exists(dst):  # published meanwhile by another run; some stores would nest a rename into it
+            raise RuntimeError(f"REFUSE {d}: archive already exists at {dst} (concurrent export?)")
         if fs.exists(src):
             if not fs.rename(src, dst):
                 raise RuntimeError(f"publish failed for {d}")
