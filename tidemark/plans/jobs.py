@@ -263,6 +263,8 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
                 F.lit(stamp).alias("exported_at"), F.lit(8).alias("nf"),
                 F.lit(None).cast("long").alias("line_no"), F.lit(table).alias("kind"))
     )
+    # one line per day: materialize once, so the ledger gets exactly the lines returned (files hashed once)
+    lines = spark.createDataFrame(lines.collect(), LEDGER_LINE_DDL)
     if ledger_path:
         append_manifest(lines, ledger_path)
     return lines
