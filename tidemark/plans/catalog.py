@@ -108,6 +108,32 @@ def q_cover_anchors(spark, sf):
     return cal.cover_anchors(cal.drop_archived_days(missing, cal.ledger_days(_ledgers(spark, sf))))
 
 
+def _session_leaves(spark, sf):
+    """Keyed leaves straight from a fact table: one (session, day) per day a session traded."""
+    tr = fx.trades(spark, sf)
+    return tr.select("session_id", day_of("bus_time").alias("day")).distinct()
+
+
+def q_session_missing_days(spark, sf):
+    """J1 keyed by session: the January days each trading session had no trade, from the whole trades table."""
+    ensure_utc(spark)
+    lv = _session_leaves(spark, sf)
+    sc = cal.scope(lv.select("session_id"), P.TODAY, 14, 15, keys=["session_id"])
+    return cal.missing_days(lv, sc, keys=["session_id"])
+
+
+def q_session_anchors(spark, sf):
+    """W1 keyed by session: the greedy 14-day cover of each session's missing days (one bounded fold per key)."""
+    ensure_utc(spark)
+    return cal.cover_anchors(q_session_missing_days(spark, sf), keys=["session_id"])
+
+
+def q_session_runs(spark, sf):
+    """W3 keyed by session: islands of consecutive trading days per session."""
+    ensure_utc(spark)
+    return cal.contiguous_runs(_session_leaves(spark, sf), keys=["session_id"])
+
+
 def q_leaf_catalog(spark, sf):
     ensure_utc(spark)
     lv = fx.all_leaves(spark, sf)
@@ -488,6 +514,9 @@ QUERIES = {
     "contiguous_runs": q_contiguous_runs,
     "cover_anchors": q_cover_anchors,
     "leaf_catalog": q_leaf_catalog,
+    "session_missing_days": q_session_missing_days,
+    "session_runs": q_session_runs,
+    "session_anchors": q_session_anchors,
     "read_days": q_read_days,
     "read_trades": q_read_trades,
     "reconcile_counts": q_reconcile_counts,

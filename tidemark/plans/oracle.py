@@ -99,6 +99,16 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         SELECT 'trades', count(*) FROM trades t WHERE NOT EXISTS
             (SELECT 1 FROM all_leaves l WHERE l.table_name = 'trades' AND l.day = cast(t.executed_at AS DATE))""",
                      ("ticks", "trades", "all_leaves")),
+    "sl": ("SELECT DISTINCT session_id, cast(bus_time AS DATE) AS day FROM trades", ("trades",)),
+    "smiss": ("""SELECT s.session_id, cast(g.d AS DATE) AS day
+        FROM (SELECT DISTINCT session_id FROM sl) s,
+             (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS d) g
+        WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.session_id = s.session_id AND sl.day = cast(g.d AS DATE))""",
+              ("sl",)),
+    "sess_rec(session_id, anchor)": ("""SELECT session_id, min(day) FROM smiss GROUP BY session_id
+        UNION ALL
+        SELECT a.session_id, (SELECT min(k.day) FROM smiss k WHERE k.session_id = a.session_id AND k.day > a.anchor + 13)
+        FROM "sess_rec" a WHERE a.anchor IS NOT NULL""", ("smiss",)),
     "log_lines": ("""SELECT event_type AS file, cast(event_id AS BIGINT) AS line_no,
         CASE WHEN event_id % 50 < 5 THEN '=== job 2024' WHEN value > 60 THEN 'WARN: slow'
              WHEN value < 1 THEN 'FAILED' ELSE 'OK' END AS line FROM events""", ()),
@@ -252,6 +262,16 @@ ORACLE: dict[str, str] = {
               AS isl FROM (SELECT DISTINCT table_name, day FROM all_leaves) d) x GROUP BY table_name, isl""",
                            "all_leaves"),
     "cover_anchors": sql("SELECT table_name, anchor, covers_until FROM anchors", "anchors"),
+    "session_missing_days": sql(f"""SELECT s.session_id, g.day
+        FROM (SELECT DISTINCT session_id FROM sl) s, {_series('2024-01-01', '2024-01-30')} g
+        WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.session_id = s.session_id AND sl.day = g.day)""", "trades",
+                                extra={"sl": "SELECT DISTINCT session_id, cast(bus_time AS DATE) AS day FROM trades"}),
+    "session_anchors": sql("""SELECT session_id, anchor, anchor + 13 AS covers_until FROM sess_rec
+        WHERE anchor IS NOT NULL""", "sess_rec(session_id, anchor)"),
+    "session_runs": sql("""SELECT session_id, min(day) AS run_start, max(day) AS run_end, count(*) AS n_days
+        FROM (SELECT session_id, day, day - cast(row_number() OVER (PARTITION BY session_id ORDER BY day) AS INTEGER)
+              AS isl FROM sl) x GROUP BY session_id, isl""", "trades",
+                        extra={"sl": "SELECT DISTINCT session_id, cast(bus_time AS DATE) AS day FROM trades"}),
     "leaf_catalog": sql("""SELECT table_name, leaf_name, cast(try_strptime(right(leaf_name, 8), '%Y%m%d') AS DATE) AS day
         FROM names WHERE regexp_matches(leaf_name, '^' || table_name || '_d[0-9]{8}$')
           AND try_strptime(right(leaf_name, 8), '%Y%m%d') IS NOT NULL""", "all_leaves",
