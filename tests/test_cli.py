@@ -36,6 +36,9 @@ def test_cli_export_then_purge(spark, scratch, capsys):
     assert plan["2024-01-03"]["decision"] == "PURGE" and plan["2024-01-03"]["dropped"]
     assert plan["2024-01-05"]["reason"] == "no manifest line" and not plan["2024-01-05"]["dropped"]
     assert spark.read.parquet(data).where(F.col("day") == "2024-01-03").count() == 0
+    cli.main(["restore", "--table", "ticks", "--data", data, "--archive", f"{scratch}/archive", "2024-01-03"], spark)
+    back = _rows(capsys.readouterr().out)
+    assert back == [{"day": "2024-01-03", "restored": plan["2024-01-03"]["ledger_rows"]}]
 
 
 def test_cli_retention_partitions_logs(spark, scratch, capsys):

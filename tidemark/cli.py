@@ -125,6 +125,16 @@ def cmd_retention(spark: SparkSession, a) -> None:
     _emit(out.orderBy("day").collect())
 
 
+def cmd_restore(spark: SparkSession, a) -> None:
+    from tidemark.sources import archive as arc
+
+    cfg = S.TABLES[a.table]
+    schema = _archive_schema(spark.read.parquet(a.data), a.table)
+    supp = arc.read_archive(spark, a.supplements, schema) if a.supplements else None
+    out = jobs.restore_into_table(spark, a.archive, a.table, a.days, schema, a.data, cfg.time_col, supp)
+    _emit(out.orderBy("day").collect())
+
+
 def cmd_partitions(spark: SparkSession, a) -> None:
     from tidemark.operators import calendar as cal
     from tidemark.sources.ledger import read_manifest
@@ -194,6 +204,12 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--horizon", type=int, default=S.RETENTION_HORIZON_DAYS)
     r.add_argument("--max-days", type=int, default=S.MAX_DAYS_PER_RUN)
     r.add_argument("--armed", action="store_true", help="allow purging trades")
+    rs = sub.add_parser("restore", help="put archived days (and their supplement rows) back into the table")
+    rs.add_argument("--table", required=True, choices=sorted(S.TABLES))
+    rs.add_argument("--data", required=True)
+    rs.add_argument("--archive", required=True)
+    rs.add_argument("--supplements", help="folder of supplement CSV files in the archive format")
+    rs.add_argument("days", nargs="+", type=_day)
     pa_ = sub.add_parser("partitions", help="leaf coverage report: missing days, anchors, headroom, DEFAULT")
     pa_.add_argument("--data", action="append", required=True, help="TABLE=PATH (day-partitioned)")
     pa_.add_argument("--ledger", action="append", help="TABLE=PATH")
@@ -216,7 +232,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 COMMANDS = {"export": cmd_export, "backfill": cmd_backfill, "purge": cmd_purge, "retention": cmd_retention,
-            "partitions": cmd_partitions, "candles-sweep": cmd_candles_sweep, "logs": cmd_logs}
+            "restore": cmd_restore, "partitions": cmd_partitions, "candles-sweep": cmd_candles_sweep,
+            "logs": cmd_logs}
 
 
 def main(argv=None, spark: SparkSession | None = None) -> int:

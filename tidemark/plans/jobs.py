@@ -567,6 +567,35 @@ def restore(spark: SparkSession, archive_path: str, schema: T.StructType, supple
     return late.route_rows(rows, time_col, leaf, table)
 
 
+def restore_into_table(spark: SparkSession, archive_root: str, table: str, days: Sequence[dt.date],
+                       schema: T.StructType, table_path: str, time_col: str,
+                       supplements: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Put archived days back into a ``day=``-partitioned table (P8 into storage).
+
+    Days that still have a partition are refused, so a restore never
+    duplicates rows; the others are re-read strictly (only their folders),
+    completed with the supplement rows they lack, and appended as new day
+    partitions in one write.  Returns (day, restored rows) per restored day.
+    """
+    todo = []
+    for d in days:
+        fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}")
+        if not fs.exists(p):
+            todo.append(d)
+    if not todo:
+        return spark.createDataFrame([], "day date, restored long")
+    base = arc.read_archive(spark, arc.day_folders(f"{archive_root.rstrip('/')}/{table}", todo), schema,
+                            base=f"{archive_root.rstrip('/')}/{table}").drop("day")
+    rows = base
+    if supplements is not None:
+        supp = supplements.where(day_of(time_col).isin(todo))
+        rows = arc.restore_days(base, supp, key)
+    out = rows.withColumn("day", day_of(time_col)).where(F.col("day").isin(todo))
+    out.write.mode("append").partitionBy("day").parquet(table_path)
+    return (spark.read.parquet(table_path).where(F.col("day").isin(todo))
+            .groupBy("day").agg(F.count(F.lit(1)).alias("restored")))
+
+
 # ---------------------------------------------------------------- P9 logs
 def run_log_report(log: DataFrame, pattern: str | None = None) -> dict[str, DataFrame]:
     """Runs, problem counts, tails and failure streaks of run logs."""
