@@ -49,8 +49,11 @@ def test_cli_retention_partitions_logs(spark, scratch, capsys):
     assert [(r["day"], r["dropped"]) for r in out] == [("2024-01-01", True), ("2024-01-02", True), ("2024-01-03", True)]
     cli.main(["partitions", "--data", f"ticks={data}", "--ledger", f"ticks={scratch}/MANIFEST",
               "--today", "2024-01-15"], spark)
-    cov = _rows(capsys.readouterr().out)[0]
+    out = _rows(capsys.readouterr().out)
+    cov = out[0]
     assert cov["table_name"] == "ticks" and cov["headroom"] == 16 and cov["missing"] == 15
+    anchors = [r["anchor"] for r in out[1:]]
+    assert len(anchors) == cov["anchors"] and anchors[0] == cov["first_anchor"]
     logs = f"{scratch}/logs"
     import os
     os.makedirs(logs)

@@ -163,6 +163,10 @@ def cmd_partitions(spark: SparkSession, a) -> None:
     conf = spark.createDataFrame(config, "table_name string, back_days int, purged_by_retention boolean")
     out = jobs.partition_coverage(leaves, conf, a.today, ledgers, dr, a.forward, a.forward_min)
     _emit(out.orderBy("table_name").collect())
+    # the ensure list: one (table, anchor) per 14-day window of leaves to create, never for archived days
+    scope = cal.scope(cal.backward_window(conf), a.today, "back", a.forward)
+    kept = cal.drop_archived_days(cal.missing_days(leaves, scope), ledgers)
+    _emit(cal.cover_anchors(kept).orderBy("table_name", "anchor").collect())
 
 
 def cmd_candles_sweep(spark: SparkSession, a) -> None:
