@@ -15,6 +15,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     ckpt = tempfile.mkdtemp(prefix="tidemark-test-ckpt-")
+    warehouse = tempfile.mkdtemp(prefix="tidemark-test-warehouse-")
     s = (
         SparkSession.builder.master("local[*]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,6 +23,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", ckpt)
+        .config("spark.sql.warehouse.dir", warehouse)
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
