@@ -214,3 +214,18 @@ def test_operators_accept_zoned_timestamps(spark):
     v = ltz.select("instrument", F.col("bus_time").alias("known_from"), "id")
     closed = cdl.close_versions(v, ["instrument"], ["known_from", "id"], hot_rows=None)
     assert closed.where(F.year("known_to") == 9999).count() == ntz.select("instrument").distinct().count()
+
+
+def test_sizing_helpers(spark):
+    from tidemark.session import estimated_bytes, partitions_for, size_shuffles
+
+    t = fx.ticks(spark, SF01)
+    assert estimated_bytes(t) > 0
+    assert partitions_for(t) >= spark.sparkContext.defaultParallelism
+    assert partitions_for(t, target_bytes=1024) > partitions_for(t)  # smaller parts -> more of them
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 10 * (128 << 20)) == max(10, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(128 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
