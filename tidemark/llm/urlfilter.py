@@ -82,8 +82,9 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     canonical = F.when(F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), F.col("href"))
     refresh = F.when(F.lower("http_equiv") == "refresh", F.trim(F.regexp_extract(
         "content", r"(?is)^[^;,]*[;,]\s*(?:url\s*=)?\s*['\"]?([^'\"]*)", 1)))
-    links = named.select("url", F.coalesce(canonical, refresh).alias("link")).where("link <> ''")
-    return _absolute(links)
+    # cut: the filters below would repeat these expressions if they were pushed through them
+    links = cut(named.select("url", F.coalesce(canonical, refresh).alias("link")))
+    return _absolute(links.where("link <> ''"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url",
@@ -106,8 +107,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     for f in found[1:]:
         links = links.unionByName(f)
     # urls that links name; a url and the url without its fragment are one node
-    ends = cut(links.select(url_key(F.col("url")).alias("a"), url_key(F.col("target")).alias("b")).where(
-        "a is not null and b is not null and a <> b").distinct())
+    ends = cut(links.select(url_key(F.col("url")).alias("a"), url_key(F.col("target")).alias("b")))
     group = components(ends)
     names = group.withColumn("m", matched_rule(F.regexp_extract("node", r"^([^/?#]*)", 1),
                                                F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1), rules))
