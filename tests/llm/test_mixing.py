@@ -76,7 +76,6 @@ def test_mix_emits_copies(spark):
     for r in out.collect():
         got[(r["doc_id"], r["text"])] = got.get((r["doc_id"], r["text"]), 0) + 1
     assert got == {k: v for k, v in plan.items() if v}
-    assert sorted(out.select("doc_id").collect()) == sorted(mixing.mix(d).select("doc_id").collect()) or True
 
 
 def test_empty_table(spark):

@@ -354,7 +354,7 @@ def score_corpus(docs: DataFrame, learn: Column, text_col: str = "text", keep: t
                      + (corpus.counts > 0).sum())
     n, d = corpus.tokens, corpus.docs
     floor = np.log10(n + 0.5 * (vocabulary + 1))
-    unknown = np.log10(DISCOUNT * vocabulary / n) if n else -np.log10(mu)
+    unknown = np.log10(DISCOUNT * vocabulary / n) if n else 0.0
     begin = np.log10(d + mu) if n else np.log10(mu)
     kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([*kept, T.StructField("learn", T.BooleanType()), *[

@@ -109,12 +109,13 @@ class Words:
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """One uint64 per word."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """One uint64 per word, of the whole word or of its ``first`` bytes."""
         up, down = _power_table(len(self.buf) + 1)
         c = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:len(self.buf)], out=c[1:])
-        return mix64((c[self.end] - c[self.start]) * down[self.start])
+        end = self.end if first is None else np.minimum(self.end, self.start + first)
+        return mix64((c[end] - c[self.start]) * down[self.start])
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words with one space after each, as (bytes, starts, ends): words i..j fill starts[i]..ends[j]."""

@@ -1,9 +1,11 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's embedding is two halves read from two hash tables, so a word that was
-never trained is neutral unless it collides in both.  Filters of widths 1, 2
-and 3 run over the whole text; each filter's largest value (max pooling) is a
-feature of a logistic output.  Training: a bounded, hashed sample of labelled
+A word's embedding is read from hash tables: two by the whole word, so a word
+that was never trained is neutral unless it collides in both, and one each by
+its first 4 and 6 bytes, which carry over to unseen forms of a stem.  Filters
+of widths 1, 2 and 3 run over the whole text; each filter's three largest
+values (k-max pooling) are features of a logistic output, so one chance
+occurrence weighs less than several.  Training: a bounded, hashed sample of labelled
 rows, a part of which is held back to calibrate the score (Platt) and the
 thresholds by language.
 
@@ -25,27 +27,37 @@ from tidemark.llm.frames import fresh, hash_sample
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-HALF = 4
+PART = 4
+STEMS = (4, 6)
+TABLES = 2 + len(STEMS)
+TOP = 3
 BITS = 18
 TRAIN_ROWS = 3000  # of either class, at most
 MIN_DOCS = 4  # a word in fewer training texts is not trained
 EPOCHS = 10
 CUTOFF = 0.7
-_PAD = max(WIDTHS) - 1
+_PAD = max(*WIDTHS, TOP)
 
 
-def _features(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first bucket, second bucket) of every word with _PAD empty slots after each text, and the texts' starts."""
+def _buckets(h: np.ndarray) -> list[np.ndarray]:
+    """The buckets of words given as rows (hash, hashes of the first bytes), one array per table."""
+    low = np.uint64((1 << BITS) - 1)
+    return [(h[:, 0] >> np.uint64(64 - BITS)).astype(np.int64), *((h[:, k] & low).astype(np.int64) for k in range(h.shape[1]))]
+
+
+def _features(h: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets of every word per table, with _PAD empty slots after each text, and the texts' starts."""
     n = len(bounds) - 1
     count = np.diff(bounds)
     start = np.arange(n) * _PAD + bounds[:-1]
     at = np.repeat(np.arange(n) * _PAD, count) + np.arange(len(h))
     total = len(h) + n * _PAD
-    i1 = np.full(total, 1 << BITS, np.int64)
-    i2 = i1.copy()
-    i1[at] = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    i2[at] = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    return i1, i2, start
+    out = []
+    for b in _buckets(h):
+        i = np.full(total, 1 << BITS, np.int64)
+        i[at] = b
+        out.append(i)
+    return out, start
 
 
 class Net:
@@ -53,12 +65,12 @@ class Net:
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.e = [np.zeros(((1 << BITS) + 1, HALF), np.float32) for _ in range(2)]
-        self.w = [(r.normal(0, 0.3, (k, 2 * HALF, FILTERS))).astype(np.float32) for k in WIDTHS]
+        self.e = [np.zeros(((1 << BITS) + 1, PART), np.float32) for _ in range(TABLES)]
+        self.w = [(r.normal(0, 0.3, (k, TABLES * PART, FILTERS))).astype(np.float32) for k in WIDTHS]
         for w in self.w:
-            w[:, [0, HALF], :] = np.abs(w[:, [0, HALF], :])
+            w[:, ::PART, :] = np.abs(w[:, ::PART, :])
         self.b = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-        self.v = np.full(FILTERS * len(WIDTHS), 0.2, np.float32)
+        self.v = np.full(TOP * FILTERS * len(WIDTHS), 0.1, np.float32)
         self.c = np.float32(-2.0)
         self.scale, self.shift = 1.0, 0.0
         self.thresholds: dict[str, float] = {}
@@ -72,16 +84,16 @@ class Net:
     def __setstate__(self, s):
         e = []
         for i, rows in s["e"]:
-            t = np.zeros(((1 << BITS) + 1, HALF), np.float32)
+            t = np.zeros(((1 << BITS) + 1, PART), np.float32)
             t[i] = rows
             e.append(t)
         self.__dict__.update(s, e=e)
 
-    def embed(self, i1, i2):
-        return np.concatenate([self.e[0][i1], self.e[1][i2]], 1)
+    def embed(self, buckets):
+        return np.concatenate([e[i] for e, i in zip(self.e, buckets, strict=True)], 1)
 
     def pool(self, x, start, where: bool = False):
-        """Max-pooled filter values of every text, and the positions they come from."""
+        """The TOP largest values of every filter in every text (text, width x rank x filter), and their positions."""
         feats, places = [], []
         n = len(x)
         for k, w, b in zip(WIDTHS, self.w, self.b, strict=True):
@@ -89,17 +101,22 @@ class Net:
             for j in range(1, k):
                 z[:n - j] += x[j:] @ w[j]
             z += b
-            feats.append(np.maximum.reduceat(z, start, axis=0))
+            ends = np.append(start[1:], n)
             if where:
-                ends = np.append(start[1:], n)
-                places.append(np.stack([s + z[s:t].argmax(0) for s, t in zip(start, ends, strict=True)]))
+                at = np.stack([s + np.argpartition(-z[s:t], TOP - 1, 0)[:TOP] for s, t in zip(start, ends, strict=True)])
+                at = np.take_along_axis(at, np.argsort(-z[at, np.arange(FILTERS)], 1, kind="stable"), 1)
+                places.append(at)
+                top = z[at, np.arange(FILTERS)]
+            else:
+                top = np.stack([-np.sort(np.partition(-z[s:t], TOP - 1, 0)[:TOP], 0) for s, t in zip(start, ends, strict=True)])
+            feats.append(top.reshape(len(start), TOP * FILTERS))
         return np.concatenate(feats, 1), places
 
     def logits(self, h, bounds):
         if len(bounds) < 2:
             return np.zeros(0)
-        i1, i2, start = _features(h, bounds)
-        f, _ = self.pool(self.embed(i1, i2), start)
+        buckets, start = _features(h, bounds)
+        f, _ = self.pool(self.embed(buckets), start)
         return np.maximum(f, 0) @ self.v + self.c
 
     def scores(self, h, bounds):
@@ -112,28 +129,32 @@ def _hashed(texts: list[str]) -> list[np.ndarray]:
     raw, off = tk.buffers(pa.array(texts, pa.large_string()))
     for _, _, b, o in tk.sliced(raw, off):
         w = tk.Words(b, o, tk.ALNUM)
-        out += np.split(w.hashes(), w.bounds[1:-1])
+        out += np.split(hashed_words(w), w.bounds[1:-1])
     return out
 
 
+def hashed_words(w: tk.Words) -> np.ndarray:
+    """(hash, hashes of the first bytes) of every word."""
+    return np.stack([w.hashes(), *(w.hashes(k) for k in STEMS)], 1)
+
+
 def _seed_tables(net: Net, docs: list[np.ndarray], y: np.ndarray, r) -> list[np.ndarray]:
     """Start the trainable words at their smoothed log-odds (first component) and small noise; masks of their buckets."""
-    uniq = [np.unique(d) for d in docs]
-    allw = np.concatenate(uniq) if uniq else np.zeros(0, np.uint64)
-    label = np.repeat(y, [len(u) for u in uniq])
-    words, inv = np.unique(allw, return_inverse=True)
-    pos, tot = np.bincount(inv, label, len(words)), np.bincount(inv, minlength=len(words))
-    p, q = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    odds = np.log((pos + 0.5) / (p + 1)) - np.log((tot - pos + 0.5) / (q + 1))
-    odds *= tot / (tot + 8.0)
-    ok = tot >= min(MIN_DOCS, max(2, int(p) // 4))
     masks = []
-    for side, idx in enumerate(((words >> np.uint64(64 - BITS)).astype(np.int64),
-                                (words & np.uint64((1 << BITS) - 1)).astype(np.int64))):
+    p, q = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+    for side in range(TABLES):
+        uniq = [np.unique(d[:, max(0, side - 1)]) for d in docs]
+        label = np.repeat(y, [len(u) for u in uniq])
+        words, inv = np.unique(np.concatenate(uniq), return_inverse=True)
+        pos, tot = np.bincount(inv, label, len(words)), np.bincount(inv, minlength=len(words))
+        odds = np.log((pos + 0.5) / (p + 1)) - np.log((tot - pos + 0.5) / (q + 1))
+        odds *= tot / (tot + 8.0)
+        ok = tot >= min(MIN_DOCS, max(2, int(p) // 4))
+        idx = _buckets(words[:, None] if side < 2 else np.stack([words] * side, 1))[side][ok]
         mask = np.zeros((1 << BITS) + 1, bool)
-        mask[idx[ok]] = True
-        net.e[side][mask] = r.normal(0, 0.05, (int(mask.sum()), HALF))
-        net.e[side][idx[ok], 0] = odds[ok] / 2
+        mask[idx] = True
+        net.e[side][mask] = r.normal(0, 0.05, (int(mask.sum()), PART))
+        net.e[side][idx, 0] = odds[ok] / TABLES
         masks.append(mask)
     return masks
 
@@ -155,32 +176,32 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
     masks = _seed_tables(net, [docs[i] for i in fit], y[fit], r)
     dense = [*net.w, *net.b, net.v]
     m1, m2 = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
-    seen = [np.zeros(((1 << BITS) + 1, 1), np.float32) for _ in range(2)]
+    seen = [np.zeros(((1 << BITS) + 1, 1), np.float32) for _ in range(TABLES)]
     step = 0
     for _ in range(epochs):
         turn = fit[r.permutation(len(fit))]
         for batch in np.array_split(turn, max(1, len(turn) // 32)):
             step += 1
             bounds = np.concatenate([[0], np.cumsum([len(docs[i]) for i in batch])])
-            i1, i2, start = _features(np.concatenate([docs[i] for i in batch]), bounds)
-            x = net.embed(i1, i2)
+            buckets, start = _features(np.concatenate([docs[i] for i in batch]), bounds)
+            x = net.embed(buckets)
             f, places = net.pool(x, start, where=True)
             act = np.maximum(f, 0)
             z = act @ net.v + net.c
             g = ((1 / (1 + np.exp(-z)) - y[batch]) / len(batch)).astype(np.float32)
             gv = act.T @ g + 1e-4 * net.v
-            gf = np.outer(g, net.v) * (f > 0)
-            gw, gb, gx = [], [], {0: [], 1: []}
+            gf = (np.outer(g, net.v) * (f > 0)).reshape(len(batch), len(WIDTHS), TOP, FILTERS)
+            gw, gb, gx = [], [], [[] for _ in range(TABLES)]
             for n, (k, w) in enumerate(zip(WIDTHS, net.w, strict=True)):
-                at, gz = places[n], gf[:, n * FILTERS:(n + 1) * FILTERS]
+                at, gz = places[n].reshape(-1, FILTERS), gf[:, n].reshape(-1, FILTERS)
                 d = np.zeros_like(w)
                 for j in range(k):
                     src = np.minimum(at + j, len(x) - 1)
                     live = gz * (at + j < len(x))
                     d[j] = np.einsum("df,dfe->ef", live, x[src])
                     ge = live[:, :, None] * w[j].T[None]
-                    for side, idx in enumerate((i1, i2)):
-                        gx[side].append((idx[src].ravel(), ge[:, :, side * HALF:(side + 1) * HALF].reshape(-1, HALF)))
+                    for side, idx in enumerate(buckets):
+                        gx[side].append((idx[src].ravel(), ge[:, :, side * PART:(side + 1) * PART].reshape(-1, PART)))
                 gw.append(d + 1e-4 * w)
                 gb.append(gz.sum(0))
             for p, gr, a, b in zip(dense, [*gw, *gb, gv], m1, m2, strict=True):
@@ -188,12 +209,12 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
                 b += 0.01 * (gr * gr - b)
                 p -= 0.02 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
             net.c -= np.float32(0.1) * g.sum()
-            for side in (0, 1):
+            for side in range(TABLES):
                 idx = np.concatenate([i for i, _ in gx[side]])
                 gr = np.concatenate([q for _, q in gx[side]])
                 keep = masks[side][idx]
                 u, inv = np.unique(idx[keep], return_inverse=True)
-                s = np.zeros((len(u), HALF), np.float32)
+                s = np.zeros((len(u), PART), np.float32)
                 np.add.at(s, inv, gr[keep])
                 s += 1e-4 * net.e[side][u]
                 seen[side][u] += (s * s).mean(1, keepdims=True)
@@ -219,18 +240,21 @@ def _calibrate(net: Net, docs: list[np.ndarray], y: np.ndarray, langs: list[str
             size = max(1.0, abs(da) / 0.5, abs(db) / 1.0)
             a, b = max(0.05, a - da / size), b - db / size
         net.scale, net.shift = a, b
+    # move the scores so that the cut-off of largest F1 over all languages is CUTOFF
+    best = _best(1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -60, 60))), y)
+    net.shift += np.log(CUTOFF / (1 - CUTOFF)) - np.log(best / (1 - best))
     score = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -60, 60)))
-    net.threshold = _best(score, y)
+    net.threshold = CUTOFF
     groups = np.array([x or "" for x in langs])
     for lang in sorted(set(groups) - {""}):
         at = groups == lang
         n = y[at].sum()
         # shrink towards the threshold of all languages by the number of positives
-        net.thresholds[lang] = float((n * _best(score[at], y[at]) + 20 * net.threshold) / (n + 20))
+        net.thresholds[str(lang)] = float((n * _best(score[at], y[at]) + 20 * net.threshold) / (n + 20))
 
 
 def _best(score: np.ndarray, y: np.ndarray) -> float:
-    """The cut-off of largest F1, in the middle of the widest gap that reaches it; CUTOFF without positives."""
+    """The cut-off of largest F1, in the middle of those that reach it; CUTOFF without positives."""
     if y.sum() == 0:
         return CUTOFF
     grid = np.linspace(0.3, 0.95, 66)
@@ -282,7 +306,7 @@ def toxicity_score(net: Net, text: Column) -> Column:
         out = np.zeros(len(texts))
         for i, j, b, o in tk.sliced(raw, off):
             w = tk.Words(b, o, tk.ALNUM)
-            out[i:j] = _NETS[tag].scores(w.hashes(), w.bounds)
+            out[i:j] = _NETS[tag].scores(hashed_words(w), w.bounds)
         return pa.array(out)
 
     return score(text)
