@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidemark.functions.exprs import decimal_less_than, valid_day_text
 from tidemark.operators import calendar as cal
 from tidemark.operators import candles as cdl
 from tidemark.operators import late, runlog, verify
-from tidemark.operators.prefix import prefix_max_before, prefix_sum, top_n_per_group
+from tidemark.operators.prefix import prefix_max_before, prefix_sum, ranged, top_n_per_group
 from tidemark.sources import fixtures as fx
 from tests.conftest import SF001, SF01
 
@@ -64,8 +66,8 @@ def test_prefix_scans_match_one_window(spark):
                      F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"),
                      F.sum(F.round("value").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     e2 = e.withColumn("v", F.round("value").cast("long"))
-    fast = prefix_sum(prefix_max_before(e2, ["k"], "event_id", "ts", "m", width=7, fanout=5), ["k"], "event_id",
-                      "v", "s", width=13, fanout=3).select("event_id", "m", "s")
+    fast = prefix_sum(prefix_max_before(e2, ["k"], "event_id", "ts", "m", parts=7), ["k"], "event_id",
+                      "v", "s", parts=13).select("event_id", "m", "s")
     assert brute.exceptAll(fast).count() == 0 and fast.exceptAll(brute).count() == 0
 
 
@@ -73,16 +75,24 @@ def test_top_n_two_stage(spark):
     e = spark.read.parquet(f"{SF01}/events.parquet").select("event_type", "event_id")
     w = Window.partitionBy("event_type").orderBy(F.col("event_id").desc())
     brute = e.withColumn("r", F.row_number().over(w)).where("r <= 5").select("event_type", "event_id", "r")
-    fast = top_n_per_group(e, ["event_type"], "event_id", 5, "r", width=11, fanout=4).select(
+    fast = top_n_per_group(e, ["event_type"], "event_id", 5, "r", parts=11).select(
         "event_type", "event_id", "r")
     assert sorted(brute.collect()) == sorted(fast.collect())
 
 
-def test_monotonicity_width_invariant(spark):
+def test_monotonicity_does_not_depend_on_parts_or_id_spacing(spark):
     t = fx.trades(spark, SF01).select("id", "executed_at")
-    a = late.monotonicity_violations(t, "id", "executed_at", width=3).count()
-    b = late.monotonicity_violations(t, "id", "executed_at", width=1 << 20).count()
-    assert a == b == 249
+    assert [late.monotonicity_violations(t, "id", "executed_at", parts=n).count() for n in (1, 37)] == [249, 249]
+    # sparse, clustered ids: two far clusters of widely spaced numbers
+    sparse = t.withColumn("id", F.when(F.col("id") < 5000, F.col("id") * 1_000_003)
+                          .otherwise(F.col("id") * 4_000_037 + F.lit(1 << 60)).cast("long"))
+    out = late.monotonicity_violations(sparse, "id", "executed_at", parts=37)
+    assert out.count() == 249
+    assert "SinglePartition" not in prefix_sum(sparse.withColumn("k", F.lit(1)).withColumn("v", F.lit(1)), ["k"], "id", "v", "s",
+                                               parts=37)._jdf.queryExecution().executedPlan().toString()
+    # the ranges are even whatever the ids look like
+    sizes = [r["count"] for r in ranged(sparse, ["id"], 37).groupBy("_bk").count().collect()]
+    assert len(sizes) == 37 and max(sizes) < 2000
 
 
 def test_synthesized_equals_direct(spark):
@@ -140,7 +150,7 @@ def test_read_run_logs_numbers_lines_across_splits(spark, scratch):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")  # many splits per file
     try:
         got = read_run_logs(spark, scratch)
-        rows = got.where(F.col("file") == "b.log").orderBy("line_no").collect()
+        rows = got.where(F.col("file").endswith("/b.log")).orderBy("line_no").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 20000
@@ -155,8 +165,10 @@ def test_close_versions_hot_keys_match_plain_window(spark):
     v = li.select(F.when(F.col("l_linenumber") == 1, F.lit(0)).otherwise(F.col("l_orderkey")).alias("k"),
                   "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("known_from"))
     keys, order = ["k", "l_linenumber"], ["known_from", "l_partkey", "l_suppkey"]
-    plain = cdl.close_versions(v, keys, order, hot_rows=None)
-    split = cdl.close_versions(v, keys, order, hot_rows=100, hot_parts=5)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    plain = v.withColumn("known_to", F.coalesce(F.lead("known_from").over(w), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")))
+    one, split = cdl.close_versions(v, keys, order, parts=1), cdl.close_versions(v, keys, order, parts=50)
+    assert plain.exceptAll(one).count() == 0
     assert v.where("k = 0").count() > 100
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
     del fx2
@@ -212,20 +224,85 @@ def test_operators_accept_zoned_timestamps(spark):
     syn = cdl.synthesize_candles(c1m, ["instrument"], ["1h", "1d"], cut_date="2024-01-02")
     assert syn.where("timeframe = '1d'").agg(F.min("open_at")).first()[0].date().isoformat() == "2024-01-02"
     v = ltz.select("instrument", F.col("bus_time").alias("known_from"), "id")
-    closed = cdl.close_versions(v, ["instrument"], ["known_from", "id"], hot_rows=None)
+    closed = cdl.close_versions(v, ["instrument"], ["known_from", "id"])
     assert closed.where(F.year("known_to") == 9999).count() == ntz.select("instrument").distinct().count()
 
 
 def test_sizing_helpers(spark):
-    from tidemark.session import estimated_bytes, partitions_for, size_shuffles
+    from tidemark.session import partitions_for, scanned_bytes
 
     t = fx.ticks(spark, SF01)
-    assert estimated_bytes(t) > 0
-    assert partitions_for(t) >= spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    assert scanned_bytes(t) > 0 and partitions_for(t) >= cores
     assert partitions_for(t, target_bytes=1024) > partitions_for(t)  # smaller parts -> more of them
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert size_shuffles(spark, 10 * (128 << 20)) == max(10, spark.sparkContext.defaultParallelism)
-        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(128 << 20)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert partitions_for(t, 256 << 20, input_bytes=100 * 10**12) == -(-100 * 10**12 // (256 << 20))  # no cap at 100 TB
+
+
+def test_shared_dir_needs_a_setting_off_local(spark):
+    from types import SimpleNamespace
+
+    from tidemark.session import shared_dir
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None),
+                               sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None,
+                                                            setCheckpointDir=lambda p: None))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("local-cluster[2,1,1024]"))
+    assert shared_dir(session("local[4]"))
+
+
+def test_run_logs_of_the_same_name_stay_apart(spark, scratch):
+    import os
+
+    from tidemark.sources.runlog import read_run_logs
+
+    for d, lines in (("a", ["1", "2"]), ("b", ["x", "y", "z"])):
+        os.makedirs(f"{scratch}/{d}")
+        with open(f"{scratch}/{d}/2024-01.log", "w") as f:
+            f.write("\n".join(lines) + "\n")
+    got = sorted((r.file.rsplit("/", 2)[1], r.line_no, r.line) for r in read_run_logs(spark, scratch).collect())
+    assert got == [("a", 1, "1"), ("a", 2, "2"), ("b", 1, "x"), ("b", 2, "y"), ("b", 3, "z")]
+
+
+def test_default_rows_counts_null_days_in_both_forms(spark):
+    t = spark.sql("select * from values (timestamp_ntz '2024-01-01 10:00:00', date '2024-01-01'), "
+                  "(null, null), (timestamp_ntz '2024-01-02 10:00:00', date '2024-01-02') v(ts, day)")
+    leaf = spark.createDataFrame([("t", dt.date(2024, 1, 1))], "table_name string, day date")
+    plain = late.default_rows(t, "ts", leaf, "t").first()["default_rows"]
+    assert plain == late.default_rows(t, "ts", leaf, "t", day_col="day").first()["default_rows"] == 2
+
+
+def test_upsert_keeps_null_known_to_and_one_active_row(spark):
+    cur = spark.sql("select * from values ('k1', 1.0D, timestamp_ntz '2024-01-01', timestamp_ntz '9999-12-31'), "
+                    "('k2', 2.0D, timestamp_ntz '2024-01-01', cast(null as timestamp_ntz)) v(k, x, known_from, known_to)")
+    new = spark.createDataFrame([("k1", 5.0), ("k1", 4.0), ("k3", 1.0), ("k3", 1.0)], "k string, x double")
+    out = cdl.scd2_upsert(cur, new, ["k"], ["x"], "2024-02-01 00:00:00")
+    assert out.count() == 4 and out.where("known_to is null").count() == 1
+    active = {r.k: r.x for r in out.where("year(known_to) = 9999").collect()}
+    assert active == {"k1": 5.0, "k3": 1.0}
+
+
+def test_synthesis_counts_active_versions_only(spark):
+    bars = spark.sql("select 'a' instrument, '1m' timeframe, timestamp_ntz '2024-01-01 10:00:00' open_at, 1D open, 1D high, 1D low, "
+                     "1D close, 10D volume, 1L trades") \
+        .withColumn("known_to", F.lit("2024-01-02").cast("timestamp_ntz"))
+    both = bars.unionByName(bars.withColumn("known_to", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")))
+    out = cdl.synthesize_candles(both, ["instrument"], ["1h"]).first()
+    assert (out["volume"], out["trades"]) == (10.0, 1)
+
+
+def test_streaks_of_one_hot_file(spark):
+    flags = [i % 7 not in (0, 3) for i in range(300)]
+    status = spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(flags)] + [("g", 1, True), ("g", 2, True)],
+                                   "file string, run_no long, failed boolean")
+    want, run = {}, 0
+    for i, x in enumerate(flags):
+        run = run + 1 if x else 0
+        want[("f", i + 1)] = run
+    want |= {("g", 1): 1, ("g", 2): 2}
+    got = {(r.file, r.run_no): (r.streak, r.alarm) for r in runlog.failure_streaks(status, parts=9).collect()}
+    assert got == {k: (v, v >= 2) for k, v in want.items()}

@@ -4,10 +4,12 @@
 cluster, ``python -m tidemark.cli <command> ...`` locally.
 
 One command per job of the reference's scripts (export a day, purge a day,
-retention, partition coverage, candle sweep, backfill, log report).  Every
-command runs the Spark job from ``plans.jobs`` over all requested days at
-once and prints its (calendar-sized) result rows as JSON lines.  Tables are
-``day=YYYY-MM-DD``-partitioned Parquet folders; ledgers are TSV text.
+retention, partition coverage, candle ingest and sweep, backfill, staleness,
+log report).  Every command runs the Spark job from ``plans.jobs`` over all
+requested days at once and prints its (calendar-sized) result rows as JSON
+lines.  Tables are ``day=YYYY-MM-DD``-partitioned Parquet folders; ledgers
+are TSV text.  The exit status is 1 if any day was refused or failed, a table
+is blocked or short of leaves, a job is stale or its last run had problems.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--fmt", default="csv.zst", choices=["csv.zst", "csv.gz"])
 
 
-def cmd_export(spark: SparkSession, a) -> None:
+def cmd_export(spark: SparkSession, a) -> int:
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import table_leaves
 
@@ -77,9 +79,10 @@ def cmd_export(spark: SparkSession, a) -> None:
         reason = ("no exact daily partition" if d not in have_leaf else
                   "already in the ledger" if d in in_ledger else "archive already exists")
         print(json.dumps({"day": d.isoformat(), "refused": reason}))
+    return int(any(d.isoformat() not in done for d in a.days))
 
 
-def cmd_backfill(spark: SparkSession, a) -> None:
+def cmd_backfill(spark: SparkSession, a) -> int:
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import table_leaves
 
@@ -91,11 +94,13 @@ def cmd_backfill(spark: SparkSession, a) -> None:
                                       _archive_schema(data, a.table), ledger_path=a.ledger,
                                       id_col="id" if cfg.ledger_kind == "ticks" else None, day_col="day",
                                       fmt=a.fmt)
-    _emit(outcomes.orderBy("day").collect())
+    rows = outcomes.orderBy("day").collect()  # calendar sized
+    _emit(rows)
     _emit(summary.collect())
+    return int(any(r["outcome"] in ("fail", "not_attempted") for r in rows))
 
 
-def cmd_purge(spark: SparkSession, a) -> None:
+def cmd_purge(spark: SparkSession, a) -> int:
     from tidemark.sources import archive as arc
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import children_of, table_leaves
@@ -112,30 +117,40 @@ def cmd_purge(spark: SparkSession, a) -> None:
                            children_of(table_leaves(spark, a.data, a.table)), counts, armed=a.armed,
                            suffix="." + a.fmt, listing=jobs.table_day_listing(spark, a.data, a.days)).cache()
     dropped = set(jobs.apply_purge(spark, plan, a.data, cfg.time_col)) if a.apply else set()
-    _emit(plan.withColumn("dropped", F.date_format("day", "yyyy-MM-dd").isin(list(dropped)) if dropped
-                          else F.lit(False)).orderBy("day").collect())
+    rows = plan.withColumn("dropped", F.date_format("day", "yyyy-MM-dd").isin(list(dropped)) if dropped
+                           else F.lit(False)).orderBy("day").collect()
+    _emit(rows)
+    return int(any(r["decision"] != "PURGE" or (a.apply and not r["dropped"]) for r in rows))
 
 
-def cmd_retention(spark: SparkSession, a) -> None:
+def cmd_retention(spark: SparkSession, a) -> int:
     cfg = S.TABLES[a.table]
     data = spark.read.parquet(a.data)
     out = jobs.run_retention(spark, a.data, a.table, cfg.time_col, list(cfg.order_cols),
                              _archive_schema(data, a.table), a.archive, a.ledger, a.today, a.horizon, a.max_days,
                              fmt=a.fmt, armed=a.armed)
-    _emit(out.orderBy("day").collect())
+    rows = out.orderBy("day").collect()
+    _emit(rows)
+    return int(not all(r["dropped"] for r in rows))
 
 
-def cmd_restore(spark: SparkSession, a) -> None:
-    from tidemark.sources import archive as arc
+def cmd_restore(spark: SparkSession, a) -> int:
+    from tidemark.sources.ledger import read_manifest
 
     cfg = S.TABLES[a.table]
     schema = _archive_schema(spark.read.parquet(a.data), a.table)
-    supp = arc.read_archive(spark, a.supplements, schema) if a.supplements else None
-    out = jobs.restore_into_table(spark, a.archive, a.table, a.days, schema, a.data, cfg.time_col, supp)
-    _emit(out.orderBy("day").collect())
-
-
-def cmd_partitions(spark: SparkSession, a) -> None:
+    ledger = read_manifest(spark, a.ledger, a.table) if a.ledger else None
+    out = jobs.restore_into_table(spark, a.archive, a.table, a.days, schema, a.data, cfg.time_col, ledger=ledger,
+                                  supplement_ledger=a.supplements, supplement_folder=a.supplement_folder)
+    rows = out.orderBy("day").collect()
+    _emit(rows)
+    refused = [d for d in a.days if d not in {r["day"] for r in rows}]
+    for d in refused:
+        print(json.dumps({"day": d.isoformat(), "refused": "the table has this day, or the archive has no rows of it"}))
+    return int(bool(refused))
+
+
+def cmd_partitions(spark: SparkSession, a) -> int:
     from tidemark.operators import calendar as cal
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import table_leaves
@@ -162,28 +177,75 @@ def cmd_partitions(spark: SparkSession, a) -> None:
         dr = dr.unionByName(d)
     conf = spark.createDataFrame(config, "table_name string, back_days int, purged_by_retention boolean")
     out = jobs.partition_coverage(leaves, conf, a.today, ledgers, dr, a.forward, a.forward_min)
-    _emit(out.orderBy("table_name").collect())
+    report = out.orderBy("table_name").collect()
+    _emit(report)
     # the ensure list: one (table, anchor) per 14-day window of leaves to create, never for archived days
     scope = cal.scope(cal.backward_window(conf), a.today, "back", a.forward)
     kept = cal.drop_archived_days(cal.missing_days(leaves, scope), ledgers)
     _emit(cal.cover_anchors(kept).orderBy("table_name", "anchor").collect())
+    return int(any(r["blocked"] or r["failed"] for r in report))
 
 
-def cmd_candles_sweep(spark: SparkSession, a) -> None:
+def cmd_candles_sweep(spark: SparkSession, a) -> int:
     candles = spark.read.parquet(a.data)
+    if {"timeframe", "day"} <= set(candles.columns):  # partitioned by both: only touched partitions are rewritten
+        n = jobs.sweep_partitions(spark, a.data, a.start, a.end, a.archive, a.out, a.keys, a.timeframes)
+        print(json.dumps({"swept_into": a.archive, "rewritten": a.out, "partitions": n}))
+        return 0
     rest = jobs.candle_sweep_job(candles, a.start, a.end, a.archive, a.keys, a.timeframes)
     rest.write.mode("error").partitionBy("timeframe").parquet(a.out)
     print(json.dumps({"swept_into": a.archive, "remaining": a.out}))
+    return 0
+
+
+def cmd_ingest(spark: SparkSession, a) -> int:
+    """Leaves for since..today, the cached 1m bars, the synthesized timeframes; the merged table goes to --out."""
+    current = spark.read.parquet(a.data) if a.data else None
+    known = current.where(F.col("timeframe") == "1m") if current is not None else None
+    src = (known.groupBy(F.col("instrument").alias("source")).agg(
+        F.unix_seconds(F.max("open_at").cast("timestamp")).alias("last_epoch")) if known is not None
+        else spark.createDataFrame([], "source string, last_epoch long"))
+    out = jobs.candle_ingest(spark, a.cache, src, a.now, a.keys, current=current, table_path=a.data)
+    out.write.mode("error").partitionBy("timeframe").parquet(a.out)
+    print(json.dumps({"bars": spark.read.parquet(a.out).count(), "written": a.out}))
+    return 0
 
 
-def cmd_logs(spark: SparkSession, a) -> None:
+def cmd_staleness(spark: SparkSession, a) -> int:
+    """Days since the last ledger line of each table."""
+    from tidemark.operators import runlog
+    from tidemark.sources.ledger import read_manifest
+
+    stamps = None
+    for spec in a.ledger:
+        table, path = spec.split("=", 1)
+        one = read_manifest(spark, path, table).select(F.try_to_timestamp(
+            "exported_at", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("success_at"))
+        one = spark.createDataFrame([(table,)], "job string").join(one.agg(F.max("success_at").alias("success_at")))
+        stamps = one if stamps is None else stamps.unionByName(one)
+    rows = runlog.staleness(stamps, a.now, a.limit).orderBy("job").collect()  # one row a table
+    _emit(rows)
+    return int(any(r["stale"] for r in rows))
+
+
+def cmd_logs(spark: SparkSession, a) -> int:
+    """Per log: runs, failed runs and the problems of its current run, then the alert body.  No row per run is collected."""
     from tidemark.operators import runlog
     from tidemark.sources.runlog import read_run_logs
 
     log = read_run_logs(spark, a.logs)
-    report = jobs.run_log_report(log, runlog.banner_pattern(a.job) if a.job else None)
-    _emit(report["problems"].orderBy("file", "run_no").collect())
-    _emit(runlog.current_run_tail(report["runs"]).orderBy("file", "line_no").collect())
+    pattern = runlog.banner_pattern(a.job) if a.job else None
+    problems = jobs.run_log_report(log, pattern)["problems"]
+    if a.runs_out:
+        problems.write.mode("error").parquet(a.runs_out)
+        problems = spark.read.parquet(a.runs_out)
+    rows = problems.groupBy("file").agg(
+        F.count("*").alias("n_runs"), F.count_if("failed").alias("n_failed"),
+        F.max_by("n_problems", "run_no").alias("n_problems"), F.max("run_no").alias("run_no"),
+        F.max_by("failed", "run_no").alias("failed")).orderBy("file").collect()  # one row a log file
+    _emit(rows)
+    _emit(runlog.current_run_tail(log, pattern=pattern, subject_prefix=a.subject_prefix).orderBy("file", "line_no").collect())
+    return int(any(r["failed"] for r in rows))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -212,7 +274,9 @@ def parser() -> argparse.ArgumentParser:
     rs.add_argument("--table", required=True, choices=sorted(S.TABLES))
     rs.add_argument("--data", required=True)
     rs.add_argument("--archive", required=True)
-    rs.add_argument("--supplements", help="folder of supplement CSV files in the archive format")
+    rs.add_argument("--ledger", help="MANIFEST: the archived row counts must equal its lines")
+    rs.add_argument("--supplements", help="supplement ledger (SUPPLEMENTS.tsv): files, days, sizes and hashes")
+    rs.add_argument("--supplement-folder", help="where the supplement files are (default: the archive root)")
     rs.add_argument("days", nargs="+", type=_day)
     pa_ = sub.add_parser("partitions", help="leaf coverage report: missing days, anchors, headroom, DEFAULT")
     pa_.add_argument("--data", action="append", required=True, help="TABLE=PATH (day-partitioned)")
@@ -232,12 +296,24 @@ def parser() -> argparse.ArgumentParser:
     lg = sub.add_parser("logs", help="problem lines per run and the current run's alert body")
     lg.add_argument("--logs", required=True)
     lg.add_argument("--job")
+    lg.add_argument("--subject-prefix", help="how alert subjects start; such lines belong to the alert body")
+    lg.add_argument("--runs-out", help="Parquet folder for one row per run")
+    ig = sub.add_parser("ingest", help="load cached 1m candles, synthesize timeframes, merge into the candle table")
+    ig.add_argument("--cache", required=True, help="folder of daily 1m candle CSV files")
+    ig.add_argument("--data", help="the current candle table; its missing days since the lookback get a leaf first")
+    ig.add_argument("--out", required=True)
+    ig.add_argument("--now", default=dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
+    ig.add_argument("--keys", nargs="+", default=["exchange", "instrument"])
+    st = sub.add_parser("staleness", help="days since each table's last export")
+    st.add_argument("--ledger", action="append", required=True, help="TABLE=PATH")
+    st.add_argument("--now", default=dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
+    st.add_argument("--limit", type=int, default=S.STALE_SUCCESS_DAYS)
     return p
 
 
 COMMANDS = {"export": cmd_export, "backfill": cmd_backfill, "purge": cmd_purge, "retention": cmd_retention,
             "restore": cmd_restore, "partitions": cmd_partitions, "candles-sweep": cmd_candles_sweep,
-            "logs": cmd_logs}
+            "ingest": cmd_ingest, "staleness": cmd_staleness, "logs": cmd_logs}
 
 
 def main(argv=None, spark: SparkSession | None = None) -> int:
@@ -250,8 +326,11 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
                  .config("spark.sql.adaptive.skewJoin.enabled", "true")
                  .getOrCreate())
     ensure_utc(spark)
-    COMMANDS[a.cmd](spark, a)
-    return 0
+    try:
+        return COMMANDS[a.cmd](spark, a)
+    except RuntimeError as e:  # a job's own refusal
+        print(json.dumps({"refused": str(e)}))
+        return 1
 
 
 if __name__ == "__main__":

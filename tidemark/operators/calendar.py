@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 from tidemark.functions.exprs import as_col
 
-# A per-key day list folded on one task (cover_anchors) is bounded by the scope
-# window; refuse windows wider than this so no group grows with the data.
-MAX_WINDOW_DAYS = 4000
-
 
 def _date(v) -> Column:
     if isinstance(v, Column):
@@ -41,8 +37,6 @@ def scope(keys_df: DataFrame, today, back, fwd, keys: Sequence[str] = ("table_na
     ``back``/``fwd`` are ints or column names present in ``keys_df`` (per-key
     buffers, e.g. from a table config).  Both ends are inclusive.
     """
-    if isinstance(back, int) and isinstance(fwd, int) and back + fwd + 1 > MAX_WINDOW_DAYS:
-        raise ValueError(f"calendar window of {back + fwd + 1} days exceeds {MAX_WINDOW_DAYS}")
     t = _date(today)
     back_c = F.col(back) if isinstance(back, str) else F.lit(int(back))
     fwd_c = F.col(fwd) if isinstance(fwd, str) else F.lit(int(fwd))
@@ -95,14 +89,6 @@ def drop_archived_days(missing: DataFrame, archived: DataFrame, keys: Sequence[s
     return missing.join(archived.select(*keys, "day"), [*keys, "day"], "left_anti")
 
 
-def dropped_counts(missing: DataFrame, archived: DataFrame, keys: Sequence[str] = ("table_name",)) -> DataFrame:
-    """How many missing days were dropped because the ledger already lists them."""
-    return (
-        missing.join(archived.select(*keys, "day"), [*keys, "day"], "left_semi")
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("dropped"))
-    )
-
-
 def anchor_fold(sorted_days: Column, step: int = S.ANCHOR_STEP_DAYS) -> Column:
     """Greedy cover of a sorted day array: the first uncovered day opens an anchor for ``day..day+step-1``."""
     acc0 = F.struct(
@@ -125,8 +111,8 @@ def cover_anchors(missing: DataFrame, keys: Sequence[str] = ("table_name",), ste
 
     Walking days in order, the first uncovered day opens an anchor covering
     ``day .. day+step-1``.  The fold runs per key over that key's missing days,
-    which lie inside the key's calendar window (at most MAX_WINDOW_DAYS), so
-    the per-key list is bounded no matter how large the tables are.
+    which lie inside the key's calendar window, so the per-key list is
+    bounded by the window no matter how large the tables are.
     """
     return (
         missing.groupBy(*keys)

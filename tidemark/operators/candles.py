@@ -67,7 +67,8 @@ def synthesize_candles(c1m: DataFrame, keys: Sequence[str], timeframes: Sequence
                        start=None, end=None, cut_date=None) -> DataFrame:
     """Derive higher timeframes from 1m bars only.
 
-    * 1m rows are read inside [start, end] (whole UTC days, end inclusive).
+    * 1m rows are read inside [start, end] (whole UTC days, end inclusive);
+      of an SCD2 table (a ``known_to`` column) only active versions.
     * Every timeframe here nests inside one UTC day, so the 1m bars are hash
       partitioned once on (keys, day) -- a (key, day) holds at most 1440
       bars however hot the instrument -- and each bar is exploded into the
@@ -86,6 +87,8 @@ def synthesize_candles(c1m: DataFrame, keys: Sequence[str], timeframes: Sequence
             raise ValueError(f"timeframe {tf} does not nest inside a UTC day")
     like = c1m.schema["open_at"].dataType
     src = c1m.where(F.col("timeframe") == "1m") if "timeframe" in c1m.columns else c1m
+    if "known_to" in c1m.columns:
+        src = src.where(F.col("known_to") == sentinel_for(c1m, "known_to"))
     if start is not None:
         src = src.where(F.col("open_at") >= _date(start).cast(like))
     if end is not None:
@@ -108,59 +111,41 @@ def synthesize_candles(c1m: DataFrame, keys: Sequence[str], timeframes: Sequence
     return out.select(*keys, "timeframe", "open_at", *CANDLE_VALUE_COLUMNS)
 
 
-HOT_KEY_ROWS = 5_000_000
-
-
 def close_versions(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], from_col: str = "known_from",
-                   to_col: str = "known_to", hot_rows: int | None = HOT_KEY_ROWS, hot_parts: int | None = None
-                   ) -> DataFrame:
+                   to_col: str = "known_to", parts: int | None = None) -> DataFrame:
     """SCD2: each version is known until the next version of its key starts.
 
     ``order_cols`` must be a total order within a key (ties in ``from_col``
     are broken by the remaining columns), so exactly one version per key
     stays active with the sentinel.  A zero-length version is still closed.
 
-    Keys with at most ``hot_rows`` versions use one window per key, which is
-    then bounded.  Hotter keys (found on a sample; there are at most
-    rows/hot_rows of them) are range partitioned on (keys, order) over
-    ``hot_parts`` tasks and cut with a reliable checkpoint so partition ids
-    are stable; ``lead`` runs inside each partition, and a partition's last
-    version takes the first version of the key's next partition from a
-    small per-partition table.  ``hot_rows=None`` skips the detection pass.
+    One path for every key, however many versions it has: rows are range
+    partitioned on (keys, order) and cut by a reliable checkpoint so that
+    partition ids are stable; ``lead`` runs within (key, partition), and the
+    last version of a key in a partition takes the first version of the
+    key's next partition.  Only keys that span partitions need that: at most
+    one per boundary, so the table of firsts is bounded by the partitions.
     """
-    sentinel = sentinel_for(df, from_col)
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    if hot_rows is None:
-        return df.withColumn(to_col, F.coalesce(F.lead(from_col).over(w), sentinel))
-    spark = df.sparkSession
-    # Detect hot keys on a sample: a key with hot_rows rows shows up ~100 times, so flagging keys seen 50+
-    # times misses none in practice, and the detection shuffle is ~100/hot_rows of the keys, not all of them.
-    # Either path is exact; detection only decides which one a key takes.
-    fraction = min(1.0, 100.0 / hot_rows)
-    sampled = df.select(*keys) if fraction >= 1.0 else df.select(*keys).sample(fraction=fraction, seed=17)
-    threshold = hot_rows if fraction >= 1.0 else 50
-    hot = [tuple(r) for r in sampled.groupBy(*keys).count().where(F.col("count") > threshold)
-           .select(*keys).collect()]
-    if not hot:
-        return df.withColumn(to_col, F.coalesce(F.lead(from_col).over(w), sentinel))
     from tidemark.session import shared_dir
 
+    spark = df.sparkSession
     shared_dir(spark)
-    hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))
-    cold = df.join(hot_df, list(keys), "left_anti").withColumn(
-        to_col, F.coalesce(F.lead(from_col).over(w), sentinel))
-    n = hot_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.join(hot_df, list(keys), "left_semi").repartitionByRange(n, *keys, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()).checkpoint())
-    wp = Window.partitionBy(*keys, "_pid").orderBy(*order_cols)
-    firsts = ranged.groupBy(*keys, "_pid").agg(
-        F.min_by(F.col(from_col), F.struct(*order_cols)).alias("_first"))
-    carry = firsts.select(*keys, "_pid", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_pid"))
-                          .alias("_next"))
-    hot_out = (ranged.withColumn("_lead", F.lead(from_col).over(wp)).join(carry, [*keys, "_pid"], "left")
-               .withColumn(to_col, F.coalesce(F.col("_lead"), F.col("_next"), sentinel))
-               .drop("_pid", "_lead", "_next"))
-    return cold.unionByName(hot_out.select(*cold.columns))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    led = ranged.withColumn("_lead", F.lead(from_col).over(w))
+    # the first row of every partition, and where its key goes on from the partition before
+    first = ranged.groupBy("_pid").agg(F.min_by(F.struct(*keys, F.col(from_col).alias("_next")),
+                                                F.struct(*keys, *order_cols)).alias("_f")).select("_pid", "_f.*")
+    onward = first.withColumn("_owner", F.lag("_pid").over(Window.orderBy("_pid")))
+    carry = onward.select(*keys, F.col("_owner").alias("_pid"), "_next").where("_pid is not null")
+    same = [led[k].eqNullSafe(carry[k]) for k in keys]
+    joined = led.join(F.broadcast(carry), (led["_pid"] == carry["_pid"]), "left")
+    hit = same[0]
+    for c in same[1:]:
+        hit = hit & c
+    to = F.coalesce(led["_lead"], F.when(hit, carry["_next"]), sentinel_for(df, from_col))
+    return joined.select(*[led[c] for c in df.columns if c != to_col], to.alias(to_col))
 
 
 def scd2_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], value_cols: Sequence[str], at,
@@ -170,8 +155,10 @@ def scd2_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], va
     For each key of ``incoming``: no active version -> insert it from ``at``;
     an active version with different values (null-safe) -> close it at
     ``at`` and insert the new one; same values -> keep the active version.
-    Closed versions and keys absent from ``incoming`` are kept as they are
-    (a batch is partial; it never deletes).  One full outer join of the
+    Closed versions, rows with a NULL ``to_col`` and keys absent from
+    ``incoming`` are kept as they are (a batch is partial; it never deletes).
+    Several incoming rows of a key count as one (``one_per_key``), so a key
+    never gets two active versions.  One full outer join of the
     active rows with the batch on the keys; callers that write day
     partitions restrict ``current`` to the batch's days first, so untouched
     days are neither read nor rewritten.
@@ -179,7 +166,8 @@ def scd2_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], va
     sentinel = sentinel_for(current, to_col)
     at_c = (F.lit(at) if isinstance(at, str) else at).cast(current.schema[from_col].dataType)
     active = current.where(F.col(to_col) == sentinel)
-    closed = current.where(F.col(to_col) != sentinel)
+    closed = current.where(~F.col(to_col).eqNullSafe(sentinel))
+    incoming = one_per_key(incoming, keys, value_cols)
     a = active.select(*keys, *[F.col(c).alias("_a_" + c) for c in value_cols], F.col(from_col).alias("_a_from"),
                       F.lit(True).alias("_a"))
     n = incoming.select(*keys, *[F.col(c).alias("_n_" + c) for c in value_cols], F.lit(True).alias("_n"))
@@ -200,20 +188,31 @@ def scd2_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], va
     return closed.select(*cols).unionByName(keep).unionByName(close).unionByName(insert)
 
 
+def one_per_key(batch: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
+    """One row per key: of several, the one with the largest values, compared column by column, nulls lowest."""
+    best = F.max(F.struct(*[F.col(c) for c in value_cols])).alias("_v")
+    return batch.groupBy(*keys).agg(best).select(*keys, "_v.*")
+
+
+def closed_in_range(df: DataFrame, time_col: str, lo_day, hi_day, to_col: str = "known_to",
+                    day_col: str | None = None) -> Column:
+    """Condition of F4: moved off the sentinel, and ``time_col`` in [lo_day, hi_day]; ``day_col`` adds a partition filter."""
+    t = df.schema[time_col].dataType
+    rule = ((F.col(to_col) < sentinel_for(df, to_col)) & (F.col(time_col) >= _date(lo_day).cast(t))
+            & (F.col(time_col) < F.date_add(_date(hi_day), 1).cast(t)))
+    return rule & F.col(day_col).between(_date(lo_day), _date(hi_day)) if day_col else rule
+
+
 def closed_versions(df: DataFrame, time_col: str, lo_day, hi_day, timeframe: str | None = None,
-                    to_col: str = "known_to") -> DataFrame:
+                    to_col: str = "known_to", day_col: str | None = None) -> DataFrame:
     """Versions already moved off the sentinel, ranged on the bar's own time.
 
     The range is on ``time_col`` (open_at), not on when the version closed: a
     bar re-closed yesterday for an old day lives in the old day's slice.
+    ``day_col`` prunes a table partitioned by that time's UTC day.
     """
-    t = df.schema[time_col].dataType
-    out = df.where((F.col(to_col) < sentinel_for(df, to_col))
-                   & (F.col(time_col) >= _date(lo_day).cast(t))
-                   & (F.col(time_col) < F.date_add(_date(hi_day), 1).cast(t)))
-    if timeframe is not None:
-        out = out.where(F.col("timeframe") == timeframe)
-    return out
+    out = df.where(closed_in_range(df, time_col, lo_day, hi_day, to_col, day_col))
+    return out if timeframe is None else out.where(F.col("timeframe") == timeframe)
 
 
 def owned_from(bars: DataFrame, cut_date) -> DataFrame:

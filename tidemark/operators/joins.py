@@ -1,27 +1,16 @@
-"""Join-side helpers: broadcast only what has a size bound."""
+"""Join-side helper: broadcast only what has a proven size bound."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 2_000_000
-
 
 def day_side(df: DataFrame) -> DataFrame:
-    """Broadcast a frame keyed by day (one table's leaves or ledger days).
-
-    Its size is bounded by the calendar -- one row per day, a few thousand
-    rows for decades of days -- whatever the size of the data it came from.
-    """
-    return F.broadcast(df)
-
-
-def checked_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only after counting it; above ``max_rows`` leave the join to AQE.
+    """Broadcast a frame keyed by ``day``, reduced to one row a day.
 
-    Returns the (possibly hinted) frame and whether it was broadcast.  The
-    count is an action, so use it for inputs that are cheap to count.
+    The bound does not depend on the data: Spark's dates run from year 1 to
+    9999, so one row a day is at most 3.7 million rows (decades of trading
+    days are a few thousand), a few tens of bytes each.
     """
-    n = df.count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
+    return F.broadcast(df.dropDuplicates(["day"]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import day_of
 from tidemark.operators.joins import day_side
-from tidemark.operators.prefix import DEFAULT_WIDTH, prefix_max_before
+from tidemark.operators.prefix import prefix_max_before
 
 
 def route_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str) -> DataFrame:
@@ -41,9 +41,10 @@ def default_rows(df: DataFrame, time_col: str, leaf: DataFrame, table: str, day_
     days = leaf.where(F.col("table_name") == table).select("day").distinct()
     if day_col is not None:
         leaf_days = [r["day"] for r in days.collect()]  # calendar sized
-        rows = df.where(~F.col(day_col).isin(leaf_days)) if leaf_days else df
-        rows = rows.select(day_of(time_col).alias("day")).where(~F.col("day").isin(leaf_days) if leaf_days
-                                                                 else F.lit(True))
+        def out(c):  # a null day has no leaf either
+            return ~F.col(c).isin(leaf_days) | F.col(c).isNull() if leaf_days else F.lit(True)
+
+        rows = df.where(out(day_col)).select(day_of(time_col).alias("day")).where(out("day"))
     else:
         rows = df.select(day_of(time_col).alias("day")).join(day_side(days), "day", "left_anti")
     return rows.agg(F.count(F.lit(1)).alias("default_rows")).select(F.lit(table).alias("table_name"),
@@ -82,12 +83,12 @@ def sealed_day_late_rows(df: DataFrame, event_col: str, arrival_col: str, ledger
     )
 
 
-def monotonicity_violations(df: DataFrame, id_col: str, ts_col: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+def monotonicity_violations(df: DataFrame, id_col: str, ts_col: str, parts: int | None = None) -> DataFrame:
     """Rows whose timestamp is below the running max of all lower ids.
 
-    Not one global window: ids are cut into fixed-width ranges, each range is
-    scanned by its own task, and the running max of earlier ranges is carried
-    in from a small per-range table (see ``operators.prefix``).
+    Not one global window: ids are cut into even ranges by their quantiles,
+    each range is scanned by its own task, and the running max of earlier
+    ranges is carried in from a table of one row a range (``operators.prefix``).
     """
-    scanned = prefix_max_before(df, [], id_col, ts_col, "_prev_max", width)
+    scanned = prefix_max_before(df, [], id_col, ts_col, "_prev_max", parts)
     return scanned.where(F.col(ts_col) < F.col("_prev_max")).withColumnRenamed("_prev_max", "running_max")

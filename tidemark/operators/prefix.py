@@ -1,49 +1,43 @@
 """Prefix scans that stay parallel when one key holds most of the rows.
 
 A plain ``Window.partitionBy(key).orderBy(o)`` puts a whole key on one task.
-Here the ordering column is cut into fixed-width buckets: each bucket is
-scanned by its own window task (at most ``width`` rows when ``o`` is
-unique).  What precedes a bucket is carried in from a per-bucket table, and
-that table is itself reduced in two levels -- buckets within a super-bucket
-of ``FANOUT`` buckets, then super-buckets -- so no window anywhere holds
-more than ``FANOUT`` rows per key, or rows / (width * FANOUT) at the top
-(about 233 rows for 10**12 rows at the default widths).
+Here the rows are range partitioned on (key, order): Spark draws the ranges
+from the data's own quantiles, so they are even whether the ordering values
+are dense, sparse or clustered, and a hot key spreads over many ranges.  A
+reliable checkpoint pins each row's range number.  Every (key, range) is
+scanned by its own window task, and what precedes a range is carried in from
+a table with one row per (key, range): a key has at most as many of those as
+there are ranges, whatever its number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_WIDTH = 1 << 16
-FANOUT = 1 << 16
+from tidemark.session import shared_dir
 
 
-def _bucket(order_col: str, width: int) -> Column:
-    return F.floor(F.col(order_col) / F.lit(width)).cast("long")
+def ranged(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` range partitioned on ``keys``, with the range number ``_bk`` pinned by a reliable checkpoint."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys).withColumn("_bk", F.spark_partition_id()).checkpoint()
 
 
-def _carry(per: DataFrame, part: Sequence[str], major: Sequence[str], agg: Callable[[Column], Column],
-           combine: Callable[[Column, Column], Column], fanout: int) -> DataFrame:
-    """(part, major, _bk, _bv) -> (part, major, _bk, _carry): aggregate of all earlier buckets."""
-    per = per.withColumn("_sb", F.floor(F.col("_bk") / F.lit(fanout)).cast("long"))
-    sup = per.groupBy(*part, *major, "_sb").agg(agg(F.col("_bv")).alias("_sv"))
-    ws = Window.partitionBy(*part).orderBy(*major, "_sb").rowsBetween(Window.unboundedPreceding, -1)
-    sup = sup.select(*part, *major, "_sb", agg(F.col("_sv")).over(ws).alias("_scarry"))
-    wb = Window.partitionBy(*part, *major, "_sb").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    inner = per.select(*part, *major, "_sb", "_bk", agg(F.col("_bv")).over(wb).alias("_bcarry"))
-    return inner.join(sup, [*part, *major, "_sb"], "left").select(
-        *part, *major, "_bk", combine(F.col("_scarry"), F.col("_bcarry")).alias("_carry"))
+def _before(*part: str):
+    return Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def prefix_max_before(df: DataFrame, part: Sequence[str], order_col: str, value_col: str, out: str,
-                      width: int = DEFAULT_WIDTH, fanout: int = FANOUT) -> DataFrame:
+                      parts: int | None = None) -> DataFrame:
     """``out`` = max(value_col) over rows of the same ``part`` with a smaller ``order_col``."""
-    b = df.withColumn("_bk", _bucket(order_col, width))
+    b = ranged(df, [*part, order_col], parts)
     per = b.groupBy(*part, "_bk").agg(F.max(value_col).alias("_bv"))
-    carry = _carry(per, part, [], F.max, F.greatest, fanout)
+    carry = per.select(*part, "_bk", F.max("_bv").over(_before(*part)).alias("_carry"))
     wi = Window.partitionBy(*part, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     return (
         b.join(carry, [*part, "_bk"], "left")
@@ -53,39 +47,25 @@ def prefix_max_before(df: DataFrame, part: Sequence[str], order_col: str, value_
 
 
 def prefix_sum(df: DataFrame, part: Sequence[str], order_col: str, value_col: str, out: str,
-               width: int = DEFAULT_WIDTH, inclusive: bool = True, major: Sequence[str] = (),
-               fanout: int = FANOUT) -> DataFrame:
-    """``out`` = running sum of ``value_col`` in (``major``..., ``order_col``) order within ``part``.
-
-    ``major`` columns order coarse blocks (e.g. a file split's start offset)
-    and must be constant within a bucket of ``order_col``.
-    """
-    b = df.withColumn("_bk", _bucket(order_col, width))
-    per = b.groupBy(*part, *major, "_bk").agg(F.sum(value_col).alias("_bv"))
-    carry = _carry(per, part, major, F.sum,
-                   lambda s, c: F.coalesce(s, F.lit(0)) + F.coalesce(c, F.lit(0)), fanout)
-    end = 0 if inclusive else -1
-    wi = Window.partitionBy(*part, *major, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+               parts: int | None = None, inclusive: bool = True, major: Sequence[str] = ()) -> DataFrame:
+    """``out`` = running sum of ``value_col`` in (``major``..., ``order_col``) order within ``part``."""
+    b = ranged(df, [*part, *major, order_col], parts)
+    per = b.groupBy(*part, "_bk").agg(F.sum(value_col).alias("_bv"))
+    carry = per.select(*part, "_bk", F.coalesce(F.sum("_bv").over(_before(*part)), F.lit(0)).alias("_carry"))
+    wi = Window.partitionBy(*part, "_bk").orderBy(*major, order_col).rowsBetween(Window.unboundedPreceding,
+                                                                                 0 if inclusive else -1)
     return (
-        b.join(carry, [*part, *major, "_bk"], "left")
+        b.join(carry, [*part, "_bk"], "left")
         .withColumn(out, F.col("_carry") + F.coalesce(F.sum(value_col).over(wi), F.lit(0)))
         .drop("_bk", "_carry")
     )
 
 
 def top_n_per_group(df: DataFrame, part: Sequence[str], order_col: str, n: int, out: str = "rank_desc",
-                    width: int = DEFAULT_WIDTH, fanout: int = FANOUT) -> DataFrame:
-    """Last ``n`` rows by ``order_col`` within each ``part`` (three-stage top-k).
-
-    Keep the last n of every bucket, then of every super-bucket, then rank
-    the few survivors of the group: every window is bounded by width,
-    n * fanout, or n * (super-buckets of the group).
-    """
-    b = df.withColumn("_bk", _bucket(order_col, width))
+                    parts: int | None = None) -> DataFrame:
+    """Last ``n`` rows by ``order_col`` within each ``part``: the last n of every range, then of the few that are left."""
+    b = ranged(df, [*part, order_col], parts)
     w1 = Window.partitionBy(*part, "_bk").orderBy(F.col(order_col).desc())
-    s1 = b.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n) \
-        .withColumn("_sb", F.floor(F.col("_bk") / F.lit(fanout)).cast("long")).drop("_r", "_bk")
-    w2 = Window.partitionBy(*part, "_sb").orderBy(F.col(order_col).desc())
-    s2 = s1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_r", "_sb")
-    w3 = Window.partitionBy(*part).orderBy(F.col(order_col).desc())
-    return s2.withColumn(out, F.row_number().over(w3)).where(F.col(out) <= n)
+    few = b.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_bk")
+    w2 = Window.partitionBy(*part).orderBy(F.col(order_col).desc())
+    return few.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= n)

@@ -6,11 +6,11 @@ the first banner of a file belong to run 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
-from tidemark.operators.prefix import DEFAULT_WIDTH, prefix_sum, top_n_per_group
+from tidemark.operators.prefix import prefix_max_before, prefix_sum, top_n_per_group
 
 
 def banner_pattern(job: str | None = None) -> str:
@@ -18,15 +18,15 @@ def banner_pattern(job: str | None = None) -> str:
     return r"^=== " + (job if job else r"\S+") + r" [0-9]"
 
 
-def segment_runs(log: DataFrame, pattern: str | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
+def segment_runs(log: DataFrame, pattern: str | None = None, parts: int | None = None) -> DataFrame:
     """Label every line with the number of banners up to and including it.
 
-    A running count per file, computed with the bucketed prefix scan so one
+    A running count per file, computed with the ranged prefix scan so one
     huge log file is still many tasks.
     """
     pat = pattern or banner_pattern()
     flagged = log.withColumn("_banner", F.coalesce(F.col("line").rlike(pat), F.lit(False)).cast("long"))
-    return prefix_sum(flagged, ["file"], "line_no", "_banner", "run_no", width).drop("_banner")
+    return prefix_sum(flagged, ["file"], "line_no", "_banner", "run_no", parts).drop("_banner")
 
 
 def problem_lines(col="line"):
@@ -49,40 +49,51 @@ def problem_count(runs: DataFrame) -> DataFrame:
     )
 
 
-def run_tail(runs: DataFrame, n: int = S.RUN_TAIL_LINES, width: int = DEFAULT_WIDTH) -> DataFrame:
+def run_tail(runs: DataFrame, n: int = S.RUN_TAIL_LINES, parts: int | None = None,
+             subject_prefix: str | None = None) -> DataFrame:
     """Last ``n`` operational lines of every labelled run, in line order."""
-    ops = runs.where((F.col("run_no") > 0) & operational_lines())
-    return top_n_per_group(ops, ["file", "run_no"], "line_no", n, "from_end", width).select(
+    ops = runs.where((F.col("run_no") > 0) & operational_lines(subject_prefix=subject_prefix))
+    return top_n_per_group(ops, ["file", "run_no"], "line_no", n, "from_end", parts).select(
         "file", "run_no", "line_no", "line", "from_end")
 
 
-def current_run_tail(runs: DataFrame, n: int = S.RUN_TAIL_LINES, width: int = DEFAULT_WIDTH) -> DataFrame:
+def current_run(log: DataFrame, pattern: str | None = None) -> DataFrame:
+    """The lines of each file's current run: from its last banner to its end (the whole file without a banner).
+
+    No line is numbered: the place of the last banner is one partially aggregated maximum per file.
+    """
+    pat = pattern or banner_pattern()
+    last = log.where(F.col("line").rlike(pat)).groupBy("file").agg(F.max("line_no").alias("_from"),
+                                                                   F.count(F.lit(1)).alias("run_no"))
+    cur = log.join(last, "file", "left").where(F.col("line_no") >= F.coalesce("_from", F.col("line_no")))
+    return cur.select("file", F.coalesce("run_no", F.lit(0)).cast("long").alias("run_no"), "line_no", "line")
+
+
+def current_run_tail(log: DataFrame, n: int = S.RUN_TAIL_LINES, parts: int | None = None, pattern: str | None = None,
+                     subject_prefix: str | None = None) -> DataFrame:
     """The alert body: last ``n`` operational lines of each file's current run (O4 for the mail).
 
-    The current run is everything from the last banner to the end of the file
-    (the whole file when it has no banner), i.e. the lines with the file's
-    highest run number.
+    ``subject_prefix``: how this deployment's alert subjects start; those lines count as well.
     """
-    last = runs.groupBy("file").agg(F.max("run_no").alias("_last"))
-    cur = runs.join(last, "file").where((F.col("run_no") == F.col("_last")) & operational_lines()).drop("_last")
-    return top_n_per_group(cur, ["file"], "line_no", n, "from_end", width).select(
+    cur = current_run(log, pattern).where(operational_lines(subject_prefix=subject_prefix))
+    return top_n_per_group(cur, ["file"], "line_no", n, "from_end", parts).select(
         "file", "run_no", "line_no", "line", F.col("from_end").cast("long").alias("from_end"))
 
 
-def failure_streaks(run_status: DataFrame, alarm_at: int = S.FAILURE_STREAK_ALARM) -> DataFrame:
+def failure_streaks(run_status: DataFrame, alarm_at: int = S.FAILURE_STREAK_ALARM, parts: int | None = None) -> DataFrame:
     """Consecutive failed runs per job, reset by a success; alarm at ``alarm_at``.
 
-    ``run_status`` has (file, run_no, failed): one row per run, so a job's
-    window is its run count, not its line count.
+    ``run_status`` has (file, run_no, failed): one row per run.  A failed run's
+    streak is its number of runs since the last success of its file.
     """
-    w = Window.partitionBy("file").orderBy("run_no")
-    # group = successes so far; every group but the first opens with its success
-    grp = run_status.withColumn(
-        "_grp", F.sum((~F.col("failed")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    w2 = Window.partitionBy("file", "_grp").orderBy("run_no")
-    streak = F.when(F.col("failed"), F.row_number().over(w2) - F.when(F.col("_grp") > 0, 1).otherwise(0)) \
-        .otherwise(F.lit(0)).cast("long")
-    return grp.select("file", "run_no", "failed", streak.alias("streak"), (streak >= alarm_at).alias("alarm"))
+    # the run number of the last success before each run, by the ranged prefix scan: no window holds a whole job
+    marked = run_status.withColumn("_ok", F.when(~F.col("failed"), F.col("run_no")))
+    scanned = prefix_max_before(marked, ["file"], "run_no", "_ok", "_last_ok", parts)
+    ranked = prefix_sum(scanned.withColumn("_one", F.lit(1).cast("long")), ["file"], "run_no", "_one", "_nth", parts)
+    base = ranked.where("not failed").select("file", F.col("run_no").alias("_last_ok"), F.col("_nth").alias("_ok_nth"))
+    streak = F.when(F.col("failed"), F.col("_nth") - F.coalesce("_ok_nth", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return ranked.join(base, ["file", "_last_ok"], "left").select(
+        "file", "run_no", "failed", streak.alias("streak"), (streak >= alarm_at).alias("alarm"))
 
 
 def staleness(stamps: DataFrame, now, limit: int = S.STALE_SUCCESS_DAYS) -> DataFrame:

@@ -263,9 +263,7 @@ def q_stream_route_default(spark, sf):
               .parquet(f"{base}/spool"))
     q = start_routing(stream, "bus_time", fx.leaf(spark, sf), "ticks", f"{base}/table", f"{base}/default",
                       f"{base}/checkpoint")
-    if not q.awaitTermination(900):  # availableNow ends by itself; never let a stuck stream hang the caller
-        q.stop()
-        raise RuntimeError("routing stream did not finish within 15 minutes")
+    q.awaitTermination()  # availableNow ends by itself, whenever all files are routed
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/default").select("id", "day")
@@ -454,7 +452,7 @@ def q_run_tail(spark, sf):
 
 def q_alert_body(spark, sf):
     ensure_utc(spark)
-    return runlog.current_run_tail(_runs(spark, sf))
+    return runlog.current_run_tail(fx.log_lines(spark, sf).drop("ts"), pattern=runlog.banner_pattern("job"))
 
 
 def q_failure_streaks(spark, sf):
@@ -503,6 +501,210 @@ def q_candle_ingest(spark, sf):
     return out.select("instrument", "timeframe", "open_at", "open", "high", "low", "close", "volume")
 
 
+# ---------------------------------------------------------------- jobs over awkward data
+TEXTS_ARCHIVE_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("at", T.TimestampNTZType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("amount", T.DoubleType())])
+
+
+def _texts(spark, sf):
+    """Documents as a day table, with NULL, empty, padded, quoted and multi-line texts, NaN and infinities mixed in."""
+    d = fx.table(spark, sf, "documents")
+    k, i = F.col("doc_id") % 10, F.col("doc_id")
+    text = (F.when(k == 0, F.lit(None)).when(k == 1, F.lit("")).when(k == 2, F.lit("  lead and trail  "))
+            .when(k == 3, F.lit('a "quoted", \\ "" text')).when(k == 4, F.lit("line\nfeed\r\nreturn\r end"))
+            .otherwise(F.col("text")))
+    amount = (F.when(k == 5, F.lit(float("nan"))).when(k == 6, F.lit(float("inf"))).when(k == 7, F.lit(float("-inf")))
+              .when(k == 8, F.lit(None)).otherwise(i / 7))
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 5 as int), 0, 0, doc_id % 60)")
+    return d.select("doc_id", at.alias("at"), text.alias("text"), "lang", amount.cast("double").alias("amount"))
+
+
+def _export_texts(spark, sf, fmt):
+    root = f"{shared_dir(spark)}/tidemark-texts-{uuid.uuid4().hex}"
+    t = _texts(spark, sf)
+    days = sorted(r["day"] for r in t.select(day_of("at").alias("day")).distinct().collect())  # five days
+    leaf = t.select(F.lit("texts").alias("table_name"), day_of("at").alias("day")).distinct()
+    jobs.export_days(spark, t, "texts", "at", ["doc_id"], days, leaf, None, root, TEXTS_ARCHIVE_SCHEMA, id_col=None, fmt=fmt)
+    return arc.read_archive(spark, f"{root}/texts", TEXTS_ARCHIVE_SCHEMA)
+
+
+def q_export_strings_roundtrip(spark, sf):
+    """Both text formats: per day, the digest of re-read rows in which NULL, "" and every kind of text stay apart."""
+    ensure_utc(spark)
+    amount = F.when(F.isnan("amount"), "nan").when(F.col("amount") == float("inf"), "inf").when(
+        F.col("amount") == float("-inf"), "-inf").otherwise(F.coalesce(F.round(F.col("amount") * 7).cast("long").cast("string"), F.lit("~")))
+    out = None
+    for fmt in ("csv.gz", "csv.zst"):
+        back = _export_texts(spark, sf, fmt).drop("day")
+        parts = [F.col("doc_id"), F.unix_micros(F.col("at").cast("timestamp")),
+                 F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("~")),
+                 F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("~")), amount]
+        one = arc.day_content_digest(back, "at", parts).select(F.lit(fmt).alias("fmt"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _lineitem_candles(spark, sf):
+    """SCD2 versions with zero-length ties, as a candle table: the bar's time is the version's start."""
+    v = q_close_versions(spark, sf)
+    return v.select(F.col("l_orderkey").alias("instrument"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey",
+                    F.lit("1d").alias("timeframe"), F.col("known_from").alias("open_at"), "known_from", "known_to", "price")
+
+
+def q_sweep_remainder(spark, sf):
+    """P6 on versions with ties: what the sweep archived, what it left, and active versions, per start year."""
+    ensure_utc(spark)
+    c = _lineitem_candles(spark, sf)
+    path = f"{shared_dir(spark)}/tidemark-sweep-{uuid.uuid4().hex}"
+    rest = jobs.candle_sweep_job(c, P.VERSIONS_FROM, P.VERSIONS_TO, path, ["instrument", "line"])
+    swept = spark.read.parquet(path)
+    year = F.year("open_at").cast("long").alias("year")
+    active = F.count_if(F.col("known_to") == F.lit(S.SENTINEL).cast("timestamp_ntz"))
+    both = rest.select(year, F.lit("remaining").alias("part"), "known_to").unionByName(
+        swept.select(year, F.lit("archived").alias("part"), "known_to"))
+    return both.groupBy("part", "year").agg(F.count(F.lit(1)).alias("n_rows"), active.alias("n_active"))
+
+
+def _retention_days(spark, sf, table, rows, time_col, order, schema, **kw):
+    """Three retention runs over a table with an empty leaf (the 2nd) and a gap (no leaf on the 4th)."""
+    root = f"{shared_dir(spark)}/tidemark-retention-{uuid.uuid4().hex}"
+    path = f"{root}/{table}"
+    day = F.dayofmonth(time_col)
+    rows.where(~day.isin(2, 4)).withColumn("day", day_of(time_col)).write.partitionBy("day").parquet(path)
+    jobs.ensure_leaves(spark, path, dt.date(2024, 1, 2), dt.date(2024, 1, 2))
+    out = None
+    for run in (1, 2, 3):
+        done = jobs.run_retention(spark, path, table, time_col, order, schema, f"{root}/archive", f"{root}/MANIFEST",
+                                  P.TODAY, exported_at="2024-02-01T00:00:00Z", **kw)
+        one = done.select(F.lit(table).alias("table_name"), F.lit(run).cast("long").alias("run"), "day", "decision", "dropped")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_retention_run(spark, sf):
+    """P4 end to end for ticks and trades: empty leaves drop, gaps are passed over, both ledgers verify."""
+    ensure_utc(spark)
+    ticks = _retention_days(spark, sf, "ticks", fx.ticks(spark, sf), "bus_time", ["id"], TICKS_ARCHIVE_SCHEMA)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("executed_at", T.TimestampNTZType()),
+                           T.StructField("price", T.DoubleType())])
+    tr = fx.trades(spark, sf).where(F.col("executed_at") >= "2024-01-01").select("id", "executed_at", "price")
+    return ticks.unionByName(_retention_days(spark, sf, "trades", tr, "executed_at", ["executed_at", "id"], schema,
+                                             armed=True))
+
+
+def q_archive_bytes(spark, sf):
+    """The day's archive in one plain CSV part, hashed as bytes; SQL builds the same bytes from the rows."""
+    ensure_utc(spark)
+    root = f"{shared_dir(spark)}/tidemark-bytes-{uuid.uuid4().hex}"
+    t = fx.ticks(spark, sf).select("id", "instrument", "bus_time", F.round(F.col("price") * 100).cast("long").alias("cents"))
+    arc.write_day_archive(t, root, "bus_time", ["id"], n_parts=1, compression="none")
+    return arc.archive_inventory(spark, root, glob="*.csv").select("day", "bytes", "sha256")
+
+
+def q_ledger_from_text(spark, sf):
+    """The ticks ledger written as text in two appends, with short, long, blank and repeated lines, read back."""
+    ensure_utc(spark)
+    from tidemark.sources.ledger import append_manifest, ledger_text, read_manifest
+
+    path = f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}"
+    led = fx.ledger(spark, sf).where("nf = 8").orderBy("line_no")
+    append_manifest(led, path)
+    text = ledger_text(led.where(F.col("line_no") % 20 == 11))
+    bad = text.select(F.concat(F.col("value"), F.lit("\textra")).alias("value")).unionByName(
+        text.select(F.regexp_replace("value", "\t[^\t]*$", "").alias("value"))).unionByName(
+        text.select(F.lit("").alias("value")).limit(1))
+    bad.coalesce(1).write.text(f"{path}/seq=000000000002")
+    append_manifest(led.where(F.col("line_no") % 20 == 11), path)
+    back = read_manifest(spark, path, "ticks")
+    return back.groupBy("day", "nf").agg(F.count(F.lit(1)).alias("n_lines"),
+                                         F.max_by("rows", "line_no").alias("last_rows"),
+                                         F.max_by("sha256", "line_no").alias("last_sha256"))
+
+
+def q_run_logs_text(spark, sf):
+    """Two logs of one name in two folders, written as text and read back with their own numbering."""
+    ensure_utc(spark)
+    from tidemark.sources.runlog import read_run_logs
+
+    base = f"{shared_dir(spark)}/tidemark-logs-{uuid.uuid4().hex}"
+    lines = fx.log_lines(spark, sf)
+    for folder, parity in (("a", 0), ("b", 1)):
+        one = lines.where(F.col("line_no") % 2 == parity).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
+        one.select(F.concat_ws(" ", F.col("line_no").cast("string"), "line").alias("value")).write.text(f"{base}/{folder}/2024-01")
+    return read_run_logs(spark, base).select(F.regexp_extract("file", "/([ab])/2024-01/", 1).alias("folder"), "line_no", "line")
+
+
+def q_restore_job(spark, sf):
+    """Days exported without their recovered rows, purged, restored with a proved supplement file: the table's digest."""
+    ensure_utc(spark)
+    from tidemark.sources.ledger import read_manifest
+
+    root = f"{shared_dir(spark)}/tidemark-restore-{uuid.uuid4().hex}"
+    t, recovered = fx.ticks(spark, sf), fx.supplement_rows(spark, sf)
+    base = t.join(recovered.select("id"), "id", "left_anti").select(*TICKS_ARCHIVE_SCHEMA.names)
+    days = sorted(r["day"] for r in base.select(day_of("bus_time").alias("day")).distinct().collect())
+    leaf = base.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct()
+    jobs.export_days(spark, base, "ticks", "bus_time", ["id"], days, leaf, None, root, TICKS_ARCHIVE_SCHEMA,
+                     ledger_path=f"{root}/MANIFEST", fmt="csv.zst")
+    arc.write_day_archive(recovered.select(*TICKS_ARCHIVE_SCHEMA.names), f"{root}/extra", "bus_time", ["id"], n_parts=1,
+                          compression="none")
+    files = arc.archive_inventory(spark, f"{root}/extra", glob="*.csv")
+    counts = recovered.groupBy(day_of("bus_time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    ledger = files.join(counts, "day").select(
+        F.concat(F.lit("day="), F.col("day").cast("string"), F.lit("/"), "part").alias("file"), F.col("day").cast("string").alias("day"),
+        F.col("n").cast("string").alias("rows"), F.col("bytes").cast("string").alias("bytes"), "sha256", F.lit("recovered").alias("note"))
+    ledger.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{root}/SUPPLEMENTS")
+    table = f"{root}/table"
+    jobs.restore_into_table(spark, root, "ticks", days, TICKS_ARCHIVE_SCHEMA, table, "bus_time",
+                            supplement_ledger=f"{root}/SUPPLEMENTS", supplement_folder=f"{root}/extra",
+                            ledger=read_manifest(spark, f"{root}/MANIFEST", "ticks"))
+    back = spark.read.parquet(table).drop("day")
+    return arc.day_content_digest(back, "bus_time", _ticks_parts(back))
+
+
+def q_candle_ingest_upsert(spark, sf):
+    """P7 into a table: a cache whose days are written twice; one active version per bar after two runs."""
+    ensure_utc(spark)
+    cache = f"{shared_dir(spark)}/tidemark-cache2-{uuid.uuid4().hex}"
+    bars = _c1m(spark, sf)
+    write_candle_csv(bars, f"{cache}/first")
+    write_candle_csv(bars, f"{cache}/second")
+    src = fx.ticks(spark, sf).groupBy(F.col("instrument").alias("source")).agg(
+        F.unix_seconds(F.max("bus_time").cast("timestamp")).alias("last_epoch"))
+    empty = spark.createDataFrame([], "exchange string, instrument string, timeframe string, open_at timestamp_ntz, open double, "
+                                      "high double, low double, close double, volume double, trades long, "
+                                      "known_from timestamp_ntz, known_to timestamp_ntz")
+    keys = ["exchange", "instrument"]
+    out = jobs.candle_ingest(spark, cache, src, P.LOOKBACK_NOW, keys, current=empty)
+    folder = f"{cache}-table"
+    out.write.parquet(folder)
+    again = jobs.candle_ingest(spark, cache, src, "2024-02-04 12:00:00", keys, current=spark.read.parquet(folder))
+    active = F.count_if(F.col("known_to") == F.lit(S.SENTINEL).cast("timestamp_ntz"))
+    per = again.groupBy("instrument", "timeframe", "open_at").agg(active.alias("a"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("timeframe").agg(F.count(F.lit(1)).alias("n_bars"), F.max("a").alias("max_active"),
+                                        F.min("a").alias("min_active"), F.max("n").alias("max_versions"))
+
+
+def q_stream_candles(spark, sf):
+    """The candle stream with late rows kept aside, over three on-time drops; its merged bars."""
+    ensure_utc(spark)
+    from tidemark.streaming.candles import read_stream_candles, start_candle_stream
+
+    base = f"{shared_dir(spark)}/tidemark-bars-{uuid.uuid4().hex}"
+    t = fx.ticks(spark, sf)
+    t.withColumn("_drop", F.floor((F.dayofmonth("bus_time") - 1) / 10)).repartition("_drop").write.partitionBy("_drop") \
+        .parquet(f"{base}/spool")
+    stream = (spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 100).option("recursiveFileLookup", True)
+              .parquet(f"{base}/spool"))
+    q = start_candle_stream(stream, "1h", ["instrument"], "bus_time", "price", "id", f"{base}/bars", f"{base}/late",
+                            f"{base}/checkpoint", delay_seconds=40 * 86400)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_stream_candles(spark, f"{base}/bars", ["instrument"])
+
+
 QUERIES = {
     "day_counts": q_day_counts,
     "day_slice": q_day_slice,
@@ -559,4 +761,13 @@ QUERIES = {
     "retention_plan": q_retention_plan,
     "candle_sweep": q_candle_sweep,
     "candle_ingest": q_candle_ingest,
+    "candle_ingest_upsert": q_candle_ingest_upsert,
+    "export_strings_roundtrip": q_export_strings_roundtrip,
+    "sweep_remainder": q_sweep_remainder,
+    "retention_run": q_retention_run,
+    "archive_bytes": q_archive_bytes,
+    "ledger_from_text": q_ledger_from_text,
+    "run_logs_text": q_run_logs_text,
+    "restore_job": q_restore_job,
+    "stream_candles": q_stream_candles,
 }

@@ -8,9 +8,11 @@ partition drops), never rows.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,11 +89,11 @@ def _write_header_only(fs, folder, schema: T.StructType, fmt: str = "csv.gz") ->
     """A compressed CSV holding just the header: an empty day's archive (bounds (0, 1), zero rows)."""
     import gzip
 
-    import zstandard
+    import pyarrow as pa
 
     fs.mkdirs(folder)
     header = (",".join(f.name for f in schema.fields) + "\n").encode()
-    data = zstandard.ZstdCompressor().compress(header) if fmt == "csv.zst" else gzip.compress(header, mtime=0)
+    data = pa.compress(header, "zstd", asbytes=True) if fmt == "csv.zst" else gzip.compress(header, mtime=0)
     out = fs.create(folder.suffix(f"/part-00000-empty.{fmt}"), False)
     try:
         out.write(bytearray(data))
@@ -100,17 +102,27 @@ def _write_header_only(fs, folder, schema: T.StructType, fmt: str = "csv.gz") ->
 
 
 def table_day_listing(spark: SparkSession, table_path: str, days: Sequence) -> DataFrame:
-    """Per day folder of a table: file count and a digest of (name, size) of its files -- listing only."""
-    folders = [f for f in arc.day_folders(table_path, days) if arc._exists(spark, f)]
-    if not folders:
-        return spark.createDataFrame([], "day date, n_files long, listing string")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
-             .select("path", "length"))
-    return files.select(
-        F.try_to_date(F.regexp_extract("path", r"day=([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd").alias("day"),
-        F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), F.col("length").cast("string")).alias("_e"),
-    ).groupBy("day").agg(F.count(F.lit(1)).alias("n_files"),
-                         F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("_e"))), 256).alias("listing"))
+    """Per existing day folder of a table: file count and a digest of (name, size) of its files -- listing only.
+
+    A folder without files has a listing too: that of no files.
+    """
+    rows = []
+    for d in days:  # one metadata listing a day; a run handles a few days
+        fs, p = _fs(spark, arc.day_folders(table_path, [d])[0])
+        if fs.exists(p):
+            rows.append((d, *_folder_listing(fs, p)))
+    return spark.createDataFrame(rows, "day date, n_files long, listing string")
+
+
+def _folder_listing(fs, folder) -> tuple[int, str]:
+    """(files, digest of their names and sizes) of a folder and its subfolders; names with ``_`` or ``.`` are hidden."""
+    entries, it = [], fs.listFiles(folder, True)
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith(("_", ".")):
+            entries.append(f"{name}:{st.getLen()}")
+    return len(entries), hashlib.sha256(",".join(sorted(entries)).encode()).hexdigest()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -123,43 +135,69 @@ def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str | None, ti
                 catalog_table: str | None = None) -> list[str]:
     """Drop the ``day=`` folder of every PURGE day whose live row count still equals the plan (P3 apply).
 
-    Counts are re-taken right before the drop in one pruned aggregate; a day
-    that changed since the plan is left alone (late rows are L4's business).
+    The files are listed, then the rows counted in one pruned aggregate (a
+    day without files has none); a day that changed since the plan is left
+    alone (late rows are L4's business).  A folder is first renamed aside,
+    out of writers' and readers' sight, and listed again: only if it holds
+    exactly the files that were counted is it deleted, else it is put back.
     With ``catalog_table`` the partition is dropped by ``ALTER TABLE ... DROP
     PARTITION`` (and, for an external table at ``table_path``, its folder).
     Returns the dropped days.  Only metadata (the day list) reaches the driver.
     """
-    purge = plan.where(F.col("decision") == "PURGE").select("day", "ledger_rows")
-    # Re-checked right before the drop: live row count (and, when the plan has it, the file listing).
-    days = [r["day"] for r in purge.select("day").distinct().collect()]  # calendar sized
-    if not days:
+    purge = plan.where(F.col("decision") == "PURGE")
+    seen = F.col("listing") if "listing" in plan.columns else F.lit(None).cast("string")
+    planned = {r["day"]: (r["ledger_rows"], r["listing"]) for r in purge.select(
+        "day", "ledger_rows", seen.alias("listing")).distinct().collect()}  # calendar sized
+    if not planned:
         return []
+    days = sorted(planned)
+    now = {r["day"]: r["listing"] for r in table_day_listing(spark, table_path, days).collect()} if table_path else {}
     # only the purge days' partitions are listed and counted (partition pruning)
-    source = spark.table(catalog_table) if catalog_table else spark.read.parquet(table_path)
-    live = (source.where(F.col("day").isin(days))
-            .groupBy("day").agg(F.count(F.lit(1)).alias("live_rows")))
-    ok = purge.join(live, "day", "inner").where(F.col("live_rows") == F.col("ledger_rows")).select("day")
-    if "listing" in plan.columns:  # the files verified at plan time must still be exactly the files there
-        now = table_day_listing(spark, table_path, days).select("day", F.col("listing").alias("_now"))
-        ok = ok.join(plan.select("day", "listing"), "day").join(now, "day", "left") \
-            .where(F.col("listing") == F.col("_now")).select("day")
+    source = spark.table(catalog_table) if catalog_table else _day_table(spark, table_path, days)
+    live = {} if source is None else {r["day"]: r["n"] for r in source.where(F.col("day").isin(days)).groupBy("day").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
     dropped = []
-    for r in ok.orderBy("day").collect():  # one row per day: calendar sized
-        d = r["day"].isoformat()
-        if catalog_table:
-            spark.sql(f"ALTER TABLE {catalog_table} DROP IF EXISTS PARTITION (day = DATE'{d}') PURGE")
-            dropped.append(d)
-            if table_path:  # an external table keeps its files after DROP PARTITION
-                fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d}")
-                if fs.exists(p):
-                    fs.delete(p, True)
+    for d in days:
+        rows, listing = planned[d]
+        if live.get(d, 0) != rows or (table_path and (d not in now or (listing is not None and listing != now[d]))):
             continue
-        fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d}")
-        if fs.exists(p) and fs.delete(p, True):
-            dropped.append(d)
+        if catalog_table:
+            spark.sql(f"ALTER TABLE {catalog_table} DROP IF EXISTS PARTITION (day = DATE'{d.isoformat()}') PURGE")
+        # an external table keeps its files after DROP PARTITION
+        if (not table_path) or _drop_folder(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}", now[d]):
+            dropped.append(d.isoformat())
     return dropped
 
 
+def _day_table(spark: SparkSession, table_path: str, days: Sequence[dt.date]) -> DataFrame | None:
+    """The given days of a ``day=`` partitioned Parquet table; None if none of them has a file."""
+    folders = []
+    for f in arc.day_folders(table_path, days):
+        fs, p = _fs(spark, f)
+        if fs.exists(p) and _folder_listing(fs, p)[0]:
+            folders.append(f)
+    return spark.read.option("basePath", table_path).parquet(*folders) if folders else None
+
+
+def _drop_folder(spark: SparkSession, folder: str, listing: str) -> bool:
+    """Delete a day folder if, renamed aside, it still holds exactly the listed files; else put it back."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return False
+    aside = p.getParent().suffix(f"/_purge-{uuid.uuid4().hex}")
+    fs.mkdirs(aside)
+    held = aside.suffix(f"/{p.getName()}")
+    if not fs.rename(p, held):
+        fs.delete(aside, False)
+        return False
+    if _folder_listing(fs, held)[1] == listing:
+        return bool(fs.delete(aside, True))
+    if not fs.rename(held, p):  # a writer has made the day's folder anew: nothing may be lost, so it stays aside
+        raise RuntimeError(f"{folder} changed while it was purged; its files are kept in {held}")
+    fs.delete(aside, False)
+    return False
+
+
 # ---------------------------------------------------------------- P1 export
 LEDGER_LINE_DDL = ("table_name string, file string, day string, bound_lower string, bound_upper string, rows string, "
                    "bytes string, sha256 string, exported_at string, nf int, line_no long, kind string")
@@ -188,7 +226,8 @@ def plan_guard(df: DataFrame) -> None:
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
     scans = [ln for ln in plan.splitlines() if "FileScan" in ln or "BatchScan" in ln]
-    if not scans or any("PartitionFilters: []" in ln for ln in scans):
+    # every scan must name its partition filters; a source that prints none (some v2 sources) is refused as well
+    if not scans or not all("PartitionFilters: [" in ln and "PartitionFilters: []" not in ln for ln in scans):
         raise RuntimeError("REFUSE: the export scan is not pruned by day (no PartitionFilters)")
 
 
@@ -207,12 +246,12 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
 
     Refuses days without a leaf and days already in the ledger.  All other
     days are written by ONE range-partitioned job into a staging folder,
-    re-read strictly and counted, reconciled against the table counts, then
-    published by rename and appended to the ledger.  A crash before publish
-    leaves only staging.  A crash after publish but before the ledger append
-    leaves a published day without a line: it is refused on re-run, or with
-    ``adopt=True`` re-read strictly and adopted (its line written) when its
-    row count equals the table's.
+    re-read strictly, and every day's row count and content digest must equal
+    the table's before it is published by rename and appended to the ledger.
+    A crash before publish leaves only staging.  A crash after publish but
+    before the ledger append leaves a published day without a line: it is
+    refused on re-run, or with ``adopt=True`` re-read strictly and adopted
+    (its line written) when its count and digest equal the table's.
     """
     root = root.rstrip("/")
     req = spark.createDataFrame([(d,) for d in days], "day date")
@@ -228,15 +267,15 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     candidates = sorted(fresh + (published if adopt else []))
     if not candidates:
         return spark.createDataFrame([], LEDGER_LINE_DDL)
-    # ONE pruned aggregate over the table serves the count check, adoption and the ledger bounds
-    stats = _day_stats(df, time_col, candidates, day_col, id_col)
-    adopted = _adoptable(spark, schema, root, table, published, stats) if adopt and published else []
+    # ONE pruned aggregate over the table serves the content check, adoption and the ledger bounds
+    stats = _day_stats(df, time_col, candidates, day_col, id_col, schema)
+    adopted = _adoptable(spark, schema, root, table, published, time_col, stats) if adopt and published else []
     if fresh:
         fresh_rows = _rows_of_days(df, time_col, fresh, day_col)
         if day_col:
             plan_guard(fresh_rows)
         _write_and_publish(spark, fresh_rows, table, time_col, order_cols, fresh, root, schema, n_parts, fmt,
-                           {d: stats.get(d, (0, None, None))[0] for d in fresh})
+                           {d: stats[d] for d in fresh if d in stats})
     done = sorted(fresh + adopted)
     if not done:
         return spark.createDataFrame([], LEDGER_LINE_DDL)
@@ -245,7 +284,7 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     stamp = exported_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     per_day = []
     for d in done:
-        n, lo, hi = stats.get(d, (0, None, None))
+        n, lo, hi = stats[d][:3] if d in stats else (0, None, None)
         if id_col:  # empty day -> (0, 1)
             bl, bu = str(lo if lo is not None else 0), str((hi if hi is not None else 0) + 1)
         else:
@@ -271,35 +310,49 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
 
 
 def _day_stats(df: DataFrame, time_col: str, days: Sequence[dt.date], day_col: str | None,
-               id_col: str | None) -> dict:
-    """{day: (rows, min id, max id)} for the given days: one pruned, partially aggregated pass."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+               id_col: str | None, schema: T.StructType) -> dict:
+    """{day: (rows, min id, max id, content digest)} for the given days: one pruned, partially aggregated pass."""
+    aggs = [F.count(F.lit(1)).alias("n"), arc.content_digest(schema).alias("digest")]
     if id_col:
         aggs += [F.min(id_col).alias("lo"), F.max(id_col).alias("hi")]
-    rows = _rows_of_days(df, time_col, days, day_col).groupBy(day_of(time_col).alias("day")).agg(*aggs).collect()
-    return {r["day"]: (r["n"], r["lo"] if id_col else None, r["hi"] if id_col else None) for r in rows}
+    rows = _typed(_rows_of_days(df, time_col, days, day_col), schema, id_col, time_col)
+    return {r["day"]: (r["n"], r["lo"] if id_col else None, r["hi"] if id_col else None, r["digest"])
+            for r in rows.groupBy(day_of(time_col).alias("day")).agg(*aggs).collect()}
+
+
+def _typed(rows: DataFrame, schema: T.StructType, *more: str | None) -> DataFrame:
+    """The archive's columns in the archive's types (and ``more`` columns that it may lack)."""
+    extra = [F.col(c) for c in dict.fromkeys(more) if c and c not in schema.names]
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *extra)
+
+
+def _archived_content(archive: DataFrame, time_col: str, schema: T.StructType) -> dict:
+    """{day folder: (rows, content digest)} of re-read archive rows; a row of another day voids its folder's digest."""
+    rows = archive.groupBy("day").agg(F.count(F.lit(1)).alias("n"), arc.content_digest(schema).alias("digest"),
+                                      F.count_if(~F.col("day").eqNullSafe(day_of(time_col))).alias("strays"))
+    return {r["day"]: (r["n"], r["digest"] if not r["strays"] else None) for r in rows.collect()}
 
 
 def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts, fmt="csv.gz",
-                       expected: dict | None = None) -> None:
-    """Write the days to a fresh staging folder, prove the counts, then publish each day by rename."""
-    rows = rows.select(*[f.name for f in schema.fields])
+                       stats: dict | None = None) -> None:
+    """Write the days to a fresh staging folder, prove the content, then publish each day by rename."""
+    rows = _typed(rows, schema)
+    if stats is None:
+        stats = _day_stats(rows, time_col, days, None, None, schema)
     staging = f"{root}/_staging/{uuid.uuid4().hex}/{table}"
+    size = sum(x[0] for x in stats.values()) * 16 * len(schema.fields)  # the days' own rows, 16 bytes a field
     if fmt == "csv.zst":
-        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, fmt="csv.zst")
+        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, fmt="csv.zst", input_bytes=size)
     else:
-        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts)
+        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, input_bytes=size)
     fs_st, st_path = _fs(spark, staging)
+    got = {}  # stays empty if every requested day was: nothing was written
     if fs_st.exists(st_path) and any(st.getPath().getName().startswith("day=") for st in fs_st.listStatus(st_path)):
-        re_counts = arc.read_archive(spark, staging, schema).groupBy("day").agg(F.count(F.lit(1)).alias("file_rows"))
-    else:  # every requested day was empty: nothing was written
-        re_counts = spark.createDataFrame([], "day date, file_rows long")
-    got = {r["day"]: r["file_rows"] for r in re_counts.collect()}  # one row per day
-    want = expected if expected is not None else {
-        r["day"]: r["n_rows"] for r in slices.day_counts(rows, time_col).collect()}
-    bad = [d for d in set(got) | set(want) if got.get(d, 0) != want.get(d, 0)]
-    if bad:
-        raise RuntimeError(f"FILE ROWCOUNT MISMATCH on {len(bad)} day(s); nothing published")
+        got = _archived_content(arc.read_archive(spark, staging, schema), time_col, schema)
+    want = {d: (x[0], x[3]) for d, x in stats.items()}
+    if bad := [d for d in set(got) | set(want) if got.get(d) != want.get(d)]:
+        rows_differ = any(got.get(d, (0,))[0] != want.get(d, (0,))[0] for d in bad)
+        raise RuntimeError(f"FILE {'ROWCOUNT' if rows_differ else 'CONTENT'} MISMATCH on {len(bad)} day(s); nothing published")
     for d in days:
         fs, src = _fs(spark, f"{staging}/day={d.isoformat()}")
         _, dst = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
@@ -320,12 +373,11 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
         fs_run.delete(run_dir, True)  # everything was published; only this run's leftovers remain
 
 
-def _adoptable(spark, schema, root, table, days, stats: dict) -> list[dt.date]:
-    """Published days without a ledger line whose strict re-read count equals the table's count."""
+def _adoptable(spark, schema, root, table, days, time_col, stats: dict) -> list[dt.date]:
+    """Published days without a ledger line whose strict re-read has the table's rows: same count, same digest."""
     folders = arc.day_folders(f"{root}/{table}", days)
-    back = {r["day"]: r["file_rows"] for r in arc.read_archive(spark, folders, schema, base=f"{root}/{table}")
-            .groupBy("day").agg(F.count(F.lit(1)).alias("file_rows")).collect()}
-    return sorted(d for d in days if back.get(d, 0) == stats.get(d, (0, None, None))[0])
+    back = _archived_content(arc.read_archive(spark, folders, schema, base=f"{root}/{table}"), time_col, schema)
+    return sorted(d for d in days if back.get(d) == ((stats[d][0], stats[d][3]) if d in stats else None))
 
 
 # ---------------------------------------------------------------- P2 backfill
@@ -387,12 +439,14 @@ def backfill(spark: SparkSession, df: DataFrame, table: str, time_col: str, orde
 # ---------------------------------------------------------------- P4 retention
 def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame, table: str, today,
                    horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN,
-                   oldest: DataFrame | None = None) -> DataFrame:
+                   oldest: DataFrame | None = None, leaves: DataFrame | None = None) -> DataFrame:
     """Days to process this run, oldest first, with their action.
 
     From the day of the lowest-id row up to ``today - horizon`` (inclusive),
     at most ``max_days`` days; a day already in the ledger is purge-only,
     any other day is exported first.  Purge-only days count toward the cap.
+    With ``leaves`` days without a leaf are passed over: there is nothing to
+    drop, and they must not use up the run's days again and again.
     """
     if oldest is None:
         oldest = slices.oldest_day(df, time_col, id_col).select(F.lit(table).alias("table_name"), "oldest_day")
@@ -400,6 +454,8 @@ def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame,
     days = oldest.select("table_name", F.explode(F.sequence("oldest_day", F.greatest("oldest_day", cutoff),
                                                             F.expr("interval 1 day"))).alias("day"))
     days = cal.eligible_days(days, today, horizon)
+    if leaves is not None:
+        days = days.join(leaves.select("table_name", "day").distinct(), ["table_name", "day"], "left_semi")
     picked = cal.oldest_first(days, max_days)
     done = cal.ledger_days(ledger.where(F.col("table_name") == table)).withColumn("_done", F.lit(True))
     return picked.join(done, ["table_name", "day"], "left").select(
@@ -410,8 +466,7 @@ def retention_plan(df: DataFrame, time_col: str, id_col: str, ledger: DataFrame,
 def run_retention(spark: SparkSession, table_path: str, table: str, time_col: str, order_cols: Sequence[str],
                   schema: T.StructType, archive_root: str, ledger_path: str, today,
                   horizon: int = S.RETENTION_HORIZON_DAYS, max_days: int = S.MAX_DAYS_PER_RUN,
-                  id_col: str | None = "id", exported_at: str | None = None, fmt: str = "csv.gz",
-                  armed: bool = False) -> DataFrame:
+                  exported_at: str | None = None, fmt: str = "csv.gz", armed: bool = False) -> DataFrame:
     """One retention run over a ``day=``-partitioned Parquet table (P4 end to end).
 
     Oldest leaf first, up to ``today - horizon`` and ``max_days`` days: days
@@ -420,17 +475,22 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     and only verified days are dropped -- and, as in the day-by-day job,
     none after the first refused day (those report ``HOLD``).  Returns the
     purge plan rows (calendar sized) with a ``dropped`` flag.  Tables that
-    need arming (trades) are only purged with ``armed=True``.
+    need arming (trades) are only purged with ``armed=True``.  The ledger's
+    bounds follow the table's ledger kind: ids for ticks, the day's two
+    midnights for trades.  A leaf without files is exported as an empty day
+    and dropped like any other.
     """
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import children_of, table_leaves
 
     root = archive_root.rstrip("/")
+    kind = S.TABLES[table].ledger_kind if table in S.TABLES else "ticks"
+    id_col = "id" if kind == "ticks" else None
     leaves = table_leaves(spark, table_path, table)
-    data = spark.read.parquet(table_path)
+    data = spark.read.schema(_table_schema(spark, table_path, schema)).option("basePath", table_path).parquet(table_path)
     ledger = read_manifest(spark, ledger_path, table)
     oldest = leaves.groupBy("table_name").agg(F.min("day").alias("oldest_day"))
-    plan = retention_plan(data, time_col, id_col or time_col, ledger, table, today, horizon, max_days, oldest)
+    plan = retention_plan(data, time_col, id_col or time_col, ledger, table, today, horizon, max_days, oldest, leaves)
     planned = plan.collect()  # at most max_days rows
     if not planned:
         return spark.createDataFrame([], "table_name string, day date, decision string, reason string, "
@@ -464,6 +524,16 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     return spark.createDataFrame(rows, "table_name string, day date, decision string, reason string, dropped boolean")
 
 
+def _table_schema(spark: SparkSession, table_path: str, schema: T.StructType) -> T.StructType:
+    """The table's own schema with its day column; the archive's where all leaves are empty and nothing can be inferred."""
+    try:
+        return spark.read.parquet(table_path).schema
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+
+
 # ---------------------------------------------------------------- P5 / A15
 def partition_coverage(leaf: DataFrame, config: DataFrame, today, archived: DataFrame,
                        default_rows: DataFrame, fwd: int = S.FORWARD_DAYS,
@@ -504,36 +574,75 @@ def partition_coverage(leaf: DataFrame, config: DataFrame, today, archived: Data
 
 
 # ---------------------------------------------------------------- P6 sweep
-def candle_sweep(candles: DataFrame, lo_day, hi_day, timeframes: Sequence[str] = S.TIMEFRAMES) -> DataFrame:
-    """Closed versions of every timeframe in [lo_day, hi_day] by open_at, in one pass."""
-    return cdl.closed_versions(candles, "open_at", lo_day, hi_day).where(F.col("timeframe").isin(*timeframes))
+def _swept(candles: DataFrame, lo_day, hi_day, timeframes: Sequence[str], day_col: str | None):
+    """The sweep's rule as one condition, never null: closed, in the range by open_at, of one of the timeframes."""
+    rule = cdl.closed_in_range(candles, "open_at", lo_day, hi_day, day_col=day_col) & F.col("timeframe").isin(*timeframes)
+    return F.coalesce(rule, F.lit(False))
+
 
+def candle_sweep(candles: DataFrame, lo_day, hi_day, timeframes: Sequence[str] = S.TIMEFRAMES,
+                 day_col: str | None = None) -> DataFrame:
+    """Closed versions of every timeframe in [lo_day, hi_day] by open_at, in one pass.
+
+    ``day_col``: the table's partition column holding open_at's UTC day; only its days in range are read.
+    """
+    return candles.where(_swept(candles, lo_day, hi_day, timeframes, day_col))
 
-def apply_candle_sweep(candles: DataFrame, swept: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The candle table without the swept versions (write it back as the new snapshot)."""
-    return candles.join(swept.select(*keys, "timeframe", "open_at", "known_from"),
-                        [*keys, "timeframe", "open_at", "known_from"], "left_anti")
+
+def sweep_remainder(candles: DataFrame, lo_day, hi_day, timeframes: Sequence[str] = S.TIMEFRAMES,
+                    day_col: str | None = None) -> DataFrame:
+    """All rows that ``candle_sweep`` leaves: its exact complement, by a filter without any join or shuffle.
+
+    A closed version of no length shares known_from with its successor, so versions are told apart by the rule
+    itself and never by their keys.
+    """
+    return candles.where(~_swept(candles, lo_day, hi_day, timeframes, day_col))
 
 
 def candle_sweep_job(candles: DataFrame, lo_day, hi_day, archive_path: str, keys: Sequence[str],
-                     timeframes: Sequence[str] = S.TIMEFRAMES) -> DataFrame:
+                     timeframes: Sequence[str] = S.TIMEFRAMES, day_col: str | None = None) -> DataFrame:
     """Sweep closed versions: archive them by their bar's day, then return the table without them.
 
     The archive is written (zstd Parquet, sorted by key and version) before
     the remaining table is returned, so a crash never loses a version; the
-    caller writes the returned frame as the new table snapshot.
+    caller writes the returned frame, or with ``sweep_partitions`` only the
+    partitions that lost rows.
+    """
+    swept = candle_sweep(candles, lo_day, hi_day, timeframes, day_col)
+    arc.write_day_archive(swept.drop(day_col) if day_col == "day" else swept, archive_path, "open_at",
+                          [*keys, "timeframe", "open_at", "known_from"], fmt="parquet")
+    return sweep_remainder(candles, lo_day, hi_day, timeframes, day_col)
+
+
+def sweep_partitions(spark: SparkSession, table_path: str, lo_day, hi_day, archive_path: str, out_path: str,
+                     keys: Sequence[str], timeframes: Sequence[str] = S.TIMEFRAMES) -> int:
+    """Sweep a (timeframe, day)-partitioned table; writes the rest of the touched partitions only (P6 on storage).
+
+    ``out_path`` receives, under the table's own partition folders, the remaining rows of each partition in range
+    that lost some.  Partitions elsewhere are neither read nor written; put the written ones in place of the old.
+    Returns the number of (timeframe, day) partitions that lost rows (calendar sized).
     """
-    swept = candle_sweep(candles, lo_day, hi_day, timeframes)
-    arc.write_day_archive(swept, archive_path, "open_at", [*keys, "timeframe", "open_at", "known_from"],
-                          fmt="parquet")
-    return apply_candle_sweep(candles, swept, keys)
+    candles = spark.read.parquet(table_path)
+    arc.write_day_archive(candle_sweep(candles, lo_day, hi_day, timeframes, "day").drop("day"), archive_path, "open_at",
+                          [*keys, "timeframe", "open_at", "known_from"], fmt="parquet")
+    touched = candle_sweep(candles, lo_day, hi_day, timeframes, "day").select("timeframe", "day").distinct().collect()
+    if touched:
+        hit = F.struct("timeframe", "day").isin([F.struct(F.lit(r["timeframe"]), F.lit(r["day"])) for r in touched])
+        rest = sweep_remainder(candles.where(F.col("day").isin(sorted({r["day"] for r in touched})) & hit), lo_day, hi_day,
+                               timeframes, "day")
+        rest.write.mode("error").partitionBy("timeframe", "day").parquet(out_path)
+    return len(touched)
 
 
 # ---------------------------------------------------------------- P7 ingest
 def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now, keys: Sequence[str],
                   timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES, floor: int = S.MIN_LOOKBACK_DAYS,
-                  current: DataFrame | None = None) -> DataFrame:
-    """Lookback -> load the cache from ``since`` -> synthesize with ``cut_date = since``.
+                  current: DataFrame | None = None, table_path: str | None = None) -> DataFrame:
+    """Lookback -> leaves for ``since..today`` -> load the cache -> synthesize with ``cut_date = since``.
+
+    With ``table_path`` (a ``day=`` partitioned candle table) every day from
+    ``since`` to today gets its leaf before anything is loaded, so no bar can
+    fall into DEFAULT.  No source known: the floor's lookback applies.
 
     ``since`` is the earliest over sources (one small aggregate read by the
     driver as a scalar, like the job's own date arithmetic).  Without
@@ -543,6 +652,10 @@ def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now,
     so re-running over the same cache changes nothing.
     """
     since = cdl.lookback_since(sources, now, floor).agg(F.min("since")).first()[0]
+    today, fallback = spark.range(1).select(*[F.date_sub(F.to_date(F.to_timestamp(F.lit(now))), k) for k in (0, floor)]).first()
+    since = since or fallback
+    if table_path:
+        ensure_leaves(spark, table_path, since, today)
     base = load_candle_csv(spark, cache_path, since)
     end = F.to_date(F.to_timestamp(F.lit(now)))
     synthesized = cdl.synthesize_candles(base, keys, timeframes, start=since, end=end, cut_date=since)
@@ -552,13 +665,51 @@ def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now,
     at = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
     # only the batch's days take part in the merge join; older bars pass through untouched
     t = current.schema["open_at"].dataType
-    touched = F.col("open_at") >= F.lit(since).cast("date").cast(t)
+    touched = F.coalesce(F.col("open_at") >= F.lit(since).cast("date").cast(t), F.lit(False))
+    if "day" in current.columns:  # a partition filter on either side of the merge
+        touched = touched & F.coalesce(F.col("day") >= F.lit(since).cast("date"), F.lit(False))
     merged = cdl.scd2_upsert(current.where(touched), incoming, [*keys, "timeframe", "open_at"],
                              cdl.CANDLE_VALUE_COLUMNS, at)
+    if "day" in current.columns:
+        merged = merged.withColumn("day", F.to_date("open_at"))
     return current.where(~touched).unionByName(merged.select(*current.columns))
 
 
+def ensure_leaves(spark: SparkSession, table_path: str, lo: dt.date, hi: dt.date) -> list[dt.date]:
+    """Make the ``day=`` folder of every day of [lo, hi] that the table lacks; returns those days."""
+    made = []
+    for k in range((hi - lo).days + 1):  # calendar sized, metadata only
+        d = lo + dt.timedelta(days=k)
+        fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}")
+        if not fs.exists(p):
+            fs.mkdirs(p)
+            made.append(d)
+    return made
+
+
 # ---------------------------------------------------------------- P8 restore
+def supplement_files(spark: SparkSession, ledger_path: str, folder: str, days: Sequence[dt.date]) -> list[str]:
+    """The supplement files of the given days, proved: each exists with the size and sha256 of its ledger line.
+
+    Raises on a missing or differing file and on a line that cannot be read; several lines of a file must agree.
+    """
+    from tidemark.sources.ledger import read_supplements
+
+    lines = read_supplements(spark, ledger_path).where(F.col("day").isin(list(days)) | F.col("day").isNull()).distinct().collect()
+    paths = {}
+    for r in lines:  # one line per supplement file of the restored days
+        if r["day"] is None or not (r["rows"] or "").isdigit():
+            raise RuntimeError(f"REFUSE: unreadable supplement line for {r['file']}")
+        paths.setdefault(arc.qualified(spark, f"{folder.rstrip('/')}/{r['file']}"), []).append((int(r["bytes"]), r["sha256"]))
+    if not paths:
+        return []
+    found = {r["path"]: (r["bytes"], r["sha256"]) for r in arc.archive_inventory(spark, sorted(paths)).collect()}
+    for p, said in paths.items():
+        if any(found.get(p) != s for s in said):
+            raise RuntimeError(f"REFUSE: supplement {p} is missing or differs from its ledger line")
+    return sorted(paths)
+
+
 def restore(spark: SparkSession, archive_path: str, schema: T.StructType, supplements: DataFrame | None,
             leaf: DataFrame, table: str, time_col: str, key: str = "id") -> DataFrame:
     """Re-read archived days, add supplement rows, and route each row to its leaf or DEFAULT."""
@@ -569,9 +720,16 @@ def restore(spark: SparkSession, archive_path: str, schema: T.StructType, supple
 
 def restore_into_table(spark: SparkSession, archive_root: str, table: str, days: Sequence[dt.date],
                        schema: T.StructType, table_path: str, time_col: str,
-                       supplements: DataFrame | None = None, key: str = "id") -> DataFrame:
+                       supplements: DataFrame | None = None, key: str = "id", supplement_ledger: str | None = None,
+                       supplement_folder: str | None = None, ledger: DataFrame | None = None) -> DataFrame:
     """Put archived days back into a ``day=``-partitioned table (P8 into storage).
 
+    ``supplement_ledger`` and ``supplement_folder`` (default: the archive
+    root) name the supplement files; only files of the restored days are
+    read, and only if size and sha256 equal their ledger lines.  With
+    ``ledger`` (the manifest) a day's archived row count must equal its line.
+    A row in another day's folder refuses the restore.
+
     Days that still have a partition are refused, so a restore never
     duplicates rows; the others are re-read strictly (only their folders),
     completed with the supplement rows they lack, and appended as new day
@@ -585,12 +743,27 @@ def restore_into_table(spark: SparkSession, archive_root: str, table: str, days:
     if not todo:
         return spark.createDataFrame([], "day date, restored long")
     base = arc.read_archive(spark, arc.day_folders(f"{archive_root.rstrip('/')}/{table}", todo), schema,
-                            base=f"{archive_root.rstrip('/')}/{table}").drop("day")
+                            base=f"{archive_root.rstrip('/')}/{table}")
+    got = {r["day"]: (r["n"], r["strays"]) for r in base.groupBy("day").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("day").eqNullSafe(day_of(time_col))).alias("strays")).collect()}
+    if bad := sorted(d for d, (_, strays) in got.items() if strays):
+        raise RuntimeError(f"REFUSE: archive rows of other days in the folders of {[d.isoformat() for d in bad]}")
+    if ledger is not None:
+        said = {r["day"]: r["rows"] for r in ledger.where(F.col("table_name") == table).select(
+            F.try_to_date("day", "yyyy-MM-dd").alias("day"), F.col("rows").try_cast("long").alias("rows")).where(
+            F.col("day").isin(todo)).collect()}
+        if bad := sorted(d for d in todo if said.get(d) != got.get(d, (0, 0))[0]):
+            raise RuntimeError(f"REFUSE: archived rows differ from the ledger on {[d.isoformat() for d in bad]}")
+    base = base.drop("day")
+    if supplement_ledger:
+        files = supplement_files(spark, supplement_ledger, supplement_folder or archive_root, todo)
+        if files:
+            supplements = arc.read_archive(spark, files, schema)
     rows = base
     if supplements is not None:
-        supp = supplements.where(day_of(time_col).isin(todo))
+        supp = supplements.select(*schema.names).where(day_of(time_col).isin(todo))
         rows = arc.restore_days(base, supp, key)
-    out = rows.withColumn("day", day_of(time_col)).where(F.col("day").isin(todo))
+    out = rows.withColumn("day", day_of(time_col))
     out.write.mode("append").partitionBy("day").parquet(table_path)
     return (spark.read.parquet(table_path).where(F.col("day").isin(todo))
             .groupBy("day").agg(F.count(F.lit(1)).alias("restored")))

@@ -494,4 +494,60 @@ ORACLE: dict[str, str] = {
                                FROM ticks GROUP BY 1) s""",
         "src": f"""SELECT * FROM c1m WHERE open_at >= (SELECT since FROM since)
                    AND open_at < TIMESTAMP '{P.LOOKBACK_NOW}'::DATE + 1"""}),
+    "candle_ingest_upsert": sql("""SELECT timeframe, count(*) AS n_bars, cast(1 AS BIGINT) AS max_active,
+            cast(1 AS BIGINT) AS min_active, cast(1 AS BIGINT) AS max_versions
+        FROM (SELECT instrument, timeframe, open_at FROM (""" + _candles("src", DERIVED, "(SELECT since FROM since)") + """) u
+              UNION ALL SELECT instrument, '1m', open_at FROM (SELECT DISTINCT instrument, open_at FROM c1m
+                        WHERE open_at >= (SELECT since FROM since)) m) x GROUP BY timeframe""", "c1m", "ticks", extra={
+        "since": f"""SELECT min(cast(TIMESTAMP '{P.LOOKBACK_NOW}' AS DATE) - cast(greatest(coalesce(
+                cast(floor((epoch(TIMESTAMP '{P.LOOKBACK_NOW}') - last_epoch) / 86400) AS BIGINT) + 1, 0), 4) AS INTEGER))
+                AS since FROM (SELECT instrument, cast(floor(epoch(max(bus_time))) AS BIGINT) AS last_epoch
+                               FROM ticks GROUP BY 1) s""",
+        "src": f"""SELECT * FROM c1m WHERE open_at >= (SELECT since FROM since)
+                   AND open_at < TIMESTAMP '{P.LOOKBACK_NOW}'::DATE + 1"""}),
+    "export_strings_roundtrip": """WITH t AS (SELECT doc_id, doc_id % 10 AS k,
+            TIMESTAMP '2024-01-01' + to_days(cast(doc_id % 5 AS INTEGER)) + to_seconds(cast(doc_id % 60 AS DOUBLE)) AS tm,
+            CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  lead and trail  '
+                 WHEN 3 THEN 'a "quoted", \\ "" text'
+                 WHEN 4 THEN 'line' || chr(10) || 'feed' || chr(13) || chr(10) || 'return' || chr(13) || ' end'
+                 ELSE text END AS text, lang FROM documents),
+        h AS (SELECT cast(tm AS DATE) AS day, sha256(concat_ws('|', doc_id, epoch_us(tm), coalesce('=' || text, '~'),
+                coalesce('=' || lang, '~'), CASE k WHEN 5 THEN 'nan' WHEN 6 THEN 'inf' WHEN 7 THEN '-inf' WHEN 8 THEN '~'
+                ELSE cast(doc_id AS VARCHAR) END)) AS s FROM t)
+        SELECT fmt, day, count(*) AS n_rows, cast(sum(cast(('0x' || substr(s, 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest
+        FROM h, (VALUES ('csv.gz'), ('csv.zst')) f(fmt) GROUP BY fmt, day""",
+    "sweep_remainder": sql(f"""SELECT part, year, count(*) AS n_rows, cast(count_if(known_to = {SENT}) AS BIGINT) AS n_active
+        FROM (SELECT cast(extract(year FROM known_from) AS BIGINT) AS year, known_to,
+                CASE WHEN known_to < {SENT} AND known_from >= TIMESTAMP '{P.VERSIONS_FROM}'
+                          AND known_from < TIMESTAMP '{_hi(P.VERSIONS_TO)}' THEN 'archived' ELSE 'remaining' END AS part
+              FROM (SELECT l_shipdate AS known_from, coalesce(lead(l_shipdate) OVER (PARTITION BY l_orderkey, l_linenumber
+                        ORDER BY l_shipdate, l_partkey, l_suppkey), {SENT}) AS known_to FROM lineitem) v) x
+        GROUP BY part, year"""),
+    "retention_run": f"""WITH d AS (SELECT DISTINCT cast(ts AS DATE) AS day FROM events
+              WHERE cast(ts AS DATE) <= DATE '{P.TODAY}' - 7 AND extract(day FROM ts) <> 4
+              UNION SELECT DATE '2024-01-02'),
+        r AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM d)
+        SELECT table_name, cast((n - 1) // 3 + 1 AS BIGINT) AS run, day, 'PURGE' AS decision, true AS dropped
+        FROM r, (VALUES ('ticks'), ('trades')) t(table_name) WHERE n <= 9""",
+    "archive_bytes": """WITH t AS (SELECT cast(ts AS DATE) AS day, event_id, event_type || ',' ||
+                strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ',' || cast(cast(round(value * 100) AS BIGINT) AS VARCHAR) AS rest FROM events),
+        f AS (SELECT day, 'id,instrument,bus_time,cents' || chr(10) ||
+                string_agg(event_id || ',' || rest || chr(10), '' ORDER BY event_id) AS text FROM t GROUP BY day)
+        SELECT day, cast(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM f""",
+    "ledger_from_text": sql("""SELECT day, nf, cast(sum(n) AS BIGINT) AS n_lines, any_value(rows) AS last_rows,
+            any_value(CASE WHEN nf = 7 THEN sha256 WHEN nf = 9 THEN sha256 ELSE sha256 END) AS last_sha256
+        FROM (SELECT day, 8 AS nf, count(*) + CASE WHEN max(line_no % 20) = 11 AND min(line_no % 20) = 11 THEN 1
+                     WHEN bool_or(line_no % 20 = 11) THEN 1 ELSE 0 END AS n, max(rows) AS rows, max(sha256) AS sha256
+              FROM ledger WHERE nf = 8 GROUP BY day
+              UNION ALL SELECT day, 9, 1, rows, sha256 FROM ledger WHERE nf = 8 AND line_no % 20 = 11
+              UNION ALL SELECT day, 7, 1, rows, sha256 FROM ledger WHERE nf = 8 AND line_no % 20 = 11) x
+        GROUP BY day, nf""", "ledger"),
+    "run_logs_text": sql("""SELECT CASE WHEN line_no % 2 = 0 THEN 'a' ELSE 'b' END AS folder,
+            row_number() OVER (PARTITION BY line_no % 2 ORDER BY line_no) AS line_no,
+            cast(line_no AS VARCHAR) || ' ' || line AS line FROM log_lines""", "log_lines"),
+    "restore_job": sql(DIGEST, "ticks"),
+    "stream_candles": sql("""SELECT instrument, '1h' AS timeframe, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at,
+            arg_min(price, (bus_time, id)) AS open, max(price) AS high, min(price) AS low,
+            arg_max(price, (bus_time, id)) AS close, cast(count(*) AS DOUBLE) AS volume, count(*) AS trades
+        FROM ticks GROUP BY 1, 3""", "ticks"),
 }

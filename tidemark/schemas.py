@@ -27,8 +27,6 @@ SUPPLEMENT_FIELDS = ["file", "day", "rows", "bytes", "sha256", "note"]
 TIMEFRAMES = ["1m", "5m", "15m", "30m", "1h", "4h", "1d"]
 DERIVED_TIMEFRAMES = ["5m", "15m", "30m", "1h", "4h", "1d"]
 TIMEFRAME_SECONDS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400}
-# Cascade: each derived timeframe is built from the finest coarser-or-equal parent.
-TIMEFRAME_PARENT = {"5m": "1m", "15m": "5m", "30m": "5m", "1h": "5m", "4h": "1h", "1d": "1h"}
 # SCD2: an active version carries this known_to (our choice; not stated upstream).
 SENTINEL = "9999-12-31 00:00:00"
 # Greedy partition renewal: one anchor covers anchor .. anchor+13 (14 days in total).
@@ -49,7 +47,6 @@ FAILURE_STREAK_ALARM = 2
 PROBLEM_LINE_PATTERN = r"^(ABORT|WARN:|[a-z]+: FAILED|gitlink: !!)"
 OPERATIONAL_LINE_MARKERS = ["===", "==", "--", "OK", "WARN", "ABORT", "REFUSE", "SKIP", "refused:",
                             "FILE ROWCOUNT", "purge mismatch"]
-OPERATIONAL_LINE_PATTERN = "^(" + "|".join(OPERATIONAL_LINE_MARKERS) + ")"
 DAY_TEXT_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 DIGITS_PATTERN = r"^[0-9]+$"
 SHA256_PATTERN = r"^[0-9a-f]{64}$"

@@ -39,12 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and is visible to every executor.
-    Only when it is unset (local runs, tests) do we create one and register it.
+    Only on a local master, where it is unset in tests, is one created and
+    registered; on any other master a missing setting is an error, because a
+    driver's own folder is not visible to the executors.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if not spark.sparkContext.getCheckpointDir():
@@ -55,29 +60,21 @@ def shared_dir(spark: SparkSession) -> str:
 TARGET_PART_BYTES = 256 << 20
 
 
-def estimated_bytes(df) -> int:
-    """Catalyst's size estimate of a DataFrame's plan (file sizes scaled by projection): metadata only."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return 0
+def scanned_bytes(df) -> int:
+    """Bytes of the files that the plan's scans list after partition pruning (metadata only)."""
+    total = 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        total += int(str(leaves.apply(i).stats().sizeInBytes()))
+    return total
 
 
-def partitions_for(df, target_bytes: int = TARGET_PART_BYTES, cap: int = 200_000) -> int:
-    """Enough partitions for ``target_bytes`` each, and at least one per core."""
-    spark = df.sparkSession
-    est = estimated_bytes(df)
-    n = -(-est // target_bytes) if est > 0 else 0
-    return int(min(cap, max(n, spark.sparkContext.defaultParallelism, 1)))
+def partitions_for(df, target_bytes: int = TARGET_PART_BYTES, input_bytes: int | None = None) -> int:
+    """Enough partitions for ``target_bytes`` each, and at least one per core.
 
-
-def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20) -> int:
-    """Set ``spark.sql.shuffle.partitions`` for an input of ``input_bytes`` (AQE coalesces small ones).
-
-    Starting high and letting AQE coalesce keeps every reducer partition
-    inside executor memory without spilling on the large stages.
+    ``input_bytes`` is the listed size of what will be read (e.g. the folders
+    of the requested days); without it the size of the plan's scans is taken,
+    which does not know about partition pruning of a path-based table.
     """
-    n = int(min(200_000, max(spark.sparkContext.defaultParallelism, -(-input_bytes // target_bytes))))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
-    return n
+    size = scanned_bytes(df) if input_bytes is None else input_bytes
+    return int(max(-(-size // target_bytes), df.sparkSession.sparkContext.defaultParallelism, 1))

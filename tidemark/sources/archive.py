@@ -29,13 +29,23 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 CHUNK = 8 << 20
 
 
+# What a reader makes of a quoted empty field.  NULL is an empty field without quotes, as in COPY ... CSV, and
+# the CSV parser reports both as "" unless the quoted one has a name of its own.  A text equal to this name would
+# be read back as ""; the content digest taken before publishing refuses such a day.
+_QUOTED_EMPTY = "\ue000quoted-empty\ue000"
+
+
 def _csv_options(writer_or_reader):
+    """Options of both directions: spaces stay, quotes are doubled, and NaN and infinities read in either writer's form."""
     return (writer_or_reader.option("header", True).option("timestampNTZFormat", TS_FORMAT)
-            .option("timestampFormat", TS_FORMAT + "XXX").option("escape", '"'))
+            .option("timestampFormat", TS_FORMAT + "XXX").option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("nanValue", "nan").option("positiveInf", "inf").option("negativeInf", "-inf"))
 
 
 def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Sequence[str],
-                      n_parts: int | None = None, compression: str = "gzip", fmt: str = "csv") -> None:
+                      n_parts: int | None = None, compression: str = "gzip", fmt: str = "csv",
+                      input_bytes: int | None = None) -> None:
     """Sorted header CSV, one folder per UTC day (S3, O1, O2).
 
     Range partitioning on (day, order...) cuts even one huge day into many
@@ -43,7 +53,7 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
     so a day's parts concatenated in name order are globally sorted.
     """
     with_day = df.withColumn("day", day_of(time_col))
-    n = n_parts or partitions_for(with_day)  # ~256 MB parts, sized from the plan's own estimate
+    n = n_parts or partitions_for(with_day, input_bytes=input_bytes)  # ~256 MB of input a part
     ordered = with_day.repartitionByRange(int(n), "day", *order_cols).sortWithinPartitions("day", *order_cols)
     if fmt == "csv.zst":  # Spark's CSV writer has no zstd codec: stream it with pyarrow inside the tasks
         _write_csv_zst(ordered, path)
@@ -68,6 +78,7 @@ def _zst_writer(root: str, columns: list[str], level: int):
     """mapInArrow body: one zstd CSV stream per (range partition, day) of already sorted rows."""
 
     def run(batches):
+        import pyarrow.compute as pc
         import pyarrow.csv as pacsv
         import pyarrow.fs as pafs
         from pyspark import TaskContext
@@ -75,8 +86,8 @@ def _zst_writer(root: str, columns: list[str], level: int):
         ctx = TaskContext.get()
         pid, attempt = ctx.partitionId(), ctx.attemptNumber()
         fs, base = pafs.FileSystem.from_uri(root)
-        state = {"day": None, "sink": None, "writer": None, "tmp": None, "final": None, "rows": 0}
-        done = []
+        state = {"day": None, "sink": None, "writer": None, "tmp": None, "final": None}
+        files = 0
 
         def close():
             if state["writer"] is None:
@@ -87,22 +98,18 @@ def _zst_writer(root: str, columns: list[str], level: int):
             if fs.get_file_info(state["final"]).type != pafs.FileType.NotFound:
                 fs.delete_file(state["final"])
             fs.move(state["tmp"], state["final"])
-            done.append((state["day"], state["final"], state["rows"]))
             state.update(writer=None, sink=None)
 
         for batch in batches:
-            days = batch.column("day").to_pylist()
+            runs = pc.run_end_encode(batch.column("day"))
             start = 0
-            while start < len(days):
-                d = days[start]
-                end = start
-                while end < len(days) and days[end] == d:
-                    end += 1
+            for d, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if d != state["day"]:
                     close()
                     folder = f"{base}/day={d.isoformat()}"
                     fs.create_dir(folder, recursive=True)
-                    state.update(day=d, rows=0, tmp=f"{folder}/_tmp-part-{pid:05d}-{attempt}.csv.zst",
+                    files += 1
+                    state.update(day=d, tmp=f"{folder}/_tmp-part-{pid:05d}-{attempt}.csv.zst",
                                  final=f"{folder}/part-{pid:05d}.csv.zst")
                     raw = fs.open_output_stream(state["tmp"], compression=None)
                     state["sink"] = _zstd_sink(raw, level)
@@ -111,31 +118,37 @@ def _zst_writer(root: str, columns: list[str], level: int):
                 else:
                     sub = batch.select(columns).slice(start, end - start)
                 state["writer"].write_batch(sub)
-                state["rows"] += end - start
                 start = end
         close()
-        if done:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in done], pa.date32()), pa.array([x[1] for x in done]),
-                 pa.array([x[2] for x in done], pa.int64())], names=["day", "path", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
 
     return run
 
 
-def _write_csv_zst(ordered: DataFrame, path: str, level: int = 6) -> DataFrame:
-    """Write sorted day archives as ``day=<d>/part-<n>.csv.zst`` (header, zstd) and return file metadata.
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as the session's file system resolves it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def _arrow_uri(path: str) -> str:
+    """A Hadoop path as pyarrow spells it: s3a:// and s3n:// are s3://, file:/x is file:///x."""
+    scheme, sep, rest = path.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return f"s3{sep}{rest}"
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else path
+
+
+def _write_csv_zst(ordered: DataFrame, path: str, level: int = 6) -> None:
+    """Write sorted day archives as ``day=<d>/part-<n>.csv.zst`` (header, zstd).
 
     Each range partition streams its sorted rows through pyarrow; temp names
     start with ``_`` so readers skip them, and carry the attempt number so
     concurrent or retried attempts never share a file.
     """
-    import os
-
-    root = path if "://" in path else "file://" + os.path.abspath(path)
     columns = [c for c in ordered.columns if c != "day"]
-    meta = ordered.mapInArrow(_zst_writer(root, columns, level), "day date, path string, rows long")
-    files = meta.collect()  # one row per written file: metadata only
-    return ordered.sparkSession.createDataFrame(files, "day date, path string, rows long")
+    root = _arrow_uri(qualified(ordered.sparkSession, path))
+    ordered.mapInArrow(_zst_writer(root, columns, level), "files long").write.format("noop").mode("overwrite").save()
 
 
 def read_archive(spark: SparkSession, path, schema: T.StructType, fmt: str = "csv",
@@ -156,8 +169,11 @@ def read_archive(spark: SparkSession, path, schema: T.StructType, fmt: str = "cs
             raise ValueError(f"archive schema {got} differs from the pinned one")
         return df
     r = _csv_options(reader.schema(schema)).option("enforceSchema", False).option("mode", "FAILFAST") \
-        .option("multiLine", True)
-    return r.csv(paths)
+        .option("multiLine", True).option("emptyValue", _QUOTED_EMPTY)
+    df = r.csv(paths)
+    text = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(*[F.when(F.col(c) == _QUOTED_EMPTY, "").otherwise(F.col(c)).alias(c) if c in text else F.col(c)
+                       for c in df.columns])
 
 
 def _hash_paths(batches):
@@ -167,7 +183,7 @@ def _hash_paths(batches):
         paths = batch.column("path").to_pylist()
         out = []
         for p in paths:
-            fs, inner = pafs.FileSystem.from_uri(p)
+            fs, inner = pafs.FileSystem.from_uri(_arrow_uri(p))
             h = hashlib.sha256()
             with fs.open_input_stream(inner, compression=None) as f:  # the bytes on disk, never decoded
                 while True:
@@ -226,17 +242,23 @@ def day_inventory(files: DataFrame) -> DataFrame:
         .alias("sha256"))
 
 
-def digest_parts(df: DataFrame, cols: Sequence[str] | None = None) -> list[Column]:
-    """Canonical text of each column for digests: timestamps as epoch microseconds."""
-    out = []
-    for f in df.schema.fields:
-        if cols is not None and f.name not in cols:
-            continue
+def content_digest(schema: T.StructType) -> Column:
+    """Aggregate: the exact sum of the row hashes, as text; equal for equal bags of rows in any order."""
+    return F.sum(row_hash(schema).cast("decimal(38,0)")).cast("string")
+
+
+def row_hash(schema: T.StructType) -> Column:
+    """64-bit hash of a whole row; every column goes in with its own null flag, so NULL and "" differ in any place.
+
+    Negative zero counts as zero: text formats do not promise its sign.
+    """
+    parts = []
+    for f in schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.unix_micros(c.cast("timestamp"))
-        out.append(c)
-    return out
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(c == 0, F.lit(0).cast(f.dataType)).otherwise(c)
+        parts += [c.isNull(), c]
+    return F.xxhash64(*parts)
 
 
 def day_content_digest(df: DataFrame, time_col: str, parts: Sequence[Column], fast: bool = False) -> DataFrame:
@@ -260,15 +282,10 @@ def restore_days(base: DataFrame, supplements: DataFrame, key: str = "id") -> Da
     """Base archive rows plus supplement rows not already present.
 
     The anti join on the key makes a restore re-runnable: a supplement row
-    that a later export already contains is not restored twice.
+    that a later export already contains is not restored twice, nor is a row
+    that two supplement files hold.  Only the base's keys that supplements
+    ask for go on to the anti join; the join strategy is AQE's choice.
     """
-    from tidemark.operators.joins import checked_side
-
-    supp = supplements.select(*base.columns)
-    ids, small = checked_side(supp.select(key).distinct())
-    if small:  # find the few supplement keys already in the base without shuffling the base
-        present = base.select(key).join(ids, key, "left_semi")
-        extra = supp.join(present, key, "left_anti")
-    else:
-        extra = supp.join(base.select(key), key, "left_anti")
-    return base.unionByName(extra)
+    supp = supplements.select(*base.columns).dropDuplicates([key])
+    present = base.select(key).join(supp.select(key), key, "left_semi")
+    return base.unionByName(supp.join(present, key, "left_anti"))

@@ -38,8 +38,17 @@ def ledger_text(lines: DataFrame) -> DataFrame:
 
 
 def append_manifest(lines: DataFrame, path: str) -> None:
-    """Append ledger lines (S6).  One small text part per call; readers take the whole folder."""
-    ledger_text(lines).coalesce(1).write.mode("append").text(path)
+    """Append ledger lines (S6): one small text part per call, in a folder numbered after the last append's.
+
+    Two appends that take the same number at once collide on the folder, and one of them fails, unlike two
+    writers of one file.  Readers take the whole ledger folder in append order.
+    """
+    spark = lines.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) and fs.getFileStatus(p).isDirectory() else []
+    last = max((int(n[4:]) for n in names if n.startswith("seq=") and n[4:].isdigit()), default=0)
+    ledger_text(lines).coalesce(1).write.mode("error").text(f"{path.rstrip('/')}/seq={last + 1:012d}")
 
 
 def read_supplements(spark: SparkSession, path: str) -> DataFrame:

@@ -17,12 +17,16 @@ from tidemark import schemas as S
 
 
 def stream_candles(ticks: DataFrame, tf: str, keys: Sequence[str], time_col: str, price_col: str,
-                   delay: str = "1 day") -> DataFrame:
+                   delay: str = "1 day", id_col: str | None = None) -> DataFrame:
+    """Tumbling bars; open and close in (time, id) order, as in the batch operator, if ``id_col`` is given."""
+    from tidemark.operators.candles import time_id_key
+
     ts = ticks.withColumn("_ts", F.col(time_col).cast("timestamp")).withWatermark("_ts", delay)
+    order = time_id_key("_ts", id_col) if id_col else F.col("_ts")
     return (
         ts.groupBy(*keys, F.window("_ts", f"{S.TIMEFRAME_SECONDS[tf]} seconds").alias("w"))
-        .agg(F.min_by(price_col, "_ts").alias("open"), F.max(price_col).alias("high"),
-             F.min(price_col).alias("low"), F.max_by(price_col, "_ts").alias("close"),
+        .agg(F.min_by(price_col, order).alias("open"), F.max(price_col).alias("high"),
+             F.min(price_col).alias("low"), F.max_by(price_col, order).alias("close"),
              F.count(F.lit(1)).cast("double").alias("volume"), F.count(F.lit(1)).alias("trades"))
         .select(*keys, F.lit(tf).alias("timeframe"), F.col("w.start").cast("timestamp_ntz").alias("open_at"),
                 "open", "high", "low", "close", "volume", "trades")
@@ -53,19 +57,19 @@ def start_candle_stream(stream: DataFrame, tf: str, keys: Sequence[str], time_co
     Each micro-batch writes the partial bars of its on-time rows into its own
     ``batch_id`` partition (overwrite), and its late rows -- older than the
     high-water mark of all earlier batches minus ``delay_seconds`` -- into the
-    late sink the same way.  A replayed batch sees the same earlier batches,
-    so it rewrites exactly the same output.  ``read_stream_candles`` merges
+    late sink the same way.  The mark is kept beside the bars, one row per
+    batch holding the mark after it, so a batch reads only its predecessor's
+    row and its cost does not grow with the stream.  A replayed batch sees the
+    same predecessor, so it rewrites exactly the same output.  ``read_stream_candles`` merges
     the partials on read (OHLC merges are associative given the order keys).
     """
-    from pyspark.sql.utils import AnalysisException
+    marks = f"{bars_path.rstrip('/')}-marks"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            prev = (spark.read.parquet(bars_path).where(F.col("batch_id") < batch_id)
-                    .agg(F.max("last_time")).first()[0])
-        except AnalysisException:  # no batch written yet
-            prev = None
+        prev = None
+        if batch_id > 0:  # batch ids are consecutive from 0; a missing or damaged mark is an error
+            prev = spark.read.parquet(f"{marks}/batch_id={batch_id - 1}").first()["mark"]
         t = batch.schema[time_col].dataType
         late = (F.col(time_col) < (F.lit(prev).cast(t) - F.expr(f"interval {int(delay_seconds)} seconds"))
                 if prev is not None else F.lit(False))
@@ -78,6 +82,9 @@ def start_candle_stream(stream: DataFrame, tf: str, keys: Sequence[str], time_co
              .withColumn("batch_id", F.lit(batch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
              .parquet(bars_path))
+            top = flagged.where(~F.col("_late")).agg(F.max(time_col).alias("mark")).select(
+                F.greatest(F.col("mark"), F.lit(prev).cast(t)).alias("mark"))
+            top.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
         finally:
             flagged.unpersist()
 
