@@ -41,9 +41,9 @@ from tidemark.llm.frames import cut
 
 MU = 16.0
 DISCOUNT = 0.5
-CHUNK = 2_000_000
+CHUNK = 800_000
 CHUNK_DOCS = 32_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_600_000
 HEAVY = 2048
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547)  # a word's hash is mixed, so these two are nobody's
 _PAIR_STEP = 24.0  # 8 bits: log10 of numerators from -2 in steps of 1/24
@@ -51,7 +51,7 @@ _WORD_STEP = 4096.0  # 16 bits: log10 from -14 in steps of 1/4096
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(row numbers' columns, tokens, previous tokens, document of every token, train flags) of runs of documents.
+    """(carried columns, tokens, previous tokens, document of every token, train flags, lengths) of runs of documents.
 
     Batches have columns text, learn, then whatever is carried.
     """
@@ -68,7 +68,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 if held and (size + len(h) > CHUNK or docs + m - k > CHUNK_DOCS):
                     yield _merge(held)
                     held, size, docs = [], 0, 0
-                held.append((b.slice(k, m - k), h, n))
+                held.append((b.slice(k, m - k).select(range(1, b.num_columns)), h, n))
                 size, docs = size + len(h), docs + m - k
     if held:
         yield _merge(held)
@@ -86,8 +86,8 @@ def _merge(held: list[tuple]):
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.concatenate([[0], ends[:-1] + 1])] = BEGIN
-    doc = np.repeat(np.arange(len(n)), total)
-    learn = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), total)
+    learn = rows.column(0).to_numpy(zero_copy_only=False).astype(bool)
     return rows, tokens, before, doc, learn, total
 
 
@@ -200,7 +200,7 @@ def _send(docs: DataFrame, corpus: _Corpus) -> DataFrame:
                 put(int(i), base + k, False, words.tobytes(), pairs_u[a:b].tobytes(),
                     size[a:b].astype(np.uint8 if size[a:b].max() < 256 else np.uint32).tobytes(), flag[lo:hi].tobytes())
             sink = pa.BufferOutputStream()
-            carried = rows.select(range(1, rows.num_columns)).append_column("_n", pa.array(total.astype(np.int64)))
+            carried = rows.append_column("_n", pa.array(total.astype(np.int64)))
             with pa.ipc.new_stream(sink, carried.schema) as writer:
                 writer.write_table(carried)
             put((base + k) % corpus.shards, base + k, True, sink.getvalue().to_pybytes(), b"", b"", b"")
