@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.frames import fresh
+from tidemark.llm.frames import Shared, fresh
 
 WINDOW = 13
 SHARE = 20  # contaminated: at least one word in 20 is hit
@@ -140,32 +140,15 @@ _TYPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", p
 def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_bytes: int) -> list:
     """Broadcast window sets, each of at most ``block_bytes`` of item text (one longer item alone)."""
     spark = benchmark.sparkSession
-    sc = spark.sparkContext
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("t is not null")
     out, block, size = [], [], 0
     for r in items.distinct().orderBy("t", "id").toLocalIterator():
         if block and size + len(r["t"]) > block_bytes:
-            out.append(sc.broadcast(_tagged(block)))
+            out.append(Shared(spark, block))
             block, size = [], 0
         block.append((r["id"], r["t"]))
         size += len(r["t"])
-    return [*out, sc.broadcast(_tagged(block))]
-
-
-def _tagged(block: list) -> tuple[str, list]:
-    return hashlib.sha256(repr(block).encode()).hexdigest(), block
-
-
-_LAST: dict[str, WindowSet] = {}
-
-
-def _windows(shared) -> WindowSet:
-    """The window set of a broadcast block, built once a Python worker; only the latest one is kept."""
-    tag, block = shared.value
-    if tag not in _LAST:
-        _LAST.clear()
-        _LAST[tag] = WindowSet(block)
-    return _LAST[tag]
+    return [*out, Shared(spark, block)]
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, out: str, text_col: str = "text", item_text_col: str = "text",
@@ -177,7 +160,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, out: str, text_col: str = "
     def scanner(shared):
         @arrow_udf(_RESULT)
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array([judged(*x) for x in scan(texts, _windows(shared))], _TYPE)
+            return pa.array([judged(*x) for x in scan(texts, shared.get(WindowSet))], _TYPE)
 
         return run
 

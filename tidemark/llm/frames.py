@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,25 @@ def held_out(col: str, parts: int, part: int) -> Column:
     return F.coalesce((id_crc(col) % parts) == part, F.lit(False))
 
 
+class Shared:
+    """An object broadcast to the tasks as bytes; ``get`` gives it, unpickled once per Python worker or task."""
+
+    _held: dict = {}
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        blob = cloudpickle.dumps(value)
+        self.tag = hashlib.sha256(blob).hexdigest()
+        self.blob = spark.sparkContext.broadcast(blob)
+
+    def get(self, build=lambda x: x):
+        if self.tag not in Shared._held:
+            Shared._held.clear()  # the latest one only
+            Shared._held[self.tag] = build(pickle.loads(self.blob.value))
+        return Shared._held[self.tag]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
     shared_dir(df.sparkSession)

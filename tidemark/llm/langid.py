@@ -15,15 +15,13 @@ folded into one (n-grams x languages) matrix once, after fitting.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tidemark.llm.frames import fresh, hash_sample
+from tidemark.llm.frames import Shared, fresh, hash_sample
 
 NGRAMS = 4
 BITS = 16
@@ -120,7 +118,6 @@ def fit_language(docs: DataFrame, learn: Column | None = None, text_col: str = "
 
 _RESULT = "struct<lang:string,score:double>"
 _TYPE = pa.struct([("lang", pa.string()), ("score", pa.float64())])
-_MODELS: dict[str, LanguageModel] = {}
 
 
 def predict_language(model: LanguageModel | None, text: Column) -> Column:
@@ -129,20 +126,11 @@ def predict_language(model: LanguageModel | None, text: Column) -> Column:
     ``und`` with score 0 if the text is null or holds no letter, or if nothing was learned.  The score is the
     softmax of the one-versus-rest outputs.
     """
-    import pickle
-
-    from pyspark import SparkContext
-
-    blob = pickle.dumps(model)
-    shared = SparkContext._active_spark_context.broadcast((hashlib.sha256(blob).hexdigest(), blob))
+    shared = Shared(SparkSession.active(), model)
 
     @arrow_udf(_RESULT)
     def predict(texts: pa.Array) -> pa.Array:
-        tag, data = shared.value
-        if tag not in _MODELS:
-            _MODELS.clear()
-            _MODELS[tag] = pickle.loads(data)
-        m = _MODELS[tag]
+        m = shared.get()
         langs, scores = [], []
         rows = np.zeros((_BATCH, 1 << BITS), np.float32)
         for i in range(0, len(texts), _BATCH):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import cut, hash_sample
+from tidemark.llm.frames import Shared, cut, hash_sample
 
 THRESHOLD = 0.9
 SAMPLE = 32_768
@@ -122,7 +122,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
     """(node, links, to): weighted link counts and forest edges, one or more rows for a linked class."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    shared = Shared(spark, index)
     placed_type = T.StructType([*classes.schema.fields, T.StructField("list", T.IntegerType()),
                                 T.StructField("codes", T.BinaryType()), T.StructField("err", T.DoubleType()),
                                 T.StructField("probes", T.ArrayType(T.IntegerType()))])
@@ -131,7 +131,7 @@ def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
         for df in batches:
             for i in range(0, len(df), 1024):
                 part = df.iloc[i:i + 1024]
-                own, codes, err, probes = shared.value.place(_unit(part["v"]).astype(np.float32))
+                own, codes, err, probes = shared.get().place(_unit(part["v"]).astype(np.float32))
                 yield part.assign(list=own.astype(np.int32), codes=[c.tobytes() for c in codes], err=err.astype(float),
                                   probes=[p.astype(np.int32) for p in probes])
 
@@ -151,7 +151,7 @@ def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
         none.cast("binary").alias("codes"), none.cast("double").alias("err"), none.cast("array<int>").alias("probes"))
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
-        ix, here = shared.value, int(df["list"].iloc[0])
+        ix, here = shared.get(), int(df["list"].iloc[0])
         mem, ask = df[df["member"]], df[~df["member"]]
         empty = pd.DataFrame({"node": [], "links": [], "to": []}).astype("int64")
         if mem.empty or ask.empty:

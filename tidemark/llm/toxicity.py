@@ -14,16 +14,14 @@ Texts of any length are scored whole, in slices of whole texts.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.frames import fresh, hash_sample
+from tidemark.llm.frames import Shared, fresh, hash_sample
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -284,29 +282,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     return train([t or "" for t in rows["t"]], (rows["_toxic"] > 0).to_numpy(), list(rows["l"]))
 
 
-_NETS: dict[str, Net] = {}
-
-
 def toxicity_score(net: Net, text: Column) -> Column:
     """Score of a text column: 0 to 1, higher is likelier toxic; null and empty texts get the score of no words."""
-    import pickle
-
-    from pyspark import SparkContext
-
-    blob = pickle.dumps(net)
-    shared = SparkContext._active_spark_context.broadcast((hashlib.sha256(blob).hexdigest(), blob))
+    shared = Shared(SparkSession.active(), net)
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        tag, data = shared.value
-        if tag not in _NETS:
-            _NETS.clear()
-            _NETS[tag] = pickle.loads(data)
         raw, off = tk.buffers(texts)
         out = np.zeros(len(texts))
         for i, j, b, o in tk.sliced(raw, off):
             w = tk.Words(b, o, tk.ALNUM)
-            out[i:j] = _NETS[tag].scores(hashed_words(w), w.bounds)
+            out[i:j] = shared.get().scores(hashed_words(w), w.bounds)
         return pa.array(out)
 
     return score(text)
