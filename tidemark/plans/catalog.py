@@ -21,7 +21,7 @@ from tidemark.operators import candles as cdl
 from tidemark.operators import late, runlog, slices, verify
 from tidemark.plans import jobs
 from tidemark.plans import params as P
-from tidemark.session import ensure_utc, shared_dir
+from tidemark.session import ensure_utc, settled, shared_dir
 from tidemark.sources import archive as arc
 from tidemark.sources import fixtures as fx
 from tidemark.sources.candle_csv import write_candle_csv
@@ -266,7 +266,7 @@ def q_stream_route_default(spark, sf):
     q.awaitTermination()  # availableNow ends by itself, whenever all files are routed
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(f"{base}/default").select("id", "day")
+    return settled(spark.read.parquet(f"{base}/default").select("id", "day"), base)
 
 
 def q_default_rows(spark, sf):
@@ -370,7 +370,7 @@ def q_export_restore_roundtrip(spark, sf):
     ensure_utc(spark)
     root = _export_all_days(spark, sf)
     back = arc.read_archive(spark, f"{root}/ticks", TICKS_ARCHIVE_SCHEMA).drop("day")
-    return arc.day_content_digest(back, "bus_time", _ticks_parts(back))
+    return settled(arc.day_content_digest(back, "bus_time", _ticks_parts(back)), root)
 
 
 def q_reconcile_export(spark, sf):
@@ -384,7 +384,7 @@ def q_reconcile_export(spark, sf):
     archived = arc.read_archive(spark, f"{root}/ticks", TICKS_ARCHIVE_SCHEMA)
     archive_counts = archived.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumn("table_name", F.lit("ticks"))
-    return verify.reconcile_counts(table_counts, read_manifest(spark, f"{root}/MANIFEST", "ticks"), archive_counts)
+    return settled(verify.reconcile_counts(table_counts, read_manifest(spark, f"{root}/MANIFEST", "ticks"), archive_counts), root)
 
 
 def q_purge_plan_export(spark, sf):
@@ -398,15 +398,15 @@ def q_purge_plan_export(spark, sf):
         F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.zst")).alias("file"), "bytes", "sha256")
     counts = slices.day_counts(t, "bus_time").withColumn("table_name", F.lit("ticks"))
     days = counts.select("table_name", "day")
-    return jobs.purge_plan(days, read_manifest(spark, f"{root}/MANIFEST", "ticks"), inv, fx.children(spark, sf),
-                           counts)
+    return settled(jobs.purge_plan(days, read_manifest(spark, f"{root}/MANIFEST", "ticks"), inv, fx.children(spark, sf),
+                                   counts), root)
 
 
 def q_archive_inventory(spark, sf):
     ensure_utc(spark)
     root = _export_all_days(spark, sf)
     files = arc.archive_inventory(spark, f"{root}/ticks")
-    return arc.day_inventory(files)
+    return settled(arc.day_inventory(files), root)
 
 
 def q_export_ledger(spark, sf):
@@ -414,9 +414,9 @@ def q_export_ledger(spark, sf):
     root = _export_all_days(spark, sf)
     from tidemark.sources.ledger import read_manifest
 
-    return read_manifest(spark, f"{root}/MANIFEST", "ticks").select(
+    return settled(read_manifest(spark, f"{root}/MANIFEST", "ticks").select(
         F.try_to_date("day", "yyyy-MM-dd").alias("day"), F.col("bound_lower").cast("long").alias("id_lower"),
-        F.col("bound_upper").cast("long").alias("id_upper"), F.col("rows").cast("long").alias("n_rows"), "nf")
+        F.col("bound_upper").cast("long").alias("id_upper"), F.col("rows").cast("long").alias("n_rows"), "nf"), root)
 
 
 def q_restore_days(spark, sf):
@@ -498,7 +498,7 @@ def q_candle_ingest(spark, sf):
     src = fx.ticks(spark, sf).groupBy(F.col("instrument").alias("source")).agg(
         F.unix_seconds(F.max("bus_time").cast("timestamp")).alias("last_epoch"))
     out = jobs.candle_ingest(spark, cache, src, P.LOOKBACK_NOW, ["exchange", "instrument"])
-    return out.select("instrument", "timeframe", "open_at", "open", "high", "low", "close", "volume")
+    return settled(out.select("instrument", "timeframe", "open_at", "open", "high", "low", "close", "volume"), cache)
 
 
 # ---------------------------------------------------------------- jobs over awkward data
@@ -526,7 +526,7 @@ def _export_texts(spark, sf, fmt):
     days = sorted(r["day"] for r in t.select(day_of("at").alias("day")).distinct().collect())  # five days
     leaf = t.select(F.lit("texts").alias("table_name"), day_of("at").alias("day")).distinct()
     jobs.export_days(spark, t, "texts", "at", ["doc_id"], days, leaf, None, root, TEXTS_ARCHIVE_SCHEMA, id_col=None, fmt=fmt)
-    return arc.read_archive(spark, f"{root}/texts", TEXTS_ARCHIVE_SCHEMA)
+    return arc.read_archive(spark, f"{root}/texts", TEXTS_ARCHIVE_SCHEMA), root
 
 
 def q_export_strings_roundtrip(spark, sf):
@@ -536,11 +536,11 @@ def q_export_strings_roundtrip(spark, sf):
         F.col("amount") == float("-inf"), "-inf").otherwise(F.coalesce(F.round(F.col("amount") * 7).cast("long").cast("string"), F.lit("~")))
     out = None
     for fmt in ("csv.gz", "csv.zst"):
-        back = _export_texts(spark, sf, fmt).drop("day")
+        back, root = _export_texts(spark, sf, fmt)
         parts = [F.col("doc_id"), F.unix_micros(F.col("at").cast("timestamp")),
                  F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("~")),
                  F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("~")), amount]
-        one = arc.day_content_digest(back, "at", parts).select(F.lit(fmt).alias("fmt"), "*")
+        one = settled(arc.day_content_digest(back.drop("day"), "at", parts).select(F.lit(fmt).alias("fmt"), "*"), root)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -563,7 +563,7 @@ def q_sweep_remainder(spark, sf):
     active = F.count_if(F.col("known_to") == F.lit(S.SENTINEL).cast("timestamp_ntz"))
     both = rest.select(year, F.lit("remaining").alias("part"), "known_to").unionByName(
         swept.select(year, F.lit("archived").alias("part"), "known_to"))
-    return both.groupBy("part", "year").agg(F.count(F.lit(1)).alias("n_rows"), active.alias("n_active"))
+    return settled(both.groupBy("part", "year").agg(F.count(F.lit(1)).alias("n_rows"), active.alias("n_active")), path)
 
 
 def _retention_days(spark, sf, table, rows, time_col, order, schema, **kw):
@@ -579,7 +579,7 @@ def _retention_days(spark, sf, table, rows, time_col, order, schema, **kw):
                                   P.TODAY, exported_at="2024-02-01T00:00:00Z", **kw)
         one = done.select(F.lit(table).alias("table_name"), F.lit(run).cast("long").alias("run"), "day", "decision", "dropped")
         out = one if out is None else out.unionByName(one)
-    return out
+    return settled(out, root)
 
 
 def q_retention_run(spark, sf):
@@ -599,7 +599,7 @@ def q_archive_bytes(spark, sf):
     root = f"{shared_dir(spark)}/tidemark-bytes-{uuid.uuid4().hex}"
     t = fx.ticks(spark, sf).select("id", "instrument", "bus_time", F.round(F.col("price") * 100).cast("long").alias("cents"))
     arc.write_day_archive(t, root, "bus_time", ["id"], n_parts=1, compression="none")
-    return arc.archive_inventory(spark, root, glob="*.csv").select("day", "bytes", "sha256")
+    return settled(arc.archive_inventory(spark, root, glob="*.csv").select("day", "bytes", "sha256"), root)
 
 
 def q_ledger_from_text(spark, sf):
@@ -617,9 +617,9 @@ def q_ledger_from_text(spark, sf):
     bad.coalesce(1).write.text(f"{path}/seq=000000000002")
     append_manifest(led.where(F.col("line_no") % 20 == 11), path)
     back = read_manifest(spark, path, "ticks")
-    return back.groupBy("day", "nf").agg(F.count(F.lit(1)).alias("n_lines"),
-                                         F.max_by("rows", "line_no").alias("last_rows"),
-                                         F.max_by("sha256", "line_no").alias("last_sha256"))
+    return settled(back.groupBy("day", "nf").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max_by("rows", "line_no").alias("last_rows"),
+        F.max_by("sha256", "line_no").alias("last_sha256")), path)
 
 
 def q_run_logs_text(spark, sf):
@@ -632,7 +632,8 @@ def q_run_logs_text(spark, sf):
     for folder, parity in (("a", 0), ("b", 1)):
         one = lines.where(F.col("line_no") % 2 == parity).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
         one.select(F.concat_ws(" ", F.col("line_no").cast("string"), "line").alias("value")).write.text(f"{base}/{folder}/2024-01")
-    return read_run_logs(spark, base).select(F.regexp_extract("file", "/([ab])/2024-01/", 1).alias("folder"), "line_no", "line")
+    return settled(read_run_logs(spark, base).select(
+        F.regexp_extract("file", "/([ab])/2024-01/", 1).alias("folder"), "line_no", "line"), base)
 
 
 def q_restore_job(spark, sf):
@@ -660,7 +661,7 @@ def q_restore_job(spark, sf):
                             supplement_ledger=f"{root}/SUPPLEMENTS", supplement_folder=f"{root}/extra",
                             ledger=read_manifest(spark, f"{root}/MANIFEST", "ticks"))
     back = spark.read.parquet(table).drop("day")
-    return arc.day_content_digest(back, "bus_time", _ticks_parts(back))
+    return settled(arc.day_content_digest(back, "bus_time", _ticks_parts(back)), root)
 
 
 def q_candle_ingest_upsert(spark, sf):
@@ -682,8 +683,9 @@ def q_candle_ingest_upsert(spark, sf):
     again = jobs.candle_ingest(spark, cache, src, "2024-02-04 12:00:00", keys, current=spark.read.parquet(folder))
     active = F.count_if(F.col("known_to") == F.lit(S.SENTINEL).cast("timestamp_ntz"))
     per = again.groupBy("instrument", "timeframe", "open_at").agg(active.alias("a"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy("timeframe").agg(F.count(F.lit(1)).alias("n_bars"), F.max("a").alias("max_active"),
-                                        F.min("a").alias("min_active"), F.max("n").alias("max_versions"))
+    return settled(per.groupBy("timeframe").agg(
+        F.count(F.lit(1)).alias("n_bars"), F.max("a").alias("max_active"), F.min("a").alias("min_active"),
+        F.max("n").alias("max_versions")), cache, folder)
 
 
 def q_stream_candles(spark, sf):
@@ -702,7 +704,7 @@ def q_stream_candles(spark, sf):
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_stream_candles(spark, f"{base}/bars", ["instrument"])
+    return settled(read_stream_candles(spark, f"{base}/bars", ["instrument"]), base)
 
 
 QUERIES = {

@@ -57,6 +57,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session made, wherever the session's file systems keep it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(df, *scratch: str):
+    """``df`` computed into a reliable checkpoint, after which the scratch folders it was read from are deleted.
+
+    Spark deletes the checkpoint itself once the frame is gone, if spark.cleaner.referenceTracking.cleanCheckpoints
+    is set.
+    """
+    shared_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    for path in scratch:
+        remove_path(df.sparkSession, path)
+    return out
+
+
 TARGET_PART_BYTES = 256 << 20
 
 
