@@ -213,7 +213,8 @@ def q_purge_plan(spark, sf):
     hi = (dt.date.fromisoformat(P.PURGE_TO) + dt.timedelta(days=1)).isoformat()
     counts = slices.day_counts(slices.day_slice(t, "bus_time", P.PURGE_FROM, hi), "bus_time") \
         .withColumn("table_name", F.lit("ticks"))
-    return jobs.purge_plan(days, fx.ledger(spark, sf), fx.inventory(spark, sf), fx.children(spark, sf), counts)
+    c = fx.pinned(fx.counts(spark, sf))  # ledger, inventory and leaves come from one pass over the table
+    return jobs.purge_plan(days, fx.ledger(spark, sf, c), fx.inventory(spark, sf, c), fx.children(spark, sf, c), counts)
 
 
 def q_purge_plan_trades(spark, sf, armed: bool = True):
@@ -358,8 +359,8 @@ def _export_all_days(spark, sf) -> str:
     """Export every ticks day with rows, as .csv.zst, to a fresh folder under the shared directory."""
     root = f"{shared_dir(spark)}/tidemark-archive-{uuid.uuid4().hex}"
     t = fx.ticks(spark, sf)
-    days = sorted(r["day"] for r in t.select(day_of("bus_time").alias("day")).distinct().collect())
-    leaf_all = t.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct()
+    leaf_all = fx.pinned(t.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct())
+    days = sorted(r["day"] for r in leaf_all.collect())
     jobs.export_days(spark, t, "ticks", "bus_time", ["id"], days, leaf_all, None, root, TICKS_ARCHIVE_SCHEMA,
                      ledger_path=f"{root}/MANIFEST", fmt="csv.zst")
     return root
@@ -472,10 +473,12 @@ def q_backfill_summary(spark, sf):
 # ---------------------------------------------------------------- step 7
 def q_partition_coverage(spark, sf):
     ensure_utc(spark)
-    lv = fx.all_leaves(spark, sf)
+    c = fx.pinned(fx.counts(spark, sf))  # leaves and the ticks ledger come from one pass over the table
+    lv = fx.all_leaves(spark, sf, c)
+    led = fx.pinned(cal.ledger_days(fx.ledger(spark, sf, c).unionByName(fx.trades_ledger(spark, sf))))
     dr = late.default_rows(fx.ticks(spark, sf), "bus_time", lv, "ticks").unionByName(
         late.default_rows(fx.trades(spark, sf), "executed_at", lv, "trades"))
-    return jobs.partition_coverage(lv, _config(spark), P.TODAY, cal.ledger_days(_ledgers(spark, sf)), dr)
+    return jobs.partition_coverage(lv, _config(spark), P.TODAY, led, dr)
 
 
 def q_retention_plan(spark, sf):

@@ -73,26 +73,31 @@ def _leaf_from_days(days: DataFrame, table_name: str) -> DataFrame:
         F.concat(F.lit(table_name + "_d"), F.date_format("day", "yyyyMMdd")).alias("leaf_name"))
 
 
-def leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks leaves: every day with ticks except the 11th and 22nd."""
-    days = ticks(spark, sf_dir).select(day_of("bus_time").alias("day")).distinct() \
+def pinned(df: DataFrame) -> DataFrame:
+    """A calendar-sized aggregate (one row a day), computed once: what is built from it scans no table again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def leaf(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    """Ticks leaves: every day with ticks except the 11th and 22nd.  ``c``: the day counts, if already taken."""
+    days = (ticks(spark, sf_dir).select(day_of("bus_time").alias("day")).distinct() if c is None else c.select("day")) \
         .where(~F.dayofmonth("day").isin(*NO_LEAF_DAYS))
     return _leaf_from_days(days, "ticks")
 
 
-def trades_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades leaves: every arrival day (late executions fall before them)."""
-    days = trades(spark, sf_dir).select(day_of("bus_time").alias("day")).distinct()
+def trades_leaf(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    """Trades leaves: every arrival day (late executions fall before them), which is every day with ticks."""
+    days = trades(spark, sf_dir).select(day_of("bus_time").alias("day")).distinct() if c is None else c.select("day")
     return _leaf_from_days(days, "trades")
 
 
-def all_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaf(spark, sf_dir).unionByName(trades_leaf(spark, sf_dir))
+def all_leaves(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    return leaf(spark, sf_dir, c).unionByName(trades_leaf(spark, sf_dir, c))
 
 
-def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+def children(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
     """Partition catalog rows: one ordinary child per leaf with its day bounds, plus a DEFAULT per table."""
-    lv = all_leaves(spark, sf_dir)
+    lv = all_leaves(spark, sf_dir, c)
     ordinary = lv.select("table_name", "leaf_name", F.lit("r").alias("kind"), F.lit(False).alias("is_default"),
                          F.col("day").cast("timestamp_ntz").alias("bound_lower"),
                          F.date_add("day", 1).cast("timestamp_ntz").alias("bound_upper"))
@@ -109,9 +114,9 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), (F.max("id") + 1).alias("hi"))
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
     """Parsed ticks ledger (MANIFEST.tsv shape, text fields), one fault per chosen day."""
-    c = counts(spark, sf_dir)
+    c = counts(spark, sf_dir) if c is None else c
     dom = F.dayofmonth("day")
     c = c.where((dom <= LEDGER_LAST_DAY) & (dom != LEDGER_NO_LINE_DAY))
     lines = c.withColumn("copy", F.lit(1)).unionByName(
@@ -153,9 +158,9 @@ def trades_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
     """Archive files on disk: one per ticks day except the 15th; the 12th short, the 16th altered."""
-    c = counts(spark, sf_dir)
+    c = counts(spark, sf_dir) if c is None else c
     dom = F.dayofmonth("day")
     return c.where(dom != INVENTORY_MISSING_DAY).select(
         F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.zst")).alias("file"),
