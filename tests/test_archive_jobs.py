@@ -445,3 +445,65 @@ def test_restore_into_table_after_retention(spark, scratch):
     want = t.where(day_of("bus_time").isin(days))
     assert back.exceptAll(want.select(*back.columns)).count() == 0
     assert want.select(*back.columns).exceptAll(back).count() == 0
+
+
+def test_adopt_refuses_changed_content(spark, scratch):
+    """Same day, same number of rows, other prices: not this table's archive."""
+    t = fx.ticks(spark, SF001)
+    leaf = t.select(F.lit("ticks").alias("table_name"), day_of("bus_time").alias("day")).distinct()
+    d = dt.date(2024, 1, 3)
+    other = t.withColumn("price", F.col("price") + 1)
+    jobs.export_days(spark, other, "ticks", "bus_time", ["id"], [d], leaf, None, scratch, TICKS_ARCHIVE_SCHEMA)
+    args = (spark, t, "ticks", "bus_time", ["id"], [d], leaf, None, scratch, TICKS_ARCHIVE_SCHEMA)
+    assert jobs.export_days(*args, adopt=True).count() == 0
+    assert jobs.export_days(spark, other, *args[2:], adopt=True).count() == 1
+
+
+@pytest.mark.parametrize("fmt", ["csv.gz", "csv.zst"])
+def test_texts_and_numbers_come_back(spark, scratch, fmt):
+    from decimal import Decimal
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.TimestampNTZType()),
+                           T.StructField("s", T.StringType()), T.StructField("u", T.StringType()),
+                           T.StructField("x", T.DoubleType()), T.StructField("m", T.DecimalType(38, 18))])
+    texts = [None, "", " ", "  both  ", 'say "hi"', '"', '""', "a,b", "two\nlines", "two\r\nlines", "cr\rcr", "back\\slash", "\\N", "null",
+             "tab\there", "é☃"]
+    nums = [None, float("nan"), float("inf"), float("-inf"), 0.1, -0.0, 1e-300]
+    money = [None, Decimal("0.000000000000000001"), Decimal("-12345678901234567890.123456789012345678")]
+    at = dt.datetime(2024, 1, 3, 1, 2, 3, 456789)
+    rows = [(i, at, s, texts[-1 - i], nums[i % len(nums)], money[i % len(money)]) for i, s in enumerate(texts)]
+    t = spark.createDataFrame(rows, schema)
+    leaf = spark.createDataFrame([("texts", at.date())], "table_name string, day date")
+    lines = jobs.export_days(spark, t, "texts", "at", ["id"], [at.date()], leaf, None, scratch, schema, id_col=None, fmt=fmt)
+    assert lines.count() == 1
+    back = arc.read_archive(spark, f"{scratch}/texts", schema).drop("day")
+    assert [repr(tuple(r)) for r in back.orderBy("id").collect()] == [repr(r) for r in rows]
+
+
+def test_drop_folder_puts_back_what_it_did_not_check(spark, scratch):
+    t = fx.ticks(spark, SF001)
+    table, d = f"{scratch}/table", dt.date(2024, 1, 2)
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    folder = f"{table}/day={d}"
+    listing = jobs.table_day_listing(spark, table, [d]).first()["listing"]
+    n = spark.read.parquet(folder).count()
+    spark.read.parquet(f"{table}/day=2024-01-03").write.mode("append").parquet(folder)  # lands after the check
+    assert not jobs._drop_folder(spark, folder, listing)
+    assert spark.read.parquet(folder).count() > n and not glob.glob(f"{table}/_purge-*")
+    assert jobs._drop_folder(spark, folder, jobs.table_day_listing(spark, table, [d]).first()["listing"])
+    assert not os.path.exists(folder)
+
+
+def test_sweep_rewrites_touched_partitions_only(spark, scratch):
+    cv = fx.candle_versions(spark, SF001).withColumn("open_at", F.col("open_at").cast("timestamp_ntz"))
+    table = f"{scratch}/candles"
+    cv.withColumn("day", F.to_date("open_at")).write.partitionBy("timeframe", "day").parquet(table)
+    n = jobs.sweep_partitions(spark, table, "2024-01-05", "2024-01-06", f"{scratch}/swept", f"{scratch}/out", ["instrument"])
+    out, whole, swept = (spark.read.parquet(p) for p in (f"{scratch}/out", table, f"{scratch}/swept"))
+    days = sorted(r["day"] for r in out.select("day").distinct().collect())
+    assert n == 2 and days == [dt.date(2024, 1, 5), dt.date(2024, 1, 6)]
+    assert out.count() + swept.count() == whole.where(F.col("day").isin(days)).count()
+    rest = jobs.sweep_remainder(whole, "2024-01-05", "2024-01-06", day_col="day")
+    assert "Exchange" not in rest._jdf.queryExecution().executedPlan().toString()
