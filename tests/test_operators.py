@@ -200,13 +200,6 @@ def test_partition_coverage_without_gaps_or_default(spark):
     assert r.headroom == 47 and r.capped is False
 
 
-def test_first_by_priority_takes_the_lowest(spark):
-    cands = spark.createDataFrame([("t", 1, 3, "DEFAULT"), ("t", 1, 2, "PARTITION"), ("t", 2, 4, "MISSING")],
-                                  "table_name string, day int, priority int, target string")
-    got = {r.day: r.target for r in verify.first_by_priority(cands, ["table_name", "day"], "priority").collect()}
-    assert got == {1: "PARTITION", 2: "MISSING"}
-
-
 def test_operators_accept_zoned_timestamps(spark):
     """Production tables carry TIMESTAMP (UTC), the fixtures TIMESTAMP_NTZ: results must agree."""
     from tidemark.operators import slices

@@ -125,13 +125,6 @@ def verify_archive(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     return j.withColumn("archive_verdict", verdict).drop("_present")
 
 
-def first_by_priority(candidates: DataFrame, keys: Sequence[str], priority_col: str) -> DataFrame:
-    """Lowest-priority-number candidate per key (W4, O5, U1): one aggregate, no sort."""
-    cols = [c for c in candidates.columns if c not in keys]
-    return candidates.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(priority_col)).alias("_w")).select(
-        *keys, "_w.*")
-
-
 def resolve_purge_target(days: DataFrame, children: DataFrame) -> DataFrame:
     """Which storage holds each requested (table, day).
 
