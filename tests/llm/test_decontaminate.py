@@ -40,7 +40,7 @@ def bench(spark, items):
 
 def test_rows_equal_brute_force(spark):
     for block in (dc.BLOCK_BYTES, 1):
-        d = docs(spark, DOCS).withColumn("hits", F.lit("mine"))
+        d = docs(spark, DOCS).withColumns({c: F.lit("mine") for c in ("hits", "a", "b", "i", "text_key")})
         got = sorted(tuple(r) for r in dc.contamination(d, bench(spark, ITEMS), block_bytes=block).collect())
         assert got == brute(DOCS, ITEMS)
 

@@ -42,7 +42,9 @@ def test_stages_on_odd_rows(spark):
     rows = [(None, None, None, None), (1, None, "en", None), (1, "", None, "a"), (2, "42 !!", "en", "a"), (2, "42 !!", "en", "a"),
             (3, "the of and to in " * 20000, "en", "b")]
     for _, stage in cp.STAGES:
-        d = docs(spark, rows).withColumn("text_hash", F.lit(1)).withColumn("hits", F.lit(2))
+        d = docs(spark, rows)
+        for c in ("text_hash", "hits", "_toxic", "mix_id", "mix_key", "a", "b", "i", "fp", "h", "score", "row_id"):
+            d = d.withColumn(c, F.lit(1))
         out = stage(spark, d, SF)
         assert out.columns == d.columns and out.count() <= 2 * len(rows)
         assert stage(spark, d.limit(0), SF).count() == 0

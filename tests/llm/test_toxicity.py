@@ -42,7 +42,7 @@ def score(net, texts):
 
 def test_learns_words_in_any_place(net):
     long = " ".join(f"en{i % 300}" for i in range(40000))
-    s = score(net, ["en1 nastyword en2", f"{long} vileword {long}", "en1 en2 en3", long, "", None, "never seen words only", "de5 de6"])
+    s = score(net, ["en1 nastyword en2 grimword", f"{long} vileword {long} Nastyword", "en1 en2 en3", long, "", None, "never seen words only", "de5 de6"])
     assert (s[:2] >= 0.7).all() and (s[2:] < 0.7).all() and ((s >= 0) & (s <= 1)).all()
 
 
@@ -65,7 +65,7 @@ def test_degenerate_training(y):
 
 def test_dataframe_side(spark, net):
     rows, labels = corpus(200)
-    d = docs(spark, [*rows, (None, None), (5, rows[5][1], "en"), (900, "Nastyword", None)]).withColumn("toxicity", F.lit(1))
+    d = docs(spark, [*rows, (None, None), (5, rows[5][1], "en"), (900, "Nastyword and vileword", None)]).withColumn("toxicity", F.lit(1))
     lab = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1), (6, 0, 1)], "doc_id long, quality int, toxic int")
     model = tx.fit_toxicity(d, lab, F.col("doc_id") % 2 == 0, train_rows=50)
     assert model.scale > 0

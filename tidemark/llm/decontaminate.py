@@ -166,32 +166,32 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, out: str, text_col: str = "
 
     if len(blocks) == 1:
         return docs.withColumn(out, scanner(blocks[0])(F.col(text_col)))
-    key, = fresh(docs.withColumn(out, F.lit(1)), "text_key")
+    key, a, b, i = fresh(docs.withColumn(out, F.lit(1)), "text_key", "hit_starts", "hit_stops", "hit_items")
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     part = None
-    for b in blocks:
-        one = docs.select(digest.alias(key), scanner(b)(F.col(text_col)).alias("r")).where("r.n_hit > 0").distinct()
+    for block in blocks:
+        one = docs.select(digest.alias(key), scanner(block)(F.col(text_col)).alias("r")).where("r.n_hit > 0").distinct()
         part = one if part is None else part.unionByName(one)
 
     @arrow_udf(_RESULT)
     def merged(n: pa.Array, starts: pa.Array, stops: pa.Array, items: pa.Array) -> pa.Array:
         rows = []
-        for k, a, b, i in zip(n.to_pylist(), starts.to_pylist(), stops.to_pylist(), items.to_pylist(), strict=True):
+        for k, ss, es, ids in zip(n.to_pylist(), starts.to_pylist(), stops.to_pylist(), items.to_pylist(), strict=True):
             runs: list[list[int]] = []
-            for s, e in sorted((s, e) for x, y in zip(a or [], b or [], strict=True) for s, e in zip(x, y, strict=True)):
+            for s, e in sorted((s, e) for x, y in zip(ss or [], es or [], strict=True) for s, e in zip(x, y, strict=True)):
                 if runs and s <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], e)
                 else:
                     runs.append([s, e])
-            rows.append(judged(k, [r[0] for r in runs], [r[1] for r in runs], sorted({x for y in i or [] for x in y})))
+            rows.append(judged(k, [r[0] for r in runs], [r[1] for r in runs], sorted({x for y in ids or [] for x in y})))
         return pa.array(rows, _TYPE)
 
-    hits = part.groupBy(key).agg(F.collect_list("r.starts").alias("a"), F.collect_list("r.stops").alias("b"),
-                                 F.collect_list("r.items").alias("i"))
+    hits = part.groupBy(key).agg(F.collect_list("r.starts").alias(a), F.collect_list("r.stops").alias(b),
+                                 F.collect_list("r.items").alias(i))
     counts = F.coalesce(F.regexp_count(F.translate(F.col(text_col), _UPPER, _UPPER.lower()),
                                        F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++")), F.lit(0)).cast("long")
     joined = docs.withColumn(key, digest).join(hits, key, "left")
-    return joined.withColumn(out, merged(counts, F.col("a"), F.col("b"), F.col("i"))).select(*docs.columns, out)
+    return joined.withColumn(out, merged(counts, F.col(a), F.col(b), F.col(i))).select(*docs.columns, out)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -72,19 +72,19 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     is taken 0 times.  ``keep``: columns of ``docs`` to carry.  Empty table: no rows.
     """
     size, ssize, target, copies = names
-    src, = fresh(docs.select(*keep) if keep else docs.select(id_col), "mix_source")
-    sized = docs.select(*[docs[c] for c in keep], F.col(source_col).alias(src), F.col(id_col).alias("_mix_id"),
+    src, mid, key_col = fresh(docs, "mix_source", "mix_id", "mix_key")
+    sized = docs.select(*[docs[c] for c in keep], F.col(source_col).alias(src), F.col(id_col).alias(mid),
                         text_size(F.col(text_col)).alias(size))
     targets = cut(source_targets(sized, src, size, weights, share, max_repeat)).select(
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_mix_key"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(key_col),
         F.col("source_size").alias(ssize), F.col("target").alias(target))
-    n, width = targets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_mix_key") + 40), F.lit(0))).collect()[0]
+    n, width = targets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key_col) + 40), F.lit(0))).collect()[0]
     if n <= BROADCAST_SOURCES and width <= BROADCAST_BYTES:
         targets = F.broadcast(targets)
     key = F.coalesce(F.concat(F.lit("="), F.col(src)), F.lit(""))
     rate = F.when(F.col(ssize) > 0, F.col(target) / F.col(ssize)).otherwise(F.lit(0.0))
-    joined = sized.withColumn("_mix_key", key).join(targets, "_mix_key")
-    n_copies = F.floor(rate) + (coin(F.col("_mix_id"), seed) < rate - F.floor(rate)).cast("long")
+    joined = sized.withColumn(key_col, key).join(targets, key_col)
+    n_copies = F.floor(rate) + (coin(F.col(mid), seed) < rate - F.floor(rate)).cast("long")
     return joined.select(*keep, size, ssize, target, n_copies.cast("long").alias(copies))
 
 
