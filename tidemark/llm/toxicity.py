@@ -30,7 +30,7 @@ STEMS = (4, 6)
 TABLES = 2 + len(STEMS)
 TOP = 3
 BITS = 18
-TRAIN_ROWS = 3000  # of either class, at most
+TRAIN_ROWS = 2000  # of either class, at most
 MIN_DOCS = 4  # a word in fewer training texts is not trained
 EPOCHS = 10
 CUTOFF = 0.7
@@ -43,15 +43,15 @@ def _buckets(h: np.ndarray) -> list[np.ndarray]:
     return [(h[:, 0] >> np.uint64(64 - BITS)).astype(np.int64), *((h[:, k] & low).astype(np.int64) for k in range(h.shape[1]))]
 
 
-def _features(h: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of every word per table, with _PAD empty slots after each text, and the texts' starts."""
+def _features(words: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets of every word (words x TABLES) with _PAD empty slots after each text, and the texts' starts."""
     n = len(bounds) - 1
     count = np.diff(bounds)
     start = np.arange(n) * _PAD + bounds[:-1]
-    at = np.repeat(np.arange(n) * _PAD, count) + np.arange(len(h))
-    total = len(h) + n * _PAD
+    at = np.repeat(np.arange(n) * _PAD, count) + np.arange(len(words))
+    total = len(words) + n * _PAD
     out = []
-    for b in _buckets(h):
+    for b in words.T:
         i = np.full(total, 1 << BITS, np.int64)
         i[at] = b
         out.append(i)
@@ -110,25 +110,31 @@ class Net:
             feats.append(top.reshape(len(start), TOP * FILTERS))
         return np.concatenate(feats, 1), places
 
-    def logits(self, h, bounds):
+    def logits(self, words, bounds):
         if len(bounds) < 2:
             return np.zeros(0)
-        buckets, start = _features(h, bounds)
+        buckets, start = _features(words, bounds)
         f, _ = self.pool(self.embed(buckets), start)
         return np.maximum(f, 0) @ self.v + self.c
 
     def scores(self, h, bounds):
-        z = np.clip(self.scale * self.logits(h, bounds).astype(np.float64) + self.shift, -60, 60)
+        """Scores of texts given as ``hashed_words`` rows."""
+        z = np.clip(self.scale * self.logits(np.stack(_buckets(h), 1), bounds).astype(np.float64) + self.shift, -60, 60)
         return 1 / (1 + np.exp(-z))
 
 
-def _hashed(texts: list[str]) -> list[np.ndarray]:
-    out = []
-    raw, off = tk.buffers(pa.array(texts, pa.large_string()))
-    for _, _, b, o in tk.sliced(raw, off):
-        w = tk.Words(b, o, tk.ALNUM)
-        out += np.split(hashed_words(w), w.bounds[1:-1])
-    return out
+def _hashed(texts: list[str]) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """Per text the buckets of its words (words x TABLES), and per hash column its distinct hashes."""
+    buckets, distinct = [], []
+    for k in range(0, len(texts), 64):
+        raw, off = tk.buffers(pa.array(texts[k:k + 64], pa.large_string()))
+        for _, _, b, o in tk.sliced(raw, off):
+            w = tk.Words(b, o, tk.ALNUM)
+            h = hashed_words(w)
+            for a, e in zip(w.bounds[:-1], w.bounds[1:], strict=True):
+                buckets.append(np.stack(_buckets(h[a:e]), 1).astype(np.int32))
+                distinct.append([np.unique(h[a:e, c]) for c in range(h.shape[1])])
+    return buckets, distinct
 
 
 def hashed_words(w: tk.Words) -> np.ndarray:
@@ -136,12 +142,12 @@ def hashed_words(w: tk.Words) -> np.ndarray:
     return np.stack([w.hashes(), *(w.hashes(k) for k in STEMS)], 1)
 
 
-def _seed_tables(net: Net, docs: list[np.ndarray], y: np.ndarray, r) -> list[np.ndarray]:
+def _seed_tables(net: Net, distinct: list[list[np.ndarray]], y: np.ndarray, r) -> list[np.ndarray]:
     """Start the trainable words at their smoothed log-odds (first component) and small noise; masks of their buckets."""
     masks = []
     p, q = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     for side in range(TABLES):
-        uniq = [np.unique(d[:, max(0, side - 1)]) for d in docs]
+        uniq = [d[max(0, side - 1)] for d in distinct]
         label = np.repeat(y, [len(u) for u in uniq])
         words, inv = np.unique(np.concatenate(uniq), return_inverse=True)
         pos, tot = np.bincount(inv, label, len(words)), np.bincount(inv, minlength=len(words))
@@ -165,13 +171,14 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
         net.scale, net.shift = 0.0, -3.0 if len(y) == 0 or y.min() == 0 else 3.0
         return net
     r = np.random.default_rng(seed)
-    docs = _hashed(texts)
+    docs, distinct = _hashed(texts)
     order = r.permutation(len(docs))
     hold = order[:len(docs) // 5]
     fit = order[len(docs) // 5:]
     if len(np.unique(y[fit])) < 2:
         fit = order
-    masks = _seed_tables(net, [docs[i] for i in fit], y[fit], r)
+    masks = _seed_tables(net, [distinct[i] for i in fit], y[fit], r)
+    del distinct
     dense = [*net.w, *net.b, net.v]
     m1, m2 = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
     seen = [np.zeros(((1 << BITS) + 1, 1), np.float32) for _ in range(TABLES)]
@@ -277,9 +284,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
               hash_sample(lab.where(F.col("_toxic") <= 0), train_rows, id_col)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * train_rows ids
     cols = [F.col(text_col).alias("t"), F.col("_toxic"), (F.col(lang_col) if lang_col else F.lit(None)).alias("l")]
+    docs = docs.select(*dict.fromkeys([id_col, text_col, *([lang_col] if lang_col else [])]))
     rows = hash_sample(docs.join(sample, id_col).select(id_col, *cols), 2 * train_rows, id_col, "t").toPandas()
     rows = rows.sort_values([id_col, "t"], kind="stable")
-    return train([t or "" for t in rows["t"]], (rows["_toxic"] > 0).to_numpy(), list(rows["l"]))
+    texts, toxic, langs = [t or "" for t in rows["t"]], (rows["_toxic"] > 0).to_numpy(), list(rows["l"])
+    del rows
+    return train(texts, toxic, langs)
 
 
 def toxicity_score(net: Net, text: Column) -> Column:
