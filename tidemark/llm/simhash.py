@@ -140,6 +140,7 @@ def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     kid, th = fresh(docs, "row_id", "text_hash")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias(kid), F.xxhash64(text_col).alias(th)]
     rows = cut(docs.select(*key, fingerprint(F.col(text_col), shingle).alias("fp")))
-    first = rows.join(_rooted(rows, max_bits), "fp").groupBy("root").agg(F.min(F.struct(kid, th)).alias("k"))
+    per_print = rows.groupBy("fp").agg(F.min(F.struct(kid, th)).alias("k"))  # copies meet the join as one row
+    first = per_print.join(_rooted(rows, max_bits), "fp").groupBy("root").agg(F.min("k").alias("k"))
     winners = first.select(f"k.{kid}", f"k.{th}")
     return docs.select("*", *key).join(winners, [kid, th]).dropDuplicates([kid, th]).select(*docs.columns)
