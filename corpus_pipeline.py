@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, langid, mixing, simhash, toxicity
 from tidemark.llm.frames import held_out, table
-from tidemark.session import shared_dir
+from tidemark.session import remove_path, shared_dir
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a Parquet table in the shared folder."""
+    """All stages over ``documents``; each stage's result is a Parquet table in the shared folder.
+
+    A stage's table is deleted when the next one's is written; the last one stays, for the result reads it.
+    """
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
