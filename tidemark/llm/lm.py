@@ -271,7 +271,23 @@ class Trie:
 
 _PART = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("head", T.BooleanType()),
                       T.StructField("vocabulary", T.LongType()), T.StructField("data", T.BinaryType())])
-_SUMS = np.dtype([("doc", "<u2"), ("known", "<u4"), ("base", "<f8"), ("model", "<f4")])
+_SUMS = (("doc", "<u2"), ("known", "<u4"), ("base", "<f8"), ("model", "<f4"))
+
+
+def _pack_sums(columns: dict[str, np.ndarray]) -> bytes:
+    """The columns one after the other, compressed; read back by ``_unpack_sums``."""
+    raw = b"".join(columns[c].astype(t).tobytes() for c, t in _SUMS)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack_sums(data: bytes) -> dict[str, np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    n, at, out = size // sum(np.dtype(t).itemsize for _, t in _SUMS), 0, {}
+    for c, t in _SUMS:
+        out[c] = np.frombuffer(raw, t, n, at)
+        at += n * np.dtype(t).itemsize
+    return out
 
 
 def _answer(sent: DataFrame, corpus: _Corpus, mu: float) -> DataFrame:
@@ -323,10 +339,8 @@ def _answer(sent: DataFrame, corpus: _Corpus, mu: float) -> DataFrame:
                     base = np.bincount(doc, np.log10(count[i] + 0.5), n)
                     model = np.bincount(doc, value, n)
                     some = np.unique(doc)
-                    rec = np.zeros(len(some), _SUMS)
-                    rec["doc"], rec["known"], rec["base"], rec["model"] = some, known[some], base[some], model[some]
                     out["chunk"].append(chunk), out["head"].append(False), out["vocabulary"].append(0)
-                    out["data"].append(rec.tobytes())
+                    out["data"].append(_pack_sums({"doc": some, "known": known[some], "base": base[some], "model": model[some]}))
                 del trie
             finally:
                 shutil.rmtree(folder, ignore_errors=True)
@@ -369,7 +383,7 @@ def score_corpus(docs: DataFrame, learn: Column, text_col: str = "text", keep: t
         known, base, model = np.zeros(len(total), np.int64), np.zeros(len(total)), np.zeros(len(total))
         for part, is_head in zip(table.column("data"), table.column("head"), strict=True):
             if not is_head.as_py():
-                r = np.frombuffer(part.as_buffer(), _SUMS)
+                r = _unpack_sums(part.as_py())
                 known[r["doc"]] += r["known"]
                 base[r["doc"]] += r["base"]
                 model[r["doc"]] += r["model"]
