@@ -30,7 +30,7 @@ STEMS = (4, 6)
 TABLES = 2 + len(STEMS)
 TOP = 3
 BITS = 18
-TRAIN_ROWS = 2000  # of either class, at most
+TRAIN_ROWS = 1200  # of either class, at most
 MIN_DOCS = 4  # a word in fewer training texts is not trained
 EPOCHS = 10
 CUTOFF = 0.7
@@ -123,17 +123,16 @@ class Net:
         return 1 / (1 + np.exp(-z))
 
 
-def _hashed(texts: list[str]) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+def _hashed(texts: pa.Array) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
     """Per text the buckets of its words (words x TABLES), and per hash column its distinct hashes."""
     buckets, distinct = [], []
-    for k in range(0, len(texts), 64):
-        raw, off = tk.buffers(pa.array(texts[k:k + 64], pa.large_string()))
-        for _, _, b, o in tk.sliced(raw, off):
-            w = tk.Words(b, o, tk.ALNUM)
-            h = hashed_words(w)
-            for a, e in zip(w.bounds[:-1], w.bounds[1:], strict=True):
-                buckets.append(np.stack(_buckets(h[a:e]), 1).astype(np.int32))
-                distinct.append([np.unique(h[a:e, c]) for c in range(h.shape[1])])
+    raw, off = tk.buffers(texts)
+    for _, _, b, o in tk.sliced(raw, off, 256 << 10):
+        w = tk.Words(b, o, tk.ALNUM)
+        h = hashed_words(w)
+        for a, e in zip(w.bounds[:-1], w.bounds[1:], strict=True):
+            buckets.append(np.stack(_buckets(h[a:e]), 1).astype(np.int32))
+            distinct.append([np.unique(h[a:e, c]) for c in range(h.shape[1])])
     return buckets, distinct
 
 
@@ -163,7 +162,7 @@ def _seed_tables(net: Net, distinct: list[list[np.ndarray]], y: np.ndarray, r) -
     return masks
 
 
-def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: int = 7, epochs: int = EPOCHS) -> Net:
+def train(texts: list | pa.Array, toxic: np.ndarray, langs: list[str | None], seed: int = 7, epochs: int = EPOCHS) -> Net:
     """Fit on four fifths of the rows and calibrate on the rest.  No rows, or one class only: a constant score."""
     net = Net(seed)
     y = np.asarray(toxic, np.float64)
@@ -171,7 +170,8 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
         net.scale, net.shift = 0.0, -3.0 if len(y) == 0 or y.min() == 0 else 3.0
         return net
     r = np.random.default_rng(seed)
-    docs, distinct = _hashed(texts)
+    docs, distinct = _hashed(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
+    del texts
     order = r.permutation(len(docs))
     hold = order[:len(docs) // 5]
     fit = order[len(docs) // 5:]
@@ -285,11 +285,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * train_rows ids
     cols = [F.col(text_col).alias("t"), F.col("_toxic"), (F.col(lang_col) if lang_col else F.lit(None)).alias("l")]
     docs = docs.select(*dict.fromkeys([id_col, text_col, *([lang_col] if lang_col else [])]))
-    rows = hash_sample(docs.join(sample, id_col).select(id_col, *cols), 2 * train_rows, id_col, "t").toPandas()
-    rows = rows.sort_values([id_col, "t"], kind="stable")
-    texts, toxic, langs = [t or "" for t in rows["t"]], (rows["_toxic"] > 0).to_numpy(), list(rows["l"])
+    rows = hash_sample(docs.join(sample, id_col).select(id_col, *cols), 2 * train_rows, id_col, "t").toArrow()
+    rows = rows.sort_by([(id_col, "ascending"), ("t", "ascending")])  # as Arrow buffers: no Python object a text
+    toxic = rows["_toxic"].to_numpy() > 0 if len(rows) else np.zeros(0, bool)
+    net = train(rows["t"].combine_chunks(), toxic, rows["l"].to_pylist())
     del rows
-    return train(texts, toxic, langs)
+    pa.default_memory_pool().release_unused()
+    return net
 
 
 def toxicity_score(net: Net, text: Column) -> Column:
