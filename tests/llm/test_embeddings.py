@@ -65,6 +65,29 @@ def test_recall_on_planted_pairs(spark, monkeypatch):
     assert results[0] == results[1]
 
 
+def low_rank(n, dim, rank, seed=7):
+    """n unit vectors of ``rank`` directions in ``dim`` columns, every tenth with a partner at a cosine of 0.90 to 0.93."""
+    r = np.random.default_rng(seed)
+    y = r.normal(size=(n, rank))
+    pairs = [(k, k + 1) for k in range(0, n - 1, 10)]
+    for a, b in pairs:
+        y[b] = near(r, y[a], r.uniform(0.9, 0.93))
+    x = y @ np.linalg.qr(r.normal(size=(dim, rank)))[0].T
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), pairs
+
+
+def probed(x, pairs, n=None):
+    ix = pq.Index(x, n or len(x), 0.9)
+    own, _, _, probes = ix.place(x)
+    return np.mean([own[b] in probes[a] or own[a] in probes[b] for a, b in pairs]), np.mean([len(p) for p in probes]), len(ix.coarse)
+
+
+def test_recall_does_not_hang_on_the_number_of_columns():
+    for dim, rank in ((768, 16), (1024, 12), (768, 32), (64, 64)):
+        x, pairs = low_rank(4000, dim, rank)
+        assert probed(x, pairs)[0] >= 0.97, (dim, rank)
+
+
 def test_defined_results(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [NAN, 1.0]), (8, [INF, 1.0]),
             (9, [1e-200, 1e-201]), (10, [1e200, 1e199]), (11, [1.0, 0.0, 0.0]), (None, [1.0, 0.01]), (None, [-5.0, 1.0]), (1, [1.0, 0.0]),

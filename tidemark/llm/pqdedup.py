@@ -9,7 +9,11 @@ Search: every vector is a query.  It probes each list that a neighbour at the
 threshold may lie in: a neighbour of list c lies beyond the plane half-way
 between the query's own centroid and c, so the list is probed if that plane is
 no further away than ``reach`` standard deviations of such a neighbour's
-offset along one direction.  In a list, a table of squared distances from the
+offset across that plane, and never beyond the threshold's own distance, which
+no neighbour passes.  The deviation comes from the sample's residuals, so it
+follows the directions that vectors do fill, not the number of columns; and
+``reach`` grows until it holds ``HELD`` of the sample's own pairs near the
+threshold.  In a list, a table of squared distances from the
 query's residual to the codewords is built once, and a member's distance is a
 sum of table look-ups; a member goes on to the exact cosine (double precision)
 if the look-up distance less the member's own reconstruction error is within
@@ -37,6 +41,8 @@ THRESHOLD = 0.9
 SAMPLE = 32_768
 SUBSPACES = 8
 REACH = 3.0
+HELD = 0.99
+PAIRED = 4096  # vectors of the sample compared with one another to set the reach
 MEMBERS = 2048
 QUERIES = 8192
 
@@ -69,14 +75,47 @@ class Index:
     def __init__(self, sample: np.ndarray, n: int, threshold: float, reach: float = REACH):
         self.dim = sample.shape[1]
         self.max_d = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        self.reach = reach
         lists = int(max(1, min(2 * np.sqrt(n), len(sample) / 16)))
         self.coarse = kmeans(sample, lists)
         self.gap = np.sqrt(sq_dist(self.coarse, self.coarse))
-        res = sample - self.coarse[nearest(sample, self.coarse)]
+        own = nearest(sample, self.coarse)
+        res = sample - self.coarse[own]
+        self.margin = self._deviation(res)
+        held = self._held_reach(sample[:PAIRED], own[:PAIRED], threshold)
+        self.margin = np.minimum(self.margin * max(reach, held), self.max_d).astype(np.float32)
         self.cuts = [g for g in np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim)) if len(g)]
         self.books = [kmeans(res[:16_384, g], 256, 6) for g in self.cuts]
 
+    def _deviation(self, res: np.ndarray) -> np.ndarray:
+        """For every two lists, the deviation across their half-way plane of an offset as long as ``max_d``.
+
+        An offset is taken to spread over the directions as the residuals do; without residuals it may be all across.
+        """
+        spread = (res.T @ res).astype(np.float64)
+        total = np.trace(spread)
+        if not total > 1e-9 * len(res):
+            return np.full(self.gap.shape, self.max_d)
+        c = self.coarse.astype(np.float64)
+        g = c @ spread @ c.T
+        across = np.maximum(np.diag(g)[:, None] + np.diag(g)[None] - 2 * g, 0) / np.maximum(self.gap.astype(np.float64) ** 2, 1e-18)
+        return self.max_d * np.sqrt(np.minimum(across / total, 1))
+
+    def _planes(self, d2: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return (d2 - d2[np.arange(len(own)), own][:, None]) / np.maximum(2 * self.gap[own], 1e-9)
+
+    def _held_reach(self, x: np.ndarray, own: np.ndarray, threshold: float) -> float:
+        """Deviations that hold HELD of the pairs of ``x`` near the threshold, by the probes of either end."""
+        planes = self._planes(sq_dist(x, self.coarse), own)
+        got = []
+        for i in range(0, len(x), 512):
+            cos = x[i:i + 512] @ x.T
+            a, b = np.nonzero((cos >= threshold) & (cos <= threshold + 0.4 * (1 - threshold)))
+            a, b = a[a + i < b] + i, b[a + i < b]
+            near = np.minimum(planes[a, own[b]], planes[b, own[a]]) / np.maximum(self.margin[own[a], own[b]], 1e-9)
+            got.append(np.where(own[a] == own[b], 0, near).astype(np.float32))
+        got = np.concatenate(got or [np.zeros(0, np.float32)])
+        return float(np.quantile(got, HELD)) if len(got) else 0.0
+
     def place(self, x: np.ndarray):
         """(list, codes, reconstruction error, probed lists) of every vector."""
         d2 = sq_dist(x, self.coarse)
@@ -85,8 +124,7 @@ class Index:
         codes = np.stack([nearest(res[:, g], b) for g, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
         err = np.linalg.norm(res[:, np.concatenate(self.cuts)] - back, axis=1)
-        plane = (d2 - d2[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.gap[own], 1e-9)
-        near = plane <= self.reach * self.max_d / np.sqrt(self.dim) + 1e-6
+        near = self._planes(d2, own) <= self.margin[own] + 1e-6
         near[np.arange(len(x)), own] = True
         return own, codes, err, [np.flatnonzero(p) for p in near]
 
