@@ -1,4 +1,5 @@
-"""Training-data operators: toxicity, language, mixing, decontamination, chat, near-duplicates, LM, HTML, URLs.
+"""Training-data operators: toxicity, language, mixing, decontamination, chat, near-duplicates, LM, HTML, URLs,
+fill-in-the-middle, ranked search, quality.
 
 Nothing else in the library imports this subpackage.  Every operator takes and
 returns DataFrames; Python runs inside tasks only, on Arrow batches.
