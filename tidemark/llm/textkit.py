@@ -20,7 +20,29 @@ SLICE_BYTES = 2 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+class _Powers:
+    """Powers of _P and of its inverse, made when first asked for; never part of what travels to the tasks."""
+
+    def __init__(self):
+        self.tables = (np.zeros(0, np.uint64),) * 2
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.tables[0]) < n:
+            out = []
+            for base in (_P, _P_INV):
+                t = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+                t[0] = 1
+                out.append(np.cumprod(t, dtype=np.uint64))
+            self.tables = (out[0], out[1])
+        return self.tables
+
+
+_powers = _Powers()
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -32,19 +54,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = []
-        for base in (_P, _P_INV):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            out.append(np.cumprod(t, dtype=np.uint64))
-        _powers = (out[0], out[1])
-    return _powers
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), so that near inputs spread over all bits."""
     x = x ^ (x >> np.uint64(33))
@@ -111,7 +120,7 @@ class Words:
 
     def hashes(self, first: int | None = None) -> np.ndarray:
         """One uint64 per word, of the whole word or of its ``first`` bytes."""
-        up, down = _power_table(len(self.buf) + 1)
+        up, down = _powers.upto(len(self.buf) + 1)
         c = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:len(self.buf)], out=c[1:])
         end = self.end if first is None else np.minimum(self.end, self.start + first)
@@ -133,7 +142,7 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` word hashes (len(h) - n + 1 of them), by the same running-sum rule."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    up, down = _power_table(len(h) + 1)
+    up, down = _powers.upto(len(h) + 1)
     c = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[:len(h)], out=c[1:])
     return mix64((c[n:] - c[:-n]) * down[:len(h) - n + 1] + np.uint64(n))
