@@ -41,6 +41,15 @@ def _archive_schema(data: DataFrame, table: str) -> T.StructType:
     return T.StructType([data.schema[c] for c in cols])
 
 
+def _open(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table's rows; where every leaf left is empty and no file tells the columns, those that the jobs need."""
+    cfg = S.TABLES[table]
+    time_type = {"timestamp": T.TimestampType(), "executed_at": T.TimestampType(), "open_at": T.TimestampType()}
+    names = S.TRADE_COLUMNS_V1 if table == "trades" else list(dict.fromkeys(["id", cfg.time_col, *cfg.order_cols]))
+    fallback = T.StructType([T.StructField(c, time_type.get(c, T.LongType() if c == "id" else T.StringType())) for c in names])
+    return spark.read.schema(jobs.table_schema(spark, path, fallback)).parquet(path)
+
+
 def _emit(rows) -> None:
     for r in rows:
         print(json.dumps({k: (v.isoformat() if hasattr(v, "isoformat") else v) for k, v in r.asDict().items()}))
@@ -106,7 +115,7 @@ def cmd_purge(spark: SparkSession, a) -> int:
     from tidemark.sources.tables import children_of, table_leaves
 
     cfg = S.TABLES[a.table]
-    data = spark.read.parquet(a.data)
+    data = _open(spark, a.data, a.table)
     days_df = spark.createDataFrame([(a.table, d) for d in a.days], "table_name string, day date")
     inv = arc.day_inventory(arc.archive_inventory(spark, arc.day_folders(f"{a.archive}/{a.table}", a.days))).select(
         F.concat(F.lit(a.table + "-"), F.col("day").cast("string"), F.lit("." + a.fmt)).alias("file"),
@@ -125,7 +134,7 @@ def cmd_purge(spark: SparkSession, a) -> int:
 
 def cmd_retention(spark: SparkSession, a) -> int:
     cfg = S.TABLES[a.table]
-    data = spark.read.parquet(a.data)
+    data = _open(spark, a.data, a.table)
     out = jobs.run_retention(spark, a.data, a.table, cfg.time_col, list(cfg.order_cols),
                              _archive_schema(data, a.table), a.archive, a.ledger, a.today, a.horizon, a.max_days,
                              fmt=a.fmt, armed=a.armed)
@@ -138,7 +147,7 @@ def cmd_restore(spark: SparkSession, a) -> int:
     from tidemark.sources.ledger import read_manifest
 
     cfg = S.TABLES[a.table]
-    schema = _archive_schema(spark.read.parquet(a.data), a.table)
+    schema = _archive_schema(_open(spark, a.data, a.table), a.table)
     ledger = read_manifest(spark, a.ledger, a.table) if a.ledger else None
     out = jobs.restore_into_table(spark, a.archive, a.table, a.days, schema, a.data, cfg.time_col, ledger=ledger,
                                   supplement_ledger=a.supplements, supplement_folder=a.supplement_folder)
@@ -188,6 +197,10 @@ def cmd_partitions(spark: SparkSession, a) -> int:
 
 def cmd_candles_sweep(spark: SparkSession, a) -> int:
     candles = spark.read.parquet(a.data)
+    if not a.out:  # in place: closed versions leave the table's own partitions
+        rows = jobs.sweep_apply(spark, a.data, a.start, a.end, a.archive, a.keys, a.timeframes).orderBy("timeframe", "day").collect()
+        _emit(rows)
+        return int(not all(r["swapped"] for r in rows))
     if {"timeframe", "day"} <= set(candles.columns):  # partitioned by both: only touched partitions are rewritten
         n = jobs.sweep_partitions(spark, a.data, a.start, a.end, a.archive, a.out, a.keys, a.timeframes)
         print(json.dumps({"swept_into": a.archive, "rewritten": a.out, "partitions": n}))
@@ -199,14 +212,19 @@ def cmd_candles_sweep(spark: SparkSession, a) -> int:
 
 
 def cmd_ingest(spark: SparkSession, a) -> int:
-    """Leaves for since..today, the cached 1m bars, the synthesized timeframes; the merged table goes to --out."""
-    current = spark.read.parquet(a.data) if a.data else None
+    """The cached 1m bars and the timeframes made from them: into --catalog-table in place, or merged with --data to --out."""
+    if bool(a.out) == bool(a.catalog_table):
+        raise RuntimeError("REFUSE: ingest needs either --catalog-table or --out")
+    current = spark.table(a.catalog_table) if a.catalog_table else spark.read.parquet(a.data) if a.data else None
     known = current.where(F.col("timeframe") == "1m") if current is not None else None
     src = (known.groupBy(F.col("instrument").alias("source")).agg(
         F.unix_seconds(F.max("open_at").cast("timestamp")).alias("last_epoch")) if known is not None
         else spark.createDataFrame([], "source string, last_epoch long"))
+    if a.catalog_table:
+        _emit(jobs.candle_ingest_table(spark, a.catalog_table, a.cache, src, a.now, a.keys).orderBy("timeframe", "day").collect())
+        return 0
     out = jobs.candle_ingest(spark, a.cache, src, a.now, a.keys, current=current, table_path=a.data)
-    out.write.mode("error").partitionBy("timeframe").parquet(a.out)
+    out.withColumn("day", F.to_date("open_at")).write.mode("error").partitionBy("timeframe", "day").parquet(a.out)
     print(json.dumps({"bars": spark.read.parquet(a.out).count(), "written": a.out}))
     return 0
 
@@ -288,7 +306,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("candles-sweep", help="archive closed candle versions and write the rest")
     c.add_argument("--data", required=True)
     c.add_argument("--archive", required=True)
-    c.add_argument("--out", required=True)
+    c.add_argument("--out", help="write the rest there instead of sweeping the (timeframe, day)-partitioned table in place")
     c.add_argument("--from", dest="start", default="2023-01-01")
     c.add_argument("--to", dest="end", required=True)
     c.add_argument("--keys", nargs="+", default=["exchange", "instrument"])
@@ -301,7 +319,8 @@ def parser() -> argparse.ArgumentParser:
     ig = sub.add_parser("ingest", help="load cached 1m candles, synthesize timeframes, merge into the candle table")
     ig.add_argument("--cache", required=True, help="folder of daily 1m candle CSV files")
     ig.add_argument("--data", help="the current candle table; its missing days since the lookback get a leaf first")
-    ig.add_argument("--out", required=True)
+    ig.add_argument("--out", help="folder for the merged table")
+    ig.add_argument("--catalog-table", help="bucketed candle table to upsert in place")
     ig.add_argument("--now", default=dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
     ig.add_argument("--keys", nargs="+", default=["exchange", "instrument"])
     st = sub.add_parser("staleness", help="days since each table's last export")

@@ -17,14 +17,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import SORT_PART_BYTES, partitions_for, shared_dir
 
 
 def ranged(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
-    """``df`` range partitioned on ``keys``, with the range number ``_bk`` pinned by a reliable checkpoint."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` range partitioned on ``keys``, with the range number ``_bk`` pinned by a reliable checkpoint.
+
+    The number of ranges follows the bytes that the plan's scans list (about ``SORT_PART_BYTES`` each).  The checkpoint
+    goes with the frames made from it, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_dir(df.sparkSession)
+    n = parts or partitions_for(df, SORT_PART_BYTES)
     return df.repartitionByRange(n, *keys).withColumn("_bk", F.spark_partition_id()).checkpoint()
 
 
@@ -61,6 +64,26 @@ def prefix_sum(df: DataFrame, part: Sequence[str], order_col: str, value_col: st
     )
 
 
+def rows_since(df: DataFrame, part: Sequence[str], order_col: str, reset_col: str, out: str,
+               parts: int | None = None) -> DataFrame:
+    """``out`` = rows of the same ``part`` after the last one with ``reset_col`` true, the row itself included (0 for it).
+
+    One ranged scan: places and resets are counted within each range, and the length of the run that is open where a
+    range begins comes from one row a range.
+    """
+    b = ranged(df, [*part, order_col], parts)
+    w = Window.partitionBy(*part, "_bk").orderBy(order_col)
+    nth = b.withColumn("_nth", F.row_number().over(w).cast("long"))
+    local = nth.withColumn("_at", F.max(F.when(F.col(reset_col), F.col("_nth"))).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per = nth.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col(reset_col), F.col("_nth"))).alias("_at"))
+    before = per.withColumn("_base", F.coalesce(F.sum("_n").over(_before(*part)), F.lit(0)))
+    carry = before.select(*part, "_bk", (F.col("_base") - F.coalesce(
+        F.max(F.col("_base") + F.col("_at")).over(_before(*part)), F.lit(0))).alias("_open"))
+    return local.join(carry, [*part, "_bk"], "left").withColumn(
+        out, F.coalesce(F.col("_nth") - F.col("_at"), F.col("_nth") + F.col("_open"))).drop("_bk", "_nth", "_at", "_open")
+
+
 def top_n_per_group(df: DataFrame, part: Sequence[str], order_col: str, n: int, out: str = "rank_desc",
                     parts: int | None = None) -> DataFrame:
     """Last ``n`` rows by ``order_col`` within each ``part``: the last n of every range, then of the few that are left."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
-from tidemark.operators.prefix import prefix_max_before, prefix_sum, top_n_per_group
+from tidemark.operators.prefix import prefix_sum, rows_since, top_n_per_group
 
 
 def banner_pattern(job: str | None = None) -> str:
@@ -86,14 +86,9 @@ def failure_streaks(run_status: DataFrame, alarm_at: int = S.FAILURE_STREAK_ALAR
     ``run_status`` has (file, run_no, failed): one row per run.  A failed run's
     streak is its number of runs since the last success of its file.
     """
-    # the run number of the last success before each run, by the ranged prefix scan: no window holds a whole job
-    marked = run_status.withColumn("_ok", F.when(~F.col("failed"), F.col("run_no")))
-    scanned = prefix_max_before(marked, ["file"], "run_no", "_ok", "_last_ok", parts)
-    ranked = prefix_sum(scanned.withColumn("_one", F.lit(1).cast("long")), ["file"], "run_no", "_one", "_nth", parts)
-    base = ranked.where("not failed").select("file", F.col("run_no").alias("_last_ok"), F.col("_nth").alias("_ok_nth"))
-    streak = F.when(F.col("failed"), F.col("_nth") - F.coalesce("_ok_nth", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return ranked.join(base, ["file", "_last_ok"], "left").select(
-        "file", "run_no", "failed", streak.alias("streak"), (streak >= alarm_at).alias("alarm"))
+    flagged = run_status.withColumn("_ok", F.coalesce(~F.col("failed"), F.lit(False)))
+    counted = rows_since(flagged, ["file"], "run_no", "_ok", "streak", parts)  # one ranged scan: no window holds a whole job
+    return counted.select("file", "run_no", "failed", "streak", (F.col("streak") >= alarm_at).alias("alarm"))
 
 
 def staleness(stamps: DataFrame, now, limit: int = S.STALE_SUCCESS_DAYS) -> DataFrame:

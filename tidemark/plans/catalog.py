@@ -601,7 +601,7 @@ def q_archive_bytes(spark, sf):
     ensure_utc(spark)
     root = f"{shared_dir(spark)}/tidemark-bytes-{uuid.uuid4().hex}"
     t = fx.ticks(spark, sf).select("id", "instrument", "bus_time", F.round(F.col("price") * 100).cast("long").alias("cents"))
-    arc.write_day_archive(t, root, "bus_time", ["id"], n_parts=1, compression="none")
+    arc.write_day_archive(t, root, "bus_time", ["id"], compression="none", whole_days=True)
     return settled(arc.archive_inventory(spark, root, glob="*.csv").select("day", "bytes", "sha256"), root)
 
 
@@ -618,7 +618,8 @@ def q_ledger_from_text(spark, sf):
         text.select(F.regexp_replace("value", "\t[^\t]*$", "").alias("value"))).unionByName(
         text.select(F.lit("").alias("value")).limit(1))
     bad.coalesce(1).write.text(f"{path}/seq=000000000002")
-    append_manifest(led.where(F.col("line_no") % 20 == 11), path)
+    again = led.where(F.col("line_no") % 20 == 11)
+    append_manifest(again.withColumn("rows", (F.col("rows").cast("long") + 1000).cast("string")), path)
     back = read_manifest(spark, path, "ticks")
     return settled(back.groupBy("day", "nf").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max_by("rows", "line_no").alias("last_rows"),
@@ -626,17 +627,20 @@ def q_ledger_from_text(spark, sf):
 
 
 def q_run_logs_text(spark, sf):
-    """Two logs of one name in two folders, written as text and read back with their own numbering."""
+    """Logs of one name in two folders, one a day, written as text and read back with their own numbering."""
     ensure_utc(spark)
     from tidemark.sources.runlog import read_run_logs
 
     base = f"{shared_dir(spark)}/tidemark-logs-{uuid.uuid4().hex}"
-    lines = fx.log_lines(spark, sf)
-    for folder, parity in (("a", 0), ("b", 1)):
-        one = lines.where(F.col("line_no") % 2 == parity).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
-        one.select(F.concat_ws(" ", F.col("line_no").cast("string"), "line").alias("value")).write.text(f"{base}/{folder}/2024-01")
+    lines = fx.log_lines(spark, sf).select(
+        F.when(F.col("line_no") % 2 == 0, "a").otherwise("b").alias("folder"), day_of("ts").alias("day"), "line_no",
+        F.concat_ws(" ", F.col("line_no").cast("string"), "line").alias("value"))
+    # one file a log, whatever its folder: the logs are dealt over the tasks
+    (lines.repartition("folder", "day").sortWithinPartitions("folder", "day", "line_no").drop("line_no")
+     .write.partitionBy("folder", "day").text(base))
     return settled(read_run_logs(spark, base).select(
-        F.regexp_extract("file", "/([ab])/2024-01/", 1).alias("folder"), "line_no", "line"), base)
+        F.regexp_extract("file", "/folder=([ab])/", 1).alias("folder"),
+        F.regexp_extract("file", "/day=([0-9-]+)/", 1).cast("date").alias("day"), "line_no", "line"), base)
 
 
 def q_restore_job(spark, sf):
@@ -710,6 +714,254 @@ def q_stream_candles(spark, sf):
     return settled(read_stream_candles(spark, f"{base}/bars", ["instrument"]), base)
 
 
+# ---------------------------------------------------------------- tables changed in place
+class _Crash(Exception):
+    """What a query raises in the middle of a job, to go on as after a crash."""
+
+
+def _crash_at(word: str, nth: int = 1):
+    """A step hook that raises at the nth step whose name begins with ``word``."""
+    seen = []
+
+    def step(name: str, *_) -> None:
+        seen.append(name)
+        if name.startswith(word) and sum(s.startswith(word) for s in seen) == nth:
+            raise _Crash(name)
+
+    return step
+
+
+def _crashing(run, *args, **kw) -> None:
+    try:
+        run(*args, **kw)
+    except _Crash:
+        return
+    raise RuntimeError("the job was to crash and did not")
+
+
+PURGE_DAYS = [dt.date(2024, 1, d) for d in range(1, 7)]
+
+
+def q_purge_catalog(spark, sf):
+    """P3 on a managed and an external catalog table: a wrong count (3rd) and a file that lands after the check (4th) keep
+    their days; the run crashes after the first folder is set aside and is finished by the next one."""
+    ensure_utc(spark)
+    base = f"{shared_dir(spark)}/tidemark-purge-{uuid.uuid4().hex}"
+    db = f"tidemark_{uuid.uuid4().hex}"
+    t = fx.ticks(spark, sf).withColumn("day", day_of("bus_time"))
+    counts = {r["day"]: r["n"] for r in t.where(F.col("day").isin(PURGE_DAYS)).groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{base}/managed'")
+    out = None
+    try:
+        t.write.partitionBy("day").saveAsTable(f"{db}.ticks_managed")
+        t.write.partitionBy("day").option("path", f"{base}/external").saveAsTable(f"{db}.ticks_external")
+        for kind in ("managed", "external"):
+            name = f"{db}.ticks_{kind}"
+            plan = spark.createDataFrame([(d, "PURGE", counts.get(d, 0) + (d.day == 3)) for d in PURGE_DAYS],
+                                         "day date, decision string, ledger_rows long")
+            crash = _crash_at("aside")
+
+            def step(word, name=name, crash=crash):
+                if word == "intent":  # late rows land on the 4th between the check and the rename
+                    late = t.where((F.col("day") == dt.date(2024, 1, 4)) & (F.col("id") % 10 == 0)).drop("day")
+                    late.write.mode("append").parquet(f"{jobs.table_location(spark, name)}/day=2024-01-04")
+                crash(word)
+
+            _crashing(jobs.apply_purge, spark, plan, None, "bus_time", catalog_table=name, step=step)
+            jobs.apply_purge(spark, plan, None, "bus_time", catalog_table=name)
+            spark.sql(f"REFRESH TABLE {name}")
+            parts = {r["partition"][4:] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+            left = spark.table(name).where(F.col("day").isin(PURGE_DAYS)).groupBy("day").agg(F.count(F.lit(1)).alias("rows_left"))
+            days = spark.createDataFrame([(kind, d, d.isoformat() not in parts) for d in PURGE_DAYS],
+                                         "kind string, day date, dropped boolean")
+            one = settled(days.join(left, "day", "left").select("kind", "day", "dropped",
+                                                                F.coalesce("rows_left", F.lit(0)).alias("rows_left")))
+            out = one if out is None else out.unionByName(one)
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+    return settled(out, base)
+
+
+def q_sweep_apply(spark, sf):
+    """P6 on the table itself: the sweep crashes between the two renames of its second partition, the next run carries it
+    to its end; what the archive holds and what the table keeps, per day."""
+    ensure_utc(spark)
+    base = f"{shared_dir(spark)}/tidemark-swept-{uuid.uuid4().hex}"
+    v = fx.candle_versions(spark, sf).withColumn("open_at", F.col("open_at").cast("timestamp_ntz"))
+    v.withColumn("day", F.to_date("open_at")).write.partitionBy("timeframe", "day").parquet(f"{base}/candles")
+    sweep = [spark, f"{base}/candles", P.SWEEP_FROM, P.SWEEP_TO, f"{base}/archive", ["instrument"]]
+    _crashing(jobs.sweep_apply, *sweep, step=_crash_at("aside", 2))
+    if jobs.sweep_apply(*sweep).count():
+        raise RuntimeError("a swept table was swept again")
+    active = F.count_if(F.col("known_to") == F.lit(S.SENTINEL).cast("timestamp_ntz")).alias("n_active")
+    cents = F.sum(F.round(F.col("close") * 100).cast("long")).alias("cents")
+    out = None
+    for part, path in (("remaining", "candles"), ("archived", "archive")):
+        one = spark.read.parquet(f"{base}/{path}").groupBy(F.lit(part).alias("part"), "day").agg(
+            F.count(F.lit(1)).alias("n_rows"), active, cents)
+        out = one if out is None else out.unionByName(one)
+    return settled(out, base)
+
+
+def q_ingest_table(spark, sf):
+    """P7 into a bucketed table: a second batch that changes the bars of every fifth day (and crashes between two renames)
+    and one that repeats it; versions per partition, and whether the second batch changed the partition's files."""
+    ensure_utc(spark)
+    base = f"{shared_dir(spark)}/tidemark-ingest-{uuid.uuid4().hex}"
+    name = f"tidemark_candles_{uuid.uuid4().hex}"
+    keys, bar = ["instrument"], ["instrument", "timeframe", "open_at"]
+    t = fx.ticks(spark, sf)
+    bars = settled(cdl.ticks_to_candles(t, "1m", keys, "bus_time", "price", "id").unionByName(
+        cdl.ticks_to_candles(t, "1h", keys, "bus_time", "price", "id")))
+    fields = [f for f in bars.schema.fields if f.name != "timeframe"]
+    schema = T.StructType([*fields, T.StructField("known_from", T.TimestampNTZType()), T.StructField("known_to", T.TimestampNTZType()),
+                           T.StructField("timeframe", T.StringType()), T.StructField("day", T.DateType())])
+    changed = bars.withColumn("close", F.when(F.dayofmonth("open_at") % 5 == 0, F.col("close") + 1).otherwise(F.col("close")))
+    jobs.create_candle_table(spark, name, f"{base}/candles", schema, keys, 4)
+    try:
+        jobs.ingest_table(spark, name, bars, P.UPSERT_FIRST, keys)
+        before = _listings(spark, f"{base}/candles")
+        _crashing(jobs.ingest_table, spark, name, changed, P.UPSERT_AT, keys, step=_crash_at("aside", 2))
+        jobs.ingest_table(spark, name, changed, P.UPSERT_AT, keys)
+        after = _listings(spark, f"{base}/candles")
+        if jobs.ingest_table(spark, name, changed, P.UPSERT_AT, keys).count():
+            raise RuntimeError("a repeated batch changed the table")
+        rewritten = spark.createDataFrame([(p, before.get(p) != x) for p, x in after.items()], "part string, rewritten boolean")
+        sent = F.lit(S.SENTINEL).cast("timestamp_ntz")
+        per = spark.table(name).groupBy("timeframe", "day").agg(
+            F.count(F.lit(1)).alias("n_versions"), F.count_if(F.col("known_to") == sent).alias("n_active"),
+            F.countDistinct(*bar).alias("n_bars"),
+            F.sum(F.when(F.col("known_to") == sent, F.round(F.col("close") * 100).cast("long"))).alias("cents"))
+        part = F.concat(F.lit("timeframe="), "timeframe", F.lit("/day="), F.col("day").cast("string"))
+        return settled(per.withColumn("part", part).join(rewritten, "part").drop("part"), base)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _listings(spark, table) -> dict[str, str]:
+    """Listing digest of every (timeframe, day) partition of a table."""
+    from tidemark.sources.swap import fs_of, listing_of
+
+    fs, root = fs_of(spark, table)
+    parts = [f"{a.getPath().getName()}/{b.getPath().getName()}" for a in fs.listStatus(root)
+             if a.getPath().getName().startswith("timeframe=") for b in fs.listStatus(a.getPath())]
+    return {p: listing_of(spark, f"{table}/{p}") for p in parts}
+
+
+def q_restore_resumed(spark, sf):
+    """P8 staged: of five days one has rows, one an empty leaf and three none; the restore crashes between two days and the
+    next run goes on: the table's digest per day, as if nothing had happened."""
+    ensure_utc(spark)
+    root = f"{shared_dir(spark)}/tidemark-resumed-{uuid.uuid4().hex}"
+    t = fx.ticks(spark, sf).select(*TICKS_ARCHIVE_SCHEMA.names)
+    days = [dt.date(2024, 1, d) for d in range(1, 6)]
+    leaf = spark.createDataFrame([("ticks", d) for d in days], "table_name string, day date")
+    jobs.export_days(spark, t, "ticks", "bus_time", ["id"], days, leaf, None, root, TICKS_ARCHIVE_SCHEMA, fmt="csv.zst")
+    table = f"{root}/table"
+    t.where(day_of("bus_time") == days[0]).withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(table)
+    jobs.ensure_leaves(spark, table, days[1], days[1])
+    restore = [spark, root, "ticks", days, TICKS_ARCHIVE_SCHEMA, table, "bus_time"]
+    _crashing(jobs.restore_into_table, *restore, step=_crash_at("put", 2))
+    if jobs.restore_into_table(*restore).count():  # the journal was carried out first: every day has its rows
+        raise RuntimeError("a restored day was restored again")
+    back = spark.read.parquet(table).drop("day")
+    return settled(arc.day_content_digest(back, "bus_time", _ticks_parts(back)), root)
+
+
+# ---------------------------------------------------------------- streams with late rows
+def _arrivals(spark, sf):
+    """Ticks with the drop they arrive in: a third of the month each; every 40th one drop later."""
+    t = fx.ticks(spark, sf)
+    third = F.least(F.floor((F.dayofmonth("bus_time") - 1) / 10), F.lit(2))
+    return t.withColumn("_drop", (third + F.when(F.col("id") % 40 == 0, 1).otherwise(0)).cast("int"))
+
+
+def _ended(query):
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return query
+
+
+def q_stream_late_bars(spark, sf):
+    """L5 with event-time state: four drops of which three carry rows of the drop before; the bars that the watermark has
+    closed, and every late row."""
+    ensure_utc(spark)
+    from tidemark.streaming import candles as live
+
+    base = f"{shared_dir(spark)}/tidemark-live-{uuid.uuid4().hex}"
+    t = _arrivals(spark, sf)
+    schema = t.drop("_drop").schema
+    for drop in range(4):  # each drop is one micro-batch of either query, whatever its number of files
+        t.where(F.col("_drop") == drop).drop("_drop").write.mode("append").parquet(f"{base}/spool")
+        raw = spark.readStream.schema(schema).parquet(f"{base}/spool")
+        _ended(live.start_on_time_split(raw, "bus_time", f"{base}/ontime", f"{base}/late", f"{base}/split"))
+        on_time = spark.readStream.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(
+            f"{base}/ontime")
+        q = _ended(live.start_closed_bars(on_time, "1h", ["instrument"], "bus_time", "price", "id", f"{base}/bars", f"{base}/state"))
+        if live.rows_dropped(q):
+            raise RuntimeError("the watermark dropped rows that the split let through")
+    bars = spark.read.parquet(f"{base}/bars").select(F.lit("bar").alias("kind"), "instrument", F.col("open_at").alias("at"), "open",
+                                                     "high", "low", "close", "trades")
+    price = F.col("price")
+    late = spark.read.parquet(f"{base}/late").select(
+        F.lit("late").alias("kind"), "instrument", F.col("bus_time").alias("at"), price.alias("open"), price.alias("high"),
+        price.alias("low"), price.alias("close"), F.lit(1).cast("long").alias("trades"))
+    return settled(bars.unionByName(late), base)
+
+
+SEAL_AFTER = {0: range(1, 4), 1: range(9, 14), 2: range(19, 25)}  # days of month sealed after each drop
+
+
+def q_stream_sealed_days(spark, sf):
+    """L1 with L4: the ledger seals days between the drops; one batch crashes after its first sink, the ledger grows, and
+    its replay decides as before.  Where every tick went."""
+    ensure_utc(spark)
+    from tidemark.sources.ledger import append_manifest
+    from tidemark.streaming.routing import start_sealed_routing
+
+    base = f"{shared_dir(spark)}/tidemark-sealed-{uuid.uuid4().hex}"
+    t = _arrivals(spark, sf)
+    counts = fx.pinned(fx.counts(spark, sf))
+    for r in fx.leaf(spark, sf, counts).collect():  # calendar sized
+        jobs.ensure_leaves(spark, f"{base}/table", r["day"], r["day"])
+    schema = t.drop("_drop").schema
+
+    def seal(days):
+        lines = counts.where(F.dayofmonth("day").isin(list(days))).select(
+            F.concat(F.lit("ticks-"), F.col("day").cast("string"), F.lit(".csv.zst")).alias("file"),
+            F.col("day").cast("string").alias("day"), F.col("lo").cast("string").alias("bound_lower"),
+            F.col("hi").cast("string").alias("bound_upper"), F.col("n").cast("string").alias("rows"), F.lit("1").alias("bytes"),
+            F.repeat(F.lit("a"), 64).alias("sha256"), F.lit("2024-02-01T00:00:00Z").alias("exported_at"))
+        append_manifest(lines, f"{base}/MANIFEST")
+
+    def route(step=lambda *_: None):
+        raw = spark.readStream.schema(schema).parquet(f"{base}/spool")
+        return start_sealed_routing(raw, "bus_time", "ticks", f"{base}/table", f"{base}/MANIFEST", f"{base}/out",
+                                    f"{base}/checkpoint", step=step)
+
+    for drop in range(4):
+        t.where(F.col("_drop") == drop).drop("_drop").write.mode("append").parquet(f"{base}/spool")
+        if drop == 1:
+            q = route(_crash_at("leaf"))
+            try:
+                q.awaitTermination()
+            except Exception:  # the crash of the batch, as the query reports it
+                pass
+            if q.exception() is None:
+                raise RuntimeError("the batch was to crash and did not")
+            seal(SEAL_AFTER[1])  # the day lists of the crashed batch are older than this
+        _ended(route())
+        if drop != 1 and drop in SEAL_AFTER:
+            seal(SEAL_AFTER[drop])
+    out = None
+    for target in ("leaf", "default", "sealed"):
+        one = spark.read.schema("id long, day date, batch_id long").parquet(f"{base}/out/{target}").select(
+            "id", "day", F.lit(target).alias("target"), F.col("batch_id").alias("batch"))
+        out = one if out is None else out.unionByName(one)
+    return settled(out, base)
+
+
 QUERIES = {
     "day_counts": q_day_counts,
     "day_slice": q_day_slice,
@@ -775,4 +1027,10 @@ QUERIES = {
     "run_logs_text": q_run_logs_text,
     "restore_job": q_restore_job,
     "stream_candles": q_stream_candles,
+    "purge_catalog": q_purge_catalog,
+    "sweep_apply": q_sweep_apply,
+    "ingest_table": q_ingest_table,
+    "restore_resumed": q_restore_resumed,
+    "stream_late_bars": q_stream_late_bars,
+    "stream_sealed_days": q_stream_sealed_days,
 }

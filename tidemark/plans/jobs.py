@@ -7,8 +7,8 @@ partition drops), never rows.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
-import hashlib
 import uuid
 from collections.abc import Sequence
 
@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas as S
-from tidemark.functions.exprs import day_of
+from tidemark.functions.exprs import day_of, sentinel_for
 from tidemark.operators import calendar as cal
 from tidemark.operators import candles as cdl
 from tidemark.operators import late, runlog, slices
 from tidemark.operators.verify import line_checks, resolve_purge_target, verify_archive
 from tidemark.sources import archive as arc
+from tidemark.session import partitions_for, settled
 from tidemark.sources.candle_csv import load_candle_csv
 from tidemark.sources.ledger import append_manifest
+from tidemark.sources.swap import NO_FILES, Swap, folder_listing, fs_of, listing_of, partition_spec, recover
 
 
 # ---------------------------------------------------------------- P3 purge
@@ -108,94 +110,93 @@ def table_day_listing(spark: SparkSession, table_path: str, days: Sequence) -> D
     """
     rows = []
     for d in days:  # one metadata listing a day; a run handles a few days
-        fs, p = _fs(spark, arc.day_folders(table_path, [d])[0])
+        fs, p = fs_of(spark, arc.day_folders(table_path, [d])[0])
         if fs.exists(p):
-            rows.append((d, *_folder_listing(fs, p)))
+            rows.append((d, *folder_listing(fs, p)))
     return spark.createDataFrame(rows, "day date, n_files long, listing string")
 
 
-def _folder_listing(fs, folder) -> tuple[int, str]:
-    """(files, digest of their names and sizes) of a folder and its subfolders; names with ``_`` or ``.`` are hidden."""
-    entries, it = [], fs.listFiles(folder, True)
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if not name.startswith(("_", ".")):
-            entries.append(f"{name}:{st.getLen()}")
-    return len(entries), hashlib.sha256(",".join(sorted(entries)).encode()).hexdigest()
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def apply_purge(spark: SparkSession, plan: DataFrame, table_path: str | None, time_col: str,
-                catalog_table: str | None = None) -> list[str]:
+                catalog_table: str | None = None, step=lambda _: None) -> list[str]:
     """Drop the ``day=`` folder of every PURGE day whose live row count still equals the plan (P3 apply).
 
     The files are listed, then the rows counted in one pruned aggregate (a
     day without files has none); a day that changed since the plan is left
-    alone (late rows are L4's business).  A folder is first renamed aside,
-    out of writers' and readers' sight, and listed again: only if it holds
-    exactly the files that were counted is it deleted, else it is put back.
-    With ``catalog_table`` the partition is dropped by ``ALTER TABLE ... DROP
-    PARTITION`` (and, for an external table at ``table_path``, its folder).
+    alone (late rows are L4's business).  The days that pass are removed by
+    one journaled run (``sources.swap``): a folder is renamed aside, out of
+    writers' and readers' sight, and listed again; only if it holds exactly
+    the files that were counted does its partition leave the catalog
+    (``catalog_table``) and then the disk, else it is put back and nothing of
+    the catalog has changed.  What a crashed run has begun is finished first.
+    ``table_path`` is taken from the catalog if it is not given; a partition
+    that lies elsewhere than in its table's folder is left alone.
     Returns the dropped days.  Only metadata (the day list) reaches the driver.
     """
     purge = plan.where(F.col("decision") == "PURGE")
     seen = F.col("listing") if "listing" in plan.columns else F.lit(None).cast("string")
     planned = {r["day"]: (r["ledger_rows"], r["listing"]) for r in purge.select(
         "day", "ledger_rows", seen.alias("listing")).distinct().collect()}  # calendar sized
+    table_path = table_path or table_location(spark, catalog_table)
+    recover(spark, table_path)
     if not planned:
         return []
     days = sorted(planned)
-    now = {r["day"]: r["listing"] for r in table_day_listing(spark, table_path, days).collect()} if table_path else {}
+    now = {r["day"]: r["listing"] for r in table_day_listing(spark, table_path, days).collect()}
     # only the purge days' partitions are listed and counted (partition pruning)
-    source = spark.table(catalog_table) if catalog_table else _day_table(spark, table_path, days)
+    source = _day_table(spark, table_path, days)
     live = {} if source is None else {r["day"]: r["n"] for r in source.where(F.col("day").isin(days)).groupBy("day").agg(
         F.count(F.lit(1)).alias("n")).collect()}
-    dropped = []
+    go = []
     for d in days:
         rows, listing = planned[d]
-        if live.get(d, 0) != rows or (table_path and (d not in now or (listing is not None and listing != now[d]))):
+        if live.get(d, 0) != rows or d not in now or (listing is not None and listing != now[d]):
             continue
-        if catalog_table:
-            spark.sql(f"ALTER TABLE {catalog_table} DROP IF EXISTS PARTITION (day = DATE'{d.isoformat()}') PURGE")
-        # an external table keeps its files after DROP PARTITION
-        if (not table_path) or _drop_folder(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}", now[d]):
-            dropped.append(d.isoformat())
-    return dropped
+        if not catalog_table or _partition_in_place(spark, catalog_table, d, table_path):
+            go.append(d)
+    if not go:
+        return []
+    swap = Swap(spark, table_path, catalog=catalog_table, step=step)
+    swap.declare([("remove", f"day={d.isoformat()}", now[d], None) for d in go])
+    dropped = swap.apply()
+    if catalog_table:
+        spark.sql(f"REFRESH TABLE {catalog_table}")
+    return [p[len("day="):] for p in dropped]
+
+
+def table_location(spark: SparkSession, catalog_table: str) -> str:
+    """Where a catalog table's files are."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {catalog_table}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"].rstrip("/")
+
+
+def _partition_in_place(spark: SparkSession, catalog_table: str, day: dt.date, table_path: str) -> bool:
+    """Does the catalog have the day's partition in the table's own folder?"""
+    try:
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {catalog_table} PARTITION (day = '{day.isoformat()}')").collect()
+    except AnalysisException:  # no such partition
+        return False
+    said = next((r["data_type"] for r in rows if r["col_name"] == "Location"), "").rstrip("/")
+    return not said or arc.qualified(spark, said) == arc.qualified(spark, f"{table_path.rstrip('/')}/day={day.isoformat()}")
 
 
 def _day_table(spark: SparkSession, table_path: str, days: Sequence[dt.date]) -> DataFrame | None:
     """The given days of a ``day=`` partitioned Parquet table; None if none of them has a file."""
     folders = []
     for f in arc.day_folders(table_path, days):
-        fs, p = _fs(spark, f)
-        if fs.exists(p) and _folder_listing(fs, p)[0]:
+        fs, p = fs_of(spark, f)
+        if fs.exists(p) and folder_listing(fs, p)[0]:
             folders.append(f)
     return spark.read.option("basePath", table_path).parquet(*folders) if folders else None
 
 
 def _drop_folder(spark: SparkSession, folder: str, listing: str) -> bool:
-    """Delete a day folder if, renamed aside, it still holds exactly the listed files; else put it back."""
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
-        return False
-    aside = p.getParent().suffix(f"/_purge-{uuid.uuid4().hex}")
-    fs.mkdirs(aside)
-    held = aside.suffix(f"/{p.getName()}")
-    if not fs.rename(p, held):
-        fs.delete(aside, False)
+    """Delete a partition folder if, renamed aside, it still holds exactly the listed files; else put it back."""
+    table, _, part = folder.rstrip("/").rpartition("/")
+    if listing_of(spark, folder) is None:
         return False
-    if _folder_listing(fs, held)[1] == listing:
-        return bool(fs.delete(aside, True))
-    if not fs.rename(held, p):  # a writer has made the day's folder anew: nothing may be lost, so it stays aside
-        raise RuntimeError(f"{folder} changed while it was purged; its files are kept in {held}")
-    fs.delete(aside, False)
-    return False
+    swap = Swap(spark, table)
+    swap.declare([("remove", part, listing, None)])
+    return swap.apply() == [part]
 
 
 # ---------------------------------------------------------------- P1 export
@@ -262,7 +263,7 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     todo_days = sorted(r["day"] for r in todo.collect())  # calendar sized
     fresh, published = [], []
     for d in todo_days:
-        fs, p = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
+        fs, p = fs_of(spark, f"{root}/{table}/day={d.isoformat()}")
         (published if fs.exists(p) else fresh).append(d)
     candidates = sorted(fresh + (published if adopt else []))
     if not candidates:
@@ -345,7 +346,7 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
         arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, fmt="csv.zst", input_bytes=size)
     else:
         arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, input_bytes=size)
-    fs_st, st_path = _fs(spark, staging)
+    fs_st, st_path = fs_of(spark, staging)
     got = {}  # stays empty if every requested day was: nothing was written
     if fs_st.exists(st_path) and any(st.getPath().getName().startswith("day=") for st in fs_st.listStatus(st_path)):
         got = _archived_content(arc.read_archive(spark, staging, schema), time_col, schema)
@@ -354,8 +355,8 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
         rows_differ = any(got.get(d, (0,))[0] != want.get(d, (0,))[0] for d in bad)
         raise RuntimeError(f"FILE {'ROWCOUNT' if rows_differ else 'CONTENT'} MISMATCH on {len(bad)} day(s); nothing published")
     for d in days:
-        fs, src = _fs(spark, f"{staging}/day={d.isoformat()}")
-        _, dst = _fs(spark, f"{root}/{table}/day={d.isoformat()}")
+        fs, src = fs_of(spark, f"{staging}/day={d.isoformat()}")
+        _, dst = fs_of(spark, f"{root}/{table}/day={d.isoformat()}")
         if fs.exists(src):  # temp files of failed task attempts are never published
             for st in fs.listStatus(src):
                 if st.getPath().getName().startswith("_tmp-"):
@@ -368,7 +369,7 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
                 raise RuntimeError(f"publish failed for {d}")
         else:
             _write_header_only(fs, dst, schema, fmt)  # an empty day with a leaf exports as a header-only file
-    fs_run, run_dir = _fs(spark, staging.rsplit("/", 1)[0])
+    fs_run, run_dir = fs_of(spark, staging.rsplit("/", 1)[0])
     if fs_run.exists(run_dir):
         fs_run.delete(run_dir, True)  # everything was published; only this run's leftovers remain
 
@@ -483,11 +484,12 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     from tidemark.sources.ledger import read_manifest
     from tidemark.sources.tables import children_of, table_leaves
 
+    recover(spark, table_path)  # a run that crashed is finished before its leaves are listed
     root = archive_root.rstrip("/")
     kind = S.TABLES[table].ledger_kind if table in S.TABLES else "ticks"
     id_col = "id" if kind == "ticks" else None
     leaves = table_leaves(spark, table_path, table)
-    data = spark.read.schema(_table_schema(spark, table_path, schema)).option("basePath", table_path).parquet(table_path)
+    data = spark.read.schema(table_schema(spark, table_path, schema)).option("basePath", table_path).parquet(table_path)
     ledger = read_manifest(spark, ledger_path, table)
     oldest = leaves.groupBy("table_name").agg(F.min("day").alias("oldest_day"))
     plan = retention_plan(data, time_col, id_col or time_col, ledger, table, today, horizon, max_days, oldest, leaves)
@@ -524,7 +526,7 @@ def run_retention(spark: SparkSession, table_path: str, table: str, time_col: st
     return spark.createDataFrame(rows, "table_name string, day date, decision string, reason string, dropped boolean")
 
 
-def _table_schema(spark: SparkSession, table_path: str, schema: T.StructType) -> T.StructType:
+def table_schema(spark: SparkSession, table_path: str, schema: T.StructType) -> T.StructType:
     """The table's own schema with its day column; the archive's where all leaves are empty and nothing can be inferred."""
     try:
         return spark.read.parquet(table_path).schema
@@ -634,6 +636,59 @@ def sweep_partitions(spark: SparkSession, table_path: str, lo_day, hi_day, archi
     return len(touched)
 
 
+def sweep_apply(spark: SparkSession, table_path: str, lo_day, hi_day, archive_path: str, keys: Sequence[str],
+                timeframes: Sequence[str] = S.TIMEFRAMES, step=lambda _: None) -> DataFrame:
+    """Sweep closed versions out of a (timeframe, day)-partitioned table in place (P6 on the table itself).
+
+    One aggregate finds the partitions in range that hold closed versions.  Their files are listed, then read once
+    for the archive (``<archive>/run=<id>/timeframe=/day=``, sorted by key and version) and once for the rows that
+    stay; both are written before anything is moved, and their counts must add up to the partition's.  Then the
+    partitions are swapped by one journaled run (``sources.swap``): a crash anywhere leaves a table that ``recover``
+    completes.  A partition whose files changed meanwhile keeps them, and its part of the archive is withdrawn; the
+    next run sweeps it.  A partition that loses all rows stays as an empty leaf.
+
+    Returns (timeframe, day, n_swept, n_left, swapped) of each touched partition: calendar sized.
+    """
+    recover(spark, table_path)
+    ddl = "timeframe string, day date, n_swept long, n_left long, swapped boolean"
+    candles = spark.read.parquet(table_path)
+    part_days = F.col("day").between(cal._date(lo_day), cal._date(hi_day)) & F.col("timeframe").isin(*timeframes)
+    swept = F.count_if(_swept(candles, lo_day, hi_day, timeframes, "day")).alias("n_swept")
+    touched = [(r["timeframe"], r["day"]) for r in candles.where(part_days).groupBy("timeframe", "day").agg(swept).where(
+        "n_swept > 0").collect()]  # calendar sized
+    if not touched:
+        return spark.createDataFrame([], ddl)
+    table = table_path.rstrip("/")
+    parts = {f"timeframe={t}/day={d.isoformat()}": (t, d) for t, d in sorted(touched)}
+    listings = {p: listing_of(spark, f"{table}/{p}") for p in parts}
+    # what is read from here on is listed after the journal's listing: a file that lands in between is a conflict later
+    rows = spark.read.option("basePath", table).schema(candles.schema).parquet(*[f"{table}/{p}" for p in parts])
+    swap = Swap(spark, table, step=step)
+    archive = f"{archive_path.rstrip('/')}/run={swap.run}"
+    order = [*keys, "open_at", "known_from"]
+    n = partitions_for(rows)
+    gone = candle_sweep(rows, lo_day, hi_day, timeframes, "day")
+    (gone.repartitionByRange(n, "timeframe", "day", *order).sortWithinPartitions("timeframe", "day", *order)
+     .write.mode("error").option("compression", "zstd").partitionBy("timeframe", "day").parquet(archive))
+    rest = sweep_remainder(rows, lo_day, hi_day, timeframes, "day")
+    rest.write.mode("error").partitionBy("timeframe", "day").parquet(swap.new)
+    swap.step("staged")
+    counts = {key: [0, 0, 0] for key in parts.values()}
+    staged = spark.read.schema(candles.schema)
+    for i, df in enumerate((rows, staged.parquet(archive), staged.parquet(swap.new))):
+        for r in df.groupBy("timeframe", "day").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[(r["timeframe"], r["day"])][i] = r["n"]
+    if bad := [p for p, key in parts.items() if counts[key][0] != counts[key][1] + counts[key][2]]:
+        fs, new = fs_of(spark, swap.root)
+        fs.delete(new, True)
+        fs, old = fs_of(spark, archive)
+        fs.delete(old, True)
+        raise RuntimeError(f"SWEEP ROWCOUNT MISMATCH on {len(bad)} partition(s); nothing moved")
+    swap.declare([("put", p, listings[p], f"{archive}/{p}") for p in parts])
+    done = set(swap.apply())
+    return spark.createDataFrame([(t, d, counts[(t, d)][1], counts[(t, d)][2], p in done) for p, (t, d) in parts.items()], ddl)
+
+
 # ---------------------------------------------------------------- P7 ingest
 def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now, keys: Sequence[str],
                   timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES, floor: int = S.MIN_LOOKBACK_DAYS,
@@ -651,17 +706,13 @@ def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now,
     into it (a changed bar closes its old version, an unchanged one is kept),
     so re-running over the same cache changes nothing.
     """
-    since = cdl.lookback_since(sources, now, floor).agg(F.min("since")).first()[0]
-    today, fallback = spark.range(1).select(*[F.date_sub(F.to_date(F.to_timestamp(F.lit(now))), k) for k in (0, floor)]).first()
-    since = since or fallback
+    since, today = ingest_window(spark, sources, now, floor)
     if table_path:
         ensure_leaves(spark, table_path, since, today)
-    base = load_candle_csv(spark, cache_path, since)
-    end = F.to_date(F.to_timestamp(F.lit(now)))
-    synthesized = cdl.synthesize_candles(base, keys, timeframes, start=since, end=end, cut_date=since)
+    base, synthesized = _cached_bars(spark, cache_path, since, today, keys, timeframes)
     if current is None:
         return synthesized
-    incoming = base.select(*keys, "timeframe", "open_at", *cdl.CANDLE_VALUE_COLUMNS).unionByName(synthesized)
+    incoming = base.unionByName(synthesized)
     at = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
     # only the batch's days take part in the merge join; older bars pass through untouched
     t = current.schema["open_at"].dataType
@@ -675,12 +726,145 @@ def candle_ingest(spark: SparkSession, cache_path: str, sources: DataFrame, now,
     return current.where(~touched).unionByName(merged.select(*current.columns))
 
 
+def ingest_window(spark: SparkSession, sources: DataFrame, now, floor: int = S.MIN_LOOKBACK_DAYS) -> tuple[dt.date, dt.date]:
+    """(since, today): the earliest lookback over the sources, or the floor's where none is known."""
+    since = cdl.lookback_since(sources, now, floor).agg(F.min("since")).first()[0]
+    today, fallback = spark.range(1).select(*[F.date_sub(F.to_date(F.to_timestamp(F.lit(now))), k) for k in (0, floor)]).first()
+    return since or fallback, today
+
+
+def _cached_bars(spark, cache_path, since, today, keys, timeframes) -> tuple[DataFrame, DataFrame]:
+    """The cache's 1m bars since a day, and the higher timeframes made from them."""
+    base = load_candle_csv(spark, cache_path, since)
+    made = cdl.synthesize_candles(base, keys, timeframes, start=since, end=today, cut_date=since)
+    return base.select(*keys, "timeframe", "open_at", *cdl.CANDLE_VALUE_COLUMNS), made
+
+
+def candle_ingest_table(spark: SparkSession, name: str, cache_path: str, sources: DataFrame, now, keys: Sequence[str],
+                        timeframes: Sequence[str] = S.DERIVED_TIMEFRAMES, floor: int = S.MIN_LOOKBACK_DAYS) -> DataFrame:
+    """The nightly ingest into a catalog table in place (P7): cache -> bars -> ``ingest_table``; its report is returned."""
+    since, today = ingest_window(spark, sources, now, floor)
+    base, made = _cached_bars(spark, cache_path, since, today, keys, timeframes)
+    at = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
+    return ingest_table(spark, name, base.unionByName(made), at, keys)
+
+
+CANDLE_TABLE_PARTITIONS = ("timeframe", "day")
+
+
+def create_candle_table(spark: SparkSession, name: str, path: str, schema: T.StructType, keys: Sequence[str],
+                        buckets: int) -> None:
+    """An empty SCD2 candle table: partitioned by (timeframe, day), bucketed by bar, so that ingests join it in place."""
+    columns = [f for f in schema.fields if f.name not in CANDLE_TABLE_PARTITIONS]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    bars = ", ".join(f"`{c}`" for c in (*keys, "open_at"))
+    spark.sql(f"CREATE TABLE {name} ({ddl}, timeframe STRING, day DATE) USING parquet LOCATION '{path}' "
+              f"PARTITIONED BY (timeframe, day) CLUSTERED BY ({bars}) SORTED BY ({bars}) INTO {int(buckets)} BUCKETS")
+
+
+def _bucket_spec(spark: SparkSession, name: str) -> tuple[int, list[str]]:
+    said = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    columns = [c.strip(" `") for c in said.get("Bucket Columns", "[]").strip("[]").split(",") if c.strip()]
+    return int(said.get("Num Buckets", 0)), columns
+
+
+def candle_changes(current: DataFrame, incoming: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
+    """Bars of ``incoming`` that are new to the active rows of ``current`` or differ from them: their keys and new values.
+
+    ``_closes`` holds the active version's known_from if there is one to close.  The batch meets the active rows in
+    one left join on ``keys``.
+    """
+    active = current.where(F.col("known_to") == sentinel_for(current, "known_to"))
+    a = active.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in value_cols], F.col("known_from").alias("_closes"),
+                      F.lit(True).alias("_a"))
+    same = F.col("_a").isNotNull()
+    for c in value_cols:
+        same = same & F.col(f"_a_{c}").eqNullSafe(F.col(c))
+    return incoming.join(a, list(keys), "left").where(~same).select(*incoming.columns, "_closes")
+
+
+def ingest_table(spark: SparkSession, name: str, incoming: DataFrame, at, keys: Sequence[str],
+                 value_cols: Sequence[str] = cdl.CANDLE_VALUE_COLUMNS, step=lambda _: None) -> DataFrame:
+    """Upsert bars into a bucketed SCD2 candle table, rewriting only the (timeframe, day) partitions that change.
+
+    ``incoming``: keys, timeframe, open_at and the values; several rows of a bar count as one.  The batch is dealt
+    by the table's own bucketing and joined to the active rows of its days, which are read in place: no exchange on
+    the table's side.  Bars that are new or differ are settled first; only the partitions that have any are read again,
+    written beside the table in the same buckets (changed versions closed at ``at``, new ones open from it) and
+    swapped by one journaled run.  Files of all other partitions stay as they are, and a repeated batch changes
+    nothing.  Returns (timeframe, day, n_new, n_closed) of each partition rewritten: calendar sized.
+    """
+    ddl = "timeframe string, day date, n_new long, n_closed long"
+    path = table_location(spark, name)
+    if recover(spark, path):
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    current = spark.table(name)
+    buckets, bucket_cols = _bucket_spec(spark, name)
+    bar = [*bucket_cols, "timeframe"]
+    t = current.schema["open_at"].dataType
+    batch = cdl.one_per_key(incoming.withColumn("open_at", F.col("open_at").cast(t)).repartition(buckets, *bucket_cols), bar,
+                            value_cols)  # grouped where it was dealt, by the table's own buckets
+    days = [r["day"] for r in batch.select(F.to_date("open_at").alias("day")).distinct().collect()]  # calendar sized
+    if not days:
+        return spark.createDataFrame([], ddl)
+    with co_partitioned_by_some_keys(spark):
+        changes = settled(candle_changes(current.where(F.col("day").isin(days)), batch, bar, value_cols).withColumn(
+            "day", F.to_date("open_at")))
+    per = changes.groupBy("timeframe", "day").agg(F.count(F.lit(1)).alias("n_new"), F.count("_closes").alias("n_closed")).collect()
+    if not per:
+        return spark.createDataFrame([], ddl)
+    parts = {f"timeframe={r['timeframe']}/day={r['day'].isoformat()}": r for r in per}
+    listings = {p: listing_of(spark, f"{path}/{p}") for p in parts}
+    at_c = (F.lit(at) if isinstance(at, str) else at).cast(current.schema["known_from"].dataType)
+    sentinel = sentinel_for(current, "known_to")
+    hit = F.struct("timeframe", "day").isin([F.struct(F.lit(r["timeframe"]), F.lit(r["day"])) for r in per])
+    spark.sql(f"REFRESH TABLE {name}")
+    old = spark.table(name).where(F.col("day").isin(sorted({r["day"] for r in per})) & hit)
+    closing = changes.where("_closes is not null").select(*bar, F.lit(True).alias("_close"))
+    with co_partitioned_by_some_keys(spark):
+        kept = old.join(closing, bar, "left").withColumn(
+            "known_to", F.when(F.col("_close") & (F.col("known_to") == sentinel), at_c).otherwise(F.col("known_to")))
+        opened = changes.withColumn("known_from", at_c).withColumn("known_to", sentinel)
+        rows = kept.select(*current.columns).unionByName(opened.select(*current.columns))
+        swap = Swap(spark, path, step=step)
+        staged = f"swap_{swap.run}"
+        create_candle_table(spark, staged, swap.new, current.schema, [c for c in bucket_cols if c != "open_at"], buckets)
+        try:
+            (rows.repartition(buckets, *bucket_cols).sortWithinPartitions("timeframe", "day", *bucket_cols)
+             .write.mode("append").insertInto(staged))
+        finally:
+            spark.sql(f"DROP TABLE {staged}")  # external: the files stay
+    swap.step("staged")
+    swap.declare([("put", p, listings[p], None) for p in parts])
+    done = swap.apply()
+    for p in done:
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({partition_spec(p)})")
+    spark.sql(f"REFRESH TABLE {name}")
+    if swap.conflicts:
+        raise RuntimeError(f"{len(swap.conflicts)} partition(s) changed while the batch was merged; run it again")
+    return spark.createDataFrame([(r["timeframe"], r["day"], r["n_new"], r["n_closed"]) for r in per], ddl)
+
+
+@contextlib.contextmanager
+def co_partitioned_by_some_keys(spark: SparkSession):
+    """Let a join keep a side where it is if that side is dealt by some of the join's keys (a bucketed table's)."""
+    conf = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.v2.bucketing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def ensure_leaves(spark: SparkSession, table_path: str, lo: dt.date, hi: dt.date) -> list[dt.date]:
     """Make the ``day=`` folder of every day of [lo, hi] that the table lacks; returns those days."""
     made = []
     for k in range((hi - lo).days + 1):  # calendar sized, metadata only
         d = lo + dt.timedelta(days=k)
-        fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}")
+        fs, p = fs_of(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}")
         if not fs.exists(p):
             fs.mkdirs(p)
             made.append(d)
@@ -721,7 +905,8 @@ def restore(spark: SparkSession, archive_path: str, schema: T.StructType, supple
 def restore_into_table(spark: SparkSession, archive_root: str, table: str, days: Sequence[dt.date],
                        schema: T.StructType, table_path: str, time_col: str,
                        supplements: DataFrame | None = None, key: str = "id", supplement_ledger: str | None = None,
-                       supplement_folder: str | None = None, ledger: DataFrame | None = None) -> DataFrame:
+                       supplement_folder: str | None = None, ledger: DataFrame | None = None,
+                       step=lambda _: None) -> DataFrame:
     """Put archived days back into a ``day=``-partitioned table (P8 into storage).
 
     ``supplement_ledger`` and ``supplement_folder`` (default: the archive
@@ -730,16 +915,18 @@ def restore_into_table(spark: SparkSession, archive_root: str, table: str, days:
     ``ledger`` (the manifest) a day's archived row count must equal its line.
     A row in another day's folder refuses the restore.
 
-    Days that still have a partition are refused, so a restore never
-    duplicates rows; the others are re-read strictly (only their folders),
-    completed with the supplement rows they lack, and appended as new day
-    partitions in one write.  Returns (day, restored rows) per restored day.
+    Days that have rows in the table are refused, so a restore never
+    duplicates them; a day without a leaf or with an empty one is free.  The
+    archives are re-read strictly (only the days' folders), completed with
+    the supplement rows they lack, written beside the table in one job and
+    put in place by one journaled run, day by day (``sources.swap``): a crash
+    leaves whole days only, and the next run (or ``recover``) goes on from
+    there.  A day that another writer fills meanwhile keeps that writer's
+    files and is not reported.  Returns (day, restored rows) per restored day.
     """
-    todo = []
-    for d in days:
-        fs, p = _fs(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}")
-        if not fs.exists(p):
-            todo.append(d)
+    recover(spark, table_path)
+    listings = {d: listing_of(spark, f"{table_path.rstrip('/')}/day={d.isoformat()}") for d in days}
+    todo = [d for d, listing in listings.items() if listing in (None, NO_FILES)]
     if not todo:
         return spark.createDataFrame([], "day date, restored long")
     base = arc.read_archive(spark, arc.day_folders(f"{archive_root.rstrip('/')}/{table}", todo), schema,
@@ -763,10 +950,16 @@ def restore_into_table(spark: SparkSession, archive_root: str, table: str, days:
     if supplements is not None:
         supp = supplements.select(*schema.names).where(day_of(time_col).isin(todo))
         rows = arc.restore_days(base, supp, key)
-    out = rows.withColumn("day", day_of(time_col))
-    out.write.mode("append").partitionBy("day").parquet(table_path)
-    return (spark.read.parquet(table_path).where(F.col("day").isin(todo))
-            .groupBy("day").agg(F.count(F.lit(1)).alias("restored")))
+    swap = Swap(spark, table_path, step=step)
+    rows.withColumn("day", day_of(time_col)).write.mode("error").partitionBy("day").parquet(swap.new)
+    swap.step("staged")
+    staged = spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(swap.new)
+    counts = {r["day"]: r["n"] for r in staged.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if bad := sorted(d for d in todo if counts.get(d, 0) < got.get(d, (0, 0))[0]):
+        raise RuntimeError(f"RESTORE ROWCOUNT MISMATCH on {[d.isoformat() for d in bad]}; nothing was put in place")
+    swap.declare([("put", f"day={d.isoformat()}", listings[d], None) for d in todo])
+    done = set(swap.apply())
+    return spark.createDataFrame([(d, counts.get(d, 0)) for d in todo if f"day={d.isoformat()}" in done], "day date, restored long")
 
 
 # ---------------------------------------------------------------- P9 logs

@@ -244,6 +244,13 @@ def _purge_sql(table: str, ledger: str, inventory: str, time_col: str, fact: str
               AND EXISTS (SELECT 1 FROM children c WHERE c.is_default AND c.table_name = '{table}')"""})
 
 
+_ARRIVED = {
+    "drops": """SELECT *, cast(least((extract(day FROM bus_time) - 1) // 10, 2) AS BIGINT) + CASE WHEN id % 40 = 0 THEN 1 ELSE 0 END
+                AS d FROM ticks""",
+    "arrived": """SELECT a.*, coalesce(a.bus_time < (SELECT max(b.bus_time) FROM drops b WHERE b.d < a.d) - INTERVAL 1 DAY, false)
+                  AS is_late FROM drops a""",
+}
+
 ORACLE: dict[str, str] = {
     "day_counts": sql("SELECT cast(bus_time AS DATE) AS day, count(*) AS n_rows FROM ticks GROUP BY 1", "ticks"),
     "day_slice": sql(f"SELECT * FROM ticks WHERE bus_time >= TIMESTAMP '{P.SLICE_FROM}' "
@@ -534,20 +541,53 @@ ORACLE: dict[str, str] = {
         f AS (SELECT day, 'id,instrument,bus_time,cents' || chr(10) ||
                 string_agg(event_id || ',' || rest || chr(10), '' ORDER BY event_id) AS text FROM t GROUP BY day)
         SELECT day, cast(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM f""",
-    "ledger_from_text": sql("""SELECT day, nf, cast(sum(n) AS BIGINT) AS n_lines, any_value(rows) AS last_rows,
-            any_value(CASE WHEN nf = 7 THEN sha256 WHEN nf = 9 THEN sha256 ELSE sha256 END) AS last_sha256
-        FROM (SELECT day, 8 AS nf, count(*) + CASE WHEN max(line_no % 20) = 11 AND min(line_no % 20) = 11 THEN 1
-                     WHEN bool_or(line_no % 20 = 11) THEN 1 ELSE 0 END AS n, max(rows) AS rows, max(sha256) AS sha256
+    "ledger_from_text": sql("""SELECT day, nf, cast(sum(n) AS BIGINT) AS n_lines, any_value(rows) AS last_rows, any_value(sha256) AS last_sha256
+        FROM (SELECT day, 8 AS nf, count(*) + count_if(line_no % 20 = 11) AS n, CASE WHEN bool_or(line_no % 20 = 11)
+                     THEN cast(cast(max(rows) AS BIGINT) + 1000 AS VARCHAR) ELSE max(rows) END AS rows, max(sha256) AS sha256
               FROM ledger WHERE nf = 8 GROUP BY day
               UNION ALL SELECT day, 9, 1, rows, sha256 FROM ledger WHERE nf = 8 AND line_no % 20 = 11
               UNION ALL SELECT day, 7, 1, rows, sha256 FROM ledger WHERE nf = 8 AND line_no % 20 = 11) x
         GROUP BY day, nf""", "ledger"),
-    "run_logs_text": sql("""SELECT CASE WHEN line_no % 2 = 0 THEN 'a' ELSE 'b' END AS folder,
-            row_number() OVER (PARTITION BY line_no % 2 ORDER BY line_no) AS line_no,
-            cast(line_no AS VARCHAR) || ' ' || line AS line FROM log_lines""", "log_lines"),
+    "run_logs_text": """SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS folder, cast(ts AS DATE) AS day,
+            row_number() OVER (PARTITION BY event_id % 2, cast(ts AS DATE) ORDER BY event_id) AS line_no,
+            cast(event_id AS VARCHAR) || ' ' || CASE WHEN event_id % 50 < 5 THEN '=== job 2024' WHEN value > 60 THEN 'WARN: slow'
+                 WHEN value < 1 THEN 'FAILED' ELSE 'OK' END AS line FROM events""",
     "restore_job": sql(DIGEST, "ticks"),
     "stream_candles": sql("""SELECT instrument, '1h' AS timeframe, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at,
             arg_min(price, (bus_time, id)) AS open, max(price) AS high, min(price) AS low,
             arg_max(price, (bus_time, id)) AS close, cast(count(*) AS DOUBLE) AS volume, count(*) AS trades
         FROM ticks GROUP BY 1, 3""", "ticks"),
+    "purge_catalog": """WITH n AS (SELECT cast(ts AS DATE) AS day, count(*) AS n, count_if(event_id % 10 = 0) AS late FROM events
+              WHERE cast(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-06' GROUP BY 1)
+        SELECT kind, day, extract(day FROM day) NOT IN (3, 4) AS dropped,
+               cast(CASE extract(day FROM day) WHEN 3 THEN n WHEN 4 THEN n + late ELSE 0 END AS BIGINT) AS rows_left
+        FROM n, (VALUES ('managed'), ('external')) k(kind)""",
+    "sweep_apply": sql(f"""SELECT part, day, count(*) AS n_rows, cast(count_if(known_to = {SENT}) AS BIGINT) AS n_active,
+               cast(sum(cast(round(close * 100) AS BIGINT)) AS BIGINT) AS cents
+        FROM (SELECT *, cast(open_at AS DATE) AS day, CASE WHEN known_to < {SENT} AND open_at >= TIMESTAMP '{P.SWEEP_FROM}'
+                     AND open_at < TIMESTAMP '{_hi(P.SWEEP_TO)}' THEN 'archived' ELSE 'remaining' END AS part
+              FROM (SELECT time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at, price AS close,
+                      coalesce(lead(bus_time) OVER (PARTITION BY instrument, time_bucket(INTERVAL 1 HOUR, bus_time)
+                                                    ORDER BY bus_time, id), {SENT}) AS known_to FROM ticks) v) x
+        GROUP BY part, day""", "ticks"),
+    "ingest_table": sql("""SELECT timeframe, day, cast(count(*) * (CASE WHEN again THEN 2 ELSE 1 END) AS BIGINT) AS n_versions,
+               count(*) AS n_active, count(*) AS n_bars,
+               cast(sum(cast(round((close + CASE WHEN again THEN 1 ELSE 0 END) * 100) AS BIGINT)) AS BIGINT) AS cents,
+               again AS rewritten
+        FROM (SELECT timeframe, cast(open_at AS DATE) AS day, close, extract(day FROM open_at) % 5 = 0 AS again
+              FROM (SELECT '1m' AS timeframe, open_at, close FROM c1m
+                    UNION ALL SELECT '1h', time_bucket(INTERVAL 1 HOUR, bus_time), arg_max(price, (bus_time, id)) FROM ticks
+                    GROUP BY instrument, 2) b) x GROUP BY timeframe, day, again""", "c1m", "ticks"),
+    "restore_resumed": sql("SELECT * FROM (" + DIGEST + ") d WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-05'", "ticks"),
+    "stream_late_bars": sql(f"""SELECT 'late' AS kind, instrument, bus_time AS at, price AS open, price AS high, price AS low,
+               price AS close, cast(1 AS BIGINT) AS trades FROM arrived WHERE is_late
+        UNION ALL
+        SELECT 'bar', instrument, time_bucket(INTERVAL 1 HOUR, bus_time) AS open_at, arg_min(price, (bus_time, id)), max(price),
+               min(price), arg_max(price, (bus_time, id)), count(*) FROM arrived WHERE NOT is_late
+        GROUP BY instrument, open_at
+        HAVING open_at + INTERVAL 1 HOUR <= (SELECT max(bus_time) - INTERVAL 1 DAY FROM arrived)""", "ticks", extra=_ARRIVED),
+    "stream_sealed_days": sql("""SELECT id, cast(bus_time AS DATE) AS day, cast(d AS BIGINT) AS batch,
+               CASE WHEN (d > 0 AND dom BETWEEN 1 AND 3) OR (d > 1 AND dom BETWEEN 9 AND 13) OR (d > 2 AND dom BETWEEN 19 AND 24)
+                    THEN 'sealed' WHEN dom NOT IN (11, 22) THEN 'leaf' ELSE 'default' END AS target
+        FROM (SELECT *, extract(day FROM bus_time) AS dom FROM arrived) a""", "ticks", extra=_ARRIVED),
 }

@@ -23,6 +23,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint goes with its frame
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -77,6 +78,8 @@ def settled(df, *scratch: str):
 
 
 TARGET_PART_BYTES = 256 << 20
+SORT_PART_BYTES = 128 << 20  # of input a task that sorts or scans its part in order
+UNKNOWN_BYTES = 1 << 60
 
 
 def scanned_bytes(df) -> int:
@@ -85,7 +88,7 @@ def scanned_bytes(df) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     for i in range(leaves.size()):
         total += int(str(leaves.apply(i).stats().sizeInBytes()))
-    return total
+    return min(total, UNKNOWN_BYTES)
 
 
 def partitions_for(df, target_bytes: int = TARGET_PART_BYTES, input_bytes: int | None = None) -> int:
@@ -96,4 +99,6 @@ def partitions_for(df, target_bytes: int = TARGET_PART_BYTES, input_bytes: int |
     which does not know about partition pruning of a path-based table.
     """
     size = scanned_bytes(df) if input_bytes is None else input_bytes
+    if size >= UNKNOWN_BYTES:  # an input without statistics says nothing about its size
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return int(max(-(-size // target_bytes), df.sparkSession.sparkContext.defaultParallelism, 1))

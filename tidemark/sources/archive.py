@@ -45,16 +45,19 @@ def _csv_options(writer_or_reader):
 
 def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Sequence[str],
                       n_parts: int | None = None, compression: str = "gzip", fmt: str = "csv",
-                      input_bytes: int | None = None) -> None:
+                      input_bytes: int | None = None, whole_days: bool = False) -> None:
     """Sorted header CSV, one folder per UTC day (S3, O1, O2).
 
     Range partitioning on (day, order...) cuts even one huge day into many
     tasks, and each part file holds a contiguous slice of the archive order,
-    so a day's parts concatenated in name order are globally sorted.
+    so a day's parts concatenated in name order are globally sorted.  With
+    ``whole_days`` a day is one part, written by one task, and the days are
+    dealt over the tasks.
     """
     with_day = df.withColumn("day", day_of(time_col))
     n = n_parts or partitions_for(with_day, input_bytes=input_bytes)  # ~256 MB of input a part
-    ordered = with_day.repartitionByRange(int(n), "day", *order_cols).sortWithinPartitions("day", *order_cols)
+    dealt = with_day.repartition(int(n), "day") if whole_days else with_day.repartitionByRange(int(n), "day", *order_cols)
+    ordered = dealt.sortWithinPartitions("day", *order_cols)
     if fmt == "csv.zst":  # Spark's CSV writer has no zstd codec: stream it with pyarrow inside the tasks
         _write_csv_zst(ordered, path)
         return

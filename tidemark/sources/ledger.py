@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.verify import parse_ledger_lines
 from tidemark.sources.runlog import read_appended_lines
+from tidemark.sources.swap import folder_listing, fs_of, publish_new, write_text
 
 
 def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -37,18 +40,32 @@ def ledger_text(lines: DataFrame) -> DataFrame:
     return lines.select(F.concat_ws("\t", *[F.col(f).cast("string") for f in fields]).alias("value"))
 
 
-def append_manifest(lines: DataFrame, path: str) -> None:
-    """Append ledger lines (S6): one small text part per call, in a folder numbered after the last append's.
+def append_manifest(lines: DataFrame, path: str) -> int:
+    """Append ledger lines (S6): one numbered commit file per call; returns its number.
 
-    Two appends that take the same number at once collide on the folder, and one of them fails, unlike two
-    writers of one file.  Readers take the whole ledger folder in append order.
+    The lines (one a day) are written to a private file first, which then takes the next free number in one atomic
+    step that never replaces a file (``publish_new``); a writer that loses a number to another takes the next one.
+    So a part is seen whole or not at all, numbers have no gaps, and an append that raised has left nothing.
+    Readers take the whole ledger folder in the order of the numbers.
     """
     spark = lines.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) and fs.getFileStatus(p).isDirectory() else []
-    last = max((int(n[4:]) for n in names if n.startswith("seq=") and n[4:].isdigit()), default=0)
-    ledger_text(lines).coalesce(1).write.mode("error").text(f"{path.rstrip('/')}/seq={last + 1:012d}")
+    root = path.rstrip("/")
+    text = "".join(r["value"] + "\n" for r in ledger_text(lines).collect())  # one line a day of one run
+    fs, p = fs_of(spark, root)
+    fs.mkdirs(p)
+    private = f"{root}/_append-{uuid.uuid4().hex}"
+    write_text(spark, private, text)
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    seq = max((int(n[4:]) for n in names if n.startswith("seq=") and n[4:].isdigit()), default=0) + 1
+    while True:
+        _, folder = fs_of(spark, f"{root}/seq={seq:012d}")
+        # a folder that holds lines is taken, whatever its files are called (copies, appends of earlier versions)
+        taken = fs.exists(folder) and folder_listing(fs, folder)[0]
+        if not taken:
+            fs.mkdirs(folder)
+            if publish_new(spark, private, f"{root}/seq={seq:012d}/lines.txt"):
+                return seq
+        seq += 1
 
 
 def read_supplements(spark: SparkSession, path: str) -> DataFrame:
