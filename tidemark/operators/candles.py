@@ -126,11 +126,10 @@ def close_versions(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     key's next partition.  Only keys that span partitions need that: at most
     one per boundary, so the table of firsts is bounded by the partitions.
     """
-    from tidemark.session import SORT_PART_BYTES, partitions_for, shared_dir
+    from tidemark.session import SORT_PART_BYTES, partitions_for, pinned_rows
 
-    shared_dir(df.sparkSession)
     n = parts or partitions_for(df, SORT_PART_BYTES)
-    ranged = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    ranged = pinned_rows(df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
     led = ranged.withColumn("_lead", F.lead(from_col).over(w))
     # the first row of every partition, and where its key goes on from the partition before

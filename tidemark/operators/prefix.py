@@ -17,18 +17,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import SORT_PART_BYTES, partitions_for, shared_dir
+from tidemark.session import SORT_PART_BYTES, partitions_for, pinned_rows
 
 
 def ranged(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` range partitioned on ``keys``, with the range number ``_bk`` pinned by a reliable checkpoint.
 
     The number of ranges follows the bytes that the plan's scans list (about ``SORT_PART_BYTES`` each).  The checkpoint
-    goes with the frames made from it, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    is a full copy: settle what is wanted of it within ``session.scratch_checkpoints``, which deletes it.
     """
-    shared_dir(df.sparkSession)
     n = parts or partitions_for(df, SORT_PART_BYTES)
-    return df.repartitionByRange(n, *keys).withColumn("_bk", F.spark_partition_id()).checkpoint()
+    return pinned_rows(df.repartitionByRange(n, *keys).withColumn("_bk", F.spark_partition_id()))
 
 
 def _before(*part: str):

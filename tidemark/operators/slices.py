@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import day_of
@@ -67,3 +67,32 @@ def id_bounds(df: DataFrame, days: DataFrame, time_col: str, id_col: str = "id",
 def oldest_day(df: DataFrame, time_col: str, id_col: str = "id", keys: Sequence[str] = ()) -> DataFrame:
     """UTC day of the lowest-id row (A5, O3): one partial+final aggregate, no sort."""
     return df.groupBy(*keys).agg(F.min_by(day_of(time_col), F.col(id_col)).alias("oldest_day"))
+
+
+FOOTER_CONF = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_aggregate(spark: SparkSession, table_path: str, id_col: str, day_col: str = "day") -> DataFrame:
+    """Plan of (day, n_rows, lo, hi) of a ``day=`` partitioned Parquet table; needs ``FOOTER_CONF`` (see footer_stats)."""
+    return spark.read.parquet(table_path).groupBy(day_col).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
+
+
+def footer_stats(spark: SparkSession, table_path: str, id_col: str, days: Sequence | None = None) -> DataFrame:
+    """(day, n_rows, id_lower, id_upper exclusive) of each day, from Parquet footers alone (A1, A2 without a scan).
+
+    The aggregate is pushed into the source and grouped by its partition column, so a task reads the footers of its
+    files and no row group; days are pruned by partition.  The settings that allow it hold while the plan runs only;
+    the result has a row a day.
+    """
+    before = {k: spark.conf.get(k, None) for k in FOOTER_CONF}
+    try:
+        for k, v in FOOTER_CONF.items():
+            spark.conf.set(k, v)
+        found = footer_aggregate(spark, table_path, id_col)
+        rows = (found if days is None else found.where(F.col("day").isin(list(days)))).collect()  # calendar sized
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.createDataFrame([(r["day"], r["n_rows"], r["lo"], r["hi"] + 1 if r["hi"] is not None else None) for r in rows],
+                                 "day date, n_rows long, id_lower long, id_upper long")

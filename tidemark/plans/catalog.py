@@ -21,7 +21,7 @@ from tidemark.operators import candles as cdl
 from tidemark.operators import late, runlog, slices, verify
 from tidemark.plans import jobs
 from tidemark.plans import params as P
-from tidemark.session import ensure_utc, settled, shared_dir
+from tidemark.session import ensure_utc, settled, settling, shared_dir
 from tidemark.sources import archive as arc
 from tidemark.sources import fixtures as fx
 from tidemark.sources.candle_csv import write_candle_csv
@@ -289,6 +289,7 @@ def q_sealed_day_late_rows(spark, sf):
                                      "trades").select("id", "day", "bus_time", "executed_at")
 
 
+@settling
 def q_monotonicity_violations(spark, sf):
     ensure_utc(spark)
     t = fx.trades(spark, sf).select("id", "executed_at")
@@ -317,6 +318,7 @@ def q_close_versions(spark, sf):
     return cdl.close_versions(v, ["l_orderkey", "l_linenumber"], ["known_from", "l_partkey", "l_suppkey"])
 
 
+@settling
 def q_closed_versions(spark, sf):
     ensure_utc(spark)
     v = q_close_versions(spark, sf)
@@ -374,6 +376,7 @@ def q_export_restore_roundtrip(spark, sf):
     return settled(arc.day_content_digest(back, "bus_time", _ticks_parts(back)), root)
 
 
+@settling
 def q_reconcile_export(spark, sf):
     """J5 with all three legs: table rows = ledger rows = rows re-read from the exported archive."""
     ensure_utc(spark)
@@ -388,6 +391,7 @@ def q_reconcile_export(spark, sf):
     return settled(verify.reconcile_counts(table_counts, read_manifest(spark, f"{root}/MANIFEST", "ticks"), archive_counts), root)
 
 
+@settling
 def q_purge_plan_export(spark, sf):
     """P3 over a real export: the ledger it wrote, the sizes and sha256 of its files, the leaf catalog."""
     ensure_utc(spark)
@@ -410,6 +414,7 @@ def q_archive_inventory(spark, sf):
     return settled(arc.day_inventory(files), root)
 
 
+@settling
 def q_export_ledger(spark, sf):
     ensure_utc(spark)
     root = _export_all_days(spark, sf)
@@ -441,21 +446,25 @@ def q_segment_runs(spark, sf):
     return _runs(spark, sf).select("file", "line_no", "run_no")
 
 
+@settling
 def q_problem_count(spark, sf):
     ensure_utc(spark)
     return runlog.problem_count(_runs(spark, sf))
 
 
+@settling
 def q_run_tail(spark, sf):
     ensure_utc(spark)
     return runlog.run_tail(_runs(spark, sf)).withColumn("from_end", F.col("from_end").cast("long"))
 
 
+@settling
 def q_alert_body(spark, sf):
     ensure_utc(spark)
     return runlog.current_run_tail(fx.log_lines(spark, sf).drop("ts"), pattern=runlog.banner_pattern("job"))
 
 
+@settling
 def q_failure_streaks(spark, sf):
     ensure_utc(spark)
     p = runlog.problem_count(_runs(spark, sf))
@@ -487,6 +496,7 @@ def q_retention_plan(spark, sf):
                                S.RETENTION_HORIZON_DAYS, P.RETENTION_MAX_DAYS)
 
 
+@settling
 def q_candle_sweep(spark, sf):
     ensure_utc(spark)
     return jobs.candle_sweep(fx.candle_versions(spark, sf), P.SWEEP_FROM, P.SWEEP_TO).select(
@@ -555,6 +565,7 @@ def _lineitem_candles(spark, sf):
                     F.lit("1d").alias("timeframe"), F.col("known_from").alias("open_at"), "known_from", "known_to", "price")
 
 
+@settling
 def q_sweep_remainder(spark, sf):
     """P6 on versions with ties: what the sweep archived, what it left, and active versions, per start year."""
     ensure_utc(spark)
@@ -585,6 +596,7 @@ def _retention_days(spark, sf, table, rows, time_col, order, schema, **kw):
     return settled(out, root)
 
 
+@settling
 def q_retention_run(spark, sf):
     """P4 end to end for ticks and trades: empty leaves drop, gaps are passed over, both ledgers verify."""
     ensure_utc(spark)
@@ -605,6 +617,7 @@ def q_archive_bytes(spark, sf):
     return settled(arc.archive_inventory(spark, root, glob="*.csv").select("day", "bytes", "sha256"), root)
 
 
+@settling
 def q_ledger_from_text(spark, sf):
     """The ticks ledger written as text in two appends, with short, long, blank and repeated lines, read back."""
     ensure_utc(spark)
@@ -626,6 +639,7 @@ def q_ledger_from_text(spark, sf):
         F.max_by("sha256", "line_no").alias("last_sha256")), path)
 
 
+@settling
 def q_run_logs_text(spark, sf):
     """Logs of one name in two folders, one a day, written as text and read back with their own numbering."""
     ensure_utc(spark)
@@ -643,6 +657,7 @@ def q_run_logs_text(spark, sf):
         F.regexp_extract("file", "/day=([0-9-]+)/", 1).cast("date").alias("day"), "line_no", "line"), base)
 
 
+@settling
 def q_restore_job(spark, sf):
     """Days exported without their recovered rows, purged, restored with a proved supplement file: the table's digest."""
     ensure_utc(spark)
@@ -782,6 +797,7 @@ def q_purge_catalog(spark, sf):
     return settled(out, base)
 
 
+@settling
 def q_sweep_apply(spark, sf):
     """P6 on the table itself: the sweep crashes between the two renames of its second partition, the next run carries it
     to its end; what the archive holds and what the table keeps, per day."""
@@ -913,6 +929,7 @@ def q_stream_late_bars(spark, sf):
 SEAL_AFTER = {0: range(1, 4), 1: range(9, 14), 2: range(19, 25)}  # days of month sealed after each drop
 
 
+@settling
 def q_stream_sealed_days(spark, sf):
     """L1 with L4: the ledger seals days between the drops; one batch crashes after its first sink, the ledger grows, and
     its replay decides as before.  Where every tick went."""
@@ -962,6 +979,65 @@ def q_stream_sealed_days(spark, sf):
     return settled(out, base)
 
 
+# ---------------------------------------------------------------- days from words, footers and file order
+def q_session_day_words(spark, sf):
+    """J1 and W3 from bit words: an index of two increments, each from its own days only; gaps and runs of every session."""
+    ensure_utc(spark)
+    from tidemark.operators import daybits
+
+    path = f"{shared_dir(spark)}/tidemark-words-{uuid.uuid4().hex}"
+    tr = fx.trades(spark, sf)
+    for rows in (tr.where(F.col("bus_time") < "2024-01-16"), tr.where(F.col("bus_time") >= "2024-01-16")):
+        daybits.add_increment(daybits.day_words(rows, ["session_id"], "bus_time"), path)
+    words = daybits.read_words(spark, path, ["session_id"])
+    gaps = daybits.missing_days(words, "2024-01-01", "2024-01-30", ["session_id"]).select(
+        F.lit("missing").alias("kind"), "session_id", F.col("day").alias("first_day"), F.col("day").alias("last_day"),
+        F.lit(1).cast("long").alias("n_days"))
+    islands = daybits.runs(words, ["session_id"]).select(F.lit("run").alias("kind"), "session_id", "run_start", "run_end", "n_days")
+    return settled(gaps.union(islands), path)
+
+
+def q_footer_day_stats(spark, sf):
+    """A1, A2, A4 from Parquet footers: rows and id bounds of each day of a day-partitioned table, and whether it has a leaf."""
+    ensure_utc(spark)
+    path = f"{shared_dir(spark)}/tidemark-footers-{uuid.uuid4().hex}"
+    fx.ticks(spark, sf).withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(path)
+    stats = slices.footer_stats(spark, path, "id")
+    leaf = fx.leaf(spark, sf).select("day", F.lit(True).alias("has_leaf"))
+    return settled(stats.join(leaf, "day", "left").select("day", "n_rows", "id_lower", "id_upper",
+                                                          F.coalesce("has_leaf", F.lit(False)).alias("has_leaf")), path)
+
+
+def q_trades_order(spark, sf):
+    """O2 over many parts: trades in (executed_at, id) order, parts of 50 rows; then with the first two parts of every
+    seventh day of a month swapped, which no digest of rows would tell."""
+    ensure_utc(spark)
+    from tidemark.sources.swap import fs_of
+
+    root = f"{shared_dir(spark)}/tidemark-order-{uuid.uuid4().hex}"
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("executed_at", T.TimestampNTZType()),
+                           T.StructField("price", T.DoubleType())])
+    tr = fx.trades(spark, sf).select("id", "executed_at", "price")
+    arc.write_day_archive(tr, root, "executed_at", ["executed_at", "id"], whole_days=True, max_rows=50, compression="none")
+    out = None
+    for kind in ("written", "swapped"):
+        if kind == "swapped":
+            fs, p = fs_of(spark, root)
+            for st in fs.listStatus(p):  # one entry a day
+                name = st.getPath().getName()
+                if name.startswith("day=") and int(name[-2:]) % 7 == 0:
+                    parts = sorted((x.getPath() for x in fs.listStatus(st.getPath()) if x.getPath().getName().startswith("part-")),
+                                   key=lambda x: x.getName())
+                    if len(parts) > 1:
+                        aside = st.getPath().suffix("/_aside")
+                        for a, b in ((parts[0], aside), (parts[1], parts[0]), (aside, parts[1])):
+                            fs.rename(a, b)
+        one = settled(arc.day_order(arc.read_archive(spark, root, schema), ["executed_at", "id"]).select(
+            F.lit(kind).alias("kind"), "*"))
+        out = one if out is None else out.unionByName(one)
+    return settled(out, root)
+
+
 QUERIES = {
     "day_counts": q_day_counts,
     "day_slice": q_day_slice,
@@ -1033,4 +1109,7 @@ QUERIES = {
     "restore_resumed": q_restore_resumed,
     "stream_late_bars": q_stream_late_bars,
     "stream_sealed_days": q_stream_sealed_days,
+    "session_day_words": q_session_day_words,
+    "footer_day_stats": q_footer_day_stats,
+    "trades_order": q_trades_order,
 }

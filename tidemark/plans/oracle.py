@@ -590,4 +590,16 @@ ORACLE: dict[str, str] = {
                CASE WHEN (d > 0 AND dom BETWEEN 1 AND 3) OR (d > 1 AND dom BETWEEN 9 AND 13) OR (d > 2 AND dom BETWEEN 19 AND 24)
                     THEN 'sealed' WHEN dom NOT IN (11, 22) THEN 'leaf' ELSE 'default' END AS target
         FROM (SELECT *, extract(day FROM bus_time) AS dom FROM arrived) a""", "ticks", extra=_ARRIVED),
+    "session_day_words": sql("""SELECT 'missing' AS kind, session_id, day AS first_day, day AS last_day, cast(1 AS BIGINT) AS n_days
+        FROM smiss
+        UNION ALL SELECT 'run', session_id, min(day), max(day), count(*) FROM (SELECT session_id, day,
+            day - cast(row_number() OVER (PARTITION BY session_id ORDER BY day) AS INTEGER) AS g FROM sl) x GROUP BY session_id, g""",
+                             "smiss", "sl"),
+    "footer_day_stats": sql("""SELECT c.day, n AS n_rows, lo AS id_lower, hi AS id_upper, l.day IS NOT NULL AS has_leaf
+        FROM counts c LEFT JOIN leaf l ON c.day = l.day""", "counts", "leaf"),
+    "trades_order": sql("""SELECT kind, day, n AS n_rows, n_parts, cast(0 AS BIGINT) AS inversions, cast(bad AS BIGINT) AS breaks,
+               bad = 0 AS in_order
+        FROM (SELECT *, CASE WHEN kind = 'swapped' AND extract(day FROM day) % 7 = 0 AND n_parts > 1 THEN 1 ELSE 0 END AS bad
+              FROM (SELECT cast(executed_at AS DATE) AS day, count(*) AS n, (count(*) + 49) // 50 AS n_parts FROM trades GROUP BY 1) t,
+                   (VALUES ('written'), ('swapped')) k(kind)) x""", "trades"),
 }

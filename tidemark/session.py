@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -64,6 +67,45 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("checkpoints", default=None)
+
+
+def pinned_rows(df):
+    """``df`` in a reliable checkpoint; a surrounding ``scratch_checkpoints`` deletes it when its block ends."""
+    shared_dir(df.sparkSession)
+    out = df.checkpoint()
+    made = _made.get()
+    if made is not None:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            made.append(file.get())
+    return out
+
+
+@contextlib.contextmanager
+def scratch_checkpoints(spark: SparkSession):
+    """Within the block, operators' checkpoints are scratch: what is wanted of them must be settled before it ends."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for path in made:
+            remove_path(spark, path)
+
+
+def settling(query):
+    """A query whose result is settled, so that the full copies its range scans made can go at once."""
+
+    @functools.wraps(query)
+    def run(spark, *args):
+        with scratch_checkpoints(spark):
+            return settled(query(spark, *args))
+
+    return run
+
+
 def settled(df, *scratch: str):
     """``df`` computed into a reliable checkpoint, after which the scratch folders it was read from are deleted.
 

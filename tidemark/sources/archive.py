@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,14 +45,15 @@ def _csv_options(writer_or_reader):
 
 def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Sequence[str],
                       n_parts: int | None = None, compression: str = "gzip", fmt: str = "csv",
-                      input_bytes: int | None = None, whole_days: bool = False) -> None:
+                      input_bytes: int | None = None, whole_days: bool = False, max_rows: int = 0) -> None:
     """Sorted header CSV, one folder per UTC day (S3, O1, O2).
 
     Range partitioning on (day, order...) cuts even one huge day into many
     tasks, and each part file holds a contiguous slice of the archive order,
     so a day's parts concatenated in name order are globally sorted.  With
-    ``whole_days`` a day is one part, written by one task, and the days are
-    dealt over the tasks.
+    ``whole_days`` a day is written by one task, and the days are dealt over
+    the tasks; ``max_rows`` cuts what a task writes into parts of so many rows
+    (not for csv.zst).
     """
     with_day = df.withColumn("day", day_of(time_col))
     n = n_parts or partitions_for(with_day, input_bytes=input_bytes)  # ~256 MB of input a part
@@ -61,7 +62,7 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
     if fmt == "csv.zst":  # Spark's CSV writer has no zstd codec: stream it with pyarrow inside the tasks
         _write_csv_zst(ordered, path)
         return
-    writer = ordered.write.mode("error").partitionBy("day")
+    writer = ordered.write.mode("error").partitionBy("day").option("maxRecordsPerFile", max_rows)
     if fmt == "parquet":  # zstd is native for Parquet
         writer.option("compression", "zstd").parquet(path)
     else:
@@ -281,6 +282,99 @@ def day_content_digest(df: DataFrame, time_col: str, parts: Sequence[Column], fa
     )
 
 
+def _key_order(key_cols: Sequence[str]):
+    """mapInArrow body: per file section first key, last key, rows and inversions, in the order in which rows are read."""
+
+    def run(batches):
+        import numpy as np
+
+        state: dict = {}
+
+        def row(table: pa.Table, i: int) -> list:
+            return [table.column(f"k{j}")[i].as_py() for j in range(len(key_cols))]
+
+        def below(a, b, valid_a, valid_b):
+            return (valid_b & ~valid_a) | (valid_a & valid_b & (a < b))  # nulls come first
+
+        def falls(table: pa.Table):
+            """Is row i + 1 below row i?"""
+            n = table.num_rows
+            less, same = np.zeros(n - 1, bool), np.ones(n - 1, bool)
+            for j in range(len(key_cols)):
+                c = table.column(f"k{j}").combine_chunks()
+                ok = c.is_valid().to_numpy(zero_copy_only=False)
+                if pa.types.is_timestamp(c.type) or pa.types.is_date(c.type):
+                    c = c.cast(pa.int64() if pa.types.is_timestamp(c.type) else pa.int32())
+                v = c.to_numpy(zero_copy_only=False)
+                if v.dtype == object:
+                    v = np.array([x if x is not None else "" for x in v], object)
+                less |= same & below(v[1:], v[:-1], ok[1:], ok[:-1])
+                same &= (ok[1:] == ok[:-1]) & (~ok[1:] | (v[1:] == v[:-1]))
+            return less
+
+        def done():
+            return pa.RecordBatch.from_pydict({
+                "file": [state["file"]], "block": [state["block"]], "n": [state["n"]], "inversions": [state["bad"]],
+                **{f"first{j}": pa.array([x], state["types"][j]) for j, x in enumerate(state["first"])},
+                **{f"last{j}": pa.array([x], state["types"][j]) for j, x in enumerate(state["last"].to_pylist()[0].values())}})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            keys = table.select([f"k{j}" for j in range(len(key_cols))])
+            files = table.column("file").to_numpy(zero_copy_only=False)
+            blocks = table.column("block").to_numpy()
+            cuts = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(files)], strict=True):
+                part = keys.slice(a, b - a)
+                if state and (state["file"], state["block"]) == (files[a], blocks[a]):
+                    part = pa.concat_tables([state["last"], part])
+                    state["n"] += int(b - a)
+                else:
+                    if state:
+                        yield done()
+                    state.update(file=files[a], block=int(blocks[a]), n=int(b - a), bad=0, first=row(table, int(a)),
+                                 types=[keys.schema.field(j).type for j in range(len(key_cols))])
+                state["bad"] += int(falls(part).sum()) if part.num_rows > 1 else 0
+                state["last"] = part.slice(part.num_rows - 1, 1)
+        if state:
+            yield done()
+
+    return run
+
+
+def part_order(archive: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """(day, part, block, n, inversions, first0.., last0..) of each file section of a re-read archive: one Arrow pass.
+
+    Only the key columns are read besides the file's name.  A file that the source splits is several sections.
+    """
+    kinds = [archive.schema[c].dataType.simpleString() for c in key_cols]
+    ddl = ", ".join(["file string, block long, n long, inversions long",
+                     *[f"{w}{j} {k}" for w in ("first", "last") for j, k in enumerate(kinds)]])
+    rows = archive.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                          *[F.col(c).alias(f"k{j}") for j, c in enumerate(key_cols)])
+    found = rows.mapInArrow(_key_order(list(key_cols)), ddl)
+    return found.select(
+        F.try_to_date(F.regexp_extract("file", r"day=([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd").alias("day"),
+        F.regexp_extract("file", r"([^/]+)$", 1).alias("part"), *[c for c in found.columns if c != "file"])
+
+
+def day_order(archive: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """(day, n_rows, n_parts, inversions, breaks, in_order): is each day sorted by its keys, its parts read by name (O1, O2)?
+
+    ``inversions`` are rows below the one before within a part, ``breaks`` parts that begin below the end of the part
+    before.  The content digest (A8) is free of order; this is its complement.  The chain has a row a part.
+    """
+    parts = part_order(archive, key_cols)
+    first, last = (F.struct(*[F.col(f"{w}{j}").alias(f"c{j}") for j in range(len(key_cols))]) for w in ("first", "last"))
+    w = Window.partitionBy("day").orderBy("part", "block")
+    chained = parts.withColumn("_break", F.coalesce(first < F.lag(last).over(w), F.lit(False)))
+    return chained.groupBy("day").agg(
+        F.sum("n").alias("n_rows"), F.countDistinct("part").alias("n_parts"), F.sum("inversions").alias("inversions"),
+        F.count_if("_break").alias("breaks")).withColumn("in_order", (F.col("inversions") == 0) & (F.col("breaks") == 0))
+
+
 def restore_days(base: DataFrame, supplements: DataFrame, key: str = "id") -> DataFrame:
     """Base archive rows plus supplement rows not already present.
 
