@@ -507,3 +507,28 @@ def test_sweep_rewrites_touched_partitions_only(spark, scratch):
     assert out.count() + swept.count() == whole.where(F.col("day").isin(days)).count()
     rest = jobs.sweep_remainder(whole, "2024-01-05", "2024-01-06", day_col="day")
     assert "Exchange" not in rest._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("fmt", ["csv.gz", "csv.zst"])
+def test_observed_export_equals_the_counted_one(spark, scratch, monkeypatch, fmt):
+    """Few days are observed on the write, many are counted before it: the same ledger lines, one scan of the table less."""
+    t = fx.ticks(spark, SF001)
+    path = f"{scratch}/table"
+    t.withColumn("day", day_of("bus_time")).write.partitionBy("day").parquet(path)
+    table = spark.read.parquet(path)
+    days = [dt.date(2024, 1, d) for d in (3, 4, 5)] + [dt.date(2024, 3, 1)]  # the last has a leaf and no rows
+    leaf = spark.createDataFrame([("ticks", d) for d in days], "table_name string, day date")
+    lines = {}
+    for kind, most in (("observed", 8), ("counted", 0)):
+        monkeypatch.setattr(jobs, "OBSERVED_DAYS", most)
+        calls = []
+        stats = jobs._day_stats
+        monkeypatch.setattr(jobs, "_day_stats", lambda *a, stats=stats, calls=calls: calls.append(1) or stats(*a))
+        out = jobs.export_days(spark, table, "ticks", "bus_time", ["id"], days, leaf, None, f"{scratch}/{kind}", TICKS_ARCHIVE_SCHEMA,
+                               exported_at="2024-02-01T00:00:00Z", fmt=fmt, day_col="day", n_parts=5)
+        monkeypatch.setattr(jobs, "_day_stats", stats)
+        lines[kind] = sorted((r["day"], r["bound_lower"], r["bound_upper"], r["rows"]) for r in out.collect())
+        assert len(calls) == (0 if kind == "observed" else 1)
+        back = arc.read_archive(spark, f"{scratch}/{kind}/ticks", TICKS_ARCHIVE_SCHEMA).drop("day")
+        assert back.exceptAll(t.where(day_of("bus_time").isin(days)).select(*back.columns)).count() == 0
+    assert lines["observed"] == lines["counted"] and lines["observed"][-1][1:] == ("0", "1", "0")

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,7 @@ from tidemark.operators import candles as cdl
 from tidemark.operators import late, runlog, slices
 from tidemark.operators.verify import line_checks, resolve_purge_target, verify_archive
 from tidemark.sources import archive as arc
-from tidemark.session import partitions_for, settled
+from tidemark.session import listed_bytes, partitions_for, settled
 from tidemark.sources.candle_csv import load_candle_csv
 from tidemark.sources.ledger import append_manifest
 from tidemark.sources.swap import NO_FILES, Swap, folder_listing, fs_of, listing_of, partition_spec, recover
@@ -248,7 +248,8 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     Refuses days without a leaf and days already in the ledger.  All other
     days are written by ONE range-partitioned job into a staging folder,
     re-read strictly, and every day's row count and content digest must equal
-    the table's before it is published by rename and appended to the ledger.
+    those of the rows that went to the writer (``OBSERVED_DAYS``) or of the
+    table before it is published by rename and appended to the ledger.
     A crash before publish leaves only staging.  A crash after publish but
     before the ledger append leaves a published day without a line: it is
     refused on re-run, or with ``adopt=True`` re-read strictly and adopted
@@ -268,15 +269,17 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     candidates = sorted(fresh + (published if adopt else []))
     if not candidates:
         return spark.createDataFrame([], LEDGER_LINE_DDL)
-    # ONE pruned aggregate over the table serves the content check, adoption and the ledger bounds
-    stats = _day_stats(df, time_col, candidates, day_col, id_col, schema)
+    # few days: counts, bounds and digests are observed on the write itself; many, or an adoption: one pruned aggregate
+    watched = len(fresh) <= OBSERVED_DAYS and {time_col, id_col or time_col} <= set(schema.names)
+    asked = (published if adopt else []) if watched else candidates
+    stats = _day_stats(df, time_col, asked, day_col, id_col, schema) if asked else {}
     adopted = _adoptable(spark, schema, root, table, published, time_col, stats) if adopt and published else []
     if fresh:
         fresh_rows = _rows_of_days(df, time_col, fresh, day_col)
         if day_col:
             plan_guard(fresh_rows)
-        _write_and_publish(spark, fresh_rows, table, time_col, order_cols, fresh, root, schema, n_parts, fmt,
-                           {d: stats[d] for d in fresh if d in stats})
+        stats |= _write_and_publish(spark, fresh_rows, table, time_col, order_cols, fresh, root, schema, n_parts, fmt,
+                                    None if watched else {d: stats[d] for d in fresh if d in stats}, id_col)
     done = sorted(fresh + adopted)
     if not done:
         return spark.createDataFrame([], LEDGER_LINE_DDL)
@@ -310,6 +313,22 @@ def export_days(spark: SparkSession, df: DataFrame, table: str, time_col: str, o
     return lines
 
 
+OBSERVED_DAYS = 8  # up to so many days' metrics hang on one write; the results are the same either way
+
+
+def _day_metrics(days: Sequence[dt.date], time_col: str, id_col: str | None, schema: T.StructType) -> list:
+    """Aggregates over all rows of a write, one set a day: rows, exact sum of row hashes, id bounds."""
+    day = day_of(time_col)
+    out = []
+    for i, d in enumerate(days):
+        here = day == F.lit(d)
+        out += [F.count_if(here).alias(f"n{i}"),
+                F.sum(F.when(here, arc.row_hash(schema).cast("decimal(38,0)"))).cast("string").alias(f"digest{i}")]
+        if id_col:
+            out += [F.min(F.when(here, F.col(id_col))).alias(f"lo{i}"), F.max(F.when(here, F.col(id_col))).alias(f"hi{i}")]
+    return out
+
+
 def _day_stats(df: DataFrame, time_col: str, days: Sequence[dt.date], day_col: str | None,
                id_col: str | None, schema: T.StructType) -> dict:
     """{day: (rows, min id, max id, content digest)} for the given days: one pruned, partially aggregated pass."""
@@ -335,17 +354,24 @@ def _archived_content(archive: DataFrame, time_col: str, schema: T.StructType) -
 
 
 def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, schema, n_parts, fmt="csv.gz",
-                       stats: dict | None = None) -> None:
-    """Write the days to a fresh staging folder, prove the content, then publish each day by rename."""
-    rows = _typed(rows, schema)
-    if stats is None:
-        stats = _day_stats(rows, time_col, days, None, None, schema)
+                       stats: dict | None = None, id_col: str | None = None) -> dict:
+    """Write the days to a fresh staging folder, prove the content, then publish each day by rename; their statistics.
+
+    Without ``stats`` the rows, bounds and digests are observed on the sorted rows that go to the writer, so the table
+    is read for the ranges and for the write, and the archive once for the proof: no pass for statistics alone.
+    """
     staging = f"{root}/_staging/{uuid.uuid4().hex}/{table}"
-    size = sum(x[0] for x in stats.values()) * 16 * len(schema.fields)  # the days' own rows, 16 bytes a field
-    if fmt == "csv.zst":
-        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, fmt="csv.zst", input_bytes=size)
+    kind = {"fmt": "csv.zst"} if fmt == "csv.zst" else {}
+    if stats is None:
+        watch = Observation()
+        metrics = _day_metrics(days, time_col, id_col, schema)
+        arc.write_day_archive(_typed(rows, schema), staging, time_col, order_cols, n_parts, input_bytes=listed_bytes(rows),
+                              observe=lambda ordered: ordered.observe(watch, *metrics), **kind)
+        m = watch.get
+        stats = {d: (m[f"n{i}"], m.get(f"lo{i}"), m.get(f"hi{i}"), m[f"digest{i}"]) for i, d in enumerate(days) if m[f"n{i}"]}
     else:
-        arc.write_day_archive(rows, staging, time_col, order_cols, n_parts, input_bytes=size)
+        size = sum(x[0] for x in stats.values()) * 16 * len(schema.fields)  # the days' own rows, 16 bytes a field
+        arc.write_day_archive(_typed(rows, schema), staging, time_col, order_cols, n_parts, input_bytes=size, **kind)
     fs_st, st_path = fs_of(spark, staging)
     got = {}  # stays empty if every requested day was: nothing was written
     if fs_st.exists(st_path) and any(st.getPath().getName().startswith("day=") for st in fs_st.listStatus(st_path)):
@@ -372,6 +398,7 @@ def _write_and_publish(spark, rows, table, time_col, order_cols, days, root, sch
     fs_run, run_dir = fs_of(spark, staging.rsplit("/", 1)[0])
     if fs_run.exists(run_dir):
         fs_run.delete(run_dir, True)  # everything was published; only this run's leftovers remain
+    return stats
 
 
 def _adoptable(spark, schema, root, table, days, time_col, stats: dict) -> list[dt.date]:

@@ -133,6 +133,18 @@ def scanned_bytes(df) -> int:
     return min(total, UNKNOWN_BYTES)
 
 
+def listed_bytes(df) -> int | None:
+    """Bytes of the files that the plan's scans will open, after partition pruning; None if a scan does not say."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "FileSourceScanExec":
+            return None
+        total += int(leaf.selectedPartitions().totalFileSize())
+    return total
+
+
 def partitions_for(df, target_bytes: int = TARGET_PART_BYTES, input_bytes: int | None = None) -> int:
     """Enough partitions for ``target_bytes`` each, and at least one per core.
 

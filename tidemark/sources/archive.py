@@ -45,7 +45,8 @@ def _csv_options(writer_or_reader):
 
 def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Sequence[str],
                       n_parts: int | None = None, compression: str = "gzip", fmt: str = "csv",
-                      input_bytes: int | None = None, whole_days: bool = False, max_rows: int = 0) -> None:
+                      input_bytes: int | None = None, whole_days: bool = False, max_rows: int = 0,
+                      observe=lambda rows: rows) -> None:
     """Sorted header CSV, one folder per UTC day (S3, O1, O2).
 
     Range partitioning on (day, order...) cuts even one huge day into many
@@ -53,12 +54,13 @@ def write_day_archive(df: DataFrame, path: str, time_col: str, order_cols: Seque
     so a day's parts concatenated in name order are globally sorted.  With
     ``whole_days`` a day is written by one task, and the days are dealt over
     the tasks; ``max_rows`` cuts what a task writes into parts of so many rows
-    (not for csv.zst).
+    (not for csv.zst).  ``observe`` is given the sorted rows as they go to the
+    writer, to hang metrics on them (``DataFrame.observe``).
     """
     with_day = df.withColumn("day", day_of(time_col))
     n = n_parts or partitions_for(with_day, input_bytes=input_bytes)  # ~256 MB of input a part
     dealt = with_day.repartition(int(n), "day") if whole_days else with_day.repartitionByRange(int(n), "day", *order_cols)
-    ordered = dealt.sortWithinPartitions("day", *order_cols)
+    ordered = observe(dealt.sortWithinPartitions("day", *order_cols))
     if fmt == "csv.zst":  # Spark's CSV writer has no zstd codec: stream it with pyarrow inside the tasks
         _write_csv_zst(ordered, path)
         return
