@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import pickle
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +65,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, *cols: str) -> DataFrame:
-    """At most ``n`` rows (plus ties), those with the smallest hash of ``cols``: the same rows in every run.
+    """At most ``n`` rows, those with the smallest hash of ``cols``: the same rows in every run.
 
-    Only the hashes of n rows a partition are moved to find the threshold; the rows themselves are then read by
-    a filter.
+    Rows that are equal in ``cols`` count as one and one of them is taken, so repeats neither widen the sample nor crowd
+    it.  Only the n smallest hashes of a partition are moved to find the threshold; the rows are then read by a filter.
     """
+    key, = fresh(df, "sample_key")
     h = F.xxhash64(F.lit(20240101), *[F.col(c) for c in cols])
-    top = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).collect()[0]["h"]
-    return df.where(h <= F.lit(top)) if top is not None else df.where(F.lit(False))
+
+    def smallest(batches):
+        held = np.zeros(0, np.int64)
+        for b in batches:
+            held = np.unique(np.concatenate([held, b.column(0).to_numpy()]))[:n]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["h"])
+
+    low = df.select(h.alias("h")).mapInArrow(smallest, "h long").distinct().orderBy("h").limit(n)
+    top = low.agg(F.max("h").alias("h")).collect()[0]["h"]
+    if top is None:
+        return df.where(F.lit(False))
+    return df.withColumn(key, h).where(F.col(key) <= F.lit(top)).dropDuplicates([key]).drop(key)
