@@ -68,3 +68,38 @@ def test_empty_tables(spark):
     assert dc.contamination(docs(spark, []), bench(spark, ITEMS)).count() == 0
     got = dc.contamination(docs(spark, DOCS), bench(spark, [])).collect()
     assert len(got) == len(DOCS) and not any(r["contaminated"] or r["n_hit"] for r in got)
+
+
+def test_window_set_of_colliding_hashes_and_its_size(monkeypatch):
+    """Windows of one hash stay apart, repeats count once an item, and the set stays small against its text."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import textkit as tk
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 60)) for _ in range(r.choice([3, 13, 40]))) for _ in range(60)]
+    items = [(str(i), t) for i, t in enumerate(texts)] + [("x", texts[0]), ("x", texts[1] + " . " + texts[1]), (None, texts[2])]
+    real = tk.run_hashes
+    monkeypatch.setattr(tk, "run_hashes", lambda h, n: real(h, n) & np.uint64(0x700000000000000F))
+    docs_ = [(i, " ".join(r.choice(texts).split()[:r.randint(1, 40)]) + " " + r.choice(texts)) for i in range(80)]
+    got = [dc.judged(*x) for x in dc.scan(pa.array([t for _, t in docs_], pa.string()), dc.WindowSet(items))]
+    want = {w[0]: w[1:] for w in brute(docs_, items)}
+    assert all((g["n_words"], g["n_hit"], g["n_items"], g["items_sha256"], g["contaminated"]) == want[i] for i, g in enumerate(got))
+    monkeypatch.undo()
+    words = [f"{r.choice('abcdefgh')}{r.randint(0, 10**6)}" for _ in range(200_000)]
+    big = dc.WindowSet([(str(i), " ".join(words[i * 100:i * 100 + 100])) for i in range(2000)])
+    held = sum(x.nbytes for x in (big.data, *big.sizes[13][:3], *big.sizes[13][3], big.sizes[13][4]))
+    assert len(big.sizes[13][0]) > 170_000 and held < 16 * len(big.data) + (1 << 24)
+
+
+def test_hash_sample_is_bounded_by_ties(spark):
+    from tidemark.llm.frames import hash_sample
+
+    rows = spark.range(50_000).select(F.lit(7).alias("i"), F.lit("the same").alias("t"), F.col("id").alias("sample_key")).unionByName(
+        spark.range(500).select(F.col("id").cast("int").alias("i"), F.lit("other").alias("t"), F.col("id").alias("sample_key")))
+    got = [hash_sample(rows, 100, "i", "t").select("i", "t").collect() for _ in range(2)]
+    assert len(got[0]) == 100 and sorted(got[0]) == sorted(got[1]) and len(set(got[0])) == 100
+    assert hash_sample(rows, 1000, "i", "t").count() == 501 and hash_sample(rows.limit(0), 5, "i").count() == 0

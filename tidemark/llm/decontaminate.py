@@ -5,7 +5,7 @@ consecutive words of an item; a shorter item (but not an empty one) is one windo
 Arrow batches: window hashes by running sums, a bit table and a sorted hash set for candidates, then every hit is
 compared byte for byte with the window's words.
 
-The set that a task holds is bounded: ``block_bytes`` of window text.  A larger benchmark is scanned block by
+The set that a task holds is bounded: ``block_bytes`` of item text, whose windows take about seven times that.  A larger benchmark is scanned block by
 block, and the hits, keyed by the digest of the text (a document's hits depend on its text alone), are put
 together by a grouping; the result does not depend on the number of blocks.
 
@@ -29,42 +29,81 @@ from tidemark.llm.frames import Shared, fresh
 
 WINDOW = 13
 SHARE = 20  # contaminated: at least one word in 20 is hit
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 
 _RESULT = ("struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean,"
            "starts:array<int>,stops:array<int>,items:array<string>>")
 
 
 class WindowSet:
-    """Windows by their length in words: hash, bytes and the items that hold them."""
+    """Windows by their length in words: hashes, places in one buffer of the items' words, and the items that hold them.
+
+    A window is two numbers into that buffer, never bytes of its own: about 40 bytes a word of benchmark text, and
+    three times that while it is built.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], n: int = WINDOW):
-        text = pa.array([t for _, t in items], pa.large_string())
-        raw, off = tk.buffers(text)
-        w = tk.Words(raw, off, tk.ALNUM)
-        h = w.hashes()
-        joined, js, je = w.joined()
-        found: dict[int, dict[bytes, tuple[int, set]]] = defaultdict(dict)
-        for d, (item, _) in enumerate(items):
-            a, b = int(w.bounds[d]), int(w.bounds[d + 1])
-            size = min(n, b - a)
-            if not size:
-                continue
-            rh = tk.run_hashes(h[a:b], size)
-            for i in range(b - a - size + 1):
-                key = joined[js[a + i]:je[a + i + size - 1]].tobytes()
-                found[size].setdefault(key, (int(rh[i]), set()))[1].add(item)
-        self.sizes = {}
-        for size, windows in sorted(found.items()):
-            order = sorted(windows.items(), key=lambda kv: (kv[1][0], kv[0]))
-            hashes = np.array([v[0] for _, v in order], np.uint64)
-            data = np.frombuffer(b"".join(k for k, _ in order), np.uint8)
-            ends = np.cumsum([len(k) for k, _ in order])
-            bits = max(10, min(22, int(len(order) * 64).bit_length()))
-            table = np.zeros(1 << bits, bool)
-            table[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.sizes[size] = (hashes, data, ends - [len(k) for k, _ in order], ends,
-                                [sorted(x for x in v[1] if x is not None) for _, v in order], table, np.uint64(64 - bits))
+        raw, off = tk.buffers(pa.array([t for _, t in items], pa.large_string()))
+        self.ids = [i for i, _ in items]
+        found: dict[int, list] = defaultdict(list)
+        buffers, base = [], 0
+        for first, _, buf, o in tk.sliced(raw, off):
+            w = tk.Words(buf, o, tk.ALNUM)
+            h = w.hashes()
+            joined, js, je = w.joined()
+            count = w.counts()
+            size = np.minimum(count, n)
+            for k in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == k)
+                many = count[at] - k + 1
+                start = tk.ragged(w.bounds[at], many)
+                found[k].append((tk.run_hashes(h, k)[start], (base + js[start]).astype(np.int32),
+                                 (je[start + k - 1] - js[start]).astype(np.int32), np.repeat(first + at, many).astype(np.int32)))
+            buffers.append(joined)
+            base += len(joined)
+        self.data = np.concatenate(buffers) if buffers else np.zeros(0, np.uint8)
+        self.sizes = {k: self._merged(*(np.concatenate(x) for x in zip(*found[k], strict=True))) for k in sorted(found)}
+
+    def _merged(self, h, start, size, owner):
+        """Equal windows as one, in order of their hashes, with the items of each (as ranges of an array)."""
+        order = np.argsort(h, kind="stable")
+        h, start, size, owner = h[order], start[order], size[order], owner[order]
+        head = np.ones(len(h), bool)
+        head[1:] = h[1:] != h[:-1]
+        group = np.cumsum(head) - 1
+        odd = ~self._same(start, size, *(x[np.flatnonzero(head)][group] for x in (start, size)))
+        if odd.any():  # windows of one hash that differ: those beside the first kind stand as windows of their own
+            rank = np.zeros(len(h), np.int64)
+            for i in np.flatnonzero(odd):
+                kinds: dict[bytes, int] = {}
+                for j in np.flatnonzero(group == group[i]):
+                    rank[j] = kinds.setdefault(self.data[start[j]:start[j] + size[j]].tobytes(), len(kinds))
+            order = np.lexsort((rank, group))
+            h, start, size, owner, rank, group = (x[order] for x in (h, start, size, owner, rank, group))
+            head[1:] = (group[1:] != group[:-1]) | (rank[1:] != rank[:-1])
+            group = np.cumsum(head) - 1
+        pair = np.ones(len(h), bool)  # an item that holds a window twice counts once
+        order = np.lexsort((owner, group))
+        group, owner = group[order], owner[order]
+        pair[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+        owners, ptr = owner[pair], np.searchsorted(group[pair], np.arange(int(head.sum()) + 1))
+        h, start, size = h[head], start[head], size[head]
+        bits = max(10, min(24, int(len(h) * 64).bit_length()))
+        table = np.zeros(1 << bits, bool)
+        table[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return h, start, start + size, (owners, ptr), table, np.uint64(64 - bits)
+
+    def _same(self, a, size_a, b, size_b) -> np.ndarray:
+        """Are the bytes of two windows equal, pair by pair?  A few megabytes at a time."""
+        out = size_a == size_b
+        at = np.flatnonzero(out & (a != b))
+        total = np.cumsum(size_a[at], dtype=np.int64)
+        for part in np.split(at, np.searchsorted(total, np.arange(4_000_000, int(total[-1]) if len(at) else 0, 4_000_000))):
+            if len(part):
+                n = size_a[part].astype(np.int64)
+                same = self.data[tk.ragged(a[part].astype(np.int64), n)] == self.data[tk.ragged(b[part].astype(np.int64), n)]
+                out[part] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return out
 
     def hits(self, w: tk.Words):
         """Yields (size, first word of the hit, index of the window) arrays, verified; windows never cross texts."""
@@ -73,7 +112,8 @@ class WindowSet:
         h = w.hashes()
         joined, js, je = w.joined()
         doc = w.docs()
-        for size, (hashes, data, ws, we, _, table, shift) in self.sizes.items():
+        data = self.data
+        for size, (hashes, ws, we, _, table, shift) in self.sizes.items():
             rh = tk.run_hashes(h, size)
             at = np.flatnonzero(table[(rh >> shift).astype(np.int64)])
             at = at[doc[at] == doc[at + size - 1]]
@@ -94,7 +134,9 @@ class WindowSet:
                 lo = lo + 1
 
     def items(self, size: int, i: int) -> list[str]:
-        return self.sizes[size][4][i]
+        """The ids of the items that hold a window; items without an id are not listed."""
+        owners, ptr = self.sizes[size][3]
+        return [self.ids[o] for o in owners[ptr[i]:ptr[i + 1]] if self.ids[o] is not None]
 
 
 def scan(texts: pa.Array, windows: WindowSet) -> list[tuple[int, list, list, list]]:
