@@ -107,3 +107,12 @@ def test_components(spark, pairs):
     real = [(a, b) for a, b in pairs if a is not None and b is not None and a != b]
     want = union_find({x for p in real for x in p}, real)
     assert got == want
+
+
+def test_dedup_of_text_ids_and_of_rows_that_differ_elsewhere(spark):
+    rows = [("b", "a b c d e f g h", "x"), ("a", "a b c d e f g h", "y"), ("a", "a b c d e f g h", "z"), (None, "a b c d e f g h", "x"),
+            (None, "quite another text here", "q"), (None, "quite another text here", "r"), ("10", "", "e"), ("9", None, "e")]
+    d = spark.createDataFrame(rows, "doc_id string, text string, more string").withColumn("No_Id", F.lit(1))
+    got = [sorted(map(tuple, simhash.simhash_dedup(d.repartition(k)).collect()), key=str) for k in (1, 5)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == ["10", "a", None] or sorted(str(r[0]) for r in got[0]) == ["10", "None", "a"]
+    assert got[0] == got[1] and simhash.simhash_dedup(d).columns == d.columns
