@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import htmltext as ht
 
@@ -164,3 +165,28 @@ def test_query_keeps_whole_articles_sf0001(spark):
 
 def test_empty_table(spark):
     assert ht.extract_text(frame(spark, [])).count() == 0
+
+
+FURNITURE_NAMES = ["reader-comments", "user-comments", "article-comments", "comments-thread", "google-ads", "ad-300x250",
+                   "gdpr-banner", "mega-menu", "author-promo", "taboola-widget", "story__related-items", "site_footer-2"]
+CONTENT_NAMES = ["share-prices", "has-sidebar", "no-sidebar", "comments-open", "content-and-comments", "menu-free", "notice-period",
+                 "widgetry", "advert-history-text", "elementor-widget"]
+
+
+@pytest.mark.parametrize("attr", ["class", "id"])
+@pytest.mark.parametrize("where", ["article", "beside"])
+def test_compound_names_of_furniture(attr, where):
+    def page(name):
+        box = f'<div {attr}="{name}"><p>Inside the box.</p></div>'
+        return f"<article><p>Before it.</p>{box}<p>After it.</p></article>" if where == "article" else f"<article><p>Text.</p></article>{box}"
+
+    for name in FURNITURE_NAMES:
+        assert (ht.FURNITURE, "Inside the box.") in ht.blocks(page(name)), name
+    for name in CONTENT_NAMES:
+        assert (ht.FURNITURE, "Inside the box.") not in ht.blocks(page(name)), name
+    for name in [*CONTENT_NAMES, "page-menu", "mega-menu"]:  # a wrapper's name never hides the article inside
+        assert (ht.ARTICLE, "Kept.") in ht.blocks(f'<div {attr}="{name}"><article><p>Kept.</p></article></div>'), name
+
+
+def test_zero_width_characters_are_not_white_space():
+    assert ht.blocks("<p>foo\u200bbar\ufeff \u00a0 baz</p>") == [(ht.PLAIN, "foo\u200bbar\ufeff baz")]

@@ -56,7 +56,9 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code
            "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
            "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _ENDED_BY_BLOCK = {"p"}
-# a class or id names furniture if all parts of it are such words, at least one of the first kind
+# A class or id names furniture if all parts of it are such words, at least one of the first kind, or if its head is:
+# the last part, before what only says what it is made of (``reader-comments``, ``ad-300x250``, ``disqus_thread``), unless
+# a part says that the name is about a state or a whole (``has-sidebar``, ``comments-open``, ``content-and-comments``).
 _NAMES = set("""ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent
     notice notices popup modal newsletter subscribe signup sidebar side-bar widget widgets menu navbar nav navigation breadcrumb
     breadcrumbs pagination pager share sharing social footer masthead skip""".split())
@@ -64,11 +66,15 @@ _TALK = set("comment comments respond disqus replies related recommended".split(
 _FILLERS = set("""site page main top bottom left right side primary secondary global mobile box bar block list item items
     link links button buttons area section container wrap wrapper inner outer slot unit row header form body post posts entry
     articles icons""".split())
+_TAILS = set("""area box bar block list item items container wrap wrapper inner outer slot unit row section thread feed form
+    button buttons link links icons""".split())
+_STATES = set("has no not non with without is and plus content open closed on off enabled disabled show hide toggle elementor".split())
+_SIZE = re.compile(r"\d+(x\d+)?\Z")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[\s​﻿]+")
+_SPACE = re.compile(r"\s+")
 
 ARTICLE, PLAIN, FURNITURE = 2, 1, 0
 _WRAPPED = -1  # furniture by the name of a wrapper or by a form around it: an article inside is one nevertheless
@@ -81,6 +87,11 @@ def _named(named: dict[str, str], words: set[str]) -> bool:
         if token in words or (any(p in words for p in parts)
                               and all(p in words or p in _FILLERS or p.isdigit() for p in parts)):
             return True
+        if len(parts) > 1 and _STATES.isdisjoint(parts):
+            while len(parts) > 1 and (parts[-1] in _TAILS or _SIZE.match(parts[-1])):
+                parts.pop()
+            if parts[-1] in words:
+                return True
     return False
 
 
