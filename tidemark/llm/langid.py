@@ -136,7 +136,8 @@ def predict_language(model: LanguageModel | None, text: Column) -> Column:
         for i in range(0, len(texts), _BATCH):
             batch = [t.as_py() for t in texts[i:i + _BATCH]]
             if m is not None:
-                z = SHARPNESS * m.outputs(presence_rows(batch, rows)).astype(np.float64)
+                presence_rows(batch, rows)  # always the whole block: a text's score must not hang on how many stand beside it
+                z = SHARPNESS * m.outputs(rows)[:len(batch)].astype(np.float64)
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
             for k, t in enumerate(batch):

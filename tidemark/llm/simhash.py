@@ -139,13 +139,14 @@ def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     the smallest hash of all columns.  Null and blank texts are one component.  Very long texts are read whole, one at a
     time, at about 25 bytes a byte of text.  Empty table: no rows.  Columns of any name pass through.
     """
-    no_id, kid, th = fresh(docs, "no_id", "row_id", "text_hash")
-    key = [F.col(id_col).isNull().alias(no_id), F.col(id_col).alias(kid), F.xxhash64(text_col).alias(th)]
+    no_id, kid, sid, th = fresh(docs, "no_id", "row_id", "id_text", "text_hash")
+    as_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = [F.col(id_col).isNull().alias(no_id), F.col(id_col).alias(kid), as_text.alias(sid), F.xxhash64(text_col).alias(th)]
     rows = cut(docs.select(*key, fingerprint(F.col(text_col), shingle).alias("fp")))
-    per_print = rows.groupBy("fp").agg(F.min(F.struct(no_id, kid, th)).alias("k"))  # copies meet the join as one row
+    per_print = rows.groupBy("fp").agg(F.min(F.struct(no_id, kid, sid, th)).alias("k"))  # copies meet the join as one row
     first = per_print.join(_rooted(rows, max_bits), "fp").groupBy("root").agg(F.min("k").alias("k"))
-    winners = first.select(F.col(f"k.{kid}").alias("i"), F.col(f"k.{th}").alias("h"))
-    found = docs.select("*", F.col(id_col).alias(kid), F.xxhash64(text_col).alias(th)).join(
-        winners, F.col(kid).eqNullSafe(F.col("i")) & (F.col(th) == F.col("h")))
-    one = found.groupBy(kid, th).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    same = [no_id, sid, th]  # plain equality of three columns: the join's shuffle serves the grouping as well
+    found = docs.select("*", *[c for n, c in zip((no_id, kid, sid, th), key, strict=True) if n != kid]).join(
+        first.select(*[f"k.{c}" for c in same]), same)
+    one = found.groupBy(*same).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
     return one.select("r.*")
