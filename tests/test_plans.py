@@ -4,6 +4,8 @@ import re
 
 import __spark_entry__ as E
 from tests.conftest import SF001
+from tidemark.operators import late
+from tidemark.sources import fixtures as fx
 
 
 def _plan(df):
@@ -16,7 +18,8 @@ def _windows_over_rows(plan: str):
 
 
 def test_monotonicity_has_no_global_window_over_rows(spark):
-    plan = _plan(E.queries()["monotonicity_violations"](spark, SF001))
+    trades = fx.trades(spark, SF001).select("id", "executed_at")  # the registered query settles this frame
+    plan = _plan(late.monotonicity_violations(trades, "id", "executed_at"))
     specs = _windows_over_rows(plan)
     # one window per bucket over the rows; the only unpartitioned window runs over the per-bucket table
     assert any("_bk" in s and "id" in s for s in specs)
