@@ -76,6 +76,44 @@ def test_scores_equal_brute_force(spark, monkeypatch, small):
         assert g[6] == pytest.approx(w[5], abs=0.012 * w[1] + 0.01)  # 8-bit numerators
 
 
+def learned(d):
+    return d.select("text", F.lit(True).alias("learn"), F.col("doc_id").alias("k0"))
+
+
+def test_pair_of_a_third_of_all_tokens_is_split(spark, monkeypatch):
+    """One pair a third of all tokens, spread over the documents: no shard is much above the median, scores stay exact."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5000)
+    monkeypatch.setattr(lm, "CHUNK", 4000)
+    monkeypatch.setattr(lm, "CHUNK_DOCS", 400)
+    r, many = random.Random(9), [f"w{j}" for j in range(3000)]
+    rows = [(i, " ".join(["na na", r.choice(many), "na na", f"u{i}", "na na"])) for i in range(9000)]
+    d = docs(spark, rows).repartition(6, "doc_id")
+    corpus = lm._survey(learned(d))
+    na = lm.tk.Words(np.frombuffer(b"na", np.uint8), np.array([0, 2]), lm.tk.SPACED).hashes()
+    hot, at = corpus.heavy_pair(na, na)
+    assert hot[0] and corpus.pair_counts[at[0]] == 27000 and corpus.shards >= 16
+    sent = lm._send(learned(d), corpus).where("not head").groupBy("shard").agg(
+        F.sum(sum(F.octet_length(c) for c in "wpder")).alias("n")).toPandas()["n"]
+    assert sent.max() <= 1.5 * sent.median()
+    heads = lm._send(learned(d), corpus).where("head").groupBy("shard").count().toPandas()["count"]
+    assert heads.sum() >= 24 and len(heads) > corpus.shards / 2
+    got = {r[0]: r["score"] for r in lm.score_corpus(d, F.lit(True)).collect()}
+    for w in brute(rows, [True] * len(rows)):
+        assert got[w[0]] == pytest.approx(w[5], abs=0.012 * w[1] + 0.01)
+
+
+def test_pair_hot_in_rows_not_learned(spark, monkeypatch):
+    """A pair frequent where nothing is learned from is split as well, and its count is that of the learned rows."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm, "CHUNK", 300)
+    rows = [(i, "so so so" if i % 9 else f"so so x{i}") for i in range(900)]
+    on = [i % 9 == 0 for i, _ in rows]
+    got = {r["doc_id"]: r for r in lm.score_corpus(docs(spark, rows), F.col("doc_id") % 9 == 0).collect()}
+    for w in brute(rows, on):
+        assert tuple(got[w[0]])[2:5] == w[1:4]
+        assert got[w[0]]["score"] == pytest.approx(w[5], abs=0.012 * w[1] + 0.01)
+
+
 def test_nothing_learned_and_empty(spark):
     d = docs(spark, [(0, "a b"), (1, None)])
     got = lm.score_corpus(d, F.lit(False)).collect()

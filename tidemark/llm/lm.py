@@ -15,11 +15,12 @@ numerators of pairs in 8 bits, of words in 16.  The levels are files, mapped
 into memory; a shard's files live as long as its task.
 
 Scoring: a task cuts its texts into chunks of about ``CHUNK`` tokens and
-sends, per shard, the chunk's distinct pairs with the documents they occur in.
-The shard counts the training occurrences, builds its trie, answers every pair
-and returns sums by document; a last grouping by chunk adds them up.  Words
-that hold more than a 1/2048th of the training tokens are known by exact
-counts to all shards, and their pairs are dealt by both words.  The number of
+sends, per shard, the chunk's distinct pairs with the documents they occur in
+and how often.  The shard counts the training occurrences, builds its trie,
+answers every pair and returns sums by document; a last grouping by chunk adds
+them up.  Words and pairs that hold more than a 1/2048th of all tokens are
+known by exact counts to all shards: a heavy word's pairs are dealt by both
+words, a heavy pair's documents by chunk and document as well.  The number of
 shards follows the number of tokens.
 """
 
@@ -45,6 +46,7 @@ CHUNK = 800_000
 CHUNK_DOCS = 32_000
 SHARD_TOKENS = 1_600_000
 HEAVY = 2048
+WAYS = 16  # a heavy pair's documents of one chunk go to at most so many shards
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547)  # a word's hash is mixed, so these two are nobody's
 _PAIR_STEP = 24.0  # 8 bits: log10 of numerators from -2 in steps of 1/24
 _WORD_STEP = 4096.0  # 16 bits: log10 from -14 in steps of 1/4096
@@ -92,79 +94,111 @@ def _merge(held: list[tuple]):
 
 
 class _Corpus:
-    """What every task knows: heavy words with their exact counts, the sizes of the training set, the shards."""
+    """What every task knows: heavy words and pairs with their exact counts, the sizes of the training set, the shards."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, docs: int, shards: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, ways: np.ndarray,
+                 tokens: int, docs: int, shards: int):
+        """words: ascending; pairs: ascending codes, the word's place * (words + 1) + the previous word's (last: begin)."""
+        self.words, self.counts = words, counts
+        self.pairs, self.pair_counts, self.ways = pairs, pair_counts, ways
         self.tokens, self.docs, self.shards = tokens, docs, shards
 
     def heavy(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is it heavy, its place) of every word."""
-        if not len(self.words):
-            return np.zeros(len(w), bool), np.zeros(len(w), np.int64)
-        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        return self.words[at] == w, at
+        return _places(self.words, w)
 
-    def shard(self, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    def heavy_pair(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it heavy, its place) of every pair of a word and the one before it."""
+        return _places(self.pairs, _pair_codes(self.words, w, u))
+
+    def shard(self, w: np.ndarray, u: np.ndarray, doc: np.ndarray, chunk: int) -> np.ndarray:
         hot, _ = self.heavy(w)
         key = np.where(hot, tk.mix64(w ^ tk.mix64(u)), w)
+        if len(self.pairs):
+            hot, place = self.heavy_pair(w, u)
+            salt = np.uint64(chunk) * np.uint64(WAYS) + (doc[hot] % self.ways[place[hot]]).astype(np.uint64)
+            key[hot] ^= tk.mix64(salt)
         return (tk.mix64(key) % np.uint64(self.shards)).astype(np.int64)
 
 
+def _places(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is it there, its place) of every value in an ascending array."""
+    if not len(known):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return known[at] == asked, at
+
+
+def _pair_codes(words: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """place of w * (words + 1) + place of u (begin: the last); -1 where either is not among ``words``."""
+    (there, i), (before, j) = _places(words, w), _places(words, u)
+    begin = u == BEGIN
+    return np.where(there & (before | begin), i * (len(words) + 1) + np.where(begin, len(words), j), -1)
+
+
 def _survey(docs: DataFrame) -> _Corpus:
-    """Heavy words, exactly counted, and the size of the training set; two scans, bounded results.
+    """Heavy words and pairs, exactly counted, and the size of the training set; two scans, bounded results.
 
-    A chunk names the words that hold more than 1/(2 HEAVY) of its tokens.  A word that holds 1/HEAVY of all
-    tokens has at least half of them in chunks that name it, so the named counts of at most 2 HEAVY words can
-    reach 1/(2 HEAVY): only those come to the driver.
+    A chunk names the words and the pairs that hold more than 1/(2 HEAVY) of its tokens.  One that holds 1/HEAVY of
+    all tokens has at least half of them in chunks that name it, so the named counts of at most 2 HEAVY words and as
+    many pairs can reach 1/(2 HEAVY): only those come to the driver.  Both words of a named pair are named, too.
     """
-    spark = docs.sparkSession
 
     def name(batches):
-        for _, tokens, _, doc, learn, _ in _chunks(batches):
-            t = tokens[learn[doc]]
-            u, c = np.unique(t, return_counts=True)
-            big = c > len(t) / (2 * HEAVY)
+        for _, tokens, before, doc, learn, _ in _chunks(batches):
+            least = len(tokens) / (2 * HEAVY)
+            w, c = np.unique(tokens, return_counts=True)
+            w, c = w[c > least], c[c > least]
+            codes = _pair_codes(w, tokens, before)
+            pair, pc = np.unique(codes[codes >= 0], return_counts=True)
+            pair, pc = pair[pc > least], pc[pc > least]
+            ends = np.append(w, BEGIN).view(np.int64)
+            on = learn[doc]
             yield pa.RecordBatch.from_pydict({
-                "w": pa.array(np.append(u[big].view(np.int64), 0)), "n": pa.array(np.append(c[big], len(t))),
-                "d": pa.array(np.append(np.zeros(big.sum(), np.int64), learn.sum())),
-                "k": pa.array(np.append(np.ones(big.sum(), bool), False))})
-
-    named = cut(docs.select("text", "learn").mapInArrow(name, "w long, n long, d long, k boolean").groupBy("k", "w").agg(
-        F.sum("n").alias("n"), F.sum("d").alias("d")))
-    total = named.where("not k").select("n", "d").collect()
-    n, d = (int(total[0]["n"]), int(total[0]["d"])) if total else (0, 0)
-    all_tokens = n
-    rows = named.where(F.col("k") & (F.col("n") > n / (2 * HEAVY))).select("w").collect()
-    words = np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
+                "k": pa.array(np.repeat([0, 1, 2], [1, len(w), len(pair)])),
+                "w": pa.array(np.concatenate([[0], ends[:-1], ends[pair // (len(w) + 1)]])),
+                "u": pa.array(np.concatenate([np.zeros(1 + len(w), np.int64), ends[pair % (len(w) + 1)]])),
+                "n": pa.array(np.concatenate([[len(tokens)], c, pc])),
+                "t": pa.array(np.append([on.sum()], np.zeros(len(w) + len(pair), np.int64))),
+                "d": pa.array(np.append([learn.sum()], np.zeros(len(w) + len(pair), np.int64)))})
+
+    named = cut(docs.select("text", "learn").mapInArrow(name, "k long, w long, u long, n long, t long, d long")
+                .groupBy("k", "w", "u").agg(*[F.sum(c).alias(c) for c in "ntd"]))
+    sums = named.where("k = 0").select("n", "t", "d").collect()
+    total, n, d = (int(x) for x in sums[0]) if sums else (0, 0, 0)
+    rows = named.where((F.col("k") > 0) & (F.col("n") > total / (2 * HEAVY))).select("k", "w", "u", "n").collect()
+    words = np.sort(np.array([r["w"] for r in rows if r["k"] == 1], np.int64).view(np.uint64))
+    two = [(r["w"], r["u"], r["n"]) for r in rows if r["k"] == 2]
+    w, u, c = (np.array([r[i] for r in two], np.int64) for i in range(3))
+    pairs = _pair_codes(words, w.view(np.uint64), u.view(np.uint64))
+    order = np.argsort(pairs)
+    pairs, ways = pairs[order], np.minimum(1 + 64 * c[order] // max(total, 1), WAYS)
 
     def count(batches):
-        out, known = np.zeros(len(words), np.int64), 0
-        for _, tokens, _, doc, learn, _ in _chunks(batches):
-            t = tokens[learn[doc]]
-            if len(words):
-                at = np.minimum(np.searchsorted(words, t), len(words) - 1)
-                out += np.bincount(at[words[at] == t], minlength=len(words))
-            known += len(tokens)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(-1, len(words))), "n": pa.array(np.append([known], out))})
+        one, both = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+        for _, tokens, before, doc, learn, _ in _chunks(batches):
+            on = learn[doc]
+            for out, known, asked in ((one, words, tokens[on]), (both, pairs, _pair_codes(words, tokens[on], before[on]))):
+                there, at = _places(known, asked)
+                out += np.bincount(at[there], minlength=len(known))
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(words) + len(pairs))), "n": pa.array(np.append(one, both))})
 
     exact = {r["i"]: r["n"] for r in docs.select("text", "learn").mapInArrow(count, "i long, n long").groupBy("i").agg(
-        F.sum("n").alias("n")).collect()}
-    counts = np.array([exact.get(i, 0) for i in range(len(words))], np.int64)
-    all_tokens = int(exact.get(-1, 0) or 0)
-    return _Corpus(words, counts, n, d, max(1, -(-all_tokens // SHARD_TOKENS)))
+        F.sum("n").alias("n")).collect()} if len(words) else {}
+    counts = np.array([exact.get(i, 0) for i in range(len(words) + len(pairs))], np.int64)
+    return _Corpus(words, counts[:len(words)], pairs, counts[len(words):], ways, n, d, max(1, -(-total // SHARD_TOKENS)))
 
 
 _SENT = T.StructType([T.StructField("shard", T.LongType()), T.StructField("chunk", T.LongType()),
-                      T.StructField("head", T.BooleanType()), *[T.StructField(c, T.BinaryType()) for c in "wpde"]])
+                      T.StructField("head", T.BooleanType()), *[T.StructField(c, T.BinaryType()) for c in "wpder"]])
 
 
 def _send(docs: DataFrame, corpus: _Corpus) -> DataFrame:
     """Rows (shard, chunk): the chunk's pairs of the shard, and one head row a chunk with its documents.
 
-    w: pairs as (word, previous word), sorted; p: occurrences of every pair; d: their documents, twice the number
-    plus 1 if it is learned from.
+    w: the words and how many pairs each has; p: the previous word of every pair, sorted within a word; d: the number
+    of documents of every pair; e: these documents, twice the number plus 1 if it is learned from; r: places in e where
+    the pair occurs more than once in the document, then how often.
     """
 
     def run(batches):
@@ -172,21 +206,25 @@ def _send(docs: DataFrame, corpus: _Corpus) -> DataFrame:
 
         base, k = TaskContext.get().partitionId() << 32, 0
         for rows, tokens, before, doc, learn, total in _chunks(batches):
-            shard = corpus.shard(tokens, before)
+            shard = corpus.shard(tokens, before, doc, base + k)
             order = np.argsort(before, kind="stable")
             order = order[np.argsort(tokens[order], kind="stable")]
             order = order[np.argsort(shard[order].astype(np.uint16 if corpus.shards < 65536 else np.int64), kind="stable")]
             s, t, u = shard[order], tokens[order], before[order]
             flag = (2 * doc + learn[doc])[order].astype(np.uint16)
-            first = np.ones(len(s), bool)
-            first[1:] = (t[1:] != t[:-1]) | (u[1:] != u[:-1])
-            at = np.flatnonzero(first)
-            size = np.diff(np.append(at, len(s))).astype(np.uint32)
-            pairs_t, pairs_u, pair_s = t[at], u[at], s[at]
+            first = np.ones(len(s), bool)  # of the pair in the shard; documents ascend within it
+            first[1:] = (t[1:] != t[:-1]) | (u[1:] != u[:-1]) | (s[1:] != s[:-1])
+            once = first.copy()
+            once[1:] |= flag[1:] != flag[:-1]
+            here = np.flatnonzero(once)
+            times = np.diff(np.append(here, len(s))).astype(np.uint32)
+            at = np.flatnonzero(first[here])
+            flag, size = flag[here], np.diff(np.append(at, len(here))).astype(np.uint32)
+            pairs_t, pairs_u, pair_s = t[here][at], u[here][at], s[here][at]
             new_word = np.ones(len(at), bool)
             new_word[1:] = (pairs_t[1:] != pairs_t[:-1]) | (pair_s[1:] != pair_s[:-1])
             cuts = np.searchsorted(pair_s, np.arange(corpus.shards + 1))
-            out = {c: [] for c in ("shard", "chunk", "head", "w", "p", "d", "e")}
+            out = {c: [] for c in ("shard", "chunk", "head", "w", "p", "d", "e", "r")}
 
             def put(*values, out=out):
                 for c, v in zip(out, values, strict=True):
@@ -194,16 +232,19 @@ def _send(docs: DataFrame, corpus: _Corpus) -> DataFrame:
 
             for i in np.flatnonzero(np.diff(cuts)):
                 a, b = cuts[i], cuts[i + 1]
-                lo, hi = at[a], at[b] if b < len(at) else len(s)
+                lo, hi = at[a], at[b] if b < len(at) else len(here)
+                more = np.flatnonzero(times[lo:hi] > 1).astype(np.uint32)
                 heads = np.flatnonzero(new_word[a:b])
                 words = np.concatenate([pairs_t[a:b][heads], np.diff(np.append(heads, b - a)).astype(np.uint64)])
                 put(int(i), base + k, False, words.tobytes(), pairs_u[a:b].tobytes(),
-                    size[a:b].astype(np.uint8 if size[a:b].max() < 256 else np.uint32).tobytes(), flag[lo:hi].tobytes())
+                    size[a:b].astype(np.uint8 if size[a:b].max() < 256 else np.uint32).tobytes(), flag[lo:hi].tobytes(),
+                    np.concatenate([more, times[lo:hi][more]]).tobytes())
             sink = pa.BufferOutputStream()
             carried = rows.append_column("_n", pa.array(total.astype(np.int64)))
             with pa.ipc.new_stream(sink, carried.schema) as writer:
                 writer.write_table(carried)
-            put((base + k) % corpus.shards, base + k, True, sink.getvalue().to_pybytes(), b"", b"", b"")
+            home = int(tk.mix64(np.array([base + k], np.uint64))[0] % np.uint64(corpus.shards))
+            put(home, base + k, True, sink.getvalue().to_pybytes(), b"", b"", b"", b"")
             yield pa.RecordBatch.from_pydict(out, schema=_ARROW_SENT)
             k += 1
 
@@ -211,7 +252,7 @@ def _send(docs: DataFrame, corpus: _Corpus) -> DataFrame:
 
 
 _ARROW_SENT = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("head", pa.bool_()),
-                         *[(c, pa.binary()) for c in ("w", "p", "d", "e")]])
+                         *[(c, pa.binary()) for c in "wpder"]])
 
 
 class Trie:
@@ -290,14 +331,20 @@ def _unpack_sums(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _times(n: int, more: np.ndarray) -> np.ndarray:
+    """Occurrences of a pair in each of its ``n`` documents: 1 but where ``more`` (places, then counts) says otherwise."""
+    out = np.ones(n, np.int64)
+    out[more[:len(more) // 2]] = more[len(more) // 2:]
+    return out
+
+
 def _answer(sent: DataFrame, corpus: _Corpus, mu: float) -> DataFrame:
     """Per shard and chunk, sums by document: known tokens, log10(c + 1/2) of all, log10 p without unknown words' share."""
 
     def run(table: pa.Table) -> pa.Table:
         out = {"chunk": [], "head": [], "vocabulary": [], "data": []}
         parts = []
-        for chunk, head, w, p, d, e in zip(*(table.column(c).to_pylist() for c in ("chunk", "head", "w", "p", "d", "e")),
-                                           strict=True):
+        for chunk, head, w, p, d, e, r in zip(*(table.column(c).to_pylist() for c in ("chunk", "head", *"wpder")), strict=True):
             if head:
                 out["chunk"].append(chunk), out["head"].append(True), out["vocabulary"].append(0), out["data"].append(w)
                 continue
@@ -307,37 +354,43 @@ def _answer(sent: DataFrame, corpus: _Corpus, mu: float) -> DataFrame:
             word = np.repeat(half[:n], half[n:].astype(np.int64))
             size = np.frombuffer(d, np.uint8 if len(d) == len(prev) else np.uint32).astype(np.int64)
             flag = np.frombuffer(e, np.uint16)
-            parts.append((chunk, word, prev, size, flag))
+            parts.append((chunk, word, prev, size, flag, np.frombuffer(r, np.uint32)))
         if parts:
             word, prev = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-            seen = np.concatenate([np.add.reduceat((x[4] & 1).astype(np.int64), np.cumsum(x[3]) - x[3]) for x in parts])
+            seen = np.concatenate([np.add.reduceat((flag & 1) * _times(len(flag), more), np.cumsum(size) - size)
+                                   for _, _, _, size, flag, more in parts])
             words, at = np.unique(word, return_inverse=True)
             hot, place = corpus.heavy(words)
             count = np.bincount(at, seen, len(words)).astype(np.int64)
             if hot.any():
                 count[hot] = corpus.counts[place[hot]]
-            on = np.flatnonzero(seen)
+            hot_pair, pair = corpus.heavy_pair(word, prev)  # its other documents are in other shards
+            if hot_pair.any():
+                hot_pair[hot_pair] = corpus.pair_counts[pair[hot_pair]] > 0
+            on = np.flatnonzero((seen > 0) | hot_pair)
             order = np.argsort(prev[on], kind="stable")
             order = on[order[np.argsort(at[on][order], kind="stable")]]
             a, u, c = at[order], prev[order], seen[order]
             first = np.ones(len(a), bool)
             first[1:] = (a[1:] != a[:-1]) | (u[1:] != u[:-1])
             total = np.add.reduceat(c, np.flatnonzero(first)) if len(c) else c
+            exact = hot_pair[order][first]
+            total[exact] = corpus.pair_counts[pair[order][first][exact]]
             folder = tempfile.mkdtemp(prefix="trie-")
             try:
                 trie = Trie(words, count, a[first], u[first], total, corpus.tokens, mu, folder)
                 context = np.where(words == END, 0.0, np.log10(count + mu))
                 begin = 0
-                for chunk, _, pv, size, flag in parts:
+                for chunk, _, pv, size, flag, more in parts:
                     i = at[begin:begin + len(pv)]
                     begin += len(pv)
                     value = trie.pair_log10(i, pv) - context[i]
                     doc = (flag >> 1).astype(np.int64)
                     n = int(doc.max()) + 1
-                    i, value = np.repeat(i, size), np.repeat(value, size)
-                    known = np.bincount(doc, count[i] > 0, n)
-                    base = np.bincount(doc, np.log10(count[i] + 0.5), n)
-                    model = np.bincount(doc, value, n)
+                    i, value, times = np.repeat(i, size), np.repeat(value, size), _times(len(flag), more)
+                    known = np.bincount(doc, (count[i] > 0) * times, n)
+                    base = np.bincount(doc, np.log10(count[i] + 0.5) * times, n)
+                    model = np.bincount(doc, value * times, n)
                     some = np.unique(doc)
                     out["chunk"].append(chunk), out["head"].append(False), out["vocabulary"].append(0)
                     out["data"].append(_pack_sums({"doc": some, "known": known[some], "base": base[some], "model": model[some]}))
@@ -357,7 +410,8 @@ def score_corpus(docs: DataFrame, learn: Column, text_col: str = "text", keep: t
     """``keep`` columns, learned, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows where ``learn`` is true.  Null texts are empty (one end token).  Repeated rows are
-    learned from and scored each.  Nothing to learn from: n_known 0, and both scores give every token the
+    learned from and scored each.  A very long text is worked on whole, by one task.  Columns of ``docs`` may have
+    any names.  Nothing to learn from: n_known 0, and both scores give every token the
     probability of the one unknown type, 1.  Empty table: no rows.
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"),
