@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import urlfilter
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -43,6 +45,19 @@ def test_rules_and_carried_decisions(spark):
         assert r["verdict"] == (verdict or CARRIED.get(r["page_id"], "allow")), r
 
 
+def test_links_only_where_a_browser_reads_them(spark):
+    block = LINK.format("http://a.net/x")
+    html = [f"<!-- {block} -->", f"<!-- open {block}", f"<script>'{block}'</script >", f"<TITLE>{block}</title>",
+            '<link title="a>b" rel="canonical" href="http://a.net/x">', "<link title='rel=\"canonical\"' href='http://a.net/x'>",
+            f"<!-- x -->{block}<!-- y -->", "<link rel=canonical href=http://a.net/x>", f"<script src=a></script>{block}",
+            "<link data-rel=canonical href='http://a.net/x'>", "<link title='" + "a>" * 50000 + "' rel=canonical href='http://a.net/x'>",
+            "<link " + "a='b' " * 50000 + "rel=canonical href='http://a.net/x'>", "<link/rel='canonical'/href='http://a.net/x'/>", "<!--" * 20000]
+    rows = [(i, f"http://m.io/{i}", h) for i, h in enumerate(html)]
+    got = {r["page_id"] for r in urlfilter.filter_urls(frame(spark, rows).withColumn("rel", F.lit(1)).withColumn("tag", F.lit(2)))
+           .where("verdict = 'block'").collect()}
+    assert got == {4, 6, 7, 8, 10, 11, 12}
+
+
 def test_more_edges(spark):
     edges = spark.createDataFrame([("http://mail.io/", "http://a.net/x"), (None, "http://a.net/x")], "a string, b string")
     got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(frame(spark, PAGES), edges=edges).collect()}

@@ -19,6 +19,10 @@ from tidemark.llm.components import components
 from tidemark.llm.frames import cut
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# what a browser does not read as tags: comments (to the end of the page if not closed), scripts, styles, text fields
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?</\1\s*+>"
+_TAG = r"""(?is)<(?:link|meta)\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+_ATTRIBUTE = r"""[^\s"'>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -51,8 +55,10 @@ def url_key(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(url_host(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of that name, "" if there is none."""
+    named = F.filter(attributes, lambda a: a.rlike(rf"(?i)^{name}\s*="))
+    value = F.coalesce(F.regexp_extract(F.get(named, 0), r"(?s)=\s*(.*)", 1), F.lit(""))
     return F.trim(F.replace(F.btrim(value, F.lit("\"'")), F.lit("&amp;"), F.lit("&")))
 
 
@@ -73,8 +79,14 @@ def _absolute(links: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target): canonical links and refresh redirects found in the pages' html, as absolute urls."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b([^>]*)>"), F.lit(1))
+    """(url, target): canonical links and refresh redirects found in the pages' html, as absolute urls.
+
+    Null html has none, nor have comments, scripts, styles, titles and text fields; a quoted ``>`` does not end a tag.
+    Very long pages are read whole.
+    """
+    read = F.regexp_replace(F.col(html_col), _UNREAD, " ")
+    tags = F.transform(F.regexp_extract_all(read, F.lit(_TAG), F.lit(1)),
+                       lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(0)))
     tag = F.col("tag")
     marked = pages.where(F.col(html_col).rlike(r"(?i)\bcanonical\b|http-equiv")).select(
         F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
@@ -92,7 +104,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """``keep`` columns with host, path, rule and verdict of every row.
 
     ``edges``: more equivalent urls as (url, target), e.g. from a redirect log.  Null urls and urls without ``://``
-    have an empty host and path, fit no rule, join nothing and are allowed.  Repeated rows stay.
+    have an empty host and path, fit no rule, join nothing and are allowed.  Repeated rows stay.  Very long urls and
+    pages are read whole.  Other columns of ``pages`` may have any names.  Empty table: no rows.
     """
     u, v = F.col(url_col), ("_host", "_path", "_match")
     judged = pages.select(*keep, u.alias("_url"), url_host(u).alias(v[0]), url_path(u).alias(v[1]))
