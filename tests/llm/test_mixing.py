@@ -26,8 +26,8 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, top=2):
     return out
 
 
-def coin(i):
-    return int(hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
+def coin(i, t):
+    return int(hashlib.md5(f"mix-1:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:13], 16) / 16**13
 
 
 ROWS = [(i, "w " * (i % 7) + "x", "en", f"s{i % 5}") for i in range(200)] + [
@@ -43,7 +43,7 @@ def check(got, rows):
     want = []
     for i, t, _, s in rows:
         n, rate = len(spaced(t)), target[s] / size[s] if size[s] else 0
-        want.append((i, n, size[s], pytest.approx(target[s]), n * (int(rate) + (coin(i) < rate - int(rate)))))
+        want.append((i, n, size[s], pytest.approx(target[s]), n * (int(rate) + (coin(i, t) < rate - int(rate)))))
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
@@ -67,6 +67,14 @@ def test_query_near_targets_sf001(spark):
     assert sum(r["taken"] for r in got) == pytest.approx(1.5 * sum(r["size"] for r in got), rel=0.05)
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7])
+def test_ids_missing_or_repeated_stay_near_the_target(spark, ids):
+    rows = [(ids(i) if i % 10 else i, f"t{i} " + "w " * (i % 3), "en", "ab"[i % 4 == 0]) for i in range(4000)]
+    got = mixing.mix_plan(docs(spark, rows), keep=["source"]).groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 2 and all(r["taken"] == pytest.approx(r["target"], rel=0.05) for r in got)
+
+
 def test_mix_emits_copies(spark):
     d = docs(spark, ROWS).withColumn("mix_size", F.lit(1))
     plan = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mix_plan(d, keep=["doc_id", "text"]).collect()}

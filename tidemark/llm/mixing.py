@@ -56,10 +56,10 @@ def source_targets(sizes: DataFrame, source_col: str, size_col: str, weights: Se
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def coin(ids: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id alone: the first 13 hex digits of md5(seed:id)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ids.cast("string"), F.lit("")))), 1, 13),
-                  16, 10).cast("double") / F.lit(float(16**13))
+def coin(ids: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on id and text alone: the first 13 hex digits of md5(seed:id:text)."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(ids.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id",
@@ -68,13 +68,14 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     """Every document with its size, its source's size and target, and how often the mix takes it.
 
     copies = floor(rate) + (coin < fraction), rate = target / source_size.  Null text: size 0.  A null source is
-    a source of its own.  Rows with the same id share one coin; null ids share one too.  A source without words
-    is taken 0 times.  ``keep``: columns of ``docs`` to carry.  Empty table: no rows.
+    a source of its own.  Rows equal in id and text share one coin; rows that only share an id, or have none, do not.
+    A source without words is taken 0 times.  Very long texts are counted and hashed whole.  ``keep``: columns of
+    ``docs`` to carry, whatever their names.  Empty table: no rows.
     """
     size, ssize, target, copies = names
-    src, mid, key_col = fresh(docs, "mix_source", "mix_id", "mix_key")
-    sized = docs.select(*[docs[c] for c in keep], F.col(source_col).alias(src), F.col(id_col).alias(mid),
-                        text_size(F.col(text_col)).alias(size))
+    src, draw, key_col = fresh(docs, "mix_source", "mix_coin", "mix_key")
+    sized = docs.select(*[docs[c] for c in keep], F.col(source_col).alias(src),
+                        coin(F.col(id_col), F.col(text_col), seed).alias(draw), text_size(F.col(text_col)).alias(size))
     targets = cut(source_targets(sized, src, size, weights, share, max_repeat)).select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(key_col),
         F.col("source_size").alias(ssize), F.col("target").alias(target))
@@ -84,7 +85,7 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     key = F.coalesce(F.concat(F.lit("="), F.col(src)), F.lit(""))
     rate = F.when(F.col(ssize) > 0, F.col(target) / F.col(ssize)).otherwise(F.lit(0.0))
     joined = sized.withColumn(key_col, key).join(targets, key_col)
-    n_copies = F.floor(rate) + (coin(F.col(mid), seed) < rate - F.floor(rate)).cast("long")
+    n_copies = F.floor(rate) + (F.col(draw) < rate - F.floor(rate)).cast("long")
     return joined.select(*keep, size, ssize, target, n_copies.cast("long").alias(copies))
 
 

@@ -92,7 +92,7 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_mixing, op4_d
                                    pipeline)}
 
 # The rules of the contract, stated a second time for DuckDB.
-_SIZES = r"""sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents)"""
+_SIZES = r"""sizes AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents)"""
 
 ORACLE = {
     "op3_mixing": rf"""
@@ -107,7 +107,7 @@ leveled AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
 lam AS (SELECT min_by(lev, cap::DOUBLE / w) AS l FROM leveled WHERE lev * w <= cap),
 targets AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(l * w, cap::DOUBLE)) AS target FROM leveled, lam),
 rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                 ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS coin
+                 ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS coin
           FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        (size * (floor(rate)::BIGINT + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
@@ -130,7 +130,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hw USING (k) LEFT JOIN hi USING (k)""",
     "op5_chat": r"""
-WITH t AS (SELECT DISTINCT conv_id AS c, turn AS t, coalesce(role, 'unknown') AS r, coalesce(text, '') AS x FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id AS c, turn AS t, replace(replace(coalesce(role, 'unknown'), '<\', '<\\'), '<|', '<\|') AS r,
+                  replace(replace(coalesce(text, ''), '<\', '<\\'), '<|', '<\|') AS x FROM conversations),
 who AS (SELECT DISTINCT c, r AS a FROM t WHERE r <> 'system'),
 s AS (SELECT t.c, a, t, r, x, floor(t / 32)::BIGINT AS p,
              CASE WHEN r = a THEN '<|assistant|>' || chr(10) WHEN r = 'system' THEN '<|system|>' || chr(10)
