@@ -63,6 +63,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(lm, "SHARD_TOKENS", 900)
         monkeypatch.setattr(lm, "CHUNK", 500)
         monkeypatch.setattr(lm, "CHUNK_DOCS", 16)
+        monkeypatch.setattr(lm, "SHARD_TASKS", 7)
     rows = rows_of()
     on = [i is not None and crc(i) % 5 != 1 for i, _ in rows]
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 1, F.lit(False))

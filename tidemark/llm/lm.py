@@ -46,6 +46,7 @@ CHUNK = 800_000
 CHUNK_DOCS = 32_000
 SHARD_TOKENS = 1_600_000
 HEAVY = 2048
+SHARD_TASKS = 10_000  # tasks the shards are dealt to, in equal numbers
 WAYS = 16  # a heavy pair's documents of one chunk go to at most so many shards
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547)  # a word's hash is mixed, so these two are nobody's
 _PAIR_STEP = 24.0  # 8 bits: log10 of numerators from -2 in steps of 1/24
@@ -339,12 +340,27 @@ def _times(n: int, more: np.ndarray) -> np.ndarray:
 
 
 def _answer(sent: DataFrame, corpus: _Corpus, mu: float) -> DataFrame:
-    """Per shard and chunk, sums by document: known tokens, log10(c + 1/2) of all, log10 p without unknown words' share."""
+    """Per shard and chunk, sums by document: known tokens, log10(c + 1/2) of all, log10 p without unknown words' share.
 
-    def run(table: pa.Table) -> pa.Table:
+    Shards go to tasks by their number, not by its hash, so every task has as many as the next one.
+    """
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            for shard, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "chunk", "head", *"wpder")), strict=True):
+                if held and shard != now:
+                    yield one(held)
+                    held = []
+                now = shard
+                held.append(row)
+        if held:
+            yield one(held)
+
+    def one(rows: list) -> pa.RecordBatch:
         out = {"chunk": [], "head": [], "vocabulary": [], "data": []}
         parts = []
-        for chunk, head, w, p, d, e, r in zip(*(table.column(c).to_pylist() for c in ("chunk", "head", *"wpder")), strict=True):
+        for chunk, head, w, p, d, e, r in rows:
             if head:
                 out["chunk"].append(chunk), out["head"].append(True), out["vocabulary"].append(0), out["data"].append(w)
                 continue
@@ -399,10 +415,12 @@ def _answer(sent: DataFrame, corpus: _Corpus, mu: float) -> DataFrame:
                 shutil.rmtree(folder, ignore_errors=True)
             out["chunk"].append(-1), out["head"].append(False), out["data"].append(b"")
             out["vocabulary"].append(int((count[~hot] > 0).sum()))
-        return pa.Table.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("head", pa.bool_()),
-                                                           ("vocabulary", pa.int64()), ("data", pa.binary())]))
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("head", pa.bool_()),
+                                                                 ("vocabulary", pa.int64()), ("data", pa.binary())]))
 
-    return sent.groupBy("shard").applyInArrow(run, _PART)
+    tasks = min(corpus.shards, SHARD_TASKS)
+    dealt = sent.repartitionById(tasks, (F.col("shard") % tasks).cast("int"))
+    return dealt.sortWithinPartitions("shard").mapInArrow(run, _PART)
 
 
 def score_corpus(docs: DataFrame, learn: Column, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
