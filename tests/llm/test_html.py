@@ -190,3 +190,28 @@ def test_compound_names_of_furniture(attr, where):
 
 def test_zero_width_characters_are_not_white_space():
     assert ht.blocks("<p>foo\u200bbar\ufeff \u00a0 baz</p>") == [(ht.PLAIN, "foo\u200bbar\ufeff baz")]
+
+
+def test_coverage_tells_articles_without_their_tags(spark):
+    """The pages of a test table without their article tags: what repeats goes, what the article said stays."""
+    import re
+    from collections import Counter
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in ht.extract_text(pages).collect()}
+    bare = spark.createDataFrame([(r["page_id"], r["url"], re.sub(r"</?(?:article|main)\b[^>]*>", "", r["html"] or ""))
+                                  for r in pages.collect()], "page_id long, url string, html string")
+    kept = added = total = 0
+    for r in ht.extract_text(bare).collect():
+        a, b = Counter(want[r["page_id"]].split()), Counter(r["text"].split())
+        kept, added, total = kept + (a & b).total(), added + (b - a).total(), total + a.total()
+    assert total > 90_000 and kept >= 0.99 * total and added <= 0.005 * total
+
+
+def test_shared_with_another_page_equals_a_walk():
+    r = random.Random(6)
+    for n in (0, 1, 2, 3, 50):
+        for _ in range(40):
+            lcp, pages = np.array([r.randrange(6) for _ in range(n)], np.int64), np.array([r.randrange(3) for _ in range(n)])
+            want = [max((min(lcp[min(i, j) + 1:max(i, j) + 1]) for j in range(n) if pages[j] != pages[i]), default=0) for i in range(n)]
+            assert ht._shared_with_another_page(lcp, pages).tolist() == want

@@ -271,20 +271,19 @@ def _shared_with_another_page(lcp: np.ndarray, pages: np.ndarray) -> np.ndarray:
     """For each entry of the suffix array the longest prefix shared with a suffix of another page.
 
     The next entry of another page is the closest one in that direction, and what is shared with it is the
-    smallest lcp on the way: runs of one page are walked with a running minimum, once forward, once backward.
+    smallest lcp on the way: a running minimum over the run of one page's entries, once forward, once backward.
     """
-    n = len(lcp)
-    best = np.zeros(n, np.int64)
-    for order in (range(1, n), range(n - 2, -1, -1)):
-        step = order.step
-        low = 0
-        for i in order:
-            edge = lcp[i] if step == 1 else lcp[i + 1]
-            # low: shared by this entry's run of one page with the last entry before the run
-            low = min(low, edge) if pages[i] == pages[i - step] else edge
-            if low > best[i]:
-                best[i] = low
-    return best
+    if not len(lcp):
+        return lcp
+    forward = _low_of_runs(np.append(0, lcp[1:]), pages)
+    return np.maximum(forward, _low_of_runs(np.append(0, lcp[:0:-1]), pages[::-1])[::-1])
+
+
+def _low_of_runs(edge: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """The running minimum of ``edge`` that starts anew wherever the page changes."""
+    run = np.cumsum(np.append(False, pages[1:] != pages[:-1]))
+    apart = run * (edge.max() + 1)  # every value of a run is below all of the runs before it
+    return np.minimum.accumulate(edge - apart) + apart
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -446,8 +445,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     """(id, url, ``out``) of every page: its main text, "" if there is none.
 
     Null html is an empty page; null urls share one host; repeated pages stay, and those of a host whose streams are
-    equal count as one page.  ``bucket_tokens`` never changes the result.  Other columns are not read.  Empty table:
-    no rows.
+    equal count as one page.  ``bucket_tokens`` never changes the result.  Very long pages are parsed whole, by one task.
+    Other columns are not read, whatever their names.  Empty table: no rows.
     """
     @arrow_udf(_PARSED)
     def parse(pages: pa.Array) -> pa.Array:
@@ -456,12 +455,10 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     parse = parse.asNondeterministic()  # so that filters on its result do not run it a second time
     where = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"://([^/?#]*)", 1), F.lit("")))
     parsed = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), where.alias("h"), parse(F.col(html_col)).alias("p"))
-    # what lies outside articles is kept for the passes to come; pages without plain blocks are read again at the end
-    outside = cut(parsed.where(F.col("p.stream") != "").select(
-        "h", F.col("p.digest").alias("d"), F.col("p.stream").alias("s"), F.col("p.plain").alias("p"),
-        "i", "u",
-        F.col("p.zones").alias("z"), F.col("p.texts").alias("t"), F.col("p.starts").alias("o")))
-    streams = cut(outside.groupBy("h", "d").agg(F.first("s").alias("s"), F.max("p").alias("p")))
+    # pages are parsed once: their texts and blocks are kept for the passes to come
+    read = cut(parsed.select("i", "u", "h", *[F.col(f"p.{c}").alias(k) for k, c in zip(
+        "dspxzto", ("digest", "stream", "plain", "text", "zones", "texts", "starts"), strict=True)]))
+    streams = cut(read.where("s <> ''").groupBy("h", "d").agg(F.first("s").alias("s"), F.max("p").alias("p")))
     # about bucket_tokens in a bucket: a token of a stream takes six characters
     buckets = F.greatest(F.ceil(F.sum(F.length("s").cast("long")) / F.lit(6 * bucket_tokens)), F.ceil(F.count("*") / F.lit(BUCKET_PAGES)))
     dealt = cut(streams.groupBy("h").agg(buckets.cast("long").alias("k")).where("k > 1"))
@@ -507,7 +504,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
         return pa.array([_text(*row) for row in zip(zones.to_pylist(), texts.to_pylist(), starts.to_pylist(),
                                                     marks.to_pylist(), strict=True)], pa.string())
 
-    whole = parsed.where(~F.col("p.plain")).select("i", "u", F.col("p.text").alias("x"))
-    mixed = outside.where("p").join(marks, ["h", "d"], "left").select("i", "u", render("z", "t", "o", "m").alias("x"))
+    whole = read.where("not p").select("i", "u", "x")
+    mixed = read.where("p").join(marks, ["h", "d"], "left").select("i", "u", render("z", "t", "o", "m").alias("x"))
     done = whole.unionByName(mixed)
     return done.select(F.col("i").alias(id_col), F.col("u").alias(url_col), F.col("x").alias(out))
