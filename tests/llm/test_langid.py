@@ -40,6 +40,20 @@ def test_folded_product_is_the_kernel_expansion():
     assert np.allclose(m.outputs(rows), (rows @ lm.T) @ dual + 0.25, atol=1e-5)
 
 
+def test_fit_is_kernel_ridge_on_the_landmarks():
+    """Outputs equal the regression solved directly for the landmarks' weights, the kernel taken from the texts."""
+    texts, langs = [*EN, *DE, "the mat", "der Hut ist hier"], ["en"] * 3 + ["de"] * 3 + ["en", "de"]
+    m = langid.train(texts, langs, n_landmarks=4, ridge=0.01)
+    rows = langid.presence_rows(texts)
+    picks = [3, 0, 4, 1]  # languages in turn
+    knm, kmm = (rows @ rows[picks].T).astype(float), (rows[picks] @ rows[picks].T).astype(float)
+    for col, lang in enumerate(m.langs):
+        t = np.array([1.0 if x == lang else -1.0 for x in langs])  # four rows of either language: equal weights
+        left = sum(np.outer(k, k) for k in knm) + 0.01 * len(texts) * kmm
+        alpha = np.linalg.solve(left, sum(k * (y - t.mean()) for k, y in zip(knm, t, strict=True)))
+        assert np.allclose(m.outputs(rows)[:, col], knm @ alpha + t.mean(), atol=1e-4)
+
+
 def test_defined_results(spark, model):
     rows = [(0, "the house on the street"), (1, "die Katze und der Hund"), (2, None), (3, ""), (4, "123 !! 45"), (5, "the cat " * 20000),
             (None, "the dog and the cat"), (0, "the house on the street"), (7, "日本")]
