@@ -46,6 +46,30 @@ def test_learns_words_in_any_place(net):
     assert (s[:2] >= 0.7).all() and (s[2:] < 0.7).all() and ((s >= 0) & (s <= 1)).all()
 
 
+def naive_logit(net, text):
+    """Convolution, pooling and output by loops over the positions of one text."""
+    raw, off = tk.buffers(pa.array([text], pa.large_string()))
+    h = tx.hashed_words(tk.Words(raw, off, tk.ALNUM))
+    x = [np.concatenate([net.e[t][b[i]] for t, b in enumerate(tx._buckets(h))]) for i in range(len(h))]
+    none = np.concatenate([e[1 << tx.BITS] for e in net.e])
+    out = float(net.c)
+    for n, (k, w, b) in enumerate(zip(tx.WIDTHS, net.w, net.b, strict=True)):
+        for f in range(tx.FILTERS):
+            values = []
+            for i in range(len(x) + tx.TOP):
+                values.append(float(b[f]) + sum(float(np.dot(x[i + j] if i + j < len(x) else none, w[j][:, f])) for j in range(k)))
+            for rank, v in enumerate(sorted(values, reverse=True)[:tx.TOP]):
+                out += max(v, 0.0) * float(net.v[(n * tx.TOP + rank) * tx.FILTERS + f])
+    return out
+
+
+def test_scores_equal_loops_whatever_stands_beside(net):
+    texts = ["en1 nastyword en2", "", "vileword", "GRIMWORD nastyword vileword", "x", "en1 en2 en3 en4 en5 grimword", None, "vileword vileword"]
+    want = [naive_logit(net, t) for t in texts]
+    assert np.allclose([*map(float, score(net, texts))], 1 / (1 + np.exp(-(net.scale * np.array(want) + net.shift))), atol=1e-5)
+    assert np.allclose(score(net, texts), [score(net, [t])[0] for t in texts], atol=1e-6)
+
+
 def test_thresholds_by_language(net):
     assert set(net.thresholds) == {"en", "de"} and all(0 < t < 1 for t in net.thresholds.values())
 

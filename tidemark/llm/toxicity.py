@@ -34,7 +34,8 @@ TRAIN_ROWS = 1200  # of either class, at most
 MIN_DOCS = 4  # a word in fewer training texts is not trained
 EPOCHS = 10
 CUTOFF = 0.7
-_PAD = max(*WIDTHS, TOP)
+_TAIL = max(WIDTHS) - 1  # empty slots that keep a window from the next text
+_PAD = TOP + _TAIL
 
 
 def _buckets(h: np.ndarray) -> list[np.ndarray]:
@@ -99,7 +100,7 @@ class Net:
             for j in range(1, k):
                 z[:n - j] += x[j:] @ w[j]
             z += b
-            ends = np.append(start[1:], n)
+            ends = np.append(start[1:], n) - _TAIL
             if where:
                 at = np.stack([s + np.argpartition(-z[s:t], TOP - 1, 0)[:TOP] for s, t in zip(start, ends, strict=True)])
                 at = np.take_along_axis(at, np.argsort(-z[at, np.arange(FILTERS)], 1, kind="stable"), 1)
