@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import union_find
 from tidemark.llm import pqdedup as pq
 
@@ -65,6 +67,17 @@ def test_recall_on_planted_pairs(spark, monkeypatch):
     assert results[0] == results[1]
 
 
+def test_cells_of_lists_lose_no_link(spark, monkeypatch):
+    """Lists cut into cells by the second quantiser, as they are for very many vectors."""
+    monkeypatch.setattr(pq, "CELL", 2)
+    monkeypatch.setattr(pq, "BROADCAST_CELLS", 0)
+    rows = planted()
+    want = sorted(brute(rows), key=key)
+    got = sorted((tuple(r)[:3] for r in pq.embedding_groups(frame(spark, rows).withColumn("list", F.lit(1))).collect()), key=key)
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
 def low_rank(n, dim, rank, seed=7):
     """n unit vectors of ``rank`` directions in ``dim`` columns, every tenth with a partner at a cosine of 0.90 to 0.93."""
     r = np.random.default_rng(seed)
@@ -86,6 +99,9 @@ def test_recall_does_not_hang_on_the_number_of_columns():
     for dim, rank in ((768, 16), (1024, 12), (768, 32), (64, 64)):
         x, pairs = low_rank(4000, dim, rank)
         assert probed(x, pairs)[0] >= 0.97, (dim, rank)
+        found, cells, _ = probed(x, pairs, n=126 * pq.CELL * 32)  # as of so many vectors: 250 lists of 17 cells
+        assert found >= 0.95, (dim, rank, found, cells)
+        print(dim, rank, found, cells)
 
 
 def test_defined_results(spark):

@@ -19,8 +19,13 @@ sum of table look-ups; a member goes on to the exact cosine (double precision)
 if the look-up distance less the member's own reconstruction error is within
 the threshold, so the codes lose no pair.
 
-Lists are cut into blocks of members and of queries, so no task holds a whole
-hot list.  A pair is met in the list of either end; each end's probes tell
+Where the lists, whose number the sample bounds, would hold more than about
+``CELL`` members, a second quantiser of the residuals cuts each into cells, and
+a query probes the cells of a list by the same rule, from its own residual to
+that list; so the cells go on growing with the number of vectors.
+
+Cells are cut into blocks of members and of queries, so no task holds a whole
+hot cell.  A pair is met in the cell of either end; each end's probes tell
 whether it is met twice, so links are counted without emitting pairs.  For
 components a block emits one edge a vector (a spanning forest of its links).
 Equal vectors are one class from the start.
@@ -43,6 +48,9 @@ SUBSPACES = 8
 REACH = 3.0
 HELD = 0.99
 PAIRED = 4096  # vectors of the sample compared with one another to set the reach
+CELL = 2048  # members of a cell that are aimed at
+CELLS = 256  # cells of a list, at most
+BROADCAST_CELLS = 65_536
 MEMBERS = 2048
 QUERIES = 8192
 
@@ -80,32 +88,38 @@ class Index:
         self.gap = np.sqrt(sq_dist(self.coarse, self.coarse))
         own = nearest(sample, self.coarse)
         res = sample - self.coarse[own]
-        self.margin = self._deviation(res)
+        self.margin = self._deviation(res, self.coarse, self.gap)
         held = self._held_reach(sample[:PAIRED], own[:PAIRED], threshold)
         self.margin = np.minimum(self.margin * max(reach, held), self.max_d).astype(np.float32)
+        cells = int(max(1, min(np.ceil(n / (len(self.coarse) * CELL)), CELLS, len(sample) / 16)))
+        self.fine = kmeans(res[:16_384], cells, seed=6) if cells > 1 else np.zeros((1, self.dim), np.float32)
+        self.fine_gap = np.sqrt(sq_dist(self.fine, self.fine))
+        across = self._deviation(res, self.fine, self.fine_gap)
+        self.fine_margin = np.minimum(across * max(reach, held), self.max_d).astype(np.float32)
         self.cuts = [g for g in np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim)) if len(g)]
         self.books = [kmeans(res[:16_384, g], 256, 6) for g in self.cuts]
 
-    def _deviation(self, res: np.ndarray) -> np.ndarray:
-        """For every two lists, the deviation across their half-way plane of an offset as long as ``max_d``.
+    def _deviation(self, res: np.ndarray, centres: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """For every two centres, the deviation across their half-way plane of an offset as long as ``max_d``.
 
         An offset is taken to spread over the directions as the residuals do; without residuals it may be all across.
         """
         spread = (res.T @ res).astype(np.float64)
         total = np.trace(spread)
         if not total > 1e-9 * len(res):
-            return np.full(self.gap.shape, self.max_d)
-        c = self.coarse.astype(np.float64)
+            return np.full(gap.shape, self.max_d)
+        c = centres.astype(np.float64)
         g = c @ spread @ c.T
-        across = np.maximum(np.diag(g)[:, None] + np.diag(g)[None] - 2 * g, 0) / np.maximum(self.gap.astype(np.float64) ** 2, 1e-18)
+        across = np.maximum(np.diag(g)[:, None] + np.diag(g)[None] - 2 * g, 0) / np.maximum(gap.astype(np.float64) ** 2, 1e-18)
         return self.max_d * np.sqrt(np.minimum(across / total, 1))
 
-    def _planes(self, d2: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return (d2 - d2[np.arange(len(own)), own][:, None]) / np.maximum(2 * self.gap[own], 1e-9)
+    @staticmethod
+    def _planes(d2: np.ndarray, own: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        return (d2 - d2[np.arange(len(own)), own][:, None]) / np.maximum(2 * gap[own], 1e-9)
 
     def _held_reach(self, x: np.ndarray, own: np.ndarray, threshold: float) -> float:
         """Deviations that hold HELD of the pairs of ``x`` near the threshold, by the probes of either end."""
-        planes = self._planes(sq_dist(x, self.coarse), own)
+        planes = self._planes(sq_dist(x, self.coarse), own, self.gap)
         got = []
         for i in range(0, len(x), 512):
             cos = x[i:i + 512] @ x.T
@@ -117,20 +131,35 @@ class Index:
         return float(np.quantile(got, HELD)) if len(got) else 0.0
 
     def place(self, x: np.ndarray):
-        """(list, codes, reconstruction error, probed lists) of every vector."""
+        """(cell, codes, reconstruction error, probed cells) of every vector; a cell is list * cells of a list + its own."""
         d2 = sq_dist(x, self.coarse)
         own = d2.argmin(1)
         res = x - self.coarse[own]
         codes = np.stack([nearest(res[:, g], b) for g, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
         err = np.linalg.norm(res[:, np.concatenate(self.cuts)] - back, axis=1)
-        near = self._planes(d2, own) <= self.margin[own] + 1e-6
+        near = self._planes(d2, own, self.gap) <= self.margin[own] + 1e-6
         near[np.arange(len(x)), own] = True
-        return own, codes, err, [np.flatnonzero(p) for p in near]
-
-    def lookup(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Distances of queries to coded members of one list by table look-up."""
-        r = q - self.coarse[lists]
+        cells = len(self.fine)
+        if cells == 1:
+            return own, codes, err, [np.flatnonzero(p) for p in near]
+        row, to = np.nonzero(near)
+        asker, probed = [], []
+        for i in range(0, len(row), 4096):
+            r, c = row[i:i + 4096], to[i:i + 4096]
+            d2 = sq_dist(x[r] - self.coarse[c], self.fine)
+            mine = d2.argmin(1)
+            hit = self._planes(d2, mine, self.fine_gap) <= self.fine_margin[mine] + 1e-6
+            hit[np.arange(len(r)), mine] = True
+            a, s = np.nonzero(hit)
+            asker.append(r[a])
+            probed.append(c[a] * cells + s)
+        ends = np.searchsorted(np.concatenate(asker), np.arange(1, len(x)))
+        return own * cells + sq_dist(res, self.fine).argmin(1), codes, err, np.split(np.concatenate(probed), ends)
+
+    def lookup(self, q: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of queries to coded members of one cell by table look-up."""
+        r = q - self.coarse[cells // len(self.fine)]
         out = np.zeros((len(q), len(codes)), np.float32)
         for j, (g, b) in enumerate(zip(self.cuts, self.books, strict=True)):
             out += sq_dist(r[:, g], b).astype(np.float32)[:, codes[:, j]]
@@ -177,7 +206,9 @@ def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
     visits = placed.select("node", "v", "m", F.col("list").alias("own"), F.explode("probes").alias("list"))
     blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mk")).join(
         visits.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qk")), "list")
-    blocks = F.broadcast(cut(blocks))  # one row a list, at most SAMPLE / 16
+    blocks = cut(blocks)  # one row a cell
+    if len(index.coarse) * len(index.fine) <= BROADCAST_CELLS:
+        blocks = F.broadcast(blocks)
     none = F.lit(None)
     deal = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -213,11 +244,11 @@ def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
             return empty
         mq, mm = ask["m"].to_numpy(), mem["m"].to_numpy()
         own = ask["own"].to_numpy()
-        # does the member visit the query's own list too?  Then the other meeting counts the member's link.
-        known = np.zeros((len(mem), len(ix.coarse)), bool)
-        for i, p in enumerate(mem["probes"]):
-            known[i, p] = True
-        once = ~known[b, own[a]]
+        # does the member visit the query's own cell too?  Then the other meeting counts the member's link.
+        cells = np.int64(len(ix.coarse) * len(ix.fine))
+        size = [len(p) for p in mem["probes"]]
+        known = np.repeat(np.arange(len(mem)), size) * cells + np.concatenate(list(mem["probes"]))
+        once = ~np.isin(b * cells + own[a], known)
         got_q = np.bincount(a, mm[b], len(ask)).astype(np.int64)
         got_m = np.bincount(b[once], mq[a[once]], len(mem)).astype(np.int64)
         nodes = np.concatenate([nq, nm])
@@ -237,7 +268,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: n_links 0, and
     they are their own component.  Vectors of different lengths do not link.  Equal vectors link with one another.
     A null id never names a component and is never kept.  Repeated rows are vectors of their own.  Other columns
-    are not read.  Empty table: no rows.
+    are not read, whatever their names.  Empty table: no rows.
     """
     v = F.transform(F.col(vec_col).cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
