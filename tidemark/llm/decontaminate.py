@@ -5,12 +5,13 @@ consecutive words of an item; a shorter item (but not an empty one) is one windo
 Arrow batches: window hashes by running sums, a bit table and a sorted hash set for candidates, then every hit is
 compared byte for byte with the window's words.
 
-The set that a task holds is bounded: ``block_bytes`` of item text, whose windows take about seven times that.  A larger benchmark is scanned block by
-block, and the hits, keyed by the digest of the text (a document's hits depend on its text alone), are put
+The set that a task holds is bounded: ``block_bytes`` of item text, whose windows take about seven times that.  A
+larger benchmark is scanned block by block, and the hits, keyed by the digest of the text (a document's hits depend on its text alone), are put
 together by a grouping; the result does not depend on the number of blocks.
 
 Defined results: a null text has no words; an item with null id hits words but is not listed; repeated items
-count once an id; repeated documents are judged alike.  Empty tables: no rows, or no hits.
+count once an id; repeated documents are judged alike.  Very long texts are scanned whole.  Other columns of either
+table may have any names.  Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations

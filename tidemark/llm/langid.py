@@ -105,7 +105,9 @@ def fit_language(docs: DataFrame, learn: Column | None = None, text_col: str = "
                  id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Fit on at most ``train_rows`` rows with a language and a text, chosen by the hash of id and text.
 
-    None if there is no such row.  Only the sampled rows (bounded) reach the driver.
+    None if there is no such row, as in an empty table.  Rows equal in id and text, and ties of the hash, count as one
+    row.  Very long texts are learned from whole.  Other columns may have any names.  Only the sampled rows (bounded)
+    reach the driver.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if learn is not None:
@@ -124,7 +126,8 @@ def predict_language(model: LanguageModel | None, text: Column) -> Column:
     """struct(lang, score) of a text column.
 
     ``und`` with score 0 if the text is null or holds no letter, or if nothing was learned.  The score is the
-    softmax of the one-versus-rest outputs.
+    softmax of the one-versus-rest outputs; equal outputs give the first language by name.  Very long texts are read
+    whole; repeated texts get equal results.
     """
     shared = Shared(SparkSession.active(), model)
 
@@ -154,7 +157,10 @@ def predict_language(model: LanguageModel | None, text: Column) -> Column:
 
 def reject_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
                     min_score: float = MIN_SCORE, languages: list[str] | None = None) -> DataFrame:
-    """``docs`` whose text is in one of ``languages`` (default: any learned) with at least ``min_score``."""
+    """``docs`` whose text is in one of ``languages`` (default: any learned) with at least ``min_score``.
+
+    Null texts and texts without letters go.  All columns are kept, whatever their names.  Empty table: no rows.
+    """
     r, = fresh(docs, "language")
     marked = docs.withColumn(r, predict_language(model, F.col(text_col)))
     ok = (F.col(f"{r}.lang") != UNKNOWN) & (F.col(f"{r}.score") >= min_score)

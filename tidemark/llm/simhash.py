@@ -121,7 +121,7 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     Defined results: a null or blank text has fingerprint zero and links like any other.  Rows with a null id
     are in their text's component but never name it; a component without any id gets null.  Repeated rows stay.
-    Other columns of ``docs`` are not read.  Empty table: no rows.
+    Very long texts are read whole.  Other columns of ``docs`` are not read, whatever their names.  Empty table: no rows.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")))
     low = rows.groupBy("fp").agg(F.min("id").alias("low"))

@@ -275,7 +275,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     """Fit on at most ``train_rows`` documents of either class, chosen by the hash of their id.
 
     ``learn`` restricts the rows that may be learned from.  Several labels of an id: toxic if one says so; null
-    labels and null ids are left out.  Only the sampled rows (bounded) reach the driver.
+    labels and null ids are left out.  Rows equal in id and text, and ties of the hash, count as one row.  Null and
+    empty texts have no words; very long texts are learned from whole.  No labelled row, or one class only: a constant
+    score.  Other columns of either table may have any names.  Only the sampled rows (bounded) reach the driver.
     """
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
@@ -296,7 +298,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
 
 
 def toxicity_score(net: Net, text: Column) -> Column:
-    """Score of a text column: 0 to 1, higher is likelier toxic; null and empty texts get the score of no words."""
+    """Score of a text column: 0 to 1, higher is likelier toxic; null and empty texts get the score of no words.
+
+    Very long texts are read whole; equal texts score alike, whatever stands beside them.
+    """
     shared = Shared(SparkSession.active(), net)
 
     @arrow_udf("double")
@@ -320,7 +325,10 @@ def threshold_of(net: Net, lang: Column) -> Column:
 
 
 def reject_toxic(docs: DataFrame, net: Net, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose score reaches their language's threshold; all columns kept."""
+    """``docs`` without the rows whose score reaches their language's threshold; all columns kept, whatever their names.
+
+    A null or unknown language takes the threshold of all.  Repeated rows are judged alike.  Empty table: no rows.
+    """
     s, = fresh(docs, "toxicity")
     scored = docs.withColumn(s, toxicity_score(net, F.col(text_col)))
     return scored.where(F.col(s) < threshold_of(net, F.col(lang_col))).select(*docs.columns)
