@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``.  All but the
 last return the columns of documents.
+
+Defined results, by the operators that the stages call: a null or empty text is
+judged as one without words by the first stage and goes in the second; very long
+texts are read whole; repeated rows are judged alike, and one of them stays after
+the third stage; null ids and sources are kept; extra columns pass through,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
