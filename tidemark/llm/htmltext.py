@@ -395,13 +395,24 @@ def _text(zones: list[int], texts: list[str], starts: list[int], marks: bytes |
     return "\n\n".join(kept)
 
 
-_PARSED = "struct<plain:boolean,text:string,digest:binary,stream:string,zones:array<int>,texts:array<string>,starts:array<int>>"
-_PARSED_TYPE = pa.struct([("plain", pa.bool_()), ("text", pa.string()), ("digest", pa.binary()), ("stream", pa.string()),
+def _packed(text: str) -> bytes:
+    """The text compressed, after its size in bytes; read by ``_unpacked``."""
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> str:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True).decode() if size else ""
+
+
+_PARSED = "struct<plain:boolean,text:binary,digest:binary,stream:string,zones:array<int>,texts:array<string>,starts:array<int>>"
+_PARSED_TYPE = pa.struct([("plain", pa.bool_()), ("text", pa.binary()), ("digest", pa.binary()), ("stream", pa.string()),
                           ("zones", pa.list_(pa.int32())), ("texts", pa.list_(pa.string())), ("starts", pa.list_(pa.int32()))])
 
 
 def _parse_batch(pages: pa.Array) -> pa.Array:
-    """Per page: its text if it has no plain blocks, the digest and text of its stream, and its blocks if it has some."""
+    """Per page: its text, compressed, if it has no plain blocks, the digest and text of its stream, and its blocks if it has some."""
     rows = []
     for p in pages:
         page = blocks(p.as_py())
@@ -417,7 +428,7 @@ def _parse_batch(pages: pa.Array) -> pa.Array:
                     at += len(t.split())
             row |= {"zones": [z for z, _, _ in own], "texts": [t for _, t, _ in own], "starts": [a for _, _, a in own]}
         else:
-            row["text"] = "\n\n".join(t for z, t in page if z == ARTICLE)
+            row["text"] = _packed("\n\n".join(t for z, t in page if z == ARTICLE))
         rows.append(row)
     return pa.array(rows, _PARSED_TYPE)
 
@@ -504,7 +515,11 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
         return pa.array([_text(*row) for row in zip(zones.to_pylist(), texts.to_pylist(), starts.to_pylist(),
                                                     marks.to_pylist(), strict=True)], pa.string())
 
-    whole = read.where("not p").select("i", "u", "x")
+    @arrow_udf("string")
+    def opened(texts: pa.Array) -> pa.Array:
+        return pa.array(map(_unpacked, texts.to_pylist()), pa.string())
+
+    whole = read.where("not p").select("i", "u", opened("x").alias("x"))
     mixed = read.where("p").join(marks, ["h", "d"], "left").select("i", "u", render("z", "t", "o", "m").alias("x"))
     done = whole.unionByName(mixed)
     return done.select(F.col("i").alias(id_col), F.col("u").alias(url_col), F.col("x").alias(out))
